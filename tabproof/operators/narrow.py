@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabproof.functions import types as K
@@ -48,10 +48,16 @@ def _by_dimension(df: DataFrame, dims: Sequence[str], bucket: str, extra: Sequen
 
 def _with_lift(counts: DataFrame) -> DataFrame:
     """Add ``rate`` and ``lift``. Every dimension covers all rows, so each gives the total."""
-    whole = Window.partitionBy("dim")
-    overall = F.sum("violations").over(whole) / F.sum("rows").over(whole)
-    return counts.withColumn("rate", F.col("violations") / F.col("rows")).withColumn(
-        "lift", F.when(overall > 0, F.col("rate") / overall).otherwise(F.lit(0.0))
+    # One row per dimension, so broadcast: the values of one dimension need not meet.
+    whole = counts.groupBy(F.col("dim").alias("_dim")).agg(
+        (F.sum("violations") / F.sum("rows")).alias("_overall")
+    )
+    rate = F.col("violations") / F.col("rows")
+    return (
+        counts.join(F.broadcast(whole), F.col("dim") == F.col("_dim"))
+        .withColumn("rate", rate)
+        .withColumn("lift", F.when(F.col("_overall") > 0, rate / F.col("_overall")).otherwise(0.0))
+        .drop("_dim", "_overall")
     )
 
 
