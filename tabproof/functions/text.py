@@ -7,6 +7,8 @@ expressions, and one parsed text costs far less to hand to the JVM than the tree
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import types as T
 
 from tabproof.functions.types import STRING, column_class, is_floating
@@ -21,6 +23,8 @@ SPACE_SEPARATORS = "".join(
     chr(c) for c in (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)
 )
 
+_SHORT_TEXT = 32
+
 # Texts up to this many characters are grouped as they are, longer ones by digest.
 _DIGEST_OVER = 64
 
@@ -37,7 +41,11 @@ def quote_text(value: str) -> str:
 
 def format_mask(text: str) -> str:
     """Digits to 9, letters to A or a, any other non-ASCII character to a."""
-    masked = f"substr({text}, 1, {MASK_CHARS})"
+    head = f"substr({text}, 1, {MASK_CHARS})"
+    # Most texts are plain ASCII, where one character table does what the patterns do.
+    table = string.ascii_uppercase + string.ascii_lowercase + string.digits
+    plain = f"translate({head}, '{table}', '{'A' * 26 + 'a' * 26 + '9' * 10}')"
+    masked = head
     for pattern, symbol in (
         (r"\p{N}", "9"),
         (r"\p{Lu}", "A"),
@@ -45,7 +53,7 @@ def format_mask(text: str) -> str:
         (r"[^\p{ASCII}]", "a"),
     ):
         masked = f"regexp_replace({masked}, r'{pattern}', '{symbol}')"
-    return masked
+    return f"if(octet_length({head}) = length({head}), {plain}, {masked})"
 
 
 def collapse_runs(shape: str) -> str:
@@ -70,27 +78,38 @@ def stripped(text: str) -> str:
     return f"trim(both {quote_text(SPACE_SEPARATORS)} from {text})"
 
 
+def _is_space(character: str) -> str:
+    return f"locate({character}, {quote_text(SPACE_SEPARATORS)}) > 0"
+
+
 def is_blank(text: str) -> str:
     """Not empty, but nothing except space separators."""
-    return f"({text} <> '' and {stripped(text)} = '')"
+    return f"({text} <> '' and {_is_space(f'left({text}, 1)')} and {stripped(text)} = '')"
 
 
 def is_untrimmed(text: str) -> str:
-    """Starts or ends with a space separator."""
-    return f"({stripped(text)} <> {text})"
+    """Starts or ends with a space separator. Looks at the two end characters only."""
+    ends = f"{_is_space(f'left({text}, 1)')} or {_is_space(f'right({text}, 1)')}"
+    return f"({text} <> '' and ({ends}))"
 
 
 def class_lengths(text: str) -> dict[str, str]:
-    """Number of characters of each class in one text."""
-    others = {
-        "alpha": "[^A-Za-z]+",
-        "digit": "[^0-9]+",
-        "space": r"[^\s]+",
-        "punct": r"[^\p{Punct}]+",
+    """Number of characters of each class in one text.
+
+    Short texts are counted with a character table, long ones, where that is slower,
+    with a pattern.
+    """
+    classes = {
+        "alpha": (string.ascii_letters, "[^A-Za-z]+"),
+        "digit": (string.digits, "[^0-9]+"),
+        "space": (" \t\n\x0b\x0c\r", r"[^\s]+"),
+        "punct": (string.punctuation, r"[^\p{Punct}]+"),
     }
     return {"chars": f"length({text})"} | {
-        name: f"length(regexp_replace({text}, r'{pattern}', ''))"
-        for name, pattern in others.items()
+        name: f"if(length({text}) <= {_SHORT_TEXT}, "
+        f"length({text}) - length(translate({text}, {quote_text(members)}, '')), "
+        f"length(regexp_replace({text}, r'{others}', '')))"
+        for name, (members, others) in classes.items()
     }
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabproof.functions.guard import spark_expression
 from tabproof.functions.text import quote_name
 from tabproof.plans.numbering import number_within
+from tabproof.session import local_frame
 
 # Fixed values.
 SEVERITIES = ("high", "medium", "low")
@@ -82,7 +83,7 @@ def checks_frame(spark: SparkSession, checks: Sequence[Mapping]) -> DataFrame:
     for i, check in enumerate(checks):
         full = {**empty, **check, "position": i + 1}
         rows.append(tuple(full[f.split()[0]] for f in CHECK_SCHEMA.split(", ")))
-    return spark.createDataFrame(rows, CHECK_SCHEMA)
+    return local_frame(spark, rows, CHECK_SCHEMA)
 
 
 def normalize_checks(wire: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from tabproof.functions.types import common_key_type
 from tabproof.operators.admission import admit_checks
 from tabproof.operators.checks import Check
 from tabproof.plans.keyed_rows import first_rows_with_keys, rows_with_keys
+from tabproof.session import local_frame
 
 # Fixed value: rows shown of a falsified check.
 PREVIEW_ROWS = 200
@@ -337,7 +338,8 @@ def evaluate_checks(catalog, checks: DataFrame) -> DataFrame:
         )
         for c in admitted
     ]
-    frame = spark.createDataFrame(
+    frame = local_frame(
+        spark,
         results, "id string, violations bigint, row_count bigint, reason string, ms bigint, sql string"
     )
     return with_verdict(frame).select(*[f.split()[0] for f in RESULT_SCHEMA.split(", ")])

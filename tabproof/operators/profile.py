@@ -18,6 +18,7 @@ from tabproof.functions import text as X
 from tabproof.functions import types as K
 from tabproof.plans.distinct import exact_distinct, sketch_distinct_sql, values_by_id
 from tabproof.plans.quantiles import exact_quantiles
+from tabproof.session import local_frame
 
 # Fixed values.
 EXACT_DISTINCT_MAX_ROWS = 250_000
@@ -291,7 +292,7 @@ def shape_histogram(
     """
     texts = [s for s in (specs or column_specs(df)) if s.kind == K.STRING][:max_columns]
     if not texts:
-        return df.sparkSession.createDataFrame([], "ordinal int, shape string, n bigint, rank int")
+        return local_frame(df.sparkSession, [], "ordinal int, shape string, n bigint, rank int")
     rows = df if sample_fraction is None else df.sample(sample_fraction, seed=seed)
     return top_shapes(shape_counts(rows, texts), k)
 
@@ -400,7 +401,8 @@ def column_stats(
     """The part of a profile that prunes candidates, cheaper than the whole.
 
     One row per column: ``(ordinal, name, class, row_count, null_count, distinct_count,
-    low, high)``; the range is numeric, or text for dates, and NULL for other classes.
+    low, high, whole)``; the range is numeric, or text for dates, and NULL for other
+    classes; ``whole`` is false for numbers with fractions.
     """
     specs = column_specs(df)
     exact = row_count <= EXACT_DISTINCT_MAX_ROWS if exact is None else exact
@@ -408,7 +410,10 @@ def column_stats(
     for s in specs:
         ranged = s.kind in (K.NUMERIC, K.TEMPORAL)
         sketched = not exact and s.kind != K.NESTED
+        measured = s.kind == K.NUMERIC and not K.is_integral(s.data_type)
         aggregates.append(f"count({s.sql}) as {s.named('n')}")
+        if measured:
+            aggregates.append(f"count_if({s.sql} <> floor({s.sql})) as {s.named('parts')}")
         if ranged:
             aggregates += [f"min({s.sql}) as {s.named('min')}", f"max({s.sql}) as {s.named('max')}"]
         if sketched:
@@ -425,7 +430,8 @@ def column_stats(
             f"'class', '{s.kind}', 'row_count', row_count, "
             f"'null_count', row_count - {s.named('n')}, "
             f"'ndv', bigint({s.named('ndv') if sketched else 'null'}), "
-            f"'low', {end('min')}, 'high', {end('max')})"
+            f"'low', {end('min')}, 'high', {end('max')}, "
+            f"'whole', {s.named('parts') + ' = 0' if measured else 'true'})"
         )
     stats = df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
     if exact:

@@ -32,6 +32,7 @@ from tabproof.operators.profile import (
     profile_table,
 )
 from tabproof.plans.distinct import sketch_distinct_sql, values_by_id
+from tabproof.session import local_frame
 
 # Placeholders that hide in otherwise valid columns.
 NUMERIC_SENTINELS = (0, -1, 9999)
@@ -61,6 +62,7 @@ class _Candidate:
     is_key: bool
     low: float | None
     high: float | None
+    whole: bool
 
     def may_reference(self, parent: _Candidate, min_ratio: float) -> bool:
         if (self.table, self.name) == (parent.table, parent.name) or self.family != parent.family:
@@ -70,6 +72,8 @@ class _Candidate:
                 return False
         if self.name == parent.name:
             return True
+        if not (self.whole and parent.whole):
+            return False
         near = min_ratio * parent.rows <= self.distinct <= parent.rows / min_ratio
         return parent.is_key and near
 
@@ -108,7 +112,7 @@ def _candidates(catalog, stats: Mapping[str, Sequence[Row]]) -> list[_Candidate]
             out.append(
                 _Candidate(
                     len(out), entry.table, row["name"], family, domain, row["distinct_count"],
-                    row["row_count"], is_key, low, high,
+                    row["row_count"], is_key, low, high, row["whole"],
                 )
             )
     return out
@@ -128,6 +132,45 @@ def _shared_value(column: str, data_type: T.DataType, domain: str, all_integral:
     return f"string({column})"
 
 
+def _value_sets(catalog, columns: Mapping[int, _Candidate], all_integral: bool) -> DataFrame:
+    """``(child, ids, n)``: how many values each set of columns shares, per member column.
+
+    A value is one row per task before the shuffle, whatever its frequency; ``ids`` is
+    never longer than the number of columns.
+    """
+    parts = []
+    for table in dict.fromkeys(c.table for c in columns.values()):
+        df = catalog.frame(table)
+        values = [
+            (
+                c.id,
+                _shared_value(
+                    X.quote_name(c.name), df.schema[c.name].dataType, c.domain, all_integral
+                ),
+            )
+            for c in columns.values()
+            if c.table == table
+        ]
+        parts.append(values_by_id(df, values, "id", "value"))
+    held = (
+        reduce(DataFrame.unionByName, parts)
+        .filter("value is not null")
+        .groupBy("value")
+        .agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    )
+    sets = held.groupBy("ids").agg(F.count("*").alias("n"))
+    return sets.select(F.explode("ids").alias("child"), "ids", "n")
+
+
+def _listed(catalog, pairs) -> DataFrame:
+    """Candidate pairs as rows: one per pair of columns, so small enough to broadcast."""
+    return local_frame(
+        catalog.spark,
+        [(c.id, p.id, c.table, c.name, p.table, p.name) for c, p in pairs],
+        "child int, parent int, table string, column string, references_table string, references_column string",
+    )
+
+
 def reference_candidates(
     catalog, stats: Mapping[str, Sequence[Row]] | None = None, *, min_ratio: float = 0.5
 ) -> DataFrame:
@@ -135,6 +178,7 @@ def reference_candidates(
 
     A pair is measured when the families agree, ranges overlap, and either the names
     agree or the child has about as many distinct values as a key column has rows.
+    Numbers with fractions are measures, so they count only under a shared name.
     Distinct values of all columns are grouped once; a value that fills a column is one
     row per task there. Output: ``inclusion`` is the share of the child's distinct
     values the parent has.
@@ -149,38 +193,20 @@ def reference_candidates(
         "child_values bigint, shared_values bigint, inclusion double"
     )
     if not pairs:
-        return spark.createDataFrame([], schema)
-    involved = {c.id: c for pair in pairs for c in pair}
-    grouped = []
-    for family in sorted({c.family for c in involved.values()}):
-        members = [c for c in involved.values() if c.family == family]
-        all_integral = all(c.domain == "numeric" for c in members)
-        parts = []
-        for table in dict.fromkeys(c.table for c in members):
-            df = catalog.frame(table)
-            values = [
-                (c.id, _shared_value(X.quote_name(c.name), df.schema[c.name].dataType, c.domain, all_integral))
-                for c in members
-                if c.table == table
-            ]
-            parts.append(values_by_id(df, values, "id", "value"))
-        # Which columns hold each value, then how many values each such set of columns has.
-        held = (
-            reduce(DataFrame.unionByName, parts)
-            .filter("value is not null")
-            .groupBy("value")
-            .agg(F.sort_array(F.collect_set("id")).alias("ids"))
-        )
-        grouped.append(held.groupBy("ids").agg(F.count("*").alias("n")))
-    sets = reduce(DataFrame.unionByName, grouped)
-    listed = spark.createDataFrame(
-        [(c.id, p.id, c.table, c.name, p.table, p.name) for c, p in pairs],
-        "child int, parent int, table string, column string, references_table string, references_column string",
-    )
+        return local_frame(spark, [], schema)
+    # Whole numbers are compared as such; only pairs with a fractional column need text.
+    kinds: dict[tuple[str, bool], list[tuple[_Candidate, _Candidate]]] = {}
+    for pair in pairs:
+        fractional = any(c.domain == "fractional" for c in pair)
+        kinds.setdefault((pair[0].family, fractional), []).append(pair)
+    grouped = [
+        _value_sets(catalog, {c.id: c for pair in members for c in pair}, not fractional)
+        .join(F.broadcast(_listed(catalog, members)), "child")
+        for (_, fractional), members in sorted(kinds.items())
+    ]
     shared = F.when(F.array_contains("ids", F.col("parent")), F.col("n")).otherwise(0)
     return (
-        sets.select(F.explode("ids").alias("child"), "ids", "n")
-        .join(F.broadcast(listed), "child")
+        reduce(DataFrame.unionByName, grouped)
         .groupBy("table", "column", "references_table", "references_column")
         .agg(F.sum("n").alias("child_values"), F.sum(shared).alias("shared_values"))
         .withColumn("inclusion", F.col("shared_values") / F.col("child_values"))
@@ -240,7 +266,8 @@ def composite_keys(
                 [unique_violations(df, c).withColumn("i", F.lit(i)) for i, c in enumerate(likely)],
             )
             found += [likely[r["i"]] for r in counted.filter("violations = 0").collect()]
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [(table, list(c), rows) for c in found],
         "table string, columns array<string>, row_count bigint",
     )
@@ -342,7 +369,8 @@ def order_invariants(
                 )
             )
     if not measures:
-        return df.sparkSession.createDataFrame(
+        return local_frame(
+            df.sparkSession,
             [], "low_column string, high_column string, compared bigint, violations bigint, share double"
         )
     share = F.when(F.col("compared") > 0, F.col("violations") / F.col("compared"))
@@ -409,7 +437,7 @@ def numeric_texts(df: DataFrame) -> DataFrame:
         if s.kind == K.STRING
     ]
     if not measures:
-        return df.sparkSession.createDataFrame([], "name string, filled bigint, numeric bigint, share double")
+        return local_frame(df.sparkSession, [], "name string, filled bigint, numeric bigint, share double")
     share = F.when(F.col("filled") > 0, F.col("numeric") / F.col("filled"))
     return _one_pass(df, measures).withColumn("share", share)
 
@@ -433,7 +461,8 @@ def near_bounds(df: DataFrame, table: str, profile: DataFrame | None = None) ->
         }
         measures.append(({"name": r["name"]}, {k: f"count_if({v})" for k, v in ends.items()}))
     if not measures:
-        return df.sparkSession.createDataFrame(
+        return local_frame(
+            df.sparkSession,
             [], "name string, at_min bigint, at_max bigint, to_p01 bigint, from_p99 bigint"
         )
     return _one_pass(df, measures)
@@ -518,7 +547,8 @@ def propose_checks(catalog, *, min_inclusion: float = 0.9) -> DataFrame:
     rank = {"high": 0, "medium": 1, "low": 2}
     proposed.sort(key=lambda r: (rank[r["severity"]], r["kind"], r["table"], r["title"]))
     names = [f.split()[0] for f in CHECK_SCHEMA.split(", ")]
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         [(i + 1, *[r[n] for n in names[1:]]) for i, r in enumerate(proposed)], CHECK_SCHEMA
     )
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tabproof.session import local_frame
 
 
 def values_by_id(
@@ -40,7 +41,7 @@ def exact_distinct(df: DataFrame, columns: Sequence[tuple[int, str]]) -> DataFra
     task.
     """
     if not columns:
-        return df.sparkSession.createDataFrame([], "id int, ndv bigint")
+        return local_frame(df.sparkSession, [], "id int, ndv bigint")
     return (
         values_by_id(df, columns, "id", "value")
         .filter(F.col("value").isNotNull())

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -35,3 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="tabproof-")
         spark.conf.set(_CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def local_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """A handful of rows known to the driver, as a frame the optimizer knows the size of."""
+    struct = T.StructType.fromDDL(schema)
+    records = [dict(zip(struct.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(struct)), struct)

@@ -16,6 +16,7 @@ from tabproof.functions.types import column_class, type_family
 from tabproof.sources.files import audit_files, detect_formats, file_ends, list_files
 from tabproof.sources.naming import assign_table_names, clashing_names
 from tabproof.sources.readers import read_source
+from tabproof.session import local_frame
 
 TABLES_SCHEMA = "table string, label string, format string, rows bigint, columns int, bytes bigint"
 COLUMNS_SCHEMA = (
@@ -99,7 +100,7 @@ class Catalog:
             for t in self.tables
             for i, f in enumerate(t.df.schema.fields)
         ]
-        return self.spark.createDataFrame(rows, COLUMNS_SCHEMA)
+        return local_frame(self.spark, rows, COLUMNS_SCHEMA)
 
     def count_rows(self) -> DataFrame:
         """``(table, rows)`` of every table, in one job that reads no column."""
@@ -121,7 +122,7 @@ class Catalog:
         """``(table, bytes)``: size of each table's files."""
         sized = [t for t in self.tables if t.path]
         if not sized:
-            return self.spark.createDataFrame([], "table string, bytes bigint")
+            return local_frame(self.spark, [], "table string, bytes bigint")
         return reduce(
             DataFrame.unionByName,
             [
@@ -134,7 +135,8 @@ class Catalog:
 
     def inventory(self) -> DataFrame:
         """One row per table: table, label, format, rows, columns, bytes."""
-        listed = self.spark.createDataFrame(
+        listed = local_frame(
+            self.spark,
             [(t.table, t.label, t.format, len(t.df.columns)) for t in self.tables],
             "table string, label string, format string, columns int",
         )
@@ -148,7 +150,7 @@ class Catalog:
 def _with_names(spark: SparkSession, sources: Sequence[Source]) -> list[str]:
     """The given table names, or names derived from the labels."""
     labels = [(i, s.table or s.label or s.path.rstrip("/").split("/")[-1]) for i, s in enumerate(sources)]
-    named = assign_table_names(spark.createDataFrame(labels, "position bigint, label string"))
+    named = assign_table_names(local_frame(spark, labels, "position bigint, label string"))
     clash = clashing_names(named).first()
     if clash is not None:
         raise SourceError(f"Two sources would be named {clash['table']!r}; name one of them.")

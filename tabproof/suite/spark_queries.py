@@ -13,7 +13,7 @@ from tabproof.functions import guard
 from tabproof.functions import text as X
 from tabproof.operators import admission, checks, console, evaluate, findings, narrow, profile, propose, summary
 from tabproof.plans.quantiles import exact_quantiles
-from tabproof.session import shared_folder
+from tabproof.session import local_frame, shared_folder
 from tabproof.sources import files, naming, readers, sinks
 from tabproof.sources.catalog import DRIVER_TABLES, Catalog, Source, load_catalog
 from tabproof.suite import derived as D
@@ -225,7 +225,7 @@ def _(spark, sf_dir):
 @query("f03_predicate_rows")
 def _(spark, sf_dir):
     lineitem = tables(spark, sf_dir, "lineitem").frame("lineitem")
-    rows = evaluate.predicate_rows(lineitem, "l_quantity < 50 OR l_discount > 0.01")
+    rows = evaluate.predicate_rows(lineitem, "l_quantity < 49 OR l_discount > 0.01")
     shown = rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return shown.orderBy(*shown.columns).limit(evaluate.PREVIEW_ROWS)
 
@@ -443,7 +443,7 @@ def _(spark, sf_dir):
     names = ["l_quantity", "l_extendedprice", "l_orderkey", "l_tax"]
     found = exact_quantiles(df, dict(enumerate(names)), list(profile.QUANTILES.values()), accuracy=200, max_inside=100)
     rows = [(n, *[round(float(v), 4) for v in found[i]]) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, "name string, p01 double, p25 double, p50 double, p75 double, p99 double")
+    return local_frame(spark, rows, "name string, p01 double, p25 double, p50 double, p75 double, p99 double")
 
 
 @query("p09_zero_negative")
@@ -704,7 +704,7 @@ def _(spark, sf_dir):
 @query("w01_duplicate_preview")
 def _(spark, sf_dir):
     df = _lineitem(spark, sf_dir).select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return evaluate.duplicate_rows(df, ["l_orderkey", "l_partkey"], limit=evaluate.PREVIEW_ROWS)
+    return evaluate.duplicate_rows(df, ["l_orderkey", "l_suppkey"], limit=evaluate.PREVIEW_ROWS)
 
 
 # -------------------------------------------------------------- top-k, paging
@@ -791,8 +791,10 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     catalog = tables(spark, sf_dir)
     known = findings.known_identifiers(catalog.columns())
-    words = catalog.frame("documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
-    named = spark.createDataFrame([(k,) for k in known], "name string")
+    said = F.concat_ws(" ", "reason", "expression")
+    found = F.regexp_extract_all(said, F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
+    words = runs(spark, sf_dir).select(F.explode(found).alias("name"))
+    named = local_frame(spark, [(k,) for k in known], "name string")
     return words.join(F.broadcast(named), "name").groupBy("name").agg(F.count("*").alias("mentions"))
 
 

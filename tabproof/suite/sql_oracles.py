@@ -145,7 +145,7 @@ ORACLES["f02_predicate_count"] = """
 SELECT count(*) AS violations FROM lineitem WHERE NOT coalesce((nullif(l_linenumber, 3) < 5), true)"""
 ORACLES["f03_predicate_rows"] = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
-WHERE NOT coalesce((l_quantity < 50 OR l_discount > 0.01), true) ORDER BY ALL LIMIT 200"""
+WHERE NOT coalesce((l_quantity < 49 OR l_discount > 0.01), true) ORDER BY ALL LIMIT 200"""
 ORACLES["f04_conditional_counts"] = """
 SELECT l_returnflag, count(*) FILTER (WHERE l_discount = 0) AS undiscounted,
        count(*) FILTER (WHERE l_quantity > 25) AS large FROM lineitem GROUP BY l_returnflag"""
@@ -585,7 +585,8 @@ SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linen
 FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1"""
 ORACLES["w01_duplicate_preview"] = """
 SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
-QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey) > 1 ORDER BY ALL LIMIT 200"""
+QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_suppkey) > 1
+ORDER BY l_orderkey, l_suppkey, l_partkey, l_quantity, l_extendedprice LIMIT 200"""
 
 # -------------------------------------------------------------- top-k, paging
 
@@ -632,7 +633,7 @@ SELECT 'documents' AS origin, doc_id AS id,
 UNION ALL SELECT 'conversations', conv_id * 1000 + turn, 'No function matches the given name ' || role || ' ' || text FROM conversations"""
 ORACLES["r02_sanitized_notes"] = f"SELECT origin, id, {sanitized('reason', TABLES)} AS note FROM ({_REASONS})"
 ORACLES["r03_known_identifiers"] = f"""
-SELECT name, count(*) AS mentions FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents)
+SELECT name, count(*) AS mentions FROM (SELECT unnest(regexp_extract_all(concat_ws(' ', reason, expr), '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM ({D.RUNS_DUCKDB}))
 WHERE name IN {lits(sorted(set(TABLES) | {n for t in TABLES for n, _ in D.SCHEMA[t]}))} GROUP BY name"""
 ORACLES["r04_finding_leaks"] = f"""
 SELECT id, reason AS note FROM ({D.RUNS_DUCKDB})
@@ -682,6 +683,7 @@ def references(tables: list[str]) -> str:
     stats = union(
         f"SELECT {k} AS id, '{t}' AS tbl, '{n}' AS col, '{kind(ty)}' AS family, count(DISTINCT {n}) AS ndv, count(*) AS n, "
         f"count({n}) = count(*) AND count(DISTINCT {n}) >= 0.99::DOUBLE * count({n}) AS is_key, "
+        + (f"count(*) FILTER (WHERE {n} <> floor({n})) = 0 AS whole, " if ty == "double" else "TRUE AS whole, ")
         + (f"min({n})::DOUBLE AS low, max({n})::DOUBLE AS high" if kind(ty) == "numeric" else "NULL::DOUBLE AS low, NULL::DOUBLE AS high")
         + f" FROM {t}"
         for k, t, i, n, ty in cols)
@@ -691,7 +693,7 @@ WITH stats AS MATERIALIZED ({stats}), vals AS MATERIALIZED ({values}),
 pairs AS (SELECT c.id AS child, p.id AS parent, c.tbl, c.col, p.tbl AS ref_tbl, p.col AS ref_col, c.ndv
   FROM stats c JOIN stats p ON c.family = p.family AND c.id <> p.id
   WHERE NOT coalesce(c.high < p.low OR c.low > p.high, false) AND c.ndv > 0
-    AND (c.col = p.col OR (p.is_key AND c.ndv >= 0.5 * p.n AND c.ndv <= p.n / 0.5))),
+    AND (c.col = p.col OR (c.whole AND p.whole AND p.is_key AND c.ndv >= 0.5 * p.n AND c.ndv <= p.n / 0.5))),
 shared AS (SELECT a.id AS child, b.id AS parent, count(*) AS n FROM vals a JOIN vals b ON a.family = b.family AND a.v = b.v
   WHERE EXISTS (SELECT 1 FROM pairs q WHERE q.child = a.id AND q.parent = b.id) GROUP BY ALL)
 SELECT tbl AS "table", col AS "column", ref_tbl AS references_table, ref_col AS references_column, ndv AS child_values,
