@@ -11,6 +11,7 @@ from tabproof.functions import types as K
 from tabproof.functions.text import quote_name, quote_text
 from tabproof.operators.checks import Check
 from tabproof.operators.evaluate import violates, violating_rows
+from tabproof.plans import sketches
 
 MAX_VALUES = 50
 TIME_BUCKET = "month"
@@ -28,7 +29,8 @@ def dimensions(df: DataFrame, *, max_values: int = MAX_VALUES) -> list[str]:
     ]
     few = set()
     if plain:
-        row = df.agg(*[F.approx_count_distinct(quote_name(c)).alias(f"n{i}") for i, c in enumerate(plain)]).first()
+        stats = {f"n{i}": sketches.distinct([quote_name(c)]) for i, c in enumerate(plain)}
+        row = sketches.aggregate(df, stats).first()
         few = {c for i, c in enumerate(plain) if row[f"n{i}"] <= max_values}
     dates = {f.name for f in df.schema.fields if K.column_class(f.dataType) == K.TEMPORAL}
     return [c for c in df.columns if c in few | dates]

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from tabproof.functions import text as X
 from tabproof.functions import types as K
-from tabproof.plans.distinct import exact_distinct, sketch_distinct_sql, values_by_id
+from tabproof.plans import sketches as S
+from tabproof.plans.distinct import exact_distinct, values_by_id
 from tabproof.plans.quantiles import exact_quantiles
 from tabproof.session import local_frame
 
@@ -32,10 +33,6 @@ QUANTILES = {"p01": 0.01, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p99": 0.99}
 _COLUMNAR_BUDGET = 30
 _COLUMNAR_FORMATS = ("parquet", "orc")
 
-# Size (log2 of buckets) of the distinct sketch used above EXACT_DISTINCT_MAX_ROWS; its
-# standard error is 1.04 / sqrt(2 ** size), here 1.6 %.
-_SKETCH_SIZE = 12
-
 _NUMERIC = "struct<min:double,max:double,avg:double,stddev:double,p01:double,p25:double,p50:double,p75:double,p99:double,zero_count:bigint,negative_count:bigint,non_finite_count:bigint>"
 _TEMPORAL = "struct<min_iso:string,max_iso:string,span_days:int,future_count:bigint,epoch_zero_count:bigint>"
 _BOOLEAN = "struct<true_count:bigint,false_count:bigint>"
@@ -86,60 +83,58 @@ def _finite(value: str) -> str:
     return f"if(abs(double({value})) < double('Infinity'), double({value}), null)"
 
 
-def _quantiles(value: str, exact: bool, probabilities: Sequence[float]) -> str:
-    wanted = f"array({', '.join(f'{p}d' for p in probabilities)})"
-    if exact:
-        return f"percentile({value}, {wanted})"
-    return f"approx_percentile({value}, {wanted}, 10000)"
-
-
 def column_aggregates(
-    spec: ColumnSpec, *, exact: bool, as_of: str, sketch_distinct: bool, quantiles: bool = True
-) -> dict[str, str]:
-    """The aggregate expressions of one column, by statistic."""
+    spec: ColumnSpec, *, exact: bool, as_of: str, quantiles: bool = True
+) -> dict[str, tuple[str, str]]:
+    """The aggregates of one column, by statistic: of a part of the table, and merged.
+
+    In exact mode the first of the two is taken over the whole table.
+    """
     c = spec.sql
-    out = {"nonnull": f"count({c})"}
-    if sketch_distinct and spec.kind != K.NESTED:
-        out["ndv"] = sketch_distinct_sql([c], _SKETCH_SIZE)
+    out = {"nonnull": S.plain(f"count({c})")}
+    if not exact and spec.kind != K.NESTED:
+        out["ndv"] = S.distinct([c])
     if spec.kind == K.NUMERIC:
         out |= {
-            "min": f"min({c})",
-            "max": f"max({c})",
-            "avg": f"avg(double({c}))",
-            "stddev": f"stddev_samp(double({c}))",
-            "zero": f"count_if({c} = 0)",
-            "negative": f"count_if({c} < 0)",
+            "min": S.plain(f"min({c})"),
+            "max": S.plain(f"max({c})"),
+            "avg": (f"avg(double({c}))", "") if exact else S.mean(c),
+            "stddev": (f"stddev_samp(double({c}))", "") if exact else S.deviation(c),
+            "zero": S.plain(f"count_if({c} = 0)"),
+            "negative": S.plain(f"count_if({c} < 0)"),
         }
-        if quantiles:
-            out["quantiles"] = _quantiles(f"double({c})", exact, list(QUANTILES.values()))
-        out["nonfinite"] = (
-            f"count_if(isnan({c}) or abs({c}) = double('Infinity'))"
-            if K.is_floating(spec.data_type)
-            else "0L"
-        )
+        if quantiles and exact:
+            wanted = ", ".join(f"{p}d" for p in QUANTILES.values())
+            out["quantiles"] = (f"percentile(double({c}), array({wanted}))", "")
+        elif quantiles:
+            out["quantiles"] = S.quantiles(c, list(QUANTILES.values()))
+        if K.is_floating(spec.data_type):
+            odd = f"isnan({c}) or abs({c}) = double('Infinity')"
+            out["nonfinite"] = S.plain(f"count_if({odd})")
     elif spec.kind == K.TEMPORAL:
         out |= {
-            "min": f"min({c})",
-            "max": f"max({c})",
-            "future": f"count_if({c} > {as_of})",
-            "epoch": f"count_if(to_date({c}) = date'1970-01-01')",
+            "min": S.plain(f"min({c})"),
+            "max": S.plain(f"max({c})"),
+            "future": S.plain(f"count_if({c} > {as_of})"),
+            "epoch": S.plain(f"count_if(to_date({c}) = date'1970-01-01')"),
         }
     elif spec.kind == K.BOOLEAN:
-        out |= {"true": f"count_if({c})", "false": f"count_if(not {c})"}
+        out |= {"true": S.plain(f"count_if({c})"), "false": S.plain(f"count_if(not {c})")}
     elif spec.kind == K.STRING:
         lengths = X.class_lengths(c)
         out |= {
-            "lenmin": f"min(length({c}))",
-            "lenmax": f"max(length({c}))",
-            "lenavg": f"avg(length({c}))",
-            "lenp50": _quantiles(f"length({c})", exact, [0.5]),
-            "empty": f"count_if({c} = '')",
-            "blank": f"count_if({X.is_blank(c)})",
-            "untrimmed": f"count_if({X.is_untrimmed(c)})",
-            **{name: f"sum({length})" for name, length in lengths.items()},
+            "lenmin": S.plain(f"min(length({c}))"),
+            "lenmax": S.plain(f"max(length({c}))"),
+            "empty": S.plain(f"count_if({c} = '')"),
+            "blank": S.plain(f"count_if({X.is_blank(c)})"),
+            "untrimmed": S.plain(f"count_if({X.is_untrimmed(c)})"),
+            **{name: S.plain(f"sum({length})") for name, length in lengths.items()},
         }
-        if sketch_distinct:
-            out["ndv_ci"] = sketch_distinct_sql([f"lower({c})"], _SKETCH_SIZE)
+        if exact:
+            out["lenp50"] = (f"percentile(length({c}), array(0.5d))", "")
+        else:
+            out["lenp50"] = S.quantiles(f"length({c})", [0.5])
+            out["ndv_ci"] = S.distinct([f"lower({c})"])
     return out
 
 
@@ -173,7 +168,7 @@ def _block(kind: str, spec: ColumnSpec, stat) -> str:
         fields |= {
             "zero_count": stat("zero"),
             "negative_count": stat("negative"),
-            "non_finite_count": stat("nonfinite"),
+            "non_finite_count": stat("nonfinite") if K.is_floating(spec.data_type) else "0L",
         }
     elif kind == K.TEMPORAL:
         fields = {
@@ -194,7 +189,7 @@ def _block(kind: str, spec: ColumnSpec, stat) -> str:
             "len_min": stat("lenmin"),
             "len_p50": f"{stat('lenp50')}[0]",
             "len_max": stat("lenmax"),
-            "len_avg": stat("lenavg"),
+            "len_avg": f"try_divide({stat('chars')}, {stat('nonnull')})",
             "empty_count": stat("empty"),
             "whitespace_only_count": stat("blank"),
             "untrimmed_count": stat("untrimmed"),
@@ -209,10 +204,10 @@ def _profile_rows(
     df: DataFrame, chunk: Sequence[ColumnSpec], known: dict | None, **options
 ) -> DataFrame:
     """Aggregate one chunk of columns and turn the wide row into one row per column."""
-    aggregates, rows = ["count(*) as row_count"], []
+    aggregates, rows = {"row_count": S.plain("count(*)")}, []
     for spec in chunk:
         stats = column_aggregates(spec, quantiles=known is None, **options)
-        aggregates += [f"{sql} as {spec.named(name)}" for name, sql in stats.items()]
+        aggregates |= {spec.named(name): sql for name, sql in stats.items()}
 
         def stat(name: str, spec: ColumnSpec = spec) -> str:
             if name == "quantiles" and known is not None:
@@ -233,7 +228,16 @@ def _profile_rows(
         rows.append(
             "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in row.items()) + ")"
         )
-    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
+    return _aggregate(df, aggregates, options["exact"]).selectExpr(
+        f"inline(array({', '.join(rows)}))"
+    )
+
+
+def _aggregate(df: DataFrame, stats: dict[str, tuple[str, str]], exact: bool) -> DataFrame:
+    """One row of aggregates: in one step, or in two where there are sketches."""
+    if exact:
+        return df.selectExpr(*[f"{sql} as {name}" for name, (sql, _) in stats.items()])
+    return S.aggregate(df, stats)
 
 
 def distinct_counts(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
@@ -321,7 +325,7 @@ def profile_table(
     small = row_count is not None and row_count <= EXACT_DISTINCT_MAX_ROWS
     exact = small if exact is None else exact
     moment = "current_timestamp()" if as_of is None else f"timestamp_ntz'{as_of}'"
-    options = dict(exact=exact, as_of=moment, sketch_distinct=not exact)
+    options = dict(exact=exact, as_of=moment)
 
     known = None
     numbers = [s for s in specs if s.kind == K.NUMERIC]
@@ -406,18 +410,19 @@ def column_stats(
     """
     specs = column_specs(df)
     exact = row_count <= EXACT_DISTINCT_MAX_ROWS if exact is None else exact
-    aggregates, rows = ["count(*) as row_count"], []
+    aggregates, rows = {"row_count": S.plain("count(*)")}, []
     for s in specs:
         ranged = s.kind in (K.NUMERIC, K.TEMPORAL)
         sketched = not exact and s.kind != K.NESTED
         measured = s.kind == K.NUMERIC and not K.is_integral(s.data_type)
-        aggregates.append(f"count({s.sql}) as {s.named('n')}")
+        aggregates[s.named("n")] = S.plain(f"count({s.sql})")
         if measured:
-            aggregates.append(f"count_if({s.sql} <> floor({s.sql})) as {s.named('parts')}")
+            aggregates[s.named("parts")] = S.plain(f"count_if({s.sql} <> floor({s.sql}))")
         if ranged:
-            aggregates += [f"min({s.sql}) as {s.named('min')}", f"max({s.sql}) as {s.named('max')}"]
+            aggregates[s.named("min")] = S.plain(f"min({s.sql})")
+            aggregates[s.named("max")] = S.plain(f"max({s.sql})")
         if sketched:
-            aggregates.append(f"{sketch_distinct_sql([s.sql], _SKETCH_SIZE)} as {s.named('ndv')}")
+            aggregates[s.named("ndv")] = S.distinct([s.sql])
 
         def end(which: str, spec: ColumnSpec = s, ranged: bool = ranged) -> str:
             if not ranged:
@@ -433,7 +438,7 @@ def column_stats(
             f"'low', {end('min')}, 'high', {end('max')}, "
             f"'whole', {s.named('parts') + ' = 0' if measured else 'true'})"
         )
-    stats = df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
+    stats = _aggregate(df, aggregates, exact).selectExpr(f"inline(array({', '.join(rows)}))")
     if exact:
         columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
         counted = exact_distinct(df, columns).select(F.col("id").alias("ordinal"), "ndv")

@@ -31,7 +31,8 @@ from tabproof.operators.profile import (
     percent,
     profile_table,
 )
-from tabproof.plans.distinct import sketch_distinct_sql, values_by_id
+from tabproof.plans import sketches
+from tabproof.plans.distinct import values_by_id
 from tabproof.session import local_frame
 
 # Placeholders that hide in otherwise valid columns.
@@ -44,6 +45,9 @@ _SKETCH_SIZE = 14
 _SKETCH_SLACK = 1 + 6 * 1.04 / 2 ** (_SKETCH_SIZE / 2)
 _SKETCHES_PER_PASS = 60
 
+# Columns per 64-bit word of a set of columns; the sign bit stays unused.
+_BITS = 63
+
 
 # --------------------------------------------------- references between columns
 
@@ -135,15 +139,17 @@ def _shared_value(column: str, data_type: T.DataType, domain: str, all_integral:
 def _value_sets(catalog, columns: Mapping[int, _Candidate], all_integral: bool) -> DataFrame:
     """``(child, ids, n)``: how many values each set of columns shares, per member column.
 
-    A value is one row per task before the shuffle, whatever its frequency; ``ids`` is
-    never longer than the number of columns.
+    The set of columns that hold a value is a few 64-bit words, so values are grouped
+    by hash with map-side combining: a value is one row per task before the shuffle,
+    whatever its frequency.
     """
+    place = {c: i for i, c in enumerate(columns)}
     parts = []
     for table in dict.fromkeys(c.table for c in columns.values()):
         df = catalog.frame(table)
         values = [
             (
-                c.id,
+                place[c.id],
                 _shared_value(
                     X.quote_name(c.name), df.schema[c.name].dataType, c.domain, all_integral
                 ),
@@ -151,15 +157,25 @@ def _value_sets(catalog, columns: Mapping[int, _Candidate], all_integral: bool)
             for c in columns.values()
             if c.table == table
         ]
-        parts.append(values_by_id(df, values, "id", "value"))
+        parts.append(values_by_id(df, values, "place", "value"))
+    words = [f"w{i}" for i in range(len(columns) // _BITS + 1)]
     held = (
         reduce(DataFrame.unionByName, parts)
         .filter("value is not null")
         .groupBy("value")
-        .agg(F.sort_array(F.collect_set("id")).alias("ids"))
+        .agg(
+            *[
+                F.expr(f"bit_or(if(place div {_BITS} = {i}, shiftleft(1L, int(place % {_BITS})), 0L))").alias(w)
+                for i, w in enumerate(words)
+            ]
+        )
+    )
+    sets = held.groupBy(*words).agg(F.count("*").alias("n"))
+    members = ", ".join(
+        f"if(getbit(w{i // _BITS}, {i % _BITS}) = 1, {c}, null)" for c, i in place.items()
     )
-    sets = held.groupBy("ids").agg(F.count("*").alias("n"))
-    return sets.select(F.explode("ids").alias("child"), "ids", "n")
+    ids = F.expr(f"filter(array({members}), c -> c is not null)")
+    return sets.select(ids.alias("ids"), "n").select(F.explode("ids").alias("child"), "ids", "n")
 
 
 def _listed(catalog, pairs) -> DataFrame:
@@ -253,11 +269,11 @@ def composite_keys(
                 todo.append(combo)
         for at in range(0, len(todo), _SKETCHES_PER_PASS):
             batch = todo[at : at + _SKETCHES_PER_PASS]
-            sketches = [
-                f"{sketch_distinct_sql([X.quote_name(x) for x in c], _SKETCH_SIZE)} as n{i}"
+            stats = {
+                f"n{i}": sketches.distinct([X.quote_name(x) for x in c], _SKETCH_SIZE)
                 for i, c in enumerate(batch)
-            ]
-            row = df.selectExpr(*sketches).first()
+            }
+            row = sketches.aggregate(df, stats).first()
             estimates |= {c: row[f"n{i}"] * _SKETCH_SLACK for i, c in enumerate(batch)}
         likely = [c for c in todo if estimates[c] >= rows]
         if likely:

@@ -19,19 +19,6 @@ def values_by_id(
     return df.selectExpr(f"inline(array({pairs}))")
 
 
-def sketch_distinct_sql(columns: Sequence[str], size: int) -> str:
-    """Estimated distinct count of one expression, or of a combination, as SQL text.
-
-    Values are hashed first, so any type can be sketched. The sketch is one binary
-    buffer of at most ``2 ** size`` bytes, however many there are in an aggregate. A
-    combination with NULLs in it counts; a single NULL does not.
-    """
-    value = f"xxhash64({', '.join(columns)})"
-    if len(columns) == 1:
-        value = f"if({columns[0]} is null, null, {value})"
-    return f"coalesce(hll_sketch_estimate(hll_sketch_agg({value}, {size})), 0L)"
-
-
 def exact_distinct(df: DataFrame, columns: Sequence[tuple[int, str]]) -> DataFrame:
     """Rows ``(id, ndv)``: exact distinct non-null values of each listed text expression.
 

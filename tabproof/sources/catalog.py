@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 
 from tabproof.functions.dialect import register_dialect
 
+from tabproof.functions.files import file_problem
 from tabproof.functions.types import column_class, type_family
-from tabproof.sources.files import audit_files, detect_formats, file_ends, list_files
+from tabproof.sources.files import detect_formats, file_ends, list_files
 from tabproof.sources.naming import assign_table_names, clashing_names
 from tabproof.sources.readers import read_source
 from tabproof.session import local_frame
@@ -173,20 +174,31 @@ def load_catalog(
     ``replaces`` go away only once the new one is complete.
     """
     names = _with_names(spark, sources)
+    checked = [
+        detect_formats(file_ends(spark, s.path)).withColumn("source", F.lit(i)).withColumn(
+            "format", F.coalesce(F.lit(s.format).cast("string"), "format")
+        )
+        for i, s in enumerate(sources)
+    ]
+    problem = file_problem(
+        F.col("length"), F.col("head"), F.col("tail"), F.col("format"), F.lit(None).cast("bigint")
+    )
+    # All files of all sources in one job; one row per source comes back.
+    found = (
+        reduce(DataFrame.unionByName, checked)
+        .groupBy("source")
+        .agg(F.min("format").alias("format"), F.min(problem).alias("problem"))
+        .collect()
+    )
+    state = {r["source"]: r for r in found}
     formats = []
-    for source in sources:
+    for i, source in enumerate(sources):
         label = source.label or source.path
-        files = detect_formats(file_ends(spark, source.path))
-        found = files.agg(F.min("format").alias("format"), F.count("*").alias("n")).first()
-        fmt = source.format or found["format"]
-        if fmt is None:
+        if i not in state or state[i]["problem"]:
+            raise SourceError(f"{label}: {PROBLEMS[state[i]['problem'] if i in state else 'missing']}")
+        if state[i]["format"] is None:
             raise SourceError(f"{label}: not Parquet, CSV or JSON as far as we can tell.")
-        manifest = files.select("path", F.lit(fmt).alias("format"), F.lit(None).cast("bigint").alias("expected_bytes"))
-        ends = files.select("path", "length", "head", "tail")
-        bad = audit_files(ends, manifest).filter("problem is not null").first()
-        if bad is not None:
-            raise SourceError(f"{label}: {PROBLEMS[bad['problem']]}")
-        formats.append(fmt)
+        formats.append(state[i]["format"])
     tables = [
         Table(name, s.label or s.path.rstrip("/").split("/")[-1], fmt, read_source(spark, s.path, fmt, s.schema), s.path)
         for name, fmt, s in zip(names, formats, sources)
