@@ -197,8 +197,12 @@ def _error_reason(error: PySparkException) -> str:
 def implicit_text_casts(spark: SparkSession, df: DataFrame) -> list[str]:
     """Types to which Spark, unasked, casts text values in a frame's last step.
 
-    ``'0001' > 0`` would silently compare numbers; such a predicate is refused.
+    ``'0001' > 0`` would silently compare numbers; such a predicate is refused. Only
+    the analysed plan tells asked-for casts from others, and only a classic session
+    shows it; a remote session reports none.
     """
+    if not hasattr(df, "_jdf"):
+        return []
     jvm = spark._jvm.org.apache.spark.sql.catalyst.expressions
     asked_for = jvm.Cast.USER_SPECIFIED_CAST()
     found = []

@@ -201,7 +201,11 @@ def _block(kind: str, spec: ColumnSpec, stat) -> str:
 
 
 def _profile_rows(
-    df: DataFrame, chunk: Sequence[ColumnSpec], known: dict | None, **options
+    df: DataFrame,
+    chunk: Sequence[ColumnSpec],
+    known: dict | None,
+    row_count: int | None,
+    **options,
 ) -> DataFrame:
     """Aggregate one chunk of columns and turn the wide row into one row per column."""
     aggregates, rows = {"row_count": S.plain("count(*)")}, []
@@ -228,16 +232,18 @@ def _profile_rows(
         rows.append(
             "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in row.items()) + ")"
         )
-    return _aggregate(df, aggregates, options["exact"]).selectExpr(
+    return _aggregate(df, aggregates, options["exact"], row_count).selectExpr(
         f"inline(array({', '.join(rows)}))"
     )
 
 
-def _aggregate(df: DataFrame, stats: dict[str, tuple[str, str]], exact: bool) -> DataFrame:
-    """One row of aggregates: in one step, or in two where there are sketches."""
+def _aggregate(
+    df: DataFrame, stats: dict[str, tuple[str, str]], exact: bool, row_count: int | None
+) -> DataFrame:
+    """One row of aggregates; those with sketches are merged in parts."""
     if exact:
         return df.selectExpr(*[f"{sql} as {name}" for name, (sql, _) in stats.items()])
-    return S.aggregate(df, stats)
+    return S.aggregate(df, stats, row_count)
 
 
 def distinct_counts(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
@@ -339,7 +345,7 @@ def profile_table(
     fmt = fmt or "parquet"
     budget = _COLUMNAR_BUDGET if fmt in _COLUMNAR_FORMATS else EXPRESSION_BUDGET
     chunks = chunk_columns(specs, costs, budget)
-    parts = [_profile_rows(df, chunk, known, **options) for chunk in chunks]
+    parts = [_profile_rows(df, chunk, known, row_count, **options) for chunk in chunks]
     profile = reduce(DataFrame.unionByName, parts)
     if exact:
         counted = distinct_counts(df, specs)
@@ -438,7 +444,7 @@ def column_stats(
             f"'low', {end('min')}, 'high', {end('max')}, "
             f"'whole', {s.named('parts') + ' = 0' if measured else 'true'})"
         )
-    stats = _aggregate(df, aggregates, exact).selectExpr(f"inline(array({', '.join(rows)}))")
+    stats = _aggregate(df, aggregates, exact, row_count).selectExpr(f"inline(array({', '.join(rows)}))")
     if exact:
         columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
         counted = exact_distinct(df, columns).select(F.col("id").alias("ordinal"), "ndv")

@@ -33,6 +33,7 @@ from tabproof.operators.profile import (
 )
 from tabproof.plans import sketches
 from tabproof.plans.distinct import values_by_id
+from tabproof.plans.keyed_rows import rows_with_keys
 from tabproof.session import local_frame
 
 # Placeholders that hide in otherwise valid columns.
@@ -571,6 +572,7 @@ def propose_checks(catalog, *, min_inclusion: float = 0.9) -> DataFrame:
 
 def not_yet_run(proposed: DataFrame, runs: DataFrame) -> DataFrame:
     """Proposed checks that no earlier round has asked, whatever their wording."""
-    asked = runs.select(check_key().alias("_key")).distinct()
     keyed = proposed.withColumn("_key", check_key())
-    return keyed.join(asked, "_key", "left_anti").drop("_key")
+    asked = runs.select(check_key().alias("_key")).distinct()
+    fresh = keyed.groupBy("_key").agg(F.count("*").alias("n")).join(asked, "_key", "left_anti")
+    return rows_with_keys(keyed, fresh, ["_key"], proposed.count()).drop("_key")

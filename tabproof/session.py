@@ -32,9 +32,12 @@ def build_session(app_name: str = "tabproof", **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster shares between its executors.
 
-    A temporary folder of this machine serves only where none is set, as in tests.
+    A temporary folder of this machine serves only a local session where none is set,
+    as in tests.
     """
     root = spark.sparkContext.getConf().get(_CHECKPOINT_DIR) or spark.conf.get(_CHECKPOINT_DIR, "")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"Set {_CHECKPOINT_DIR} to a folder all executors share.")
     if not root:
         root = tempfile.mkdtemp(prefix="tabproof-")
         spark.conf.set(_CHECKPOINT_DIR, root)

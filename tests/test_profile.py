@@ -200,3 +200,32 @@ def test_summary_and_rollup(catalog, people):
     assert lines["created_at"] == "1970-01-01 … 2099-12-31 · 1 future · 1 at epoch"
     roll = P.profile_rollup(described).first()
     assert (roll["row_count"], roll["column_count"], roll["sparse"]) == (9, 8, False)
+
+
+def test_two_step_sketches_agree_with_one_step(spark, monkeypatch):
+    from tabproof.plans import sketches
+
+    df = spark.range(0, 9000, 1, 7).selectExpr(
+        "id", "if(id % 10 = 0, null, 1e9 + id * 0.5) as d", "concat('v', id % 900) as s",
+        "cast(null as double) as gone", "timestamp_ntz'2024-01-01' + make_dt_interval(0, int(id)) as t",
+    )
+    one = {r["name"]: r for r in P.profile_table(df, "t", exact=False, row_count=9000).collect()}
+    monkeypatch.setattr(sketches, "_DIRECT_ROWS", 0)
+    two = {r["name"]: r for r in P.profile_table(df, "t", exact=False, row_count=9000).collect()}
+    exact = {r["name"]: r for r in P.profile_table(df, "t", exact=True).collect()}
+    for name in exact:
+        for found in (one[name], two[name]):
+            assert found["null_count"] == exact[name]["null_count"]
+            assert found["distinct_count"] == pytest.approx(exact[name]["distinct_count"], rel=0.06)
+            assert found["temporal"] == exact[name]["temporal"]
+            if exact[name]["numeric"]:
+                want = exact[name]["numeric"]
+                for stat in ("min", "max", "avg", "stddev", "p01", "p25", "p50", "p75", "p99"):
+                    if want[stat] is None:
+                        assert found["numeric"][stat] is None
+                    elif stat.startswith("p"):
+                        spread = want["max"] - want["min"]
+                        assert abs(found["numeric"][stat] - want[stat]) <= 0.01 * spread
+                    else:
+                        assert found["numeric"][stat] == pytest.approx(want[stat], rel=1e-9)
+    assert P.profile_table(df.limit(0), "t", exact=False).select(F.sum("row_count")).first()[0] == 0
