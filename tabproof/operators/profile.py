@@ -29,9 +29,12 @@ KEY_SHARE = 0.99
 SPARSE_NULL_PCT = 50
 QUANTILES = {"p01": 0.01, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p99": 0.99}
 
-# Columnar files are read by column, so small chunks cost nothing and run side by side.
-_COLUMNAR_BUDGET = 30
+# Columnar files are read by column, so columns can be scanned side by side in smaller
+# chunks. That pays for tables of middling size: short ones are done at once, and long
+# ones keep the cluster busy with one scan and would only get more tasks to schedule.
 _COLUMNAR_FORMATS = ("parquet", "orc")
+_SIDE_BY_SIDE_BUDGET = 30
+_SIDE_BY_SIDE_ROWS = (200_000, 10_000_000)
 
 _NUMERIC = "struct<min:double,max:double,avg:double,stddev:double,p01:double,p25:double,p50:double,p75:double,p99:double,zero_count:bigint,negative_count:bigint,non_finite_count:bigint>"
 _TEMPORAL = "struct<min_iso:string,max_iso:string,span_days:int,future_count:bigint,epoch_zero_count:bigint>"
@@ -153,6 +156,13 @@ def chunk_columns(
     return chunks
 
 
+def _budget(fmt: str, row_count: int | None) -> int:
+    low, high = _SIDE_BY_SIDE_ROWS
+    if fmt in _COLUMNAR_FORMATS and row_count is not None and low <= row_count <= high:
+        return _SIDE_BY_SIDE_BUDGET
+    return EXPRESSION_BUDGET
+
+
 def _struct(fields: dict[str, str], as_type: str) -> str:
     inner = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
     return f"cast(named_struct({inner}) as {as_type})"
@@ -343,8 +353,7 @@ def profile_table(
 
     costs = [len(column_aggregates(s, **options)) for s in specs]
     fmt = fmt or "parquet"
-    budget = _COLUMNAR_BUDGET if fmt in _COLUMNAR_FORMATS else EXPRESSION_BUDGET
-    chunks = chunk_columns(specs, costs, budget)
+    chunks = chunk_columns(specs, costs, _budget(fmt, row_count))
     parts = [_profile_rows(df, chunk, known, row_count, **options) for chunk in chunks]
     profile = reduce(DataFrame.unionByName, parts)
     if exact:

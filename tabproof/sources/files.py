@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +18,26 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "length")
 
 
-def _read_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def _end_reader(head_bytes: int, tail_bytes: int):
+    """The function tasks run. Defined in here, it travels to executors by value, so
+    they need not have this package installed."""
 
-    for batch in batches:
-        heads, tails = [], []
-        for path, length in zip(batch["path"], batch["length"]):
-            if path.startswith("file:/") and not path.startswith("file://"):
-                path = "file://" + path[len("file:") :]
-            system, name = fs.FileSystem.from_uri(path)
-            with system.open_input_file(name) as file:
-                heads.append(file.read_at(min(_HEAD_BYTES, length), 0))
-                size = min(_TAIL_BYTES, length)
-                tails.append(file.read_at(size, length - size))
-        yield batch.assign(head=heads, tail=tails)
+    def read_ends(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            heads, tails = [], []
+            for path, length in zip(batch["path"], batch["length"]):
+                if path.startswith("file:/") and not path.startswith("file://"):
+                    path = "file://" + path[len("file:") :]
+                system, name = fs.FileSystem.from_uri(path)
+                with system.open_input_file(name) as file:
+                    heads.append(file.read_at(min(head_bytes, length), 0))
+                    size = min(tail_bytes, length)
+                    tails.append(file.read_at(size, length - size))
+            yield batch.assign(head=heads, tail=tails)
+
+    return read_ends
 
 
 def file_ends(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -41,9 +46,9 @@ def file_ends(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     Tasks open each file at the two places, so the audit of a file costs the same
     whatever its size.
     """
-    listed = list_files(spark, paths)
-    return listed.mapInPandas(
-        _read_ends, "path string, length bigint, head binary, tail binary"
+    reader = _end_reader(_HEAD_BYTES, _TAIL_BYTES)
+    return list_files(spark, paths).mapInPandas(
+        reader, "path string, length bigint, head binary, tail binary"
     )
 
 
