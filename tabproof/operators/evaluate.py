@@ -287,26 +287,45 @@ def _count_predicates(catalog, batch: Sequence[Check], out: dict[str, _Outcome])
 
 def _count_keys(catalog, batch: Sequence[Check], out: dict[str, _Outcome]) -> None:
     """Count all uniqueness and reference checks in one job; equal checks run once."""
-    if not batch:
-        return
     asked: dict[tuple, list[Check]] = {}
     for c in batch:
         columns = tuple(sorted(c.columns)) if c.kind == "unique" else c.columns
-        asked.setdefault((c.kind, c.table, columns, c.references_table, c.references_columns), []).append(c)
-    parts = []
-    for number, (kind, table, columns, parent, parent_columns) in enumerate(asked):
+        key = (c.kind, c.table, columns, c.references_table, c.references_columns)
+        asked.setdefault(key, []).append(c)
+    built = []
+    for (kind, table, columns, parent, parent_columns), same in asked.items():
         df = catalog.frame(table)
-        if kind == "unique":
-            counted = unique_violations(df, columns)
-        else:
-            counted = reference_violations(df, columns, catalog.frame(parent), parent_columns)
-        parts.append(counted.select(F.lit(number).alias("number"), "violations"))
+        try:
+            if kind == "unique":
+                counted = unique_violations(df, columns)
+            else:
+                counted = reference_violations(df, columns, catalog.frame(parent), parent_columns)
+            built.append((counted, same))
+        except PySparkException as error:  # a type Spark cannot group or cast
+            for check in same:
+                out[check.id] = _Outcome(reason=_error_reason(error))
+    _run_key_counts(built, out)
+
+
+def _run_key_counts(built: Sequence[tuple[DataFrame, list[Check]]], out: dict[str, _Outcome]) -> None:
+    if not built:
+        return
+    parts = [counted.select(F.lit(i).alias("i"), "violations") for i, (counted, _) in enumerate(built)]
     started = time.monotonic()
-    rows = reduce(DataFrame.unionByName, parts).collect()
-    ms = round((time.monotonic() - started) * 1000 / len(batch))
-    groups = list(asked.values())
+    try:
+        rows = reduce(DataFrame.unionByName, parts).collect()
+    except PySparkException as error:
+        if len(built) == 1:
+            for check in built[0][1]:
+                out[check.id] = _Outcome(reason=_error_reason(error))
+            return
+        half = len(built) // 2
+        _run_key_counts(built[:half], out)
+        _run_key_counts(built[half:], out)
+        return
+    ms = round((time.monotonic() - started) * 1000 / sum(len(same) for _, same in built))
     for row in rows:
-        for check in groups[row["number"]]:
+        for check in built[row["i"]][1]:
             out[check.id] = _Outcome(violations=row["violations"], ms=ms)
 
 

@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 
 from tabproof.functions import text as X
 from tabproof.functions import types as K
+from tabproof.functions.guard import spark_expression
 from tabproof.operators.checks import CHECK_SCHEMA, check_key
 from tabproof.operators.evaluate import unique_violations
 from tabproof.operators.narrow import dimensions
 from tabproof.operators.profile import (
+    EXPRESSION_BUDGET,
     KEY_SHARE,
     ColumnSpec,
     column_specs,
@@ -326,18 +328,23 @@ def _sentinels(spec: ColumnSpec) -> dict[str, str]:
     return {}
 
 
-def _one_pass(df: DataFrame, measures: Sequence[tuple[dict[str, str], dict[str, str]]]) -> DataFrame:
+def _measure(df: DataFrame, measures: Sequence[tuple[dict[str, str], dict[str, str]]]) -> DataFrame:
     """Evaluate aggregates in one scan and return one row per measure.
 
-    Each measure is a pair of literal fields and aggregate expressions.
+    Each measure is a pair of literal fields and aggregate expressions. Very many are
+    split over several scans, each reading its own columns.
     """
-    aggregates, rows = [], []
-    for i, (labels, stats) in enumerate(measures):
-        aggregates += [f"{sql} as m{i}_{name}" for name, sql in stats.items()]
-        fields = [f"'{k}', {X.quote_text(v)}" for k, v in labels.items()]
-        fields += [f"'{name}', m{i}_{name}" for name in stats]
-        rows.append(f"named_struct({', '.join(fields)})")
-    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
+    size = max(1, EXPRESSION_BUDGET // len(measures[0][1]))
+    parts = []
+    for at in range(0, len(measures), size):
+        aggregates, rows = [], []
+        for i, (labels, stats) in enumerate(measures[at : at + size]):
+            aggregates += [f"{sql} as m{i}_{name}" for name, sql in stats.items()]
+            fields = [f"'{k}', {X.quote_text(v)}" for k, v in labels.items()]
+            fields += [f"'{name}', m{i}_{name}" for name in stats]
+            rows.append(f"named_struct({', '.join(fields)})")
+        parts.append(df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sentinel_counts(df: DataFrame) -> DataFrame:
@@ -347,7 +354,13 @@ def sentinel_counts(df: DataFrame) -> DataFrame:
         for s in column_specs(df)
         for text, test in _sentinels(s).items()
     ]
-    return _one_pass(df, measures).withColumn("pct", F.expr(percent("hits", "filled")))
+    if not measures:
+        return local_frame(
+            df.sparkSession,
+            [],
+            "name string, sentinel string, filled bigint, hits bigint, pct double",
+        )
+    return _measure(df, measures).withColumn("pct", F.expr(percent("hits", "filled")))
 
 
 def order_invariants(
@@ -391,7 +404,7 @@ def order_invariants(
             [], "low_column string, high_column string, compared bigint, violations bigint, share double"
         )
     share = F.when(F.col("compared") > 0, F.col("violations") / F.col("compared"))
-    return _one_pass(df, measures).withColumn("share", share).filter(F.col("share") <= max_share)
+    return _measure(df, measures).withColumn("share", share).filter(F.col("share") <= max_share)
 
 
 def conditional_rules(
@@ -408,7 +421,16 @@ def conditional_rules(
     """
     dims = dimensions(df) if dims is None else list(dims)
     texts = [d for d in dims if K.column_class(df.schema[d].dataType) != K.TEMPORAL]
-    bad = [f"if(not coalesce(({p}), true), 1L, 0L) as _p{i}" for i, p in enumerate(predicates)]
+    if not texts or not predicates:
+        return local_frame(
+            df.sparkSession,
+            [],
+            "dim string, value string, predicate string, rows bigint, overall_violations bigint",
+        )
+    bad = [
+        f"if(not coalesce(({spark_expression(p)}), true), 1L, 0L) as _p{i}"
+        for i, p in enumerate(predicates)
+    ]
     flags = ", ".join(f"'_p{i}', _p{i}" for i in range(len(predicates)))
     pairs = ", ".join(
         f"named_struct('dim', {X.quote_text(d)}, 'value', string({X.quote_name(d)}), {flags})"
@@ -456,7 +478,7 @@ def numeric_texts(df: DataFrame) -> DataFrame:
     if not measures:
         return local_frame(df.sparkSession, [], "name string, filled bigint, numeric bigint, share double")
     share = F.when(F.col("filled") > 0, F.col("numeric") / F.col("filled"))
-    return _one_pass(df, measures).withColumn("share", share)
+    return _measure(df, measures).withColumn("share", share)
 
 
 def near_bounds(df: DataFrame, table: str, profile: DataFrame | None = None) -> DataFrame:
@@ -482,12 +504,27 @@ def near_bounds(df: DataFrame, table: str, profile: DataFrame | None = None) ->
             df.sparkSession,
             [], "name string, at_min bigint, at_max bigint, to_p01 bigint, from_p99 bigint"
         )
-    return _one_pass(df, measures)
+    return _measure(df, measures)
 
 
 # --------------------------------------------------------------- into checks
 
 
+def _quoted(name: str) -> str:
+    """SQL that puts the column named by a text expression in double quotes."""
+    return f"""concat('"', replace({name}, '"', '""'), '"')"""
+
+
+def _sign_predicates(stats: Sequence[Row]) -> list[str]:
+    """For columns that reach zero or below: that they do not."""
+    out = []
+    for r in stats:
+        if r["class"] == K.NUMERIC and r["low"] is not None and float(r["low"]) <= 0:
+            name = '"' + r["name"].replace('"', '""') + '"'
+            out.append(f"{name} > 0" if float(r["low"]) == 0 else f"{name} >= 0")
+    return out
+
+
 def _wire(rows: DataFrame, **fields: str) -> DataFrame:
     """Measurements as checks: each flat field from a SQL expression, others empty."""
     empty = {
@@ -498,7 +535,9 @@ def _wire(rows: DataFrame, **fields: str) -> DataFrame:
     return rows.selectExpr(*[f"{sql} as {name}" for name, sql in {**empty, **fields}.items()])
 
 
-def propose_checks(catalog, *, min_inclusion: float = 0.9) -> DataFrame:
+def propose_checks(
+    catalog, *, min_inclusion: float = 0.9, min_rule_share: float = 0.05
+) -> DataFrame:
     """Checks worth running on a catalog, in their flat form, most valuable first.
 
     References come in both directions: that every child has a parent and that every
@@ -547,7 +586,7 @@ def propose_checks(catalog, *, min_inclusion: float = 0.9) -> DataFrame:
                 title="concat(low_column, ' <= ', high_column)",
                 rationale="format_string('Broken by %d of %d rows.', violations, compared)",
                 table=quoted,
-                expression="concat('\"', low_column, '\" <= \"', high_column, '\"')",
+                expression=f"concat({_quoted('low_column')}, ' <= ', {_quoted('high_column')})",
             )
         )
         sentinels = sentinel_counts(entry.df).filter("hits > 0 and pct < 5 and sentinel in ('-1', '9999')")
@@ -557,9 +596,27 @@ def propose_checks(catalog, *, min_inclusion: float = 0.9) -> DataFrame:
                 title="concat(name, ' is never ', sentinel)",
                 rationale="format_string('%d of %d values look like a placeholder.', hits, filled)",
                 table=quoted,
-                expression="concat('\"', name, '\" <> ', sentinel)",
+                expression=f"concat({_quoted('name')}, ' <> ', sentinel)",
             )
         )
+        signs = _sign_predicates(stats[entry.table])
+        dims = dimensions(entry.df) if signs else []
+        if signs and dims:
+            rows = stats[entry.table][0]["row_count"]
+            rules = conditional_rules(
+                entry.df, signs, dims, min_rows=max(1, int(rows * min_rule_share))
+            ).filter("value is not null")
+            parts.append(
+                _wire(
+                    rules,
+                    title="concat('when ', dim, ' is ', value, ' then ', predicate)",
+                    rationale="format_string('Holds for all %d such rows, broken by %d others.', rows, overall_violations)",
+                    severity="'low'",
+                    table=quoted,
+                    expression=f"concat('string(', {_quoted('dim')}, ') <> ', chr(39), "
+                    "replace(value, chr(39), concat(chr(39), chr(39))), chr(39), ' OR ', predicate)",
+                )
+            )
     proposed = reduce(DataFrame.unionByName, parts).collect()
     rank = {"high": 0, "medium": 1, "low": 2}
     proposed.sort(key=lambda r: (rank[r["severity"]], r["kind"], r["table"], r["title"]))

@@ -108,7 +108,7 @@ def _(spark, sf_dir):
     catalog = tables(spark, sf_dir)
     filled = None
     for t in catalog.tables:
-        part = propose._one_pass(t.df, [({"t": t.table, "n": c}, {"filled": f"count({X.quote_name(c)})"}) for c in t.df.columns])
+        part = propose._measure(t.df, [({"t": t.table, "n": c}, {"filled": f"count({X.quote_name(c)})"}) for c in t.df.columns])
         filled = part if filled is None else filled.unionByName(part)
     described = catalog.columns()
     return described.join(filled, (described["table"] == filled["t"]) & (described["name"] == filled["n"])).select(

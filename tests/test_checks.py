@@ -168,6 +168,20 @@ def test_a_bad_check_never_hurts_the_batch(spark):
     catalog.close()
 
 
+def test_keys_spark_cannot_group_are_skipped(spark):
+    df = spark.range(3).selectExpr("id", "parse_json('1') as v", "'x' as s", "double(id) as d", "cast(id as decimal(38,0)) as big")
+    catalog = Catalog.from_frames(spark, {"t": df})
+    found = run(
+        catalog,
+        dict(kind="unique", table="t", columns=["v"]),
+        dict(kind="unique", table="t", columns=["s"]),
+        ref("t", ["big"], "t", ["d"]),
+        ref("t", ["id"], "t", ["big"]),
+    )
+    assert [(r["status"], r["violations"]) for r in found] == [("skipped", None), ("falsified", 3), ("holds", 0), ("holds", 0)]
+    catalog.close()
+
+
 def test_one_job_counts_many_predicates(spark):
     catalog = Catalog.from_frames(spark, {"t": spark.range(100)})
     asked = [checks.Check(f"c{i}", "row_predicate", "t", expression=f"id < {i}") for i in range(30)]

@@ -3,7 +3,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tabproof.operators import checks, narrow, propose
+from tabproof.operators import checks, evaluate, narrow, propose
 from tabproof.sources.catalog import Catalog
 
 
@@ -103,9 +103,33 @@ def test_proposals_run_and_are_not_repeated(shop):
     kinds = {r["kind"] for r in rows}
     assert kinds == {"references", "unique", "row_predicate"}
     texts = {r["title"] for r in rows}
+    rule = next(r for r in rows if r["title"] == "when place is 1 then \"rating\" >= 0")
+    assert rule["expression"] == "string(\"place\") <> '1' OR \"rating\" >= 0"
     assert "every orders.buyer exists in customers" in texts and "every customers.customer_id is used in orders" in texts
     asked = checks.normalize_checks(proposed)
     assert asked.count() == len(rows)
     flipped = asked.filter("kind = 'unique'").withColumn("columns", F.reverse("columns"))
+    results = evaluate.evaluate_checks(shop, asked).collect()
+    assert {r["status"] for r in results} <= {"holds", "falsified"}
     left = propose.not_yet_run(asked, flipped)
     assert left.filter("kind = 'unique'").count() == 0 and left.count() == len(rows) - flipped.count()
+
+
+def test_many_measures_and_none(spark, monkeypatch, shop):
+    df = shop.frame("orders")
+    whole = sorted(map(tuple, propose.order_invariants(df).collect()))
+    monkeypatch.setattr(propose, "EXPRESSION_BUDGET", 5)
+    assert sorted(map(tuple, propose.order_invariants(df).collect())) == whole
+    flags = spark.createDataFrame([(True,), (False,)], "b boolean")
+    for found in (
+        propose.sentinel_counts(flags),
+        propose.order_invariants(flags),
+        propose.numeric_texts(flags),
+        propose.near_bounds(flags, "flags"),
+        propose.conditional_rules(flags, [], ["b"]),
+        propose.composite_keys(flags, "flags"),
+    ):
+        assert found.count() == 0
+    bare = Catalog.from_frames(spark, {"flags": flags, "empty": df.limit(0)})
+    assert propose.propose_checks(bare).count() == 0
+    bare.close()
