@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabproof.functions.guard import columns_reason, expression_reason
 from tabproof.functions.naming import is_safe_table_name
+from tabproof.functions.text import quote_text
+from tabproof.functions.types import type_family
 
 
-def schema_by_table(columns: DataFrame) -> DataFrame:
-    """One row per table: its column names, and maps from name to type and family."""
-    return columns.groupBy("table").agg(
-        F.collect_list("name").alias("known"),
-        F.map_from_entries(F.collect_list(F.struct("name", "type"))).alias("types"),
-        F.map_from_entries(F.collect_list(F.struct("name", "family"))).alias("families"),
-    )
+def schema_map(schemas: Mapping[str, T.StructType]) -> Column:
+    """A map from each table to its column names, and from those to types and families.
+
+    Schemas are known to the driver, so they travel with the plan and nothing is joined.
+    """
+    tables = []
+    for table, schema in schemas.items():
+        names = [quote_text(f.name) for f in schema.fields]
+        types = [quote_text(f.dataType.simpleString()) for f in schema.fields]
+        families = [quote_text(type_family(f.dataType)) for f in schema.fields]
+        pairs = [
+            ", ".join(f"{n}, {v}" for n, v in zip(names, values)) for values in (types, families)
+        ]
+        tables.append(
+            f"{quote_text(table)}, named_struct('known', array({', '.join(names)}), "
+            f"'types', map({pairs[0]}), 'families', map({pairs[1]}))"
+        )
+    return F.expr(f"map({', '.join(tables)})")
 
 
 def table_reason(name: Column, known: Column) -> Column:
@@ -47,46 +63,35 @@ def comparable_reason(
     return F.try_element_at(F.filter(pairs, lambda r: r.isNotNull()), F.lit(1))
 
 
-def admit_checks(checks: DataFrame, columns: DataFrame) -> DataFrame:
+def admit_checks(checks: DataFrame, schemas: Mapping[str, T.StructType]) -> DataFrame:
     """Add ``reason`` to each check: why it may not run, or NULL when it may.
 
-    ``columns`` describes the tables, see ``Catalog.columns``. It is one row per
-    column, so it is broadcast; the checks are not shuffled.
+    ``schemas`` describes the tables, see ``Catalog.schemas``.
     """
-    schema = schema_by_table(columns)
-    own = schema.select(
-        F.col("table").alias("_t"),
-        F.col("known").alias("_known"),
-        F.col("types").alias("_types"),
-        F.col("families").alias("_families"),
-    )
-    other = schema.select(
-        F.col("table").alias("_rt"),
-        F.col("known").alias("_rknown"),
-        F.col("types").alias("_rtypes"),
-        F.col("families").alias("_rfamilies"),
-    )
-    joined = checks.join(F.broadcast(own), F.col("table") == F.col("_t"), "left").join(
-        F.broadcast(other), F.col("references_table") == F.col("_rt"), "left"
+    described = checks.withColumn("_all", schema_map(schemas)).select(
+        *checks.columns,
+        F.try_element_at("_all", F.col("table")).alias("_own"),
+        F.try_element_at("_all", F.col("references_table")).alias("_other"),
     )
+    known, other_known = F.col("_own.known"), F.col("_other.known")
     references = F.coalesce(
-        table_reason(F.col("references_table"), F.col("_rknown")),
-        columns_reason(F.col("columns"), F.col("_known")),
-        columns_reason(F.col("references_columns"), F.col("_rknown")),
+        table_reason(F.col("references_table"), other_known),
+        columns_reason(F.col("columns"), known),
+        columns_reason(F.col("references_columns"), other_known),
         F.when(
             F.size("columns") != F.size("references_columns"),
             F.lit("Referencing and referenced column counts differ."),
         ),
         comparable_reason(
-            F.col("table"), F.col("columns"), F.col("_types"), F.col("_families"),
+            F.col("table"), F.col("columns"), F.col("_own.types"), F.col("_own.families"),
             F.col("references_table"), F.col("references_columns"),
-            F.col("_rtypes"), F.col("_rfamilies"),
+            F.col("_other.types"), F.col("_other.families"),
         ),
     )
     by_kind = (
         F.when(F.col("kind") == "row_predicate", expression_reason(F.col("expression")))
-        .when(F.col("kind") == "unique", columns_reason(F.col("columns"), F.col("_known")))
+        .when(F.col("kind") == "unique", columns_reason(F.col("columns"), known))
         .otherwise(references)
     )
-    reason = F.coalesce(table_reason(F.col("table"), F.col("_known")), by_kind)
-    return joined.withColumn("reason", reason).select(*checks.columns, "reason")
+    reason = F.coalesce(table_reason(F.col("table"), known), by_kind)
+    return described.withColumn("reason", reason).select(*checks.columns, "reason")

@@ -31,9 +31,13 @@ RESULT_SCHEMA = (
 # ---------------------------------------------------------------- row predicates
 
 
+def violates_sql(expression: str) -> str:
+    """SQL that is true for rows that break a predicate. A predicate that is NULL passes."""
+    return f"not coalesce(cast(({spark_expression(expression)}) as boolean), true)"
+
+
 def violates(expression: str) -> Column:
-    """True for rows that break a predicate. A predicate that is NULL passes."""
-    return F.expr(f"not coalesce(cast(({spark_expression(expression)}) as boolean), true)")
+    return F.expr(violates_sql(expression))
 
 
 def predicate_violations(df: DataFrame, expression: str) -> DataFrame:
@@ -159,7 +163,7 @@ def violating_rows(catalog, check: Check, limit: int | None = PREVIEW_ROWS) -> D
     if check.kind == "row_predicate":
         rows = predicate_rows(df, check.expression)
         return rows if limit is None else rows.limit(limit)
-    total = catalog.row_counts()[check.table] if limit is None else 0
+    total = catalog.row_counts([check.table])[check.table] if limit is None else 0
     if check.kind == "unique":
         return duplicate_rows(df, check.columns, total_rows=total, limit=limit)
     parent = catalog.frame(check.references_table)
@@ -262,9 +266,10 @@ def _count_predicates(catalog, batch: Sequence[Check], out: dict[str, _Outcome])
     parts = []
     for table in dict.fromkeys(c.table for c in batch):
         mine = [c for c in batch if c.table == table]
-        counts = [F.count_if(violates(c.expression)).alias(f"n{i}") for i, c in enumerate(mine)]
+        counts = [f"count_if({violates_sql(c.expression)}) as n{i}" for i, c in enumerate(mine)]
         pairs = ", ".join(f"named_struct('id', '{c.id}', 'n', n{i})" for i, c in enumerate(mine))
-        parts.append(catalog.frame(table).agg(*counts).selectExpr(f"inline(array({pairs}))"))
+        counted = catalog.frame(table).selectExpr(*counts)
+        parts.append(counted.selectExpr(f"inline(array({pairs}))"))
     started = time.monotonic()
     try:
         rows = reduce(DataFrame.unionByName, parts).collect()
@@ -336,7 +341,7 @@ def evaluate_checks(catalog, checks: DataFrame) -> DataFrame:
     The checks and their counts pass through the driver; rows of the tables do not.
     """
     spark = catalog.spark
-    rows = admit_checks(checks, catalog.columns()).collect()
+    rows = admit_checks(checks, catalog.schemas()).collect()
     admitted = [Check.from_row(r) for r in rows]
     out = {r["id"]: _Outcome(reason=r["reason"]) for r in rows if r["reason"] is not None}
     for check in admitted:
@@ -348,7 +353,7 @@ def evaluate_checks(catalog, checks: DataFrame) -> DataFrame:
     _count_predicates(catalog, [c for c in todo if c.kind == "row_predicate"], out)
     _count_keys(catalog, [c for c in todo if c.kind != "row_predicate"], out)
 
-    counts = catalog.row_counts() if todo else {}
+    counts = catalog.row_counts(dict.fromkeys(c.table for c in todo))
     refused = {r["id"] for r in rows if r["reason"] is not None}
     results = [
         (

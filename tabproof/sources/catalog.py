@@ -55,7 +55,7 @@ class Catalog:
 
     spark: SparkSession
     tables: list[Table]
-    _rows: dict[str, int] | None = field(default=None, repr=False)
+    _rows: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         register_dialect(self.spark)
@@ -103,21 +103,27 @@ class Catalog:
         ]
         return local_frame(self.spark, rows, COLUMNS_SCHEMA)
 
-    def count_rows(self) -> DataFrame:
-        """``(table, rows)`` of every table, in one job that reads no column."""
+    def schemas(self) -> dict[str, T.StructType]:
+        return {t.table: t.df.schema for t in self.tables}
+
+    def count_rows(self, names: Iterable[str] | None = None) -> DataFrame:
+        """``(table, rows)`` of the named tables, or all, in one job that reads no column."""
+        wanted = self.names if names is None else list(names)
         return reduce(
             DataFrame.unionByName,
             [
-                t.df.agg(F.count("*").alias("rows")).select(F.lit(t.table).alias("table"), "rows")
-                for t in self.tables
+                self.frame(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table"), "rows")
+                for n in wanted
             ],
         )
 
-    def row_counts(self) -> dict[str, int]:
-        """Rows per table, counted once."""
-        if self._rows is None:
-            self._rows = {r["table"]: r["rows"] for r in self.count_rows().collect()}
-        return self._rows
+    def row_counts(self, names: Iterable[str] | None = None) -> dict[str, int]:
+        """Rows of the named tables, or all; each table is counted once."""
+        wanted = self.names if names is None else list(names)
+        missing = [n for n in wanted if n not in self._rows]
+        if missing:
+            self._rows |= {r["table"]: r["rows"] for r in self.count_rows(missing).collect()}
+        return {n: self._rows[n] for n in wanted}
 
     def bytes(self) -> DataFrame:
         """``(table, bytes)``: size of each table's files."""

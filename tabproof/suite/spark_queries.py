@@ -283,7 +283,7 @@ def _(spark, sf_dir):
 
 def _admitted(spark, sf_dir) -> DataFrame:
     catalog = tables(spark, sf_dir, "orders", "customer")
-    return admission.admit_checks(checks.normalize_checks(wire(spark, sf_dir)), catalog.columns())
+    return admission.admit_checks(checks.normalize_checks(wire(spark, sf_dir)), catalog.schemas())
 
 
 @query("f09_column_admission")

@@ -150,7 +150,7 @@ def test_mismatched_key_lengths_are_dropped_as_malformed(spark, catalog):
     kept = checks.normalize_checks(wire).collect()
     assert [(r["id"], r["table"], r["expression"], r["title"]) for r in kept] == [("h6", "lines", "qty > 0", "t")]
     direct = wire.filter("kind = 'references'").withColumn("id", F.lit("x"))
-    assert "counts differ" in admit_checks(direct, catalog.columns()).first()["reason"]
+    assert "counts differ" in admit_checks(direct, catalog.schemas()).first()["reason"]
 
 
 def test_a_bad_check_never_hurts_the_batch(spark):
