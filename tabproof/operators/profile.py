@@ -36,6 +36,9 @@ _COLUMNAR_FORMATS = ("parquet", "orc")
 _SIDE_BY_SIDE_BUDGET = 30
 _SIDE_BY_SIDE_ROWS = (200_000, 10_000_000)
 
+# Expressions per column in the short statistics.
+_STATS_COST = 8
+
 _NUMERIC = "struct<min:double,max:double,avg:double,stddev:double,p01:double,p25:double,p50:double,p75:double,p99:double,zero_count:bigint,negative_count:bigint,non_finite_count:bigint>"
 _TEMPORAL = "struct<min_iso:string,max_iso:string,span_days:int,future_count:bigint,epoch_zero_count:bigint>"
 _BOOLEAN = "struct<true_count:bigint,false_count:bigint>"
@@ -415,7 +418,7 @@ def _finish(profile: DataFrame, table: str, label: str, fmt: str) -> DataFrame:
 
 
 def column_stats(
-    df: DataFrame, row_count: int, *, exact: bool | None = None
+    df: DataFrame, row_count: int, *, exact: bool | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """The part of a profile that prunes candidates, cheaper than the whole.
 
@@ -425,6 +428,22 @@ def column_stats(
     """
     specs = column_specs(df)
     exact = row_count <= EXACT_DISTINCT_MAX_ROWS if exact is None else exact
+    chunks = chunk_columns(specs, [_STATS_COST] * len(specs), _budget(fmt, row_count))
+    stats = reduce(
+        DataFrame.unionByName, [_stats_rows(df, chunk, exact, row_count) for chunk in chunks]
+    )
+    if exact:
+        columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
+        counted = exact_distinct(df, columns).select(F.col("id").alias("ordinal"), "ndv")
+        stats = stats.drop("ndv").join(F.broadcast(counted), "ordinal", "left")
+    distinct = F.least(F.coalesce("ndv", F.lit(0)), F.col("row_count") - F.col("null_count"))
+    return stats.withColumn("distinct_count", distinct).drop("ndv")
+
+
+def _stats_rows(
+    df: DataFrame, specs: Sequence[ColumnSpec], exact: bool, row_count: int
+) -> DataFrame:
+    """``column_stats`` of some columns, with sketched distinct counts unless exact."""
     aggregates, rows = {"row_count": S.plain("count(*)")}, []
     for s in specs:
         ranged = s.kind in (K.NUMERIC, K.TEMPORAL)
@@ -453,13 +472,9 @@ def column_stats(
             f"'low', {end('min')}, 'high', {end('max')}, "
             f"'whole', {s.named('parts') + ' = 0' if measured else 'true'})"
         )
-    stats = _aggregate(df, aggregates, exact, row_count).selectExpr(f"inline(array({', '.join(rows)}))")
-    if exact:
-        columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
-        counted = exact_distinct(df, columns).select(F.col("id").alias("ordinal"), "ndv")
-        stats = stats.drop("ndv").join(F.broadcast(counted), "ordinal", "left")
-    distinct = F.least(F.coalesce("ndv", F.lit(0)), F.col("row_count") - F.col("null_count"))
-    return stats.withColumn("distinct_count", distinct).drop("ndv")
+    return _aggregate(df, aggregates, exact, row_count).selectExpr(
+        f"inline(array({', '.join(rows)}))"
+    )
 
 
 def profile_catalog(catalog, **options) -> DataFrame:

@@ -91,7 +91,7 @@ def catalog_stats(catalog) -> dict[str, list[Row]]:
     rows = reduce(
         DataFrame.unionByName,
         [
-            column_stats(t.df, counts[t.table]).withColumn("table", F.lit(t.table))
+            column_stats(t.df, counts[t.table], fmt=t.format).withColumn("table", F.lit(t.table))
             for t in catalog.tables
         ],
     ).collect()
