@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabproof.llm.common import table
+from tabproof.llm.decontam import decontaminate
+from tabproof.llm.line_dedup import without_duplicate_lines
 from tabproof.llm.near_dedup import keep_one_of_each
+from tabproof.llm.packing import pack_documents
+from tabproof.llm.quality import keep_good
+from tabproof.session import shared_folder
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that others hold; those of nothing else go."""
+    return without_duplicate_lines(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,13 +29,33 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_one_of_each(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all documents' tokens in sequences of at most 4096."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: The text changes on the way, so n_chars stays what it was in the source.
 STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_dedup_stage),
     ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+#: A model, MinHash bands and best fit are beyond SQL; tests/llm/test_pipeline.py has the brute force.
+ORACLE_SQL = None
 
 
-ORACLE_SQL = None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

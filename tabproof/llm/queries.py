@@ -6,19 +6,87 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from tabproof.llm import licenses
+from tabproof.llm.chat import format_conversations, read_conversations
 from tabproof.llm.common import table
+from tabproof.llm.decontam import contaminated
+from tabproof.llm.line_dedup import line_report
 from tabproof.llm.near_dedup import near_duplicates
+from tabproof.llm.packing import pack_documents
+from tabproof.llm.quality import quality_scores
+from tabproof.session import local_frame
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = local_frame(
+        spark, [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_conversations(format_conversations(turns))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), num=85, den=100)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_mentions(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_near_dedup,)
+    f.__name__: f
+    for f in (
+        op2_line_dedup, op5_chat_format, op6_near_dedup, op7_quality, op8_license_scan, op9_decontamination,
+        op10_best_fit_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op5_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), chained AS (
+  SELECT *, lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) IS NULL AS is_last,
+    regexp_replace(text, '\\\\|</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[/END\]', '..\0', 'g') AS twice,
+    regexp_replace(role, '\\\\|</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[/END\]', '.\0', 'g') AS marked FROM turns
+), written AS (
+  SELECT *, (length(twice) + length(text)) // 2 + CASE role WHEN 'system' THEN 8 + 9 WHEN 'user' THEN 10 + 8
+    WHEN 'assistant' THEN 1 + 5 ELSE 6 + length(marked) + 7 + 6 END AS chars,
+    CASE before WHEN '' THEN role IN ('system', 'user') WHEN 'system' THEN role = 'user'
+    WHEN 'user' THEN role = 'assistant' WHEN 'assistant' THEN role = 'user' ELSE false END AS fits FROM chained
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars, bool_and(fits) AS valid,
+  bool_and(fits) AND bool_or(is_last AND role = 'assistant') AS complete
+FROM written GROUP BY conv_id
+""",
+    "op8_license_scan": licenses.oracle(),
     "op6_near_dedup": r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
