@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabproof.session import shared_folder
 
 #: A key is hot when it has more than one of this many parts of all rows, so there are fewer hot keys than this.
 HOT_SHARE = 1000
+#: Rows of a key that any task can take.
+FEW_ROWS = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,23 +25,38 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def measured(df: DataFrame, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`saved`, with aggregates over its rows that the same job gathers."""
+    seen = Observation()
+    kept = saved(df.observe(seen, *metrics))
+    return kept, seen.get
+
+
+def counted(keyed: DataFrame) -> tuple[DataFrame, int, int]:
+    """A saved table of keys with ``n``, the rows each has elsewhere; the sum and the largest of them."""
+    kept, got = measured(keyed, F.sum("n").alias("total"), F.max("n").alias("most"))
+    return kept, got["total"] or 0, got["most"] or 0
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with one row per key; ``keyed.n`` says how many rows a key has.
+def join_by_key(rows: DataFrame, counts: tuple[DataFrame, int, int], key: str) -> DataFrame:
+    """Inner join of ``rows`` with one row per key, from :func:`counted`.
 
-    ``total`` is the number of rows. Keys with more than a thousandth of them are fewer
-    than a thousand: those are broadcast and their rows stay where they are. All other
-    keys are shuffled. ``keyed`` is read three times, so pass a saved table.
+    A key is hot with more than a thousandth of all rows, so fewer than a thousand are: their
+    one row each is broadcast, and the rows of ``rows`` that have them stay where they are. All
+    other keys are shuffled.
     """
-    is_hot = F.col("n") * HOT_SHARE > F.lit(total)
-    hot = keyed.where(is_hot)
-    names = hot.select(key).withColumn("_hot", F.lit(True))
-    marked = rows.join(F.broadcast(names), key, "left")
-    kept = [*rows.columns, *[c for c in keyed.columns if c != key]]
-    there = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot), key)
-    others = marked.where(F.col("_hot").isNull()).drop("_hot").join(keyed.where(~is_hot), key)
-    return there.select(*kept).unionByName(others.select(*kept))
+    keyed, total, most = counts
+    limit = max(FEW_ROWS, total // HOT_SHARE)
+    columns = [*rows.columns, *[c for c in keyed.columns if c != key]]
+    if most <= limit:
+        return rows.join(keyed, key).select(*columns)
+    hot = keyed.where(F.col("n") > limit).collect()
+    there = F.coalesce(F.col(key).isin([row[key] for row in hot]), F.lit(False))
+    few = rows.sparkSession.createDataFrame(hot, keyed.schema)
+    others = rows.where(~there).join(keyed.where(F.col("n") <= limit), key)
+    return rows.where(there).join(F.broadcast(few), key).select(*columns).unionByName(others.select(*columns))

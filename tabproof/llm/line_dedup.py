@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import join_by_key, saved, whole_text
+from tabproof.llm.common import counted, join_by_key, saved, whole_text
 from tabproof.llm.links import linked_components
 
 #: Code points of a shingle. Unrelated lines of 300 share about 0.05 % of shingles this long.
@@ -83,11 +83,9 @@ def line_components(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame
     """
     lines = document_lines(docs)
     buckets = band_buckets(line_signatures(lines))
-    shared = saved(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = saved(join_by_key(buckets, shared, "bucket", total).select("bucket", "id", "home", "n"))
-    ranks = members.groupBy("id").agg(F.sum("n").alias("rank"), F.first("home").alias("home"))
-    ranks = saved(ranks)
+    shared = counted(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = saved(join_by_key(buckets, shared, "bucket").select("bucket", "id", "home", "n"))
+    ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank"), F.min("home").alias("home")))
     homes = ranks.select(F.col("home").alias("_home")).distinct()
     texts = docs.select("doc_id", "text").join(homes, F.col("doc_id").eqNullSafe(F.col("_home")), "left_semi")
     sets = (
@@ -116,9 +114,8 @@ def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame
     known = repeated.join(found.select("id", "component"), "id", "left").where("n > 1 or component is not null")
     known = saved(known.select("id", "home", "n", F.coalesce("component", "id").alias("component")))
     homes = known.groupBy("component").agg(F.min("home").alias("home"))
-    known = saved(known.drop("home").join(homes, "component").select("id", "n", "component", "home"))
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = join_by_key(places, known, "id", total).select("doc_id", "version", "pos", "component", "home")
+    known = counted(known.drop("home").join(homes, "component").select("id", "n", "component", "home"))
+    met = join_by_key(places, known, "id").select("doc_id", "version", "pos", "component", "home")
     at_home = F.col("doc_id").eqNullSafe(F.col("home"))
     first = met.where(at_home).groupBy("doc_id", "version", "component").agg(F.min("pos").alias("_first"))
     in_home = (

@@ -7,37 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import join_by_key, saved
+from tabproof.llm.common import counted, join_by_key, measured, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(id, component)`` for every id in ``edges(a, b)``; component is the smallest id reachable.
 
     Each round points all neighbours of a node at its smallest neighbour, until the edges
-    are stars around the smallest ids. Hubs are joined by broadcast, so the rows of a hub
-    are never gathered. No edges give no rows.
+    are stars around the smallest ids: then no node with a smaller neighbour has others.
+    Hubs are joined by broadcast, so the rows of a hub are never gathered.
     """
-    edges = saved(edges.where("a <> b").select("a", "b").distinct())
-    state = None
+    edges = edges.where("a <> b").select("a", "b")
     while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == state:
-            break
-        state = now
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = saved(
-            both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("n"))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        least, got = measured(
+            both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("n")),
+            F.sum("n").alias("total"),
+            F.max("n").alias("most"),
+            F.expr("count_if(n > 1 and least < a)").alias("open"),
         )
-        moved = join_by_key(both, least, "a", 2 * now[0])
+        if not got["open"]:
+            return least.select(F.col("a").alias("id"), F.col("least").alias("component"))
+        moved = join_by_key(both, (least, got["total"], got["most"]), "a")
         edges = saved(
             moved.select(F.col("b").alias("a"), F.col("least").alias("b"))
             .union(least.select("a", F.col("least").alias("b")))
             .where("a <> b")
             .distinct()
         )
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-        edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, also: Callable[..., Column] | None = None) -> DataFrame:
@@ -64,9 +61,8 @@ def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     the join, so heavily changed members of a family meet nobody.
     """
     tokens = sets.select("id", F.explode("tokens").alias("token"))
-    counts = saved(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = join_by_key(tokens, counts, "token", total)
+    counts = counted(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = join_by_key(tokens, counts, "token")
     ordered = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
     placed = (
         ordered.join(sets.select("id", "label", F.col("n").alias("size")), "id")
@@ -99,31 +95,32 @@ def linked_components(
     no pair that shares a bucket is left out.
     """
     buckets = saved(buckets)
-    total = buckets.count()
     top = F.max(F.struct("rank", (-F.col("id")).alias("minus"), "id"))
-    centres = saved(
+    centres = counted(
         buckets.groupBy("bucket").agg(top["id"].alias("centre"), F.count("*").alias("n")).where("n > 1")
     )
     star = (
-        join_by_key(buckets, centres, "bucket", total)
+        join_by_key(buckets, centres, "bucket")
         .select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
         .where("a <> b")
         .distinct()
     )
     first = saved(verified(star, sets, num, den, also))
     found = connected_components(first)
-    labelled = (
-        buckets.join(found, "id", "left")
-        .select("bucket", "id", F.coalesce("component", "id").alias("label"))
+    labelled = saved(
+        buckets.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
     )
-    labelled = saved(labelled)
-    mixed = saved(
+    mixed = counted(
         labelled.groupBy("bucket")
         .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("n"))
         .where("_lo < _hi")
         .select("bucket", "n")
     )
-    open_ids = join_by_key(labelled, mixed, "bucket", total).select("id", "label").distinct()
+    if not mixed[1]:
+        return found
+    open_ids = join_by_key(labelled, mixed, "bucket").select("id", "label").distinct()
     open_sets = saved(open_ids.join(sets.select("id", "n", "tokens"), "id"))
-    rest = verified(prefix_pairs(open_sets, num, den), open_sets.drop("label"), num, den)
-    return connected_components(first.union(rest))
+    rest, got = measured(
+        verified(prefix_pairs(open_sets, num, den), open_sets.drop("label"), num, den), F.count("*").alias("links")
+    )
+    return connected_components(first.union(rest)) if got["links"] else found

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import join_by_key, saved, whole_text
+from tabproof.llm.common import counted, join_by_key, saved, whole_text
 from tabproof.llm.links import linked_components
 from tabproof.llm.shingles import WordHashes, multipliers, shingle_set, signature
 
@@ -69,10 +69,9 @@ def rare_postings(classes: DataFrame, k: int, threshold: int) -> DataFrame:
     rarest leave out are skipped: they are looked at only when collisions are counted.
     ``rank`` sums the lengths of a set's lists, so the set most like its family has most.
     """
-    posted = saved(classes.select("id", F.explode("sig").alias("bucket")))
-    lengths = saved(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    total = lengths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shared = join_by_key(posted, lengths, "bucket", total)
+    posted = classes.select("id", F.explode("sig").alias("bucket"))
+    lengths = counted(posted.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = join_by_key(posted, lengths, "bucket")
     lists = shared.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("lists"), F.sum("n").alias("rank")
     )
@@ -114,7 +113,6 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("doc_id"), F.first("list").alias("sig"), F.count("*").alias("n"))
         .withColumn("id", F.xxhash64("digest"))
     )
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     postings = saved(rare_postings(classes.select("id", "sig"), k, threshold))
     wanted = classes.join(postings.select("id").distinct(), "id").select("id", "sig", F.col("doc_id").alias("_of"))
     texts = docs.select("doc_id", "text").join(wanted.select("_of").distinct(), F.col("doc_id") == F.col("_of"), "left_semi")
@@ -131,8 +129,8 @@ def near_duplicates(
     )
     named = saved(named)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = saved(named.join(smallest, "component").select("digest", "n", "component_id"))
-    joined = join_by_key(some.select("doc_id", F.col("n").alias("n_shingles"), "digest"), named, "digest", total)
+    named = counted(named.join(smallest, "component").select("digest", "n", "component_id"))
+    joined = join_by_key(some.select("doc_id", F.col("n").alias("n_shingles"), "digest"), named, "digest")
     alone = every.where("n = 0 or doc_id is null").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
