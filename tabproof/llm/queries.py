@@ -12,19 +12,34 @@ from tabproof.llm import licenses
 from tabproof.llm.chat import format_conversations, read_conversations
 from tabproof.llm.common import table
 from tabproof.llm.decontam import contaminated
+from tabproof.llm.fingerprints import fingerprint_report
 from tabproof.llm.line_dedup import line_report
 from tabproof.llm.near_dedup import near_duplicates
 from tabproof.llm.packing import pack_documents
+from tabproof.llm.pii import personal_data
 from tabproof.llm.quality import quality_scores
+from tabproof.llm.toxicity import toxicity_scores
 from tabproof.session import local_frame
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = local_frame(
@@ -57,8 +72,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_line_dedup, op5_chat_format, op6_near_dedup, op7_quality, op8_license_scan, op9_decontamination,
-        op10_best_fit_packing,
+        op1_fingerprints, op2_line_dedup, op3_toxicity, op4_personal_data, op5_chat_format, op6_near_dedup, op7_quality,
+        op8_license_scan, op9_decontamination, op10_best_fit_packing,
     )
 }
 
