@@ -17,7 +17,7 @@ from tabproof.llm.quality import held_out
 
 #: Bounds of what the classifier is fitted on: confirmed toxic documents, unlabelled ones, features.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 512
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, RATE = 400, 0.05
 TOXIC_SCORE = 0.7
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -65,14 +65,14 @@ class ToxicModel:
 
 
 def fit_nnpu(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = STEPS, rate: float = RATE, decay: float = DECAY
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = STEPS, rate: float = RATE
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk of the logistic loss.
 
     Risk: ``prior * E_P[l(z)] + max(0, E_U[l(-z)] - prior * E_P[l(-z)])``. While the second part is
     below zero, which only over-fitting can make it, the step goes the other way on it.
     """
-    d = positive.shape[1]
+    d, decay = positive.shape[1], 0.5 / len(unlabelled)
     theta, first, second = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
     theta[d] = np.log(prior / (1 - prior))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
@@ -108,7 +108,9 @@ def fit_toxicity(
     """Fit on at most ``positives`` confirmed toxic and ``unlabelled`` other documents, held-out ids left out.
 
     The class prior is the toxic share of all labelled rows that are not held out. The features are the
-    ``features`` words and word beginnings that speak most for the confirmed side. Without
+    ``features`` words and word beginnings that speak most for the confirmed side: in one of a hundred of its
+    documents and three at least, and half-way on the logarithmic scale from as frequent in both sides to
+    as much more frequent as what only toxic documents have. Without
     toxic or without other rows the model has no features and scores everything 0.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out("doc_id", 3, 1))
@@ -133,7 +135,8 @@ def fit_toxicity(
         return ToxicModel((), np.zeros(0), -500.0)
     counts = sample.mapInArrow(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     ratio = F.log((F.col("p") + 0.5) / sides[True]) - F.log((F.col("u") + 0.5) / sides[False])
-    chosen = counts.where("p > 1").where(ratio > 0).orderBy(F.desc(F.round(F.col("p") * ratio, 6)), "feature").limit(features)
+    least = max(3, sides[True] // 100)
+    chosen = counts.where(F.col("p") >= least).where(ratio > 0.5 * float(np.log(1 / prior))).orderBy(F.desc(F.round(F.col("p") * ratio, 6)), "feature").limit(features)
     names = tuple(row["feature"] for row in chosen.collect())
     index = {name: i for i, name in enumerate(names)}
 
