@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_OWN_FOLDERS: list[tempfile.TemporaryDirectory] = []
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,6 +30,12 @@ def build_session(app_name: str = "tabproof", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def own_folder() -> str:
+    """A new folder of the driver's machine that goes when this process ends."""
+    _OWN_FOLDERS.append(tempfile.TemporaryDirectory(prefix="tabproof-", ignore_cleanup_errors=True))
+    return _OWN_FOLDERS[-1].name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster shares between its executors.
 
@@ -39,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not root and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"Set {_CHECKPOINT_DIR} to a folder all executors share.")
     if not root:
-        root = tempfile.mkdtemp(prefix="tabproof-")
+        root = own_folder()
         spark.conf.set(_CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
