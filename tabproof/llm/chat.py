@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabproof.llm.common import shipped
+
 
 @dataclass(frozen=True)
 class Turn:
@@ -122,7 +124,7 @@ def format_conversations(conversations: DataFrame, template: Template = Template
                 ["conv_id", "position", "role", "segments", "valid"],
             )
 
-    turns = conversations.select(
+    turns = shipped(conversations).select(
         "conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn"
     )
     streams = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

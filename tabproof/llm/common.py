@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import shutil
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tabproof.session import shared_folder
+from tabproof.session import own_folder, shared_folder
 
 #: A key is hot when it has more than one of this many parts of all rows, so there are fewer hot keys than this.
 HOT_SHARE = 1000
 #: Rows of a key that any task can take.
 FEW_ROWS = 200
+#: Keys of a filter that are broadcast at most; some tens of megabytes.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +43,26 @@ def counted(keyed: DataFrame) -> tuple[DataFrame, int, int]:
     return kept, got["total"] or 0, got["most"] or 0
 
 
+def rows_of(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` is among the distinct, non-null ``wanted[key]``.
+
+    The keys are counted; up to ``BROADCAST_KEYS`` are broadcast, more are joined by shuffle.
+    """
+    wanted, got = measured(wanted.select(key).where(F.col(key).isNotNull()).distinct(), F.count("*").alias("n"))
+    return rows.join(F.broadcast(wanted) if got["n"] <= BROADCAST_KEYS else wanted, key, "left_semi")
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once its executors have this package: Python functions in tasks import it."""
+    context = df.sparkSession.sparkContext
+    package = Path(__file__).resolve().parent.parent
+    if package.is_dir() and not getattr(context, "_has_" + package.name, False):
+        archive = shutil.make_archive(f"{own_folder()}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        setattr(context, "_has_" + package.name, True)
+    return df
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import whole_text
+from tabproof.llm.common import shipped, whole_text
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
@@ -203,7 +203,7 @@ def contaminated(
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     spark = docs.sparkSession
     found = spark.createDataFrame([], schema)
-    texts = docs.select("doc_id", whole_text().alias("text"))
+    texts = shipped(docs).select("doc_id", whole_text().alias("text"))
     for index in _indexes(benchmark):
         shared = spark.sparkContext.broadcast(index)
 
@@ -236,5 +236,5 @@ def decontaminate(
                 keep = [not shared.value.matches(t.as_py() or "", score, question, answer) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = shipped(docs).mapInArrow(clean, docs.schema)
     return docs

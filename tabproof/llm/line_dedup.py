@@ -7,18 +7,23 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import counted, join_by_key, saved, whole_text
-from tabproof.llm.links import linked_components
+from tabproof.llm.common import counted, join_by_key, rows_of, saved, whole_text
+from tabproof.llm.links import linked_components, parity_map
 
 #: Code points of a shingle. Unrelated lines of 300 share about 0.05 % of shingles this long.
 SHINGLE = 8
 #: Lines at similarity 0.8 share one of the bands with probability 0.97, at 0.9 with 0.998.
 BANDS, BAND_ROWS = 5, 3
+#: From so many code points on, a line's coordinates come from a quarter of its shingles, which has none of them
+#: with a probability below 1e-8.
+LONG_LINE = 72
+#: Tasks that share the rows of one bucket.
+SALTS = 16
 _POINT = 4  # bytes of a code point in UTF-32
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.lower(line), F.lit(" \t\r"))
+    return F.trim(F.lower(line))
 
 
 def _points(line: Column) -> Column:
@@ -26,13 +31,12 @@ def _points(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _starts(points: Column) -> Column:
+def _shingles(lines: DataFrame, points: str, *kept: str) -> DataFrame:
+    """``lines[kept]`` with ``token``: one row per place, the digest of the shingle that starts there."""
     last = F.floor(F.octet_length(points) / _POINT) - SHINGLE
-    return F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))
-
-
-def _shingle(points: Column, start: Column) -> Column:
-    return F.xxhash64(F.substring(points, start * _POINT + 1, F.lit(SHINGLE * _POINT)))
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))
+    shingle = F.substring(F.col(points), F.col("_at") * _POINT + 1, F.lit(SHINGLE * _POINT))
+    return lines.select(*kept, points, F.explode(starts).alias("_at")).select(*kept, F.xxhash64(shingle).alias("token"))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -52,18 +56,18 @@ def document_lines(docs: DataFrame) -> DataFrame:
 def line_signatures(lines: DataFrame) -> DataFrame:
     """``(id, home, m0 … )`` per distinct line: smallest doc_id and MinHash coordinates.
 
-    Coordinate i is the smallest shingle digest after flipping the bits of a constant. One pass over
-    the shingles, combined in the task that reads them: a line is one short row in the shuffle,
-    whatever its length and however often it occurs.
+    Coordinate i is the smallest shingle digest after flipping the bits of a constant. All constants
+    start with the same two bits, so in long lines only the digests that start with these
+    can be smallest, and the others are not compared. One pass over the shingles, combined in the
+    task that reads them: a line is one short row in the shuffle, however long and frequent.
     """
     rng = random.Random(7)
-    flips = [rng.getrandbits(64) - 2**63 for _ in range(BANDS * BAND_ROWS)]
-    shingles = (
-        lines.select("id", "doc_id", _points(F.col("line")).alias("points"))
-        .select("id", "doc_id", "points", F.explode(_starts(F.col("points"))).alias("at"))
-        .select("id", "doc_id", _shingle(F.col("points"), F.col("at")).alias("h"))
-    )
-    lows = [F.min(F.col("h").bitwiseXOR(F.lit(flip))).alias(f"m{i}") for i, flip in enumerate(flips)]
+    flips = [rng.getrandbits(62) for _ in range(BANDS * BAND_ROWS)]
+    pointed = lines.select("id", "doc_id", _points(F.col("line")).alias("points"))
+    pointed = pointed.withColumn("short", F.octet_length("points") < LONG_LINE * _POINT)
+    shingles = _shingles(pointed, "points", "id", "doc_id", "short")
+    shingles = shingles.where(F.col("short") | (F.shiftrightunsigned("token", 62) == 0))
+    lows = [F.min(F.col("token").bitwiseXOR(F.lit(flip))).alias(f"m{i}") for i, flip in enumerate(flips)]
     return shingles.groupBy("id").agg(F.min("doc_id").alias("home"), *lows)
 
 
@@ -75,41 +79,57 @@ def band_buckets(signatures: DataFrame) -> DataFrame:
     return signatures.select("id", "home", F.explode(F.array(*bands)).alias("bucket"))
 
 
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows of ``buckets`` whose bucket has others, with their number ``n``.
+
+    The rows of a bucket are dealt to ``SALTS`` tasks.
+    """
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = buckets.withColumn("_salt", F.pmod("id", F.lit(SALTS)).cast("int"))
+    return salted.join(shared, ["bucket", "_salt"]).select("bucket", "id", "home", "n")
+
+
 def line_components(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
-    """``(id, component, home)`` of the distinct lines linked to another line.
+    """``(id, component)`` of the distinct lines linked to another line.
 
     Lines are linked when they share a band and their shingle sets have
     ``den * intersection >= num * union``.
     """
-    lines = document_lines(docs)
-    buckets = band_buckets(line_signatures(lines))
-    shared = counted(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = saved(join_by_key(buckets, shared, "bucket").select("bucket", "id", "home", "n"))
+    members = saved(shared_buckets(band_buckets(line_signatures(document_lines(docs)))))
     ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank"), F.min("home").alias("home")))
-    homes = ranks.select(F.col("home").alias("_home")).distinct()
-    texts = docs.select("doc_id", "text").join(homes, F.col("doc_id").eqNullSafe(F.col("_home")), "left_semi")
-    sets = (
-        document_lines(texts)
-        .join(ranks.select("id"), "id", "left_semi")
-        .dropDuplicates(["id"])
-        .select("id", _points(F.col("line")).alias("points"))
-        .select("id", F.array_distinct(F.transform(_starts(F.col("points")), lambda at: _shingle(F.col("points"), at))).alias("tokens"))
-        .select("id", F.size("tokens").cast("long").alias("n"), "tokens")
-    )
-    found = linked_components(members.select("bucket", "id").join(ranks.select("id", "rank"), "id"), saved(sets), num, den)
-    return found.join(ranks.select("id", "home"), "id")
+    named = rows_of(docs.select("doc_id", "text"), "doc_id", ranks.select(F.col("home").alias("doc_id")))
+    unnamed = docs.select("doc_id", "text").where("doc_id is null")
+    lines = document_lines(named.unionByName(unnamed)).select("id", "line")
+    lines = saved(rows_of(lines, "id", ranks).dropDuplicates(["id"]))
+    pointed = lines.select("id", _points(F.col("line")).alias("points")).repartition("id")
+    tokens = _shingles(pointed, "points", "id").distinct()
+    maps = saved(tokens.groupBy("id").agg(F.count("*").alias("n"), *parity_map()))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        a, b = (lines.select(F.col("id").alias(s), _points(F.col("line")).alias(f"points_{s}")) for s in "ab")
+        met = pairs.join(a, "a").join(b, "b").repartition("a", "b")
+        sides = met.select("a", "b", F.explode(F.array(
+            F.struct(F.lit(1).alias("side"), F.col("points_a").alias("points")),
+            F.struct(F.lit(2).alias("side"), F.col("points_b").alias("points")),
+        )).alias("_s")).select("a", "b", "_s.side", "_s.points")
+        held = _shingles(sides, "points", "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
+        sizes = held.groupBy("a", "b").agg(F.count("*").alias("either"), F.count_if(F.col("held") == 3).alias("both"))
+        return sizes.where(F.col("both") * den >= F.col("either") * num).select("a", "b")
+
+    return linked_components(members.select("bucket", "id").join(ranks.select("id", "rank"), "id"), maps, num, den, confirm)
 
 
 def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
     """``(doc_id, version, dropped, kept_in)`` of documents that lose lines.
 
-    Lines are compared without case and outer blanks. Equal lines, and lines linked by
+    Lines are compared without case and outer spaces. Equal lines, and lines linked by
     :func:`line_components`, are one component. It is kept once: at its first place in the
     document of smallest id that holds it. ``dropped`` are the positions (from 0) of the
     other lines, ``kept_in`` the documents that keep theirs.
     """
-    found = saved(line_components(docs, num=num, den=den))
-    places = document_lines(docs).select("doc_id", "version", "pos", "id")
+    places = saved(document_lines(docs).select("doc_id", "version", "pos", "id"))
+    found = line_components(docs, num=num, den=den)
     repeated = places.groupBy("id").agg(F.min("doc_id").alias("home"), F.count("*").alias("n"))
     known = repeated.join(found.select("id", "component"), "id", "left").where("n > 1 or component is not null")
     known = saved(known.select("id", "home", "n", F.coalesce("component", "id").alias("component")))

@@ -37,7 +37,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, also: Callable[..., Column] | None = None) -> DataFrame:
+#: Words of a parity map: bit i is whether an odd number of tokens fall on it.
+MAP_WORDS = 4
+
+
+def parity_map(token: str = "token") -> list[Column]:
+    """Aggregates over distinct tokens: their 64-bit parity words ``p0 …``."""
+    word = f"pmod({token}, {MAP_WORDS})"
+    bit = f"shiftleft(1L, int(shiftrightunsigned({token}, 8) & 63))"
+    return [F.expr(f"bit_xor(if({word} = {w}, {bit}, 0L))").alias(f"p{w}") for w in range(MAP_WORDS)]
+
+
+def may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Whether two sets can reach the threshold, from their sizes and parity maps.
+
+    Sets that differ in d tokens have maps that differ in d bits at most, and sets that reach
+    it differ in a bounded share of their tokens. So this refuses no pair that does.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    bits = sum(F.bit_count(F.col(f"{x}.p{w}").bitwiseXOR(F.col(f"{y}.p{w}"))) for w in range(MAP_WORDS))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (bits * (den + num) <= (n + m) * (den - num))
+
+
+def with_equal_tokens(pairs: DataFrame, sets: DataFrame, num: int, den: int, also: Callable[..., Column] | None = None) -> DataFrame:
     """The pairs ``(a, b)`` whose token sets have ``den * intersection >= num * union``.
 
     ``sets`` has ``id``, ``n`` (size) and ``tokens`` (distinct). ``also`` may add a cheaper
@@ -52,47 +74,18 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, also: Callab
     return met.where(common * den >= num * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def prefix_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs ``(a, b)`` of sets with different ``label`` that can reach the threshold.
-
-    Exact: two sets that reach it share one of the first ``n - ceil(n * num / den) + 1`` tokens
-    when every set is ordered from rare to frequent. Tokens of one set only sort first
-    and meet nobody. The place of a shared token bounds the overlap, which is tested in
-    the join, so heavily changed members of a family meet nobody.
-    """
-    tokens = sets.select("id", F.explode("tokens").alias("token"))
-    counts = counted(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = join_by_key(tokens, counts, "token")
-    ordered = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    placed = (
-        ordered.join(sets.select("id", "label", F.col("n").alias("size")), "id")
-        .select("id", "label", "size", F.size("shared").alias("_k"), F.posexplode("shared").alias("_at", "_t"))
-        .select("id", "label", "size", F.col("_t.token").alias("token"), (F.col("size") - F.col("_k") + F.col("_at")).alias("place"))
-        .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * num / F.lit(den)))
-    )
-    placed = saved(placed)
-    mixed = placed.groupBy("token").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi")
-    placed = placed.join(mixed.select("token"), "token", "left_semi")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    on = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.label") < F.col("y.label"))
-        & (rest * (num + den) >= num * (F.col("x.size") + F.col("y.size")))
-    )
-    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-
 def linked_components(
-    buckets: DataFrame, sets: DataFrame, num: int, den: int, also: Callable[..., Column] | None = None
+    buckets: DataFrame, maps: DataFrame, num: int, den: int, confirm: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """``(id, component)`` of all ids linked to another one.
 
-    ``buckets(bucket, id, rank)``: ids that share a bucket may be similar. First each member
-    is compared with its bucket's member of highest ``rank`` (most central). Most buckets
-    then lie within one component. The members of those that do not are compared exactly
-    across components by :func:`prefix_pairs`. So a family of any size costs its size, and
-    no pair that shares a bucket is left out.
+    ``buckets(bucket, id, rank)``: ids that share a bucket may be similar; ``maps(id, n, p0 …)``
+    their sizes and parity maps; ``confirm`` keeps the pairs ``(a, b)`` that are.
+
+    First each member is compared with its bucket's member of highest ``rank``, the most central.
+    Most buckets then lie within the centre's component. Members that do not are compared with
+    all members of other components that sizes and maps do not rule out. So no pair
+    that shares a bucket is left out, and a family costs its size times the members apart from it.
     """
     buckets = saved(buckets)
     top = F.max(F.struct("rank", (-F.col("id")).alias("minus"), "id"))
@@ -105,22 +98,27 @@ def linked_components(
         .where("a <> b")
         .distinct()
     )
-    first = saved(verified(star, sets, num, den, also))
-    found = connected_components(first)
-    labelled = saved(
-        buckets.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-    )
+    first, got = measured(confirm(star), F.count("*").alias("links"))
+    found = connected_components(first) if got["links"] else first.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    label = F.coalesce("component", "id").alias("label")
+    labelled = saved(buckets.join(found, "id", "left").select("bucket", "id", "rank", label))
     mixed = counted(
         labelled.groupBy("bucket")
-        .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count("*").alias("n"))
+        .agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max(F.struct("rank", "label"))["label"].alias("main"), F.count("*").alias("n"))
         .where("_lo < _hi")
-        .select("bucket", "n")
+        .select("bucket", "main", "n")
     )
     if not mixed[1]:
         return found
-    open_ids = join_by_key(labelled, mixed, "bucket").select("id", "label").distinct()
-    open_sets = saved(open_ids.join(sets.select("id", "n", "tokens"), "id"))
-    rest, got = measured(
-        verified(prefix_pairs(open_sets, num, den), open_sets.drop("label"), num, den), F.count("*").alias("links")
+    members = join_by_key(labelled.drop("rank"), mixed, "bucket").drop("n").join(maps, "id")
+    members = saved(members.withColumn("is_main", F.col("label") == F.col("main")).drop("main"))
+    x, y = members.where("not is_main").alias("x"), members.alias("y")
+    on = (
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (F.col("y.is_main") | (F.col("x.id") < F.col("y.id")))
+        & may_link("x", "y", num, den)
     )
+    rest = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    rest, got = measured(confirm(rest), F.count("*").alias("links"))
     return connected_components(first.union(rest)) if got["links"] else found

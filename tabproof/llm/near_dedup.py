@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import counted, join_by_key, saved, whole_text
-from tabproof.llm.links import linked_components
-from tabproof.llm.shingles import WordHashes, multipliers, shingle_set, signature
+from tabproof.llm.common import counted, join_by_key, rows_of, saved, shipped, whole_text
+from tabproof.llm.links import MAP_WORDS, linked_components, with_equal_tokens
+from tabproof.llm.shingles import WordHashes, multipliers, parity_words, shingle_set, signature
 
 COORDINATES = 32
 MISSED = 1e-5
@@ -33,32 +33,37 @@ def match_threshold(similarity: float, k: int = COORDINATES, missed: float = MIS
 def _describe(batches: Iterator[pa.RecordBatch], whole: bool, k: int) -> Iterator[pa.RecordBatch]:
     hashes, factors = WordHashes(), multipliers(k, _SEED)
     for batch in batches:
-        sizes, digests, lists = [], [], []
+        sizes, digests, lists, maps = [], [], [], []
         for text in batch.column(1).cast(pa.binary()):
             tokens = shingle_set(text.as_py(), hashes)
             sizes.append(len(tokens))
             digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
             if whole:
                 lists.append(tokens.view(np.int64))
+                maps.append(parity_words(tokens, MAP_WORDS))
             else:
                 lists.append(signature(tokens, factors) if len(tokens) else np.empty(0, np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
         values = np.concatenate(lists) if lists else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array(digests, pa.binary()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-            ],
-            ["doc_id", "n", "digest", "list"],
-        )
+        columns = {
+            "doc_id": batch.column(0),
+            "n": pa.array(sizes, pa.int64()),
+            "digest": pa.array(digests, pa.binary()),
+            "list": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+        }
+        if whole:
+            columns |= {f"p{w}": pa.array([m[w] for m in maps], pa.int64()) for w in range(MAP_WORDS)}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _described(docs: DataFrame, whole: bool, k: int = COORDINATES) -> DataFrame:
-    """``(doc_id, n, digest, list)`` per row: set size, 128-bit digest of the set, its tokens or its coordinates."""
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(
-        lambda batches: _describe(batches, whole, k), "doc_id long, n long, digest binary, list array<long>"
+    """``(doc_id, n, digest, list)`` per row: set size, 128-bit digest of the set, its coordinates.
+
+    With ``whole`` the list holds its tokens, and the parity words follow.
+    """
+    more = "".join(f", p{w} long" for w in range(MAP_WORDS)) if whole else ""
+    return shipped(docs).select("doc_id", whole_text().alias("text")).mapInArrow(
+        lambda batches: _describe(batches, whole, k), f"doc_id long, n long, digest binary, list array<long>{more}"
     )
 
 
@@ -98,7 +103,8 @@ def near_duplicates(
        ``missed``; such pairs share one of their rarest coordinates.
     3. Pairs within posting lists, around the list's most central class, count their
        collisions on whole signatures; enough of them lead to an exact check of whole sets.
-    4. Lists that do not end in one component are compared exactly across components.
+    4. Members of lists that do not end in the centre's component are compared with all of other
+       components, as far as sizes and parity maps of the sets allow a link.
 
     Null and blank texts have no shingles and are linked with nothing. Rows are told apart
     by their texts: repeated rows give repeated rows, and one doc_id with several texts has
@@ -114,16 +120,20 @@ def near_duplicates(
         .withColumn("id", F.xxhash64("digest"))
     )
     postings = saved(rare_postings(classes.select("id", "sig"), k, threshold))
-    wanted = classes.join(postings.select("id").distinct(), "id").select("id", "sig", F.col("doc_id").alias("_of"))
-    texts = docs.select("doc_id", "text").join(wanted.select("_of").distinct(), F.col("doc_id") == F.col("_of"), "left_semi")
-    tokens = _described(texts, True).select(F.xxhash64("digest").alias("id"), "n", F.col("list").alias("tokens"))
+    wanted = saved(classes.join(postings.select("id").distinct(), "id").select("id", "sig", "doc_id"))
+    tokens = _described(rows_of(docs.select("doc_id", "text"), "doc_id", wanted), True)
+    tokens = tokens.withColumn("id", F.xxhash64("digest")).withColumnRenamed("list", "tokens").drop("doc_id", "digest")
     sets = saved(tokens.dropDuplicates(["id"]).join(wanted.select("id", "sig"), "id"))
+    words = [f"p{w}" for w in range(MAP_WORDS)]
 
     def collides(a, b):
         hits = F.zip_with(a("sig"), b("sig"), lambda x, y: (x == y).cast("int"))
         return F.aggregate(hits, F.lit(0), lambda s, x: s + x) >= threshold
 
-    found = linked_components(postings, sets, num, den, collides)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return with_equal_tokens(pairs, sets.drop(*words), num, den, collides)
+
+    found = linked_components(postings, sets.select("id", "n", *words), num, den, confirm)
     named = classes.join(found, "id", "left").select(
         "digest", "n", "doc_id", F.coalesce("component", "id").alias("component")
     )

@@ -7,12 +7,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import saved, whole_text
+from tabproof.llm.common import saved, shipped, whole_text
 
 CAPACITY = 4096
 END_ID = 1
@@ -86,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY) -
     Only documents of more than ``capacity`` ids are cut; a null text counts as empty and is
     the end id alone.
     """
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(
+    return shipped(docs).select("doc_id", whole_text().alias("text")).mapInArrow(
         lambda batches: _pieces(batches, tokenizer, capacity),
         "doc_id long, piece int, start long, length long, ids_crc32 long",
     )
@@ -130,19 +129,19 @@ class BestFit:
         return chosen, self.capacity - room
 
 
-def _pack(frames: Iterator[pd.DataFrame], capacity: int, open_bins: int) -> Iterator[pd.DataFrame]:
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, open_bins: int) -> Iterator[pa.RecordBatch]:
     group, bins = None, None
-    for frame in frames:
-        placed = []
-        for now, length in zip(frame["group"].to_numpy(), frame["length"].to_numpy()):
+    for batch in batches:
+        ids, offsets = [], []
+        for now, length in zip(batch.column("group").to_pylist(), batch.column("length").to_pylist()):
             if now != group:
                 group, bins = now, BestFit(capacity, open_bins)
-            place, offset = bins.put(int(length))
-            placed.append(((int(now) << 32) + place, offset))
-        frame = frame.drop(columns="group")
-        frame["sequence_id"] = np.array([p[0] for p in placed], np.int64)
-        frame["offset"] = np.array([p[1] for p in placed], np.int64)
-        yield frame
+            place, offset = bins.put(length)
+            ids.append((now << 32) + place)
+            offsets.append(offset)
+        names = [n for n in batch.schema.names if n != "group"]
+        columns = [*(batch.column(n) for n in names), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
 
 def pack_pieces(
@@ -161,7 +160,7 @@ def pack_pieces(
         "group", F.desc("length"), "doc_id", "piece", "ids_crc32"
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ordered.mapInPandas(lambda frames: _pack(frames, capacity, open_bins), schema)
+    return shipped(ordered).mapInArrow(lambda batches: _pack(batches, capacity, open_bins), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import whole_text
+from tabproof.llm.common import shipped, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside; first and further characters of each kind
@@ -306,7 +306,7 @@ def fit_tagger(docs: DataFrame, *, limit: int = TRAIN_WINDOWS) -> Tagger | None:
                 ["chars", "tags", "marked"],
             )
 
-    texts = docs.select(whole_text().alias("text")).where(F.col("text").rlike("[0-9@]"))
+    texts = shipped(docs).select(whole_text().alias("text")).where(F.col("text").rlike("[0-9@]"))
     labelled = texts.mapInArrow(label, "chars binary, tags binary, marked boolean").distinct()
     ordered = [labelled.where(side).orderBy(F.xxhash64("chars"), "chars").limit(limit // 2) for side in ("marked", "not marked")]
     rows = ordered[0].unionByName(ordered[1]).collect()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import saved, whole_text
+from tabproof.llm.common import saved, shipped, whole_text
 
 SHRINKAGE = 0.1
 KEEP_SCORE = 0.3
@@ -88,7 +88,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             stats = pa.FixedSizeListArray.from_arrays(flat, len(STATISTICS)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), stats], ["doc_id", "stats"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(measure, "doc_id long, stats array<double>")
+    return shipped(docs).select("doc_id", whole_text().alias("text")).mapInArrow(measure, "doc_id long, stats array<double>")
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,7 @@ def fit_discriminant(stats: DataFrame, labels: DataFrame, *, shrinkage: float =
     """
     d = len(STATISTICS)
     marked = labels.where("label in (0, 1) and doc_id is not null").select("doc_id", F.col("label").cast("int").alias("label"))
-    parts = stats.join(marked, "doc_id").select("label", "stats").mapInPandas(_moments, "label int, at int, value double")
+    parts = shipped(stats).join(marked, "doc_id").select("label", "stats").mapInPandas(_moments, "label int, at int, value double")
     flat = np.zeros((2, 1 + d + d * d))
     for row in parts.groupBy("label", "at").agg(F.sum("value").alias("value")).collect():
         flat[row["label"], row["at"]] = row["value"]
@@ -158,12 +158,12 @@ def fit_discriminant(stats: DataFrame, labels: DataFrame, *, shrinkage: float =
 def score_statistics(stats: DataFrame, model: Discriminant) -> DataFrame:
     """``(doc_id, score)`` for every row of ``stats``."""
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            values = np.array(frame["stats"].tolist()).reshape(-1, len(STATISTICS))
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": model.scores(values)})
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(values))], ["doc_id", "score"])
 
-    return stats.mapInPandas(score, "doc_id long, score double")
+    return shipped(stats).select("doc_id", "stats").mapInArrow(score, "doc_id long, score double")
 
 
 def held_out(column: str, parts: int, part: int):

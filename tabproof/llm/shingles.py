@@ -48,3 +48,11 @@ def signature(tokens: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Smallest product per factor, tagged with its coordinate, as signed 64-bit numbers."""
     low = np.array([(tokens * f).min() for f in factors]) if len(tokens) > 50_000 else (factors[:, None] * tokens[None, :]).min(1)
     return ((low ^ factors) * _MIX).view(np.int64)
+
+
+def parity_words(tokens: np.ndarray, words: int) -> list[int]:
+    """Signed 64-bit words in which a bit says whether an odd number of the tokens fall on it."""
+    bits = np.uint64(1) << ((tokens >> np.uint64(8)) & np.uint64(63))
+    word = tokens % np.uint64(words)
+    found = [np.bitwise_xor.reduce(bits[word == np.uint64(w)], initial=np.uint64(0)) for w in range(words)]
+    return np.array(found, np.uint64).view(np.int64).tolist()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import whole_text
+from tabproof.llm.common import shipped, whole_text
 from tabproof.llm.quality import held_out
 
 #: Bounds of what the classifier is fitted on: confirmed toxic documents, unlabelled ones, features.
@@ -99,7 +99,7 @@ def _sample(docs: DataFrame, toxic: DataFrame, positives: int, unlabelled: int)
     wanted = confirmed.select("doc_id", F.lit(True).alias("positive")).unionByName(
         others.select("doc_id", F.lit(False).alias("positive"))
     )
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(wanted), "doc_id").select("text", "positive")
+    return shipped(docs).select("doc_id", whole_text().alias("text")).join(F.broadcast(wanted), "doc_id").select("text", "positive")
 
 
 def fit_toxicity(
@@ -109,7 +109,7 @@ def fit_toxicity(
 
     The class prior is the toxic share of all labelled rows that are not held out. The features are the
     ``features`` words and word beginnings that speak most for the confirmed side: in one of a hundred of its
-    documents and three at least, and half-way on the logarithmic scale from as frequent in both sides to
+    documents and three at least, and three quarters of the way, on a logarithmic scale, from as frequent on both sides to
     as much more frequent as what only toxic documents have. Without
     toxic or without other rows the model has no features and scores everything 0.
     """
@@ -136,7 +136,7 @@ def fit_toxicity(
     counts = sample.mapInArrow(count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     ratio = F.log((F.col("p") + 0.5) / sides[True]) - F.log((F.col("u") + 0.5) / sides[False])
     least = max(3, sides[True] // 100)
-    chosen = counts.where(F.col("p") >= least).where(ratio > 0.5 * float(np.log(1 / prior))).orderBy(F.desc(F.round(F.col("p") * ratio, 6)), "feature").limit(features)
+    chosen = counts.where(F.col("p") >= least).where(ratio > 0.75 * float(np.log(1 / prior))).orderBy(F.desc(F.round(F.col("p") * ratio, 6)), "feature").limit(features)
     names = tuple(row["feature"] for row in chosen.collect())
     index = {name: i for i, name in enumerate(names)}
 
