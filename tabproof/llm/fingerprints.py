@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from tabproof.llm.common import measured, whole_text
 
-#: Cells of a fingerprint, a third for each hash function. A failed comparison goes on with four times as many.
+#: Cells of a fingerprint, a third for each hash function. A failed comparison goes on with more.
 CELLS = 18
 GROWTH, TRIES, ROUNDS = 4, 9, 40
 #: Lines that are cut, and where: short texts have few lines, and a changed end should not hide an equal start.
-CUT_LINES, CUTS = 4, (0, 40, 160, 640, 2560, 10_240)
+CUT_LINES, CUTS = 2, (0, 40, 160, 640, 2560, 10_240)
 #: Ids of a slice in which documents see the next one.
 SLICE = 1000
 #: Slices whose first ids are broadcast at most; beyond that they are joined by shuffle.
 BROADCAST_SLICES = 200_000
 
-_CELL = "struct<n:int,k:bigint,h:int>"
+#: A cell that is not empty: its place, the count, the xor of the digests and the xor of their checks.
+_CELL = "struct<c:bigint,n:int,k:bigint,h:int>"
+_CELLS = f"array<{_CELL}>"
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -32,82 +34,83 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(lines, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def _place(key: Column, third: Column, width: Column) -> Column:
-    """Cell of ``key`` within the ``third``-th part of ``width`` cells."""
-    bits = F.when(third == 0, key).when(third == 1, F.shiftrightunsigned(key, 21)).otherwise(F.shiftrightunsigned(key, 42))
-    return F.pmod(bits.bitwiseAND(F.lit(0x1FFFFF)), width)
+def _cell(c: Column, n: Column, k: Column, h: Column) -> Column:
+    return F.struct(c.alias("c"), n.cast("int").alias("n"), k.alias("k"), h.alias("h"))
 
 
-def _cell(n: Column, k: Column, h: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), k.alias("k"), h.cast("int").alias("h")).cast(_CELL)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _hits(key: Column, at: Column, width: Column) -> Column:
-    return _place(key, F.floor(at / width), width) == at % width
+def _entries(digests: Column, sign: int, cells: Column) -> Column:
+    """Each digest alone in its three cells, one in each third of the table."""
+    width = F.floor(cells / 3)
 
+    def places(d: Column) -> Column:
+        spread = (d, F.shiftrightunsigned(d, 21), F.shiftrightunsigned(d, 42))
+        return F.array(*[_cell(F.pmod(x, width) + i * width, F.lit(sign), d, F.hash(d)) for i, x in enumerate(spread)])
 
-def table_of(digests: Column, cells: Column) -> Column:
-    """The lookup table: per cell the count, xor of digests, and xor of their checks, of the digests that fall there."""
-    width = F.floor(cells / 3)
-    empty = _cell(F.lit(0), F.lit(0).cast("bigint"), F.lit(0))
+    return F.flatten(F.transform(digests, places))
+
+
+def _merged(entries: Column) -> Column:
+    """Cells summed by place; those that come out empty are left out."""
+    state = f"struct<done:{_CELLS},now:{_CELL}>"
+    nothing = F.lit(None).cast(_CELL)
+
+    def kept(s: Column) -> Column:
+        now = s["now"]
+        gone = now.isNull() | ((now["n"] == 0) & (now["k"] == 0) & (now["h"] == 0))
+        return F.when(gone, s["done"]).otherwise(F.concat(s["done"], F.array(now)))
 
-    def cell(at: Column) -> Column:
-        mine = F.filter(digests, lambda d: _hits(d, at, width))
-        return F.aggregate(mine, empty, lambda s, d: _cell(s["n"] + 1, s["k"].bitwiseXOR(d), s["h"].bitwiseXOR(F.hash(d))))
+    def add(s: Column, x: Column) -> Column:
+        now = s["now"]
+        both = _cell(x["c"], now["n"] + x["n"], now["k"].bitwiseXOR(x["k"]), now["h"].bitwiseXOR(x["h"]))
+        same = now["c"].eqNullSafe(x["c"])
+        return F.struct(F.when(same, s["done"]).otherwise(kept(s)).alias("done"), F.when(same, both).otherwise(x).alias("now"))
 
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), cells - 1), cell)
+    start = F.struct(F.array().cast(_CELLS).alias("done"), nothing.alias("now")).cast(state)
+    return F.aggregate(F.sort_array(entries), start, add, kept)
+
+
+def table_of(digests: Column, cells: Column) -> Column:
+    """The lookup table of a set of digests, without its empty cells."""
+    return _merged(_entries(digests, 1, cells))
 
 
 def subtracted(one: Column, other: Column) -> Column:
-    return F.zip_with(
-        one, other, lambda a, b: _cell(a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["h"].bitwiseXOR(b["h"]))
-    )
+    """Cell by cell, so that digests in both tables leave no trace."""
+    return _merged(F.concat(one, F.transform(other, lambda c: _cell(c["c"], -c["n"], c["k"], c["h"]))))
 
 
 def peeled(difference: Column, cells: Column) -> Column:
-    """``(found, whole)``: signed digests that a difference of tables gives up, and whether these are all.
+    """Number of signed digests that a difference of tables gives up; -1 unless it gives up all.
 
     A cell with one digest left names it; taking it out of its other cells leaves more such cells.
     """
-    width = F.floor(cells / 3)
-    keys = "array<struct<k:bigint,n:int>>"
-
-    def pure(table: Column) -> Column:
-        alone = F.filter(table, lambda c: (F.abs(c["n"]) == 1) & (F.hash(c["k"]) == c["h"]))
-        return F.array_distinct(F.transform(alone, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n")))).cast(keys)
-
-    def without(table: Column, found: Column) -> Column:
-        def cell(c: Column, at: Column) -> Column:
-            mine = F.filter(found, lambda p: _hits(p["k"], at.cast("bigint"), width))
-            return F.aggregate(
-                mine, c, lambda s, p: _cell(s["n"] - p["n"], s["k"].bitwiseXOR(p["k"]), s["h"].bitwiseXOR(F.hash(p["k"])))
-            )
-
-        return F.transform(table, cell).cast(f"array<{_CELL}>")
-
-    state = f"struct<table:array<{_CELL}>,now:{keys},found:{keys}>"
-    start = F.struct(difference.alias("table"), pure(difference).alias("now"), F.array().alias("found")).cast(state)
-
-    def step(s: Column, _: Column) -> Column:
-        smaller = without(s["table"], s["now"])
-        moved = F.struct(smaller.alias("table"), F.array().cast(keys).alias("now"), F.concat(s["found"], s["now"]).alias("found"))
-        return F.when(F.size(s["now"]) == 0, s).otherwise(moved.cast(state))
-
-    def look(s: Column, i: Column) -> Column:
-        taken = step(s, i)
-        fresh = F.aggregate(
-            F.array(taken), F.lit(None).cast(state),
-            lambda _, t: F.struct(t["table"].alias("table"), pure(t["table"]).alias("now"), t["found"].alias("found")).cast(state),
-        )
-        return F.when(F.size(s["now"]) == 0, s).otherwise(fresh)
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, look)
+    state = f"struct<table:{_CELLS},found:bigint,stuck:boolean>"
+
+    def named(table: Column, sign: int) -> Column:
+        alone = F.filter(table, lambda c: (c["n"] == sign) & (F.hash(c["k"]) == c["h"]))
+        return F.array_distinct(F.transform(alone, lambda c: c["k"]))
+
+    def peel(s: Column, keys: Column) -> Column:
+        left, right = keys["left"], keys["right"]
+        rest = _merged(F.concat(s["table"], _entries(left, -1, cells), _entries(right, 1, cells)))
+        count = (F.size(left) + F.size(right)).cast("bigint")
+        moved = F.struct(rest.alias("table"), (s["found"] + count).alias("found"), F.lit(False).alias("stuck"))
+        stuck = F.struct(s["table"].alias("table"), s["found"].alias("found"), F.lit(True).alias("stuck"))
+        return F.when(count == 0, stuck).otherwise(moved)
+
+    def look(s: Column, _: Column) -> Column:
+        keys = F.struct(named(s["table"], 1).alias("left"), named(s["table"], -1).alias("right"))
+        return F.when(s["stuck"] | (F.size(s["table"]) == 0), s).otherwise(_let(keys, lambda k: peel(s, k)))
+
+    start = F.struct(difference.alias("table"), F.lit(0).cast("bigint").alias("found"), F.lit(False).alias("stuck")).cast(state)
     return F.aggregate(
-        F.array(end), F.lit(None).cast(f"struct<found:{keys},whole:boolean>"),
-        lambda _, s: F.struct(
-            s["found"].alias("found"),
-            F.forall(s["table"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)).alias("whole"),
-        ).cast(f"struct<found:{keys},whole:boolean>"),
+        F.sequence(F.lit(1), F.lit(ROUNDS)), start, look,
+        lambda s: F.when(F.size(s["table"]) == 0, s["found"]).otherwise(F.lit(-1).cast("bigint")),
     )
 
 
@@ -117,26 +120,20 @@ def differing(one: Column, other: Column, one_table: Column, other_table: Column
     The tables of ``CELLS`` are subtracted and peeled; on failure both sets are tabled anew with
     ``GROWTH`` times the cells, and so on. Should the last table fail too, the sets are compared.
     """
-    state = "struct<cells:bigint,n:bigint>"
-
     def attempt(difference: Column, cells: Column) -> Column:
-        peel = peeled(difference, cells)
-        return F.aggregate(
-            F.array(peel), F.lit(None).cast(state),
-            lambda _, p: F.struct(
-                cells.alias("cells"), F.when(p["whole"], F.size(p["found"]).cast("bigint")).otherwise(F.lit(-1)).alias("n")
-            ).cast(state),
-        )
-
-    first = attempt(subtracted(one_table, other_table), F.lit(CELLS).cast("bigint"))
+        return F.struct(cells.alias("cells"), peeled(difference, cells).alias("n"))
 
     def again(s: Column, _: Column) -> Column:
-        cells = s["cells"] * GROWTH
-        return F.when(s["n"] >= 0, s).otherwise(attempt(subtracted(table_of(one, cells), table_of(other, cells)), cells))
+        larger = _let(
+            s["cells"] * GROWTH, lambda cells: attempt(subtracted(table_of(one, cells), table_of(other, cells)), cells)
+        )
+        return F.when(s["n"] >= 0, s).otherwise(larger)
 
-    tried = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), first, again)
     exact = (F.size(F.array_except(one, other)) + F.size(F.array_except(other, one))).cast("bigint")
-    return F.aggregate(F.array(tried), F.lit(0).cast("bigint"), lambda _, s: F.when(s["n"] >= 0, s["n"]).otherwise(exact))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(TRIES)), attempt(subtracted(one_table, other_table), F.lit(CELLS).cast("bigint")), again,
+        lambda s: F.when(s["n"] >= 0, s["n"]).otherwise(exact),
+    )
 
 
 def likeness(one: Column, other: Column, differ: Column) -> Column:
@@ -146,9 +143,12 @@ def likeness(one: Column, other: Column, differ: Column) -> Column:
 
 
 def written(table: Column, digests: Column) -> Column:
-    """A table as text: number of digests, then count, digests and checks of each cell."""
-    cells = F.transform(table, lambda c: F.concat_ws(":", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["h"].bitwiseAND(F.lit(0xFFFFFFFF)))))
-    return F.concat_ws(";", F.size(digests).cast("string"), F.array_join(cells, ";"))
+    """A table as text: number of digests, then place, count, digests and checks of each cell that is not empty."""
+    parts = F.transform(
+        table,
+        lambda c: F.concat_ws(":", c["c"].cast("string"), c["n"].cast("string"), F.hex(c["k"]), F.hex(c["h"].bitwiseAND(F.lit(0xFFFFFFFF)))),
+    )
+    return F.concat_ws(";", F.size(digests).cast("string"), F.array_join(parts, ";"))
 
 
 def _slice(key: str) -> Column:
