@@ -27,16 +27,28 @@ _DIRECTIVES = {
 }
 
 
+def _strftime_body() -> str:
+    """SQL that writes a moment by a pattern, token by token.
+
+    Literal runs are quoted, so their letters are not read as pattern letters, and ``%%`` is a
+    percent sign. An unknown directive raises, as guessing would change verdicts.
+    """
+    letters = " ".join(f"when '{d}' then date_format(moment, '{letter}')" for d, letter in _DIRECTIVES.items())
+    tokens = "regexp_extract_all(pattern, r'(?s)%.?|[^%]+', 0)"
+    written = (
+        f"case when token = '%%' then '%' when not startswith(token, '%') then token else case token {letters} "
+        "else raise_error(concat('Unknown directive in strftime: ', token)) end end"
+    )
+    return f"array_join(transform({tokens}, token -> {written}), '')"
+
+
 def register_dialect(spark: SparkSession) -> None:
     """Make ``regexp_matches`` and ``strftime`` usable in predicates."""
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION regexp_matches(text STRING, pattern STRING) "
         "RETURNS BOOLEAN RETURN regexp_like(text, pattern)"
     )
-    letters = "pattern"
-    for directive, letter in _DIRECTIVES.items():
-        letters = f"replace({letters}, '{directive}', '{letter}')"
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION strftime(moment TIMESTAMP_NTZ, pattern STRING) "
-        f"RETURNS STRING RETURN date_format(moment, {letters})"
+        f"RETURNS STRING RETURN if(moment is null, null, {_strftime_body()})"
     )

@@ -59,6 +59,3 @@ def file_problem(
         )
     )
 
-
-def is_large(length: Column) -> Column:
-    return length > LARGE_FILE_BYTES

@@ -16,44 +16,46 @@ from pyspark.sql import functions as F
 MAX_EXPRESSION_LENGTH = 1000
 
 BANNED_KEYWORDS = (
-    "select from where join union intersect except with "
-    "insert update delete merge drop create alter truncate "
-    "attach detach copy install load pragma set reset "
-    "call export import checkpoint vacuum analyze explain "
-    "prepare execute deallocate describe summarize pivot "
-    "unpivot grant revoke begin commit rollback"
-).split()
+    "select", "from", "where", "join", "union", "intersect", "except", "with",
+    "insert", "update", "delete", "merge", "drop", "create", "alter", "truncate",
+    "attach", "detach", "copy", "install", "load", "pragma", "set", "reset",
+    "call", "export", "import", "checkpoint", "vacuum", "analyze", "explain",
+    "prepare", "execute", "deallocate", "describe", "summarize", "pivot",
+    "unpivot", "grant", "revoke", "begin", "commit", "rollback",
+)
 
 BANNED_FUNCTIONS = (
-    "glob getenv shell system query query_table sniff_csv "
-    "sql_auto_complete duckdb_settings duckdb_extensions which_secret "
-    "current_setting gen_random_uuid_v7"
-).split()
+    "glob", "getenv", "shell", "system", "query", "query_table", "sniff_csv",
+    "sql_auto_complete", "duckdb_settings", "duckdb_extensions", "which_secret",
+    "current_setting", "gen_random_uuid_v7",
+)
 
-BANNED_PREFIXES = "read_ scan_ parquet_ iceberg_ delta_ postgres_ sqlite_ mysql_".split()
-BANNED_SUFFIXES = "_scan _replacement_scan".split()
+BANNED_PREFIXES = ("read_", "scan_", "parquet_", "iceberg_", "delta_", "postgres_", "sqlite_", "mysql_")
+BANNED_SUFFIXES = ("_scan", "_replacement_scan")
 
 MARKERS = ("--", "/*", "*/", "$$")
 
 # Spark functions that reach the JVM, the session or the file being read, or that
 # exist to raise an error.
 BANNED_SPARK_FUNCTIONS = (
-    "reflect java_method try_reflect raise_error assert_true "
-    "input_file_name input_file_block_start input_file_block_length "
-    "current_user session_user user current_catalog current_database current_schema "
-    "version spark_partition_id monotonically_increasing_id rand randn random uuid "
-    "shuffle randstr uniform"
-).split()
+    "reflect", "java_method", "try_reflect", "raise_error", "assert_true",
+    "input_file_name", "input_file_block_start", "input_file_block_length",
+    "current_user", "session_user", "user", "current_catalog", "current_database", "current_schema",
+    "version", "spark_partition_id", "monotonically_increasing_id", "rand", "randn", "random", "uuid",
+    "shuffle", "randstr", "uniform",
+)
 
 _PREFIXED = "^(" + "|".join(BANNED_PREFIXES) + ")"
 _SUFFIXED = "(" + "|".join(BANNED_SUFFIXES) + r")\z"
 
 
+#: Literals and quoted names, whichever opens first: one scan from left to right, as Spark reads them.
+QUOTED = "'[^']*+'|\"[^\"]*+\"|`[^`]*+`"
+
+
 def inert(expression: Column) -> Column:
     """The expression with quoted text replaced, so only live words are scanned."""
-    text = F.regexp_replace(expression, "'[^']*+'", " 'str' ")
-    text = F.regexp_replace(text, '"[^"]*+"', " ident ")
-    return F.regexp_replace(text, "`[^`]*+`", " ident ")
+    return F.regexp_replace(expression, QUOTED, " ident ")
 
 
 def _unbalanced(text: Column) -> Column:
@@ -76,11 +78,11 @@ def _unbalanced(text: Column) -> Column:
 def _word_reason(token: Column) -> Column:
     return (
         F.when(
-            token.isin(BANNED_KEYWORDS),
+            token.isin(*BANNED_KEYWORDS),
             F.concat(F.lit('Keyword "'), token, F.lit('" is not allowed in a row predicate.')),
         )
         .when(
-            token.isin(BANNED_FUNCTIONS + BANNED_SPARK_FUNCTIONS),
+            token.isin(*BANNED_FUNCTIONS, *BANNED_SPARK_FUNCTIONS),
             F.concat(F.lit('Function "'), token, F.lit('" is not allowed.')),
         )
         .when(
@@ -119,6 +121,7 @@ def expression_reason(expression: Column) -> Column:
             F.contains(live, F.lit(marker)),
             F.lit(f"Comment or dollar-quote marker ({marker}) is not allowed."),
         )
+    reason = reason.when(live.rlike("""['"`]"""), F.lit("Unclosed quote."))
     return reason.when(_unbalanced(live), F.lit("Unbalanced parentheses.")).otherwise(
         F.try_element_at(reasons, F.lit(1))
     )
@@ -133,7 +136,20 @@ def columns_reason(columns: Column, known: Column) -> Column:
     )
 
 
-_QUOTED = re.compile(r"""'(?:[^']|'')*'|"((?:[^"]|"")*)\"""")
+_LIVE_CALL = re.compile(r"([A-Za-z_][\w.]*|0q)\s*\(")
+
+
+def called_names(expression: str) -> set[str]:
+    """Lower-case names before a parenthesis, ``0q`` for a quoted one."""
+
+    def stand_in(match: re.Match[str]) -> str:
+        return " " if match[0].startswith("'") else " 0q "
+
+    live = re.sub(r"""'[^']*'|"[^"]*"|`[^`]*`""", stand_in, expression)
+    return {name.lower() for name in _LIVE_CALL.findall(live)}
+
+
+_QUOTED = re.compile(r"""'(?:[^']|'')*'|"((?:[^"]|"")*)"|`(?:[^`]|``)*`""")
 
 
 def spark_expression(expression: str) -> str:
@@ -147,7 +163,7 @@ def spark_expression(expression: str) -> str:
         text = match.group(0)
         if text.startswith('"'):
             return "`" + match.group(1).replace('""', '"').replace("`", "``") + "`"
-        if "\\" not in text:
+        if text.startswith("`") or "\\" not in text:
             return text
         if "''" in text[1:-1]:
             return text.replace("\\", "\\\\")

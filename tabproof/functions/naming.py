@@ -9,10 +9,10 @@ MAX_TABLE_NAME_LENGTH = 64
 
 # Names that would clash with SQL keywords get a suffix.
 RESERVED_NAMES = (
-    "table select from where group order by join "
-    "union all and or not null true false case when "
-    "then else end as on in is like between default"
-).split()
+    "table", "select", "from", "where", "group", "order", "by", "join",
+    "union", "all", "and", "or", "not", "null", "true", "false", "case", "when",
+    "then", "else", "end", "as", "on", "in", "is", "like", "between", "default",
+)
 
 
 def base_table_name(label: Column) -> Column:
@@ -28,10 +28,11 @@ def base_table_name(label: Column) -> Column:
     slug = F.regexp_replace(slug, r"^_+|_+\z", "")
     # Room for the prefix and for a counter.
     slug = F.substring(slug, 1, MAX_TABLE_NAME_LENGTH - 8)
+    # The names given to labels without a usable word, to digits and to keywords.
     return (
         F.when(slug == "", F.lit("t_table"))
         .when(slug.rlike("^[0-9]"), F.concat(F.lit("t_"), slug))
-        .when(slug.isin(RESERVED_NAMES), F.concat(slug, F.lit("_tbl")))
+        .when(slug.isin(*RESERVED_NAMES), F.concat(slug, F.lit("_tbl")))
         .otherwise(slug)
     )
 

@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from tabproof.functions.types import STRING, column_class, is_floating
 
-# How much of a text is masked, and what a published shape may hold.
-MASK_CHARS = 40
+# What a published shape may hold.
 MAX_SHAPE_LENGTH = 60
 ALLOWED_SHAPE = r"^[aA9\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]*\z"
 
@@ -23,8 +22,6 @@ SPACE_SEPARATORS = "".join(
     chr(c) for c in (0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)
 )
 
-_SHORT_TEXT = 32
-
 # Texts up to this many characters are grouped as they are, longer ones by digest.
 _DIGEST_OVER = 64
 
@@ -39,9 +36,12 @@ def quote_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def format_mask(text: str) -> str:
-    """Digits to 9, letters to A or a, any other non-ASCII character to a."""
-    head = f"substr({text}, 1, {MASK_CHARS})"
+def format_mask(text: str, chars: int | None = None) -> str:
+    """Digits to 9, letters to A or a, any other non-ASCII character to a.
+
+    The whole text is masked, or its first ``chars`` characters.
+    """
+    head = text if chars is None else f"substr({text}, 1, {chars})"
     # Most texts are plain ASCII, where one character table does what the patterns do.
     table = string.ascii_uppercase + string.ascii_lowercase + string.digits
     plain = f"translate({head}, '{table}', '{'A' * 26 + 'a' * 26 + '9' * 10}')"
@@ -96,21 +96,14 @@ def is_untrimmed(text: str) -> str:
 def class_lengths(text: str) -> dict[str, str]:
     """Number of characters of each class in one text.
 
-    Short texts are counted with a character table, long ones, where that is slower,
-    with a pattern.
+    Each class is taken out of what the ones before left, so only the first reads the whole text.
     """
-    classes = {
-        "alpha": (string.ascii_letters, "[^A-Za-z]+"),
-        "digit": (string.digits, "[^0-9]+"),
-        "space": (" \t\n\x0b\x0c\r", r"[^\s]+"),
-        "punct": (string.punctuation, r"[^\p{Punct}]+"),
-    }
-    return {"chars": f"length({text})"} | {
-        name: f"if(length({text}) <= {_SHORT_TEXT}, "
-        f"length({text}) - length(translate({text}, {quote_text(members)}, '')), "
-        f"length(regexp_replace({text}, r'{others}', '')))"
-        for name, (members, others) in classes.items()
-    }
+    out, left = {"chars": f"length({text})"}, text
+    for name, members in (("alpha", "[A-Za-z]+"), ("digit", "[0-9]+"), ("space", r"\s+"), ("punct", r"\p{Punct}+")):
+        rest = f"regexp_replace({left}, r'{members}', '')"
+        out[name] = f"length({left}) - length({rest})"
+        left = rest
+    return out
 
 
 def key_digest(text: str) -> str:

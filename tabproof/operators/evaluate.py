@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabproof.functions.guard import spark_expression
+from tabproof.functions.guard import called_names, spark_expression
 from tabproof.functions.text import group_key, quote_name
 from tabproof.functions.types import common_key_type
 from tabproof.operators.admission import admit_checks
@@ -22,6 +23,10 @@ from tabproof.session import local_frame
 # Fixed value: rows shown of a falsified check.
 PREVIEW_ROWS = 200
 
+# Predicates counted in one aggregate, and key checks run in one job.
+EXPRESSION_BUDGET = 180
+KEY_CHECKS_PER_JOB = 40
+
 RESULT_SCHEMA = (
     "id string, status string, violations bigint, row_count bigint, pct double, "
     "reason string, ms bigint, sql string"
@@ -119,6 +124,19 @@ def reference_violations(
     return _total(orphan_keys(child, columns, parent, parent_columns))
 
 
+def orderable(df: DataFrame) -> list[Column]:
+    """The columns rows can be ordered by, in order: all but maps and variants."""
+
+    def can(data_type: T.DataType) -> bool:
+        if isinstance(data_type, T.ArrayType):
+            return can(data_type.elementType)
+        if isinstance(data_type, T.StructType):
+            return all(can(f.dataType) for f in data_type.fields)
+        return not isinstance(data_type, (T.MapType, T.VariantType))
+
+    return [F.col(quote_name(f.name)) for f in df.schema.fields if can(f.dataType)]
+
+
 def _rows_of(
     df: DataFrame, keys: Sequence[Column], found: DataFrame, total_rows: int, limit: int | None
 ) -> DataFrame:
@@ -127,8 +145,7 @@ def _rows_of(
     if limit is None:
         rows = rows_with_keys(keyed, found, names, total_rows)
     else:
-        order = [F.col(quote_name(c)) for c in df.columns]
-        rows = first_rows_with_keys(keyed, found, names, order, limit)
+        rows = first_rows_with_keys(keyed, found, names, orderable(df), limit)
     return rows.drop(*names)
 
 
@@ -162,7 +179,8 @@ def violating_rows(catalog, check: Check, limit: int | None = PREVIEW_ROWS) -> D
     df = catalog.frame(check.table)
     if check.kind == "row_predicate":
         rows = predicate_rows(df, check.expression)
-        return rows if limit is None else rows.limit(limit)
+        # The same rows every time; each task keeps its first ones.
+        return rows if limit is None else rows.orderBy(*orderable(df)).limit(limit)
     total = catalog.row_counts([check.table])[check.table] if limit is None else 0
     if check.kind == "unique":
         return duplicate_rows(df, check.columns, total_rows=total, limit=limit)
@@ -198,45 +216,129 @@ def _error_reason(error: PySparkException) -> str:
     return message if condition is None or condition in message else f"[{condition}] {message}"
 
 
-def implicit_text_casts(spark: SparkSession, df: DataFrame) -> list[str]:
-    """Types to which Spark, unasked, casts text values in a frame's last step.
+#: Expressions that no value of a row can make fail.
+_NEVER_FAIL = frozenset(
+    (
+        "Alias", "And", "Or", "Not", "Literal", "AttributeReference", "EqualTo", "EqualNullSafe", "LessThan",
+        "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual", "IsNull", "IsNotNull", "IsNaN", "In", "InSet", "Between",
+        "Coalesce", "If", "CaseWhen", "NullIf", "Length", "OctetLength", "Upper", "Lower", "StringTrim",
+        "StringTrimLeft", "StringTrimRight", "StartsWith", "EndsWith", "Contains", "Like", "Substring", "Concat",
+    )
+)
+
+#: Names of expressions that a row predicate may not hold, whatever text they came from.
+_FORBIDDEN = frozenset(
+    (
+        "ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery", "ScalaUDF", "ScalaUDAF",
+        "ScalaAggregator", "PythonUDF", "PythonUDAF", "HiveSimpleUDF", "HiveGenericUDF", "HiveUDAFFunction",
+        "ApplyFunctionExpression", "CallMethodViaReflection", "TryReflect", "InputFileName", "InputFileBlockStart",
+        "InputFileBlockLength", "SparkPartitionID", "MonotonicallyIncreasingID", "CurrentUser",
+    )
+)
+
+#: Words of the grammar that a parenthesis may follow.
+_GRAMMAR = frozenset(
+    (
+        "all", "and", "any", "as", "between", "by", "case", "cast", "distinct", "else", "end", "escape", "except",
+        "extract", "filter", "in", "interval", "is", "like", "not", "null", "or", "over", "rlike", "some", "then", "try_cast",
+        "when",
+    )
+)
+
+#: SQL functions of the session that predicates may call.
+_OWN_FUNCTIONS = ("regexp_matches", "strftime")
 
-    ``'0001' > 0`` would silently compare numbers; such a predicate is refused. Only
-    the analysed plan tells asked-for casts from others, and only a classic session
-    shows it; a remote session reports none.
+
+@dataclass
+class _Inspected:
+    """What the analysed plan of one predicate shows."""
+
+    text_casts: list[str]
+    forbidden: list[str]
+    can_fail: bool
+
+
+def inspect_predicate(spark: SparkSession, df: DataFrame) -> _Inspected:
+    """Look through the expressions of a frame's last step.
+
+    ``'0001' > 0`` would silently compare numbers, so unasked casts of text are listed.
+    Subqueries, user functions and whatever is not deterministic are listed by name. Only the
+    analysed plan shows these for certain, and only a classic session shows the plan.
     """
-    if not hasattr(df, "_jdf"):
-        return []
     jvm = spark._jvm.org.apache.spark.sql.catalyst.expressions
     asked_for = jvm.Cast.USER_SPECIFIED_CAST()
-    found = []
+    found = _Inspected([], [], False)
 
     def visit(node) -> None:
-        if node.getClass().getSimpleName() == "Cast":
-            source, target = node.child().dataType().typeName(), node.dataType().typeName()
+        name = node.getClass().getSimpleName()
+        if name == "Cast":
+            source, target = node.child().dataType(), node.dataType()
             unasked = not node.getTagValue(asked_for).isDefined()
-            if unasked and source == "string" != target and not node.child().foldable():
-                found.append(target)
+            if unasked and source.typeName() == "string" != target.typeName() and not node.child().foldable():
+                found.text_casts.append(target.typeName())
+            if not jvm.Cast.canUpCast(source, target) and target.typeName() != "string":
+                found.can_fail = found.can_fail or not node.child().foldable()
+        elif name == "SQLScalarFunction":
+            called = node.function().name().funcName()
+            if called not in _OWN_FUNCTIONS:
+                found.forbidden.append(called)
+            found.can_fail = True
+        elif name in _FORBIDDEN:
+            found.forbidden.append(name)
+        elif name not in _NEVER_FAIL:
+            found.can_fail = True
         children = node.children()
         for i in range(children.size()):
             visit(children.apply(i))
 
     expressions = df._jdf.queryExecution().analyzed().expressions()
     for i in range(expressions.size()):
-        visit(expressions.apply(i))
+        node = expressions.apply(i)
+        if not node.deterministic():
+            found.forbidden.append("a value that changes from run to run")
+        visit(node)
     return found
 
 
-def predicate_reason(df: DataFrame, expression: str) -> str | None:
-    """Why Spark cannot evaluate a predicate on a table, or None. Starts no job."""
+def foreign_function(spark: SparkSession, expression: str) -> str | None:
+    """A function the predicate calls that is neither Spark's own nor ours, or None.
+
+    Functions registered in the session or the catalog run whatever their owner wrote; SQL ones
+    are inlined before the plan can show them.
+    """
+    catalog = spark._jsparkSession.sessionState().catalog()
+    builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    for name in sorted(called_names(expression) - _GRAMMAR - set(_OWN_FUNCTIONS)):
+        known = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+        if catalog.isTemporaryFunction(known) or catalog.isPersistentFunction(known) or name == "0q":
+            return name
+        if not builtin.functionExists(known) and "." in name:
+            return name
+    return None
+
+
+def _inspected(df: DataFrame, expression: str) -> tuple[str | None, bool]:
+    """Why Spark cannot or may not evaluate a predicate on a table, or None; whether a row can make it fail."""
+    if not hasattr(df, "_jdf"):
+        return "Predicates are run in classic sessions only, where their plans can be inspected.", False
+    foreign = foreign_function(df.sparkSession, expression)
+    if foreign is not None:
+        return f'Function "{foreign}" is not allowed.', False
     try:
         bound = df.filter(F.expr(spark_expression(expression)).cast("boolean"))
-        casts = implicit_text_casts(df.sparkSession, bound)
+        seen = inspect_predicate(df.sparkSession, bound)
     except PySparkException as error:
-        return _error_reason(error)
-    if casts:
-        return f"Cannot compare string with {casts[0]} without a cast: type mismatch."
-    return None
+        return _error_reason(error), False
+    if seen.forbidden:
+        return f'Function "{seen.forbidden[0]}" is not allowed.', False
+    if seen.text_casts:
+        return f"Cannot compare string with {seen.text_casts[0]} without a cast: type mismatch.", False
+    return None, seen.can_fail
+
+
+def predicate_reason(df: DataFrame, expression: str) -> str | None:
+    """Why Spark cannot or may not evaluate a predicate on a table, or None. Starts no job."""
+    return _inspected(df, expression)[0]
 
 
 @dataclass
@@ -246,57 +348,90 @@ class _Outcome:
     ms: int | None = None
 
 
-def _suspects(error: PySparkException, batch: Sequence[Check]) -> set[str]:
-    """Ids of the checks whose text holds the fragment an error points at."""
+@dataclass(frozen=True)
+class _Asked:
+    """A check to run: its place in the batch, which nothing else shares, and whether a row can make it fail."""
+
+    place: int
+    check: Check
+    can_fail: bool = False
+
+
+def _is_the_checks_fault(error: PySparkException) -> bool:
+    """Whether an error comes from what a check computes, not from files, executors or the session."""
+    try:
+        if error.getQueryContext():
+            return True
+    except Exception:  # some errors carry no context
+        pass
+    return (error.getSqlState() or "").startswith(("22", "42", "P0"))
+
+
+def _suspects(error: PySparkException, batch: Sequence[_Asked]) -> set[int]:
+    """Places of the checks whose text holds the fragment an error points at."""
     try:
         fragments = [c.fragment() for c in error.getQueryContext()]
     except Exception:  # some errors carry no context
         return set()
-    return {c.id for c in batch for f in fragments if f and f in spark_expression(c.expression)}
+    return {a.place for a in batch for f in fragments if f and f in spark_expression(a.check.expression)}
+
+
+def _predicate_counts(catalog, batch: Sequence[_Asked]) -> list[DataFrame]:
+    """Frames ``(place, n)``: one aggregate per table and ``EXPRESSION_BUDGET`` predicates."""
+    parts = []
+    for table in dict.fromkeys(a.check.table for a in batch):
+        mine = [a for a in batch if a.check.table == table]
+        for at in range(0, len(mine), EXPRESSION_BUDGET):
+            chunk = mine[at : at + EXPRESSION_BUDGET]
+            counts = [f"count_if({violates_sql(a.check.expression)}) as n{a.place}" for a in chunk]
+            pairs = ", ".join(f"named_struct('place', {a.place}, 'n', n{a.place})" for a in chunk)
+            parts.append(catalog.frame(table).selectExpr(*counts).selectExpr(f"inline(array({pairs}))"))
+    return parts
 
 
-def _count_predicates(catalog, batch: Sequence[Check], out: dict[str, _Outcome]) -> None:
-    """Count all predicates in one job: one aggregate per table, whatever their number.
+def _count_predicates(catalog, batch: Sequence[_Asked], out: dict[int, _Outcome]) -> None:
+    """Count all predicates: one job for those that no row can make fail, one for the others.
 
-    When a predicate fails on some row, the batch is split and run again, so that only
-    that predicate is skipped.
+    When one of the others fails, they are split and run again, so that only that predicate
+    is skipped and no finished count is lost. Errors that are not a predicate's fault are raised.
     """
+    for can_fail in (False, True):
+        _run_predicates(catalog, [a for a in batch if a.can_fail == can_fail], out)
+
+
+def _run_predicates(catalog, batch: Sequence[_Asked], out: dict[int, _Outcome]) -> None:
     if not batch:
         return
-    parts = []
-    for table in dict.fromkeys(c.table for c in batch):
-        mine = [c for c in batch if c.table == table]
-        counts = [f"count_if({violates_sql(c.expression)}) as n{i}" for i, c in enumerate(mine)]
-        pairs = ", ".join(f"named_struct('id', '{c.id}', 'n', n{i})" for i, c in enumerate(mine))
-        counted = catalog.frame(table).selectExpr(*counts)
-        parts.append(counted.selectExpr(f"inline(array({pairs}))"))
     started = time.monotonic()
     try:
-        rows = reduce(DataFrame.unionByName, parts).collect()
+        rows = reduce(DataFrame.unionByName, _predicate_counts(catalog, batch)).collect()
     except PySparkException as error:
+        if not _is_the_checks_fault(error):
+            raise
         if len(batch) == 1:
-            out[batch[0].id] = _Outcome(reason=_error_reason(error))
+            out[batch[0].place] = _Outcome(reason=_error_reason(error))
             return
         suspects = _suspects(error, batch)
-        first = [c for c in batch if c.id in suspects]
-        rest = [c for c in batch if c.id not in suspects]
+        first = [a for a in batch if a.place in suspects]
+        rest = [a for a in batch if a.place not in suspects]
         if not first or not rest:
             first, rest = batch[: len(batch) // 2], batch[len(batch) // 2 :]
-        _count_predicates(catalog, first, out)
-        _count_predicates(catalog, rest, out)
+        _run_predicates(catalog, first, out)
+        _run_predicates(catalog, rest, out)
         return
     ms = round((time.monotonic() - started) * 1000 / len(batch))
     for row in rows:
-        out[row["id"]] = _Outcome(violations=row["n"], ms=ms)
+        out[row["place"]] = _Outcome(violations=row["n"], ms=ms)
 
 
-def _count_keys(catalog, batch: Sequence[Check], out: dict[str, _Outcome]) -> None:
-    """Count all uniqueness and reference checks in one job; equal checks run once."""
-    asked: dict[tuple, list[Check]] = {}
-    for c in batch:
+def _count_keys(catalog, batch: Sequence[_Asked], out: dict[int, _Outcome]) -> None:
+    """Count all uniqueness and reference checks, many to a job; equal checks run once."""
+    asked: dict[tuple, list[_Asked]] = {}
+    for a in batch:
+        c = a.check
         columns = tuple(sorted(c.columns)) if c.kind == "unique" else c.columns
         key = (c.kind, c.table, columns, c.references_table, c.references_columns)
-        asked.setdefault(key, []).append(c)
+        asked.setdefault(key, []).append(a)
     built = []
     for (kind, table, columns, parent, parent_columns), same in asked.items():
         df = catalog.frame(table)
@@ -307,12 +442,13 @@ def _count_keys(catalog, batch: Sequence[Check], out: dict[str, _Outcome]) -> No
                 counted = reference_violations(df, columns, catalog.frame(parent), parent_columns)
             built.append((counted, same))
         except PySparkException as error:  # a type Spark cannot group or cast
-            for check in same:
-                out[check.id] = _Outcome(reason=_error_reason(error))
-    _run_key_counts(built, out)
+            for a in same:
+                out[a.place] = _Outcome(reason=_error_reason(error))
+    for at in range(0, len(built), KEY_CHECKS_PER_JOB):
+        _run_key_counts(built[at : at + KEY_CHECKS_PER_JOB], out)
 
 
-def _run_key_counts(built: Sequence[tuple[DataFrame, list[Check]]], out: dict[str, _Outcome]) -> None:
+def _run_key_counts(built: Sequence[tuple[DataFrame, list[_Asked]]], out: dict[int, _Outcome]) -> None:
     if not built:
         return
     parts = [counted.select(F.lit(i).alias("i"), "violations") for i, (counted, _) in enumerate(built)]
@@ -320,9 +456,11 @@ def _run_key_counts(built: Sequence[tuple[DataFrame, list[Check]]], out: dict[st
     try:
         rows = reduce(DataFrame.unionByName, parts).collect()
     except PySparkException as error:
+        if not _is_the_checks_fault(error):
+            raise
         if len(built) == 1:
-            for check in built[0][1]:
-                out[check.id] = _Outcome(reason=_error_reason(error))
+            for a in built[0][1]:
+                out[a.place] = _Outcome(reason=_error_reason(error))
             return
         half = len(built) // 2
         _run_key_counts(built[:half], out)
@@ -330,41 +468,45 @@ def _run_key_counts(built: Sequence[tuple[DataFrame, list[Check]]], out: dict[st
         return
     ms = round((time.monotonic() - started) * 1000 / sum(len(same) for _, same in built))
     for row in rows:
-        for check in built[row["i"]][1]:
-            out[check.id] = _Outcome(violations=row["violations"], ms=ms)
+        for a in built[row["i"]][1]:
+            out[a.place] = _Outcome(violations=row["violations"], ms=ms)
 
 
 def evaluate_checks(catalog, checks: DataFrame) -> DataFrame:
     """Run a batch of checks; one result row per check, see ``RESULT_SCHEMA``.
 
-    A check that cannot run is ``skipped`` with a reason and never hurts the others.
-    The checks and their counts pass through the driver; rows of the tables do not.
+    A check that cannot run is ``skipped`` with a reason and never hurts the others. Checks
+    are told apart by their place, so ids may repeat and hold any text. The checks and
+    their counts pass through the driver; rows of the tables do not.
     """
     spark = catalog.spark
     rows = admit_checks(checks, catalog.schemas()).collect()
     admitted = [Check.from_row(r) for r in rows]
-    out = {r["id"]: _Outcome(reason=r["reason"]) for r in rows if r["reason"] is not None}
-    for check in admitted:
-        if check.id not in out and check.kind == "row_predicate":
-            reason = predicate_reason(catalog.frame(check.table), check.expression)
+    refused = {i for i, r in enumerate(rows) if r["reason"] is not None}
+    out = {i: _Outcome(reason=rows[i]["reason"]) for i in refused}
+    todo = []
+    for i, check in enumerate(admitted):
+        can_fail = False
+        if i not in out and check.kind == "row_predicate":
+            reason, can_fail = _inspected(catalog.frame(check.table), check.expression)
             if reason is not None:
-                out[check.id] = _Outcome(reason=reason)
-    todo = [c for c in admitted if c.id not in out]
-    _count_predicates(catalog, [c for c in todo if c.kind == "row_predicate"], out)
-    _count_keys(catalog, [c for c in todo if c.kind != "row_predicate"], out)
+                out[i] = _Outcome(reason=reason)
+        if i not in out:
+            todo.append(_Asked(i, check, can_fail))
+    _count_predicates(catalog, [a for a in todo if a.check.kind == "row_predicate"], out)
+    _count_keys(catalog, [a for a in todo if a.check.kind != "row_predicate"], out)
 
-    counts = catalog.row_counts(dict.fromkeys(c.table for c in todo))
-    refused = {r["id"] for r in rows if r["reason"] is not None}
+    counts = catalog.row_counts(dict.fromkeys(a.check.table for a in todo))
     results = [
         (
             c.id,
-            out[c.id].violations,
-            None if out[c.id].reason else counts.get(c.table),
-            out[c.id].reason,
-            out[c.id].ms,
-            None if c.id in refused else c.sql(),
+            out[i].violations,
+            None if out[i].reason else counts.get(c.table),
+            out[i].reason,
+            out[i].ms,
+            None if i in refused else c.sql(),
         )
-        for c in admitted
+        for i, c in enumerate(admitted)
     ]
     frame = local_frame(
         spark,

@@ -17,21 +17,30 @@ MAX_VALUES = 50
 TIME_BUCKET = "month"
 
 
-def dimensions(df: DataFrame, *, max_values: int = MAX_VALUES) -> list[str]:
-    """Columns with few values, and date columns: what a violation may be confined to.
+def dimension_sizes(df: DataFrame) -> dict[str, int]:
+    """Sketched numbers of values of the columns that may be dimensions, dates apart.
 
-    One pass with small sketches, so wide tables cost no more than one scan.
+    One pass with small sketches, so wide tables cost no more than one scan. Those above
+    the limit given to :func:`dimensions` are the ones it leaves out.
     """
     plain = [
         f.name
         for f in df.schema.fields
         if K.column_class(f.dataType) in (K.STRING, K.BOOLEAN) or K.is_integral(f.dataType)
     ]
-    few = set()
-    if plain:
-        stats = {f"n{i}": sketches.distinct([quote_name(c)]) for i, c in enumerate(plain)}
-        row = sketches.aggregate(df, stats).first()
-        few = {c for i, c in enumerate(plain) if row[f"n{i}"] <= max_values}
+    if not plain:
+        return {}
+    stats = {f"n{i}": sketches.distinct([quote_name(c)]) for i, c in enumerate(plain)}
+    row = sketches.aggregate(df, stats).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(plain)}
+
+
+def dimensions(df: DataFrame, *, max_values: int | None = MAX_VALUES) -> list[str]:
+    """Columns with at most ``max_values`` values (None: any number), and date columns.
+
+    What a violation may be confined to; :func:`dimension_sizes` tells what was left out.
+    """
+    few = {c for c, n in dimension_sizes(df).items() if max_values is None or n <= max_values}
     dates = {f.name for f in df.schema.fields if K.column_class(f.dataType) == K.TEMPORAL}
     return [c for c in df.columns if c in few | dates]
 

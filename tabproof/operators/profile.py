@@ -22,23 +22,18 @@ from tabproof.plans.quantiles import exact_quantiles
 from tabproof.session import local_frame
 
 # Fixed values.
-EXACT_DISTINCT_MAX_ROWS = 250_000
-EXPRESSION_BUDGET = 180
+EXPRESSION_BUDGET = 180  # expressions in one aggregate
 TOP_SHAPES = 8
 KEY_SHARE = 0.99
 SPARSE_NULL_PCT = 50
 QUANTILES = {"p01": 0.01, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p99": 0.99}
 
-# Columnar files are read by column, so columns can be scanned side by side in smaller
-# chunks. That pays for tables of middling size: short ones are done at once, and long
-# ones keep the cluster busy with one scan and would only get more tasks to schedule.
-_COLUMNAR_FORMATS = ("parquet", "orc")
-_SIDE_BY_SIDE_BUDGET = 30
-_SIDE_BY_SIDE_ROWS = (200_000, 10_000_000)
-
 # Expressions per column in the short statistics.
 _STATS_COST = 8
 
+# A sketched distinct count this close to the number of values is settled by counting.
+_SKETCH_SLACK = 6 * 1.04 / 2 ** (S.DISTINCT_SIZE / 2)
+
 _NUMERIC = "struct<min:double,max:double,avg:double,stddev:double,p01:double,p25:double,p50:double,p75:double,p99:double,zero_count:bigint,negative_count:bigint,non_finite_count:bigint>"
 _TEMPORAL = "struct<min_iso:string,max_iso:string,span_days:int,future_count:bigint,epoch_zero_count:bigint>"
 _BOOLEAN = "struct<true_count:bigint,false_count:bigint>"
@@ -89,12 +84,11 @@ def _finite(value: str) -> str:
     return f"if(abs(double({value})) < double('Infinity'), double({value}), null)"
 
 
-def column_aggregates(
-    spec: ColumnSpec, *, exact: bool, as_of: str, quantiles: bool = True
-) -> dict[str, tuple[str, str]]:
+def column_aggregates(spec: ColumnSpec, *, exact: bool, as_of: str) -> dict[str, tuple[str, str]]:
     """The aggregates of one column, by statistic: of a part of the table, and merged.
 
-    In exact mode the first of the two is taken over the whole table.
+    In exact mode the first of the two is taken over the whole table, and quantiles are
+    measured apart.
     """
     c = spec.sql
     out = {"nonnull": S.plain(f"count({c})")}
@@ -109,10 +103,7 @@ def column_aggregates(
             "zero": S.plain(f"count_if({c} = 0)"),
             "negative": S.plain(f"count_if({c} < 0)"),
         }
-        if quantiles and exact:
-            wanted = ", ".join(f"{p}d" for p in QUANTILES.values())
-            out["quantiles"] = (f"percentile(double({c}), array({wanted}))", "")
-        elif quantiles:
+        if not exact:
             out["quantiles"] = S.quantiles(c, list(QUANTILES.values()))
         if K.is_floating(spec.data_type):
             odd = f"isnan({c}) or abs({c}) = double('Infinity')"
@@ -136,9 +127,7 @@ def column_aggregates(
             "untrimmed": S.plain(f"count_if({X.is_untrimmed(c)})"),
             **{name: S.plain(f"sum({length})") for name, length in lengths.items()},
         }
-        if exact:
-            out["lenp50"] = (f"percentile(length({c}), array(0.5d))", "")
-        else:
+        if not exact:
             out["lenp50"] = S.quantiles(f"length({c})", [0.5])
             out["ndv_ci"] = S.distinct([f"lower({c})"])
     return out
@@ -159,13 +148,6 @@ def chunk_columns(
     return chunks
 
 
-def _budget(fmt: str, row_count: int | None) -> int:
-    low, high = _SIDE_BY_SIDE_ROWS
-    if fmt in _COLUMNAR_FORMATS and row_count is not None and low <= row_count <= high:
-        return _SIDE_BY_SIDE_BUDGET
-    return EXPRESSION_BUDGET
-
-
 def _struct(fields: dict[str, str], as_type: str) -> str:
     inner = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
     return f"cast(named_struct({inner}) as {as_type})"
@@ -214,20 +196,16 @@ def _block(kind: str, spec: ColumnSpec, stat) -> str:
 
 
 def _profile_rows(
-    df: DataFrame,
-    chunk: Sequence[ColumnSpec],
-    known: dict | None,
-    row_count: int | None,
-    **options,
+    df: DataFrame, chunk: Sequence[ColumnSpec], known: dict[int, list[float | None]], **options
 ) -> DataFrame:
     """Aggregate one chunk of columns and turn the wide row into one row per column."""
     aggregates, rows = {"row_count": S.plain("count(*)")}, []
     for spec in chunk:
-        stats = column_aggregates(spec, quantiles=known is None, **options)
+        stats = column_aggregates(spec, **options)
         aggregates |= {spec.named(name): sql for name, sql in stats.items()}
 
         def stat(name: str, spec: ColumnSpec = spec) -> str:
-            if name == "quantiles" and known is not None:
+            if name in ("quantiles", "lenp50") and spec.ordinal in known:
                 given = ["null" if v is None else f"double('{v!r}')" for v in known[spec.ordinal]]
                 return f"array({', '.join(given)})"
             return spec.named(name)
@@ -245,18 +223,28 @@ def _profile_rows(
         rows.append(
             "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in row.items()) + ")"
         )
-    return _aggregate(df, aggregates, options["exact"], row_count).selectExpr(
-        f"inline(array({', '.join(rows)}))"
-    )
+    return _aggregate(df, aggregates, options["exact"]).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _aggregate(
-    df: DataFrame, stats: dict[str, tuple[str, str]], exact: bool, row_count: int | None
-) -> DataFrame:
+def _aggregate(df: DataFrame, stats: dict[str, tuple[str, str]], exact: bool) -> DataFrame:
     """One row of aggregates; those with sketches are merged in parts."""
     if exact:
         return df.selectExpr(*[f"{sql} as {name}" for name, (sql, _) in stats.items()])
-    return S.aggregate(df, stats, row_count)
+    return S.aggregate(df, stats)
+
+
+def _with_settled_keys(df: DataFrame, found: DataFrame, specs: Sequence[ColumnSpec], filled: str) -> DataFrame:
+    """Sketched statistics, one row per column, with ``ndv`` counted wherever a key flag hangs on it."""
+    rows = found.collect()
+    near = {
+        r["ordinal"]
+        for r in rows
+        if r["row_count"] and r[filled] == r["row_count"] and (r["ndv"] or 0) >= KEY_SHARE * r["row_count"] * (1 - _SKETCH_SLACK)
+    }
+    columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.ordinal in near]
+    counted = {r["id"]: r["ndv"] for r in exact_distinct(df, columns).collect()}
+    settled = [r.asDict() | {"ndv": counted.get(r["ordinal"], r["ndv"])} for r in rows]
+    return df.sparkSession.createDataFrame([tuple(r[c] for c in found.columns) for r in settled], found.schema)
 
 
 def distinct_counts(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
@@ -326,8 +314,7 @@ def profile_table(
     *,
     label: str | None = None,
     fmt: str | None = None,
-    row_count: int | None = None,
-    exact: bool | None = None,
+    exact: bool = True,
     as_of: dt.datetime | None = None,
     shapes: bool = True,
     max_shape_columns: int | None = None,
@@ -335,30 +322,25 @@ def profile_table(
 ) -> DataFrame:
     """Profile every column of a table: one row per column, see ``PROFILE_SCHEMA``.
 
-    Distinct counts and quantiles are exact up to ``EXACT_DISTINCT_MAX_ROWS`` rows and
-    sketches above; ``exact`` overrides that at any size.
+    Distinct counts and quantiles are exact at every size. With ``exact=False`` they are
+    sketches at every size, except that key flags are always settled by counting.
     """
     specs = column_specs(df)
-    if row_count is None and exact is not False:
-        row_count = df.count()
-    small = row_count is not None and row_count <= EXACT_DISTINCT_MAX_ROWS
-    exact = small if exact is None else exact
     moment = "current_timestamp()" if as_of is None else f"timestamp_ntz'{as_of}'"
     options = dict(exact=exact, as_of=moment)
 
-    known = None
-    numbers = [s for s in specs if s.kind == K.NUMERIC]
-    if exact and not small and numbers:
-        # Too long for percentile's buffers: narrow value ranges instead.
-        known = exact_quantiles(
-            df, {s.ordinal: s.sql for s in numbers}, list(QUANTILES.values())
-        )
+    known: dict[int, list[float | None]] = {}
+    if exact:
+        numbers = {s.ordinal: s.sql for s in specs if s.kind == K.NUMERIC}
+        lengths = {s.ordinal: f"length({s.sql})" for s in specs if s.kind == K.STRING}
+        known = exact_quantiles(df, numbers, list(QUANTILES.values())) | exact_quantiles(df, lengths, [0.5])
 
     costs = [len(column_aggregates(s, **options)) for s in specs]
     fmt = fmt or "parquet"
-    chunks = chunk_columns(specs, costs, _budget(fmt, row_count))
-    parts = [_profile_rows(df, chunk, known, row_count, **options) for chunk in chunks]
-    profile = reduce(DataFrame.unionByName, parts)
+    chunks = chunk_columns(specs, costs, EXPRESSION_BUDGET)
+    profile = reduce(DataFrame.unionByName, [_profile_rows(df, chunk, known, **options) for chunk in chunks])
+    if not exact:
+        profile = _with_settled_keys(df, profile, specs, "nonnull")
     if exact:
         counted = distinct_counts(df, specs)
         # One row per column, so always small enough to broadcast.
@@ -417,32 +399,29 @@ def _finish(profile: DataFrame, table: str, label: str, fmt: str) -> DataFrame:
     )
 
 
-def column_stats(
-    df: DataFrame, row_count: int, *, exact: bool | None = None, fmt: str = "parquet"
-) -> DataFrame:
+def column_stats(df: DataFrame, *, exact: bool = True) -> DataFrame:
     """The part of a profile that prunes candidates, cheaper than the whole.
 
     One row per column: ``(ordinal, name, class, row_count, null_count, distinct_count,
     low, high, whole)``; the range is numeric, or text for dates, and NULL for other
-    classes; ``whole`` is false for numbers with fractions.
+    classes; ``whole`` is false for numbers with fractions. With ``exact=False`` distinct
+    counts are sketches, except where a column may be a key.
     """
     specs = column_specs(df)
-    exact = row_count <= EXACT_DISTINCT_MAX_ROWS if exact is None else exact
-    chunks = chunk_columns(specs, [_STATS_COST] * len(specs), _budget(fmt, row_count))
-    stats = reduce(
-        DataFrame.unionByName, [_stats_rows(df, chunk, exact, row_count) for chunk in chunks]
-    )
+    chunks = chunk_columns(specs, [_STATS_COST] * len(specs), EXPRESSION_BUDGET)
+    stats = reduce(DataFrame.unionByName, [_stats_rows(df, chunk, exact) for chunk in chunks])
     if exact:
         columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
         counted = exact_distinct(df, columns).select(F.col("id").alias("ordinal"), "ndv")
         stats = stats.drop("ndv").join(F.broadcast(counted), "ordinal", "left")
+    else:
+        stats = _with_settled_keys(df, stats.withColumn("filled", F.expr("row_count - null_count")), specs, "filled")
+        stats = stats.drop("filled")
     distinct = F.least(F.coalesce("ndv", F.lit(0)), F.col("row_count") - F.col("null_count"))
     return stats.withColumn("distinct_count", distinct).drop("ndv")
 
 
-def _stats_rows(
-    df: DataFrame, specs: Sequence[ColumnSpec], exact: bool, row_count: int
-) -> DataFrame:
+def _stats_rows(df: DataFrame, specs: Sequence[ColumnSpec], exact: bool) -> DataFrame:
     """``column_stats`` of some columns, with sketched distinct counts unless exact."""
     aggregates, rows = {"row_count": S.plain("count(*)")}, []
     for s in specs:
@@ -472,25 +451,15 @@ def _stats_rows(
             f"'low', {end('min')}, 'high', {end('max')}, "
             f"'whole', {s.named('parts') + ' = 0' if measured else 'true'})"
         )
-    return _aggregate(df, aggregates, exact, row_count).selectExpr(
-        f"inline(array({', '.join(rows)}))"
-    )
+    return _aggregate(df, aggregates, exact).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def profile_catalog(catalog, **options) -> DataFrame:
     """Profile every table of a catalog: one row per table and column."""
-    counts = catalog.row_counts()
     return reduce(
         DataFrame.unionByName,
         [
-            profile_table(
-                entry.df,
-                entry.table,
-                label=entry.label,
-                fmt=entry.format,
-                row_count=counts[entry.table],
-                **options,
-            )
+            profile_table(entry.df, entry.table, label=entry.label, fmt=entry.format, **options)
             for entry in catalog.tables
         ],
     )

@@ -14,7 +14,7 @@ from functools import reduce
 from itertools import combinations
 from math import prod
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,7 +71,7 @@ class _Candidate:
     high: float | None
     whole: bool
 
-    def may_reference(self, parent: _Candidate, min_ratio: float) -> bool:
+    def may_reference(self, parent: _Candidate) -> bool:
         if (self.table, self.name) == (parent.table, parent.name) or self.family != parent.family:
             return False
         if None not in (self.low, self.high, parent.low, parent.high):
@@ -79,21 +79,14 @@ class _Candidate:
                 return False
         if self.name == parent.name:
             return True
-        if not (self.whole and parent.whole):
-            return False
-        near = min_ratio * parent.rows <= self.distinct <= parent.rows / min_ratio
-        return parent.is_key and near
+        return self.whole and parent.whole and parent.is_key
 
 
 def catalog_stats(catalog) -> dict[str, list[Row]]:
     """``column_stats`` of every table, computed in one job: one row per column."""
-    counts = catalog.row_counts()
     rows = reduce(
         DataFrame.unionByName,
-        [
-            column_stats(t.df, counts[t.table], fmt=t.format).withColumn("table", F.lit(t.table))
-            for t in catalog.tables
-        ],
+        [column_stats(t.df).withColumn("table", F.lit(t.table)) for t in catalog.tables],
     ).collect()
     return {t.table: [r for r in rows if r["table"] == t.table] for t in catalog.tables}
 
@@ -132,7 +125,8 @@ def _shared_value(column: str, data_type: T.DataType, domain: str, all_integral:
     if domain == "temporal":
         return f"string(cast({column} as timestamp_ntz))"
     if all_integral:
-        return f"decimal({column})" if isinstance(data_type, T.DecimalType) else f"bigint({column})"
+        # Wide enough for any whole number, so values of all columns share one type.
+        return f"cast({column} as decimal(38,0))"
     if domain == "fractional":
         whole = f"abs({column}) < 9e15 and {column} = floor({column})"
         return f"if({whole}, string(bigint({column})), string({column} + 0.0d))"
@@ -185,30 +179,28 @@ def _listed(catalog, pairs) -> DataFrame:
     """Candidate pairs as rows: one per pair of columns, so small enough to broadcast."""
     return local_frame(
         catalog.spark,
-        [(c.id, p.id, c.table, c.name, p.table, p.name) for c, p in pairs],
-        "child int, parent int, table string, column string, references_table string, references_column string",
+        [(c.id, p.id, c.table, c.name, p.table, p.name, c.distinct / max(p.rows, 1)) for c, p in pairs],
+        "child int, parent int, table string, column string, references_table string, references_column string, ratio double",
     )
 
 
 def reference_candidates(
-    catalog, stats: Mapping[str, Sequence[Row]] | None = None, *, min_ratio: float = 0.5
+    catalog, stats: Mapping[str, Sequence[Row]] | None = None
 ) -> DataFrame:
     """Measure every column pair that may be a reference, in both directions.
 
     A pair is measured when the families agree, ranges overlap, and either the names
-    agree or the child has about as many distinct values as a key column has rows.
-    Numbers with fractions are measures, so they count only under a shared name.
-    Distinct values of all columns are grouped once; a value that fills a column is one
-    row per task there. Output: ``inclusion`` is the share of the child's distinct
-    values the parent has.
+    agree or the parent is a key. Numbers with fractions are measures, so they count only
+    under a shared name. Distinct values of all columns are grouped once; a value that
+    fills a column is one row per task there. Output: ``inclusion`` is the share of the
+    child's distinct values the parent has, ``ratio`` that of the child's distinct values
+    to the parent's rows, to rank by.
     """
     spark = catalog.spark
     columns = _candidates(catalog, catalog_stats(catalog) if stats is None else stats)
-    pairs = [
-        (c, p) for c in columns for p in columns if c.may_reference(p, min_ratio)
-    ]
+    pairs = [(c, p) for c in columns for p in columns if c.may_reference(p)]
     schema = (
-        "table string, column string, references_table string, references_column string, "
+        "table string, column string, references_table string, references_column string, ratio double, "
         "child_values bigint, shared_values bigint, inclusion double"
     )
     if not pairs:
@@ -226,7 +218,7 @@ def reference_candidates(
     shared = F.when(F.array_contains("ids", F.col("parent")), F.col("n")).otherwise(0)
     return (
         reduce(DataFrame.unionByName, grouped)
-        .groupBy("table", "column", "references_table", "references_column")
+        .groupBy("table", "column", "references_table", "references_column", "ratio")
         .agg(F.sum("n").alias("child_values"), F.sum(shared).alias("shared_values"))
         .withColumn("inclusion", F.col("shared_values") / F.col("child_values"))
     )
@@ -246,7 +238,7 @@ def composite_keys(
     """
     spark = df.sparkSession
     if stats is None:
-        stats = column_stats(df, df.count()).collect()
+        stats = column_stats(df).collect()
     rows = stats[0]["row_count"] if stats else 0
     # A NULL is one more value of its column.
     distinct = {
@@ -255,7 +247,7 @@ def composite_keys(
         if r["class"] != K.NESTED and r["distinct_count"] > 1
     }
     distinct = {c: n for c, n in distinct.items() if n < rows}
-    # Widened, as the profile's counts may be sketches.
+    # Widened, as statistics that are no keys may be sketches.
     estimates: dict[tuple[str, ...], float] = {(c,): n * _SKETCH_SLACK for c, n in distinct.items()}
     found: list[tuple[str, ...]] = []
     for size in range(2, max_columns + 1):
@@ -306,15 +298,18 @@ def _splits(combo: tuple[str, ...]) -> list[list[tuple[str, ...]]]:
 def minority_rows(df: DataFrame, column: str, *, threshold: float = 0.05) -> DataFrame:
     """Rows whose format is held by less than ``threshold`` of the column's values.
 
-    Formats at or above the threshold are at most ``1 / threshold``, so they are
-    broadcast and the rows are not shuffled.
+    One grouping gives the total and the formats at or above the threshold, which are at
+    most ``1 / threshold``; they are listed in a filter, so rows are not shuffled.
     """
+    if not 0.001 <= threshold <= 1:
+        raise ValueError("threshold is a share from 0.001 to 1.")
     name = X.quote_name(column)
     shaped = df.withColumn("_shape", F.expr(X.format_mask(name))).filter(f"{name} is not null")
-    counts = shaped.groupBy("_shape").agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    common = counts.filter(F.col("_n") >= threshold * total).select(F.col("_shape").alias("_common"))
-    rows = shaped.join(F.broadcast(common), F.col("_shape") == F.col("_common"), "left_anti")
+    seen = Observation()
+    counts = shaped.groupBy("_shape").agg(F.count("*").alias("_n")).observe(seen, F.sum("_n").alias("total"))
+    most = counts.orderBy(F.desc("_n"), "_shape").limit(int(1 / threshold) + 1).collect()
+    common = [r["_shape"] for r in most if r["_n"] >= threshold * (seen.get["total"] or 0)]
+    rows = shaped.filter(~F.col("_shape").isin(common)) if common else shaped
     return rows.withColumn("_shape", F.expr(X.collapse_runs("_shape"))).withColumnRenamed("_shape", "shape")
 
 
@@ -373,7 +368,7 @@ def order_invariants(
     violations, share)``.
     """
     if stats is None:
-        stats = column_stats(df, df.count(), exact=False).collect()
+        stats = column_stats(df, exact=False).collect()
     ranges = {}
     for r in stats:
         as_value = float if r["class"] == K.NUMERIC else str
@@ -450,14 +445,12 @@ def conditional_rules(
         for i, p in enumerate(predicates)
     )
     long = counted.select("dim", "value", "rows", F.expr(f"inline(array({rules}))"))
-    # Each dimension covers all rows, so any one gives a predicate's overall count.
-    overall = long.groupBy(F.col("dim").alias("_d"), F.col("predicate").alias("_p")).agg(
-        F.sum("violations").alias("overall_violations")
-    )
+    # Each dimension covers all rows, so its values add up to a predicate's overall count.
+    # By now a dimension has one row per value, and the table was read once.
+    whole = Window.partitionBy("dim", "predicate")
     return (
-        long.filter((F.col("violations") == 0) & (F.col("rows") >= min_rows))
-        .join(F.broadcast(overall), (F.col("dim") == F.col("_d")) & (F.col("predicate") == F.col("_p")))
-        .filter("overall_violations > 0")
+        long.withColumn("overall_violations", F.sum("violations").over(whole))
+        .filter((F.col("violations") == 0) & (F.col("rows") >= min_rows) & (F.col("overall_violations") > 0))
         .select("dim", "value", "predicate", "rows", "overall_violations")
     )
 
@@ -536,12 +529,20 @@ def _wire(rows: DataFrame, **fields: str) -> DataFrame:
 
 
 def propose_checks(
-    catalog, *, min_inclusion: float = 0.9, min_rule_share: float = 0.05
+    catalog,
+    *,
+    min_inclusion: float = 0.9,
+    min_rule_share: float = 0.05,
+    max_sentinel_pct: float = 5.0,
+    sentinels: Sequence[str] = ("-1", "9999"),
+    max_values: int | None = 50,
 ) -> DataFrame:
     """Checks worth running on a catalog, in their flat form, most valuable first.
 
     References come in both directions: that every child has a parent and that every
-    parent has a child are different claims.
+    parent has a child are different claims. Placeholders are proposed against when they are among
+    ``sentinels`` and rarer than ``max_sentinel_pct``; rules are looked for in columns of at
+    most ``max_values`` values, or in all with None.
     """
     spark = catalog.spark
     stats = catalog_stats(catalog)
@@ -589,18 +590,21 @@ def propose_checks(
                 expression=f"concat({_quoted('low_column')}, ' <= ', {_quoted('high_column')})",
             )
         )
-        sentinels = sentinel_counts(entry.df).filter("hits > 0 and pct < 5 and sentinel in ('-1', '9999')")
+        rare = sentinel_counts(entry.df).filter(
+            (F.col("hits") > 0) & (F.col("pct") < max_sentinel_pct) & F.col("sentinel").isin(*sentinels)
+        )
+        literal = "if(sentinel rlike '^-?[0-9]+$', sentinel, concat(chr(39), sentinel, chr(39)))"
         parts.append(
             _wire(
-                sentinels,
+                rare,
                 title="concat(name, ' is never ', sentinel)",
                 rationale="format_string('%d of %d values look like a placeholder.', hits, filled)",
                 table=quoted,
-                expression=f"concat({_quoted('name')}, ' <> ', sentinel)",
+                expression=f"concat({_quoted('name')}, ' <> ', {literal})",
             )
         )
         signs = _sign_predicates(stats[entry.table])
-        dims = dimensions(entry.df) if signs else []
+        dims = dimensions(entry.df, max_values=max_values) if signs else []
         if signs and dims:
             rows = stats[entry.table][0]["row_count"]
             rules = conditional_rules(

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 _ACCURACY = 10_000
 _MAX_INSIDE = 100_000
+# Columns sketched in one aggregate.
+_COLUMNS_PER_PASS = 20
 
 
 @dataclass
@@ -80,8 +82,18 @@ def exact_quantiles(
     """Exact, linearly interpolated quantiles of each numbered numeric SQL expression.
 
     NaN counts as the largest value. Only counts, range ends and final answers reach
-    the driver.
+    the driver. Wide tables are measured some columns at a time.
     """
+    listed, out = list(columns.items()), {}
+    for at in range(0, len(listed), _COLUMNS_PER_PASS):
+        chunk = dict(listed[at : at + _COLUMNS_PER_PASS])
+        out |= _exact_quantiles(df, chunk, probabilities, accuracy, max_inside)
+    return out
+
+
+def _exact_quantiles(
+    df: DataFrame, columns: Mapping[int, str], probabilities: Sequence[float], accuracy: int, max_inside: int
+) -> dict[int, list[float | None]]:
     values = {i: f"double({sql})" for i, sql in columns.items()}
     slack = 2.0 / accuracy
     ends = [p for q in probabilities for p in (max(0.0, q - slack), min(1.0, q + slack))]

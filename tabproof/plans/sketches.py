@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 _GROUP = "spark_partition_id() % 64"
 
-# Tables up to this many rows skip the first step.
-_DIRECT_ROWS = 10_000_000
-
 # Sizes: 2 ** 12 buckets have a standard error of 1.04 / 2 ** 6 = 1.6 %; quantile
 # sketches of 2000 have a rank error below 0.2 %.
 DISTINCT_SIZE = 12
@@ -78,27 +75,26 @@ def distinct(columns: Sequence[str], size: int = DISTINCT_SIZE) -> tuple[str, st
 
 
 def quantiles(value: str, probabilities: Sequence[float]) -> tuple[str, str]:
-    """Estimated quantiles of a numeric expression as an array; NULL without values."""
+    """Estimated quantiles of a numeric expression as an array; NULL without values.
+
+    NaN is the largest value, as in exact quantiles; it comes out as infinity.
+    """
+    value = f"double({value})"
+    value = f"if(isnan({value}), double('Infinity'), {value})"
     wanted = f"array({', '.join(f'{p}d' for p in probabilities)})"
     merged = "kll_merge_agg_double({0})"
     return (
-        f"kll_sketch_agg_double(double({value}), {QUANTILE_SIZE})",
+        f"kll_sketch_agg_double({value}, {QUANTILE_SIZE})",
         f"if(coalesce(kll_sketch_get_n_double({merged}), 0L) = 0, null, "
         f"kll_sketch_get_quantile_double({merged}, {wanted}))",
     )
 
 
-def aggregate(
-    df: DataFrame, stats: Mapping[str, tuple[str, str]], rows: int | None = None
-) -> DataFrame:
-    """One row with the named aggregates of a frame, merged in two steps.
-
-    The tables of few ``rows`` are read by few tasks, whose sketches meet directly.
-    """
+def aggregate(df: DataFrame, stats: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row with the named aggregates of a frame, merged in two steps."""
     parts = ", ".join(f"'{name}', {part}" for name, (part, _) in stats.items())
-    grouping = [] if rows is not None and rows <= _DIRECT_ROWS else [_GROUP]
     grouped = (
-        df.groupBy(*[F.expr(g) for g in grouping])
+        df.groupBy(F.expr(_GROUP))
         .agg(F.expr(f"named_struct({parts})").alias("_parts"))
         .select("_parts.*")
     )

@@ -13,10 +13,10 @@ from pyspark.sql import types as T
 from tabproof.functions.dialect import register_dialect
 
 from tabproof.functions.files import file_problem
+from tabproof.functions.naming import base_table_name
 from tabproof.functions.types import column_class, type_family
-from tabproof.sources.files import detect_formats, file_ends, list_files
-from tabproof.sources.naming import assign_table_names, clashing_names
-from tabproof.sources.readers import read_source
+from tabproof.sources.files import detect_formats, file_ends, list_files, size_warnings
+from tabproof.sources.readers import MalformedRows, read_source
 from tabproof.session import local_frame
 
 TABLES_SCHEMA = "table string, label string, format string, rows bigint, columns int, bytes bigint"
@@ -38,6 +38,8 @@ class Source:
     format: str | None = None
     table: str | None = None
     schema: T.StructType | None = None
+    #: Of the reader: sep, header, multi_line, malformed.
+    options: Mapping[str, object] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,8 @@ class Catalog:
 
     spark: SparkSession
     tables: list[Table]
+    #: What a load found odd but loadable, in words.
+    warnings: list[str] = field(default_factory=list)
     _rows: dict[str, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
@@ -155,18 +159,21 @@ class Catalog:
 
 
 def _with_names(spark: SparkSession, sources: Sequence[Source]) -> list[str]:
-    """The given table names, or names derived from the labels."""
+    """The given table names, or names derived from the labels: the next free one of a base name."""
     labels = [(i, s.table or s.label or s.path.rstrip("/").split("/")[-1]) for i, s in enumerate(sources)]
-    named = assign_table_names(local_frame(spark, labels, "position bigint, label string"))
-    clash = clashing_names(named).first()
-    if clash is not None:
-        raise SourceError(f"Two sources would be named {clash['table']!r}; name one of them.")
-    derived = {r["position"]: r for r in named.collect()}
-    out = []
+    based = local_frame(spark, labels, "position bigint, label string").select("position", base_table_name(F.col("label")).alias("base"))
+    bases = {r["position"]: r["base"] for r in based.collect()}
+    given = [s.table for s in sources if s.table]
     for i, source in enumerate(sources):
-        name = source.table or derived[i]["table"]
-        if source.table and source.table != derived[i]["table"]:
+        if source.table and (source.table != bases[i] or given.count(source.table) > 1):
             raise SourceError(f"Unsafe or repeated table name: {source.table}")
+    taken, out = set(given), []
+    for i, source in enumerate(sources):
+        name, n = bases[i], 1
+        while not source.table and name in taken:
+            n += 1
+            name = f"{bases[i]}_{n}"
+        taken.add(name)
         out.append(name)
     return out
 
@@ -177,7 +184,8 @@ def load_catalog(
     """Load a set of sources as one catalog, or none of them.
 
     Every file is checked before the first view is made; the views of the catalog it
-    ``replaces`` go away only once the new one is complete.
+    ``replaces`` go away only once the new one is complete. Names that contradict the
+    contents and very large files are listed in the catalog's ``warnings``.
     """
     names = _with_names(spark, sources)
     checked = [
@@ -191,27 +199,42 @@ def load_catalog(
     )
     # All files of all sources in one job; one row per source comes back.
     found = (
-        reduce(DataFrame.unionByName, checked)
+        size_warnings(reduce(DataFrame.unionByName, checked))
         .groupBy("source")
-        .agg(F.min("format").alias("format"), F.min(problem).alias("problem"))
+        .agg(
+            F.array_sort(F.collect_set("format")).alias("formats"),
+            F.count_if(F.col("format").isNull()).alias("unknown"),
+            F.min(problem).alias("problem"),
+            F.count_if(F.col("mismatch")).alias("mismatched"),
+            F.count_if(F.col("large")).alias("large"),
+        )
         .collect()
     )
     state = {r["source"]: r for r in found}
-    formats = []
+    formats, warnings = [], []
     for i, source in enumerate(sources):
         label = source.label or source.path
         if i not in state or state[i]["problem"]:
             raise SourceError(f"{label}: {PROBLEMS[state[i]['problem'] if i in state else 'missing']}")
-        if state[i]["format"] is None:
+        if state[i]["unknown"]:
             raise SourceError(f"{label}: not Parquet, CSV or JSON as far as we can tell.")
-        formats.append(state[i]["format"])
-    tables = [
-        Table(name, s.label or s.path.rstrip("/").split("/")[-1], fmt, read_source(spark, s.path, fmt, s.schema), s.path)
-        for name, fmt, s in zip(names, formats, sources)
-    ]
+        if len(state[i]["formats"]) > 1:
+            raise SourceError(f"{label}: files of several formats: {', '.join(state[i]['formats'])}.")
+        formats.append(state[i]["formats"][0])
+        if state[i]["mismatched"]:
+            warnings.append(f"{label}: {state[i]['mismatched']} file(s) are {formats[-1]}, whatever their names say.")
+        if state[i]["large"]:
+            warnings.append(f"{label}: {state[i]['large']} file(s) of more than 500 MB.")
+    tables = []
+    for name, fmt, s in zip(names, formats, sources):
+        try:
+            df = read_source(spark, s.path, fmt, s.schema, **s.options)
+        except MalformedRows as error:
+            raise SourceError(f"{s.label or s.path}: {error}") from error
+        tables.append(Table(name, s.label or s.path.rstrip("/").split("/")[-1], fmt, df, s.path))
     if replaces is not None:
         replaces.close()
-    return Catalog(spark, tables)
+    return Catalog(spark, tables, warnings)
 
 
 PROBLEMS = {
@@ -221,9 +244,3 @@ PROBLEMS = {
     "no_footer": "the Parquet file is incomplete: it has a PAR1 header but no footer.",
     "missing": "there is no such file.",
 }
-
-# The curated data set: the driver tables, by name.
-DRIVER_TABLES = (
-    "region nation customer supplier part orders lineitem events "
-    "documents embeddings pages benchmark labels conversations"
-).split()

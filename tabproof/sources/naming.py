@@ -26,7 +26,3 @@ def assign_table_names(manifest: DataFrame, label: str = "label", position: str
         .drop("copy")
     )
 
-
-def clashing_names(named: DataFrame) -> DataFrame:
-    """Names given to more than one file, as when ``a_2`` is also a file's own name."""
-    return named.groupBy("table").count().filter("count > 1").select("table")

@@ -180,6 +180,7 @@ SCALARS = {
     ],
     "x09_strftime": [
         ("orders", "strftime(o_orderdate, '%Y-%m') < '1998-07'", None),
+        ("orders", "strftime(o_orderdate, 'day %d, %Y-%m-%dT%H%%') < 'day 16, 1995-01-01T00%'", None),
         ("events", "strftime(ts, '%d.%m.%Y %H:%M') <> '01.01.2024 00:00'", None),
     ],
     "x10_now_cast": [

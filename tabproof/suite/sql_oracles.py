@@ -4,23 +4,55 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from tabproof.functions.files import PARQUET_MAGIC
-from tabproof.operators.findings import MAX_MENTIONED, MAX_NOTE_LENGTH, NOTE_RULES, OTHER_NOTE
-from tabproof.functions.guard import (
-    BANNED_FUNCTIONS,
-    BANNED_KEYWORDS,
-    BANNED_PREFIXES,
-    BANNED_SPARK_FUNCTIONS,
-    BANNED_SUFFIXES,
-    MARKERS,
-    MAX_EXPRESSION_LENGTH,
-)
-from tabproof.functions.naming import RESERVED_NAMES
-from tabproof.functions.text import SPACE_SEPARATORS
 from tabproof.suite import derived as D
 
 ORACLES: dict[str, str] = {}
 
+# What the admission rules, notes and names are stated in, written down again here.
+PARQUET_MAGIC = "PAR1"
+MAX_EXPRESSION_LENGTH = 1000
+MARKERS = ("--", "/*", "*/", "$$")
+KEYWORDS = (
+    "select", "from", "where", "join", "union", "intersect", "except", "with", "insert", "update", "delete", "merge",
+    "drop", "create", "alter", "truncate", "attach", "detach", "copy", "install", "load", "pragma", "set", "reset",
+    "call", "export", "import", "checkpoint", "vacuum", "analyze", "explain", "prepare", "execute", "deallocate",
+    "describe", "summarize", "pivot", "unpivot", "grant", "revoke", "begin", "commit", "rollback",
+)
+REFUSED_FUNCTIONS = (
+    "glob", "getenv", "shell", "system", "query", "query_table", "sniff_csv", "sql_auto_complete", "duckdb_settings",
+    "duckdb_extensions", "which_secret", "current_setting", "gen_random_uuid_v7", "reflect", "java_method",
+    "try_reflect", "raise_error", "assert_true", "input_file_name", "input_file_block_start",
+    "input_file_block_length", "current_user", "session_user", "user", "current_catalog", "current_database",
+    "current_schema", "version", "spark_partition_id", "monotonically_increasing_id", "rand", "randn", "random",
+    "uuid", "shuffle", "randstr", "uniform",
+)
+READER_PREFIXES = ("read_", "scan_", "parquet_", "iceberg_", "delta_", "postgres_", "sqlite_", "mysql_")
+READER_SUFFIXES = ("_scan", "_replacement_scan")
+RESERVED_NAMES = (
+    "table", "select", "from", "where", "group", "order", "by", "join", "union", "all", "and", "or", "not", "null",
+    "true", "false", "case", "when", "then", "else", "end", "as", "on", "in", "is", "like", "between", "default",
+)
+SPACE_SEPARATORS = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+MAX_NOTE_LENGTH, MAX_MENTIONED = 120, 4
+NOTES = (
+    (r"\[unresolved_column", "unknown column"),
+    (r"\[unresolved_routine", "unknown function"),
+    (r"\[table_or_view_not_found", "unknown table"),
+    (r"\[parse_syntax_error", "syntax error"),
+    (r"\[(cast_invalid_input|datatype_mismatch|cast_overflow)", "type mismatch"),
+    (r"\[(divide_by_zero|arithmetic_overflow|binary_arithmetic_overflow)", "arithmetic error"),
+    ("statement separator|comment or dollar-quote", "rejected by guard: separator or comment"),
+    ("can read external data", "rejected by guard: file or URL access"),
+    (r"is not allowed in a row predicate|not allowed\.$", "rejected by guard: forbidden keyword or function"),
+    ("unbalanced parentheses", "rejected by guard: unbalanced parentheses"),
+    ("unknown table", "unknown table"),
+    ("unknown column", "unknown column"),
+    ("types differ", "column types differ, so the comparison is not meaningful"),
+    ("column counts differ", "column counts differ"),
+    ("type mismatch", "type mismatch"),
+)
+OTHER_NOTE = "could not be evaluated"
+
 NUMERIC = ("int", "bigint", "double", "decimal(10,2)")
 TEMPORAL = ("timestamp_ntz", "date")
 QUANTILES = {"p01": 0.01, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p99": 0.99}
@@ -89,7 +121,7 @@ ORACLES["s05_describe"] = per_column(
 ORACLES["s06_row_counts"] = union(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in TABLES)
 ORACLES["s07_load_catalog"] = union(
     f"SELECT '{t}' AS \"table\", '{t}.parquet' AS label, 'parquet' AS format, count(*) AS rows, "
-    f"CAST({len(D.SCHEMA[t])} AS BIGINT) AS columns, TRUE AS sized FROM {t}"
+    f"CAST({len(D.SCHEMA[t])} AS BIGINT) AS columns, CAST(0 AS BIGINT) AS warnings FROM {t}"
     for t in ("orders", "lineitem", "customer")
 )
 _TEXTS = union(
@@ -111,9 +143,12 @@ SELECT doc_id,
             WHEN lang <> 'en' AND NOT starts_with(text, '{PARQUET_MAGIC}') THEN 'no_header'
             WHEN lang <> 'en' AND NOT ends_with(text, '{PARQUET_MAGIC}') THEN 'no_footer' END AS problem
 FROM documents"""
-ORACLES["s10_size_warnings"] = """
-SELECT source AS path, CAST(sum(strlen(text)) * 6000 AS BIGINT) AS length,
-       sum(strlen(text)) * 6000 > 500 * 1024 * 1024 AS large FROM documents GROUP BY source"""
+ORACLES["s08_detect_files"] = union(
+    f"SELECT '{t}.parquet' AS file, 'parquet' AS sniffed, 'parquet' AS declared, 'parquet' AS format, FALSE AS mismatch"
+    for t in TABLES)
+ORACLES["s09_audit_files"] = union(f"SELECT '{t}.parquet' AS file, CAST(NULL AS VARCHAR) AS problem" for t in TABLES)
+ORACLES["s10_size_warnings"] = union(
+    f"SELECT '{t}' AS \"table\", CAST({n} AS BIGINT) AS n, '{limit}' AS limit" for t in TABLES for n, limit in ((1, "100 bytes"), (0, "1 PiB")))
 ORACLES["s11_table_names"] = rf"""
 WITH slugs AS (
   SELECT page_id, left(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(
@@ -144,8 +179,8 @@ WHERE NOT coalesce((nullif(l_linenumber, 3) < 5 AND l_quantity < 40), true)"""
 ORACLES["f02_predicate_count"] = """
 SELECT count(*) AS violations FROM lineitem WHERE NOT coalesce((nullif(l_linenumber, 3) < 5), true)"""
 ORACLES["f03_predicate_rows"] = """
-SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem
-WHERE NOT coalesce((l_quantity < 49 OR l_discount > 0.01), true) ORDER BY ALL LIMIT 200"""
+SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM (SELECT * FROM lineitem
+WHERE NOT coalesce((l_quantity < 49 OR l_discount > 0.01), true) ORDER BY ALL LIMIT 200)"""
 ORACLES["f04_conditional_counts"] = """
 SELECT l_returnflag, count(*) FILTER (WHERE l_discount = 0) AS undiscounted,
        count(*) FILTER (WHERE l_quantity > 25) AS large FROM lineitem GROUP BY l_returnflag"""
@@ -160,7 +195,7 @@ ORACLES["f06_declared_projection"] = per_column(
 
 
 def mask(text: str) -> str:
-    out = f"substr({text}, 1, 40)"
+    out = text
     for pattern, symbol in ((r"\p{N}", "9"), (r"\p{Lu}", "A"), (r"\p{Ll}", "a"), ("[^[:ascii:]]", "a")):
         out = f"regexp_replace({out}, '{pattern}', '{symbol}', 'g')"
     return out
@@ -198,11 +233,11 @@ def trim_all(text: str) -> str:
 
 def expression_reason(text: str, alias: str = "reason") -> str:
     """An expression over columns text (trimmed), live, words and parens."""
-    banned = list(BANNED_FUNCTIONS) + list(BANNED_SPARK_FUNCTIONS)
-    starts = " OR ".join(f"starts_with(w, {lit(p)})" for p in BANNED_PREFIXES)
-    ends = " OR ".join(f"ends_with(w, {lit(s)})" for s in BANNED_SUFFIXES)
+    banned = list(REFUSED_FUNCTIONS)
+    starts = " OR ".join(f"starts_with(w, {lit(p)})" for p in READER_PREFIXES)
+    ends = " OR ".join(f"ends_with(w, {lit(s)})" for s in READER_SUFFIXES)
     word = (
-        f"CASE WHEN w IN {lits(BANNED_KEYWORDS)} THEN 'Keyword \"' || w || '\" is not allowed in a row predicate.' "
+        f"CASE WHEN w IN {lits(KEYWORDS)} THEN 'Keyword \"' || w || '\" is not allowed in a row predicate.' "
         f"WHEN w IN {lits(banned)} THEN 'Function \"' || w || '\" is not allowed.' "
         f"WHEN {starts} OR {ends} THEN 'Identifier \"' || w || '\" can read external data.' END"
     )
@@ -215,6 +250,7 @@ def expression_reason(text: str, alias: str = "reason") -> str:
         f"WHEN length({text}) > {MAX_EXPRESSION_LENGTH} THEN 'Expression longer than {MAX_EXPRESSION_LENGTH} characters.' "
         rf"WHEN regexp_matches({text}, '\\[''\"`]') THEN 'Backslash before a quote is not allowed.' "
         f"WHEN contains(live, ';') THEN 'Statement separator (;) is not allowed.' {markers} "
+        "WHEN regexp_matches(live, '[''\"`]') THEN 'Unclosed quote.' "
         "WHEN length(replace(parens, ')', '')) <> length(replace(parens, '(', '')) THEN 'Unbalanced parentheses.' "
         f"WHEN list_min(list_transform(range(1, length(parens) + 1), lambda i: {depth})) < 0 THEN 'Unbalanced parentheses.' "
         f"ELSE list_filter(list_transform(words, lambda w: {word}), lambda r: r IS NOT NULL)[1] END AS {alias}"
@@ -226,9 +262,8 @@ def scanned(rows: str, keep: str) -> str:
     return rf"""
 SELECT *, regexp_replace(live, '[^()]+', '', 'g') AS parens,
        regexp_extract_all(lower(live), '[a-z_][a-z0-9_]*') AS words
-FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(
-                  CASE WHEN length(trimmed) <= {MAX_EXPRESSION_LENGTH} THEN trimmed END,
-                  '''[^'']*''', ' ''str'' ', 'g'), '"[^"]*"', ' ident ', 'g'), '`[^`]*`', ' ident ', 'g') AS live
+FROM (SELECT *, regexp_replace(CASE WHEN length(trimmed) <= {MAX_EXPRESSION_LENGTH} THEN trimmed END,
+                  '''[^'']*''|"[^"]*"|`[^`]*`', ' ident ', 'g') AS live
       FROM (SELECT {keep}, {trim_all('expression')} AS trimmed FROM ({rows})))"""
 
 
@@ -332,7 +367,7 @@ ORACLES["p02_null_counts"] = per_column(
 ORACLES["p03_exact_distinct"] = per_column(
     lambda t, i, n, ty: f"SELECT '{n}' AS name, count(DISTINCT {n}) AS distinct_count FROM {src(t)}", "lineitem", "messy")
 ORACLES["p04_approximate_distinct"] = per_column(
-    lambda t, i, n, ty: f"SELECT '{n}' AS name, count({n}) > 0 AS close FROM {t}", "lineitem")
+    lambda t, i, n, ty: f"SELECT '{n}' AS name, count(DISTINCT {n}) AS distinct_count, TRUE AS close FROM {t}", "lineitem")
 
 
 def _distinct(n: str, ty: str) -> str:
@@ -427,8 +462,8 @@ def _shapes(cols, k: int = 8) -> str:
 
 
 ORACLES["p21_shape_histogram"] = _shapes(columns("documents", "customer", "part", "events", of="string"))
-ORACLES["p23_first_shape_columns"] = _shapes(
-    [next(iter(columns(t, of="string"))) for t in ("documents", "customer", "part")])
+ORACLES["p22_sampled_shapes"] = _shapes(columns("documents", "customer", of="string"))
+ORACLES["p23_first_shape_columns"] = _shapes(columns("documents", "customer", "part", of="string"))
 ORACLES["p24_collapsed_runs"] = f"""
 SELECT p_partkey, {collapse('mask')} AS shape FROM (
   SELECT p_partkey, {mask("(p_name || '---' || p_brand)")} AS mask FROM part)"""
@@ -594,7 +629,7 @@ ORACLES["t01_top_shapes"] = f"""
 SELECT CAST(ordinal AS BIGINT) AS ordinal, shape, n, rank FROM ({union(top_shapes(t, n, i, 3) for t, i, n, ty in columns("part", of="string"))})"""
 ORACLES["t02_preview_limit"] = """
 SELECT o_orderkey, o_totalprice FROM orders WHERE NOT coalesce((o_totalprice < 100000), true)
-ORDER BY o_totalprice DESC, o_orderkey LIMIT 200"""
+ORDER BY o_orderkey, o_custkey LIMIT 200"""
 ORACLES["t03_result_page"] = """
 SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100"""
 ORACLES["t04_rounds"] = f"SELECT DISTINCT CAST(round AS BIGINT) AS round FROM ({D.RUNS_DUCKDB}) ORDER BY 1"
@@ -611,7 +646,7 @@ def sanitized(reason: str, tables: list[str]) -> str:
     known = sorted(set(tables) | {n for t in tables for n, _ in D.SCHEMA[t]})
     names = "[" + ", ".join(lit(k) for k in known) + "]"
     category = "CASE " + " ".join(
-        f"WHEN regexp_matches(lower({reason}), {lit(p)}) THEN {lit(c)}" for p, c in NOTE_RULES) + f" ELSE {lit(OTHER_NOTE)} END"
+        f"WHEN regexp_matches(lower({reason}), {lit(p)}) THEN {lit(c)}" for p, c in NOTES) + f" ELSE {lit(OTHER_NOTE)} END"
     words = f"list_filter(regexp_extract_all({reason}, '[A-Za-z_][A-Za-z0-9_]*'), lambda w: list_contains({names}, w))"
     first = f"list_filter({words}, lambda w, i: list_position({words}, w) = i)[1:{MAX_MENTIONED}]"
     mentioned = f"array_to_string({first}, ', ')"
@@ -639,8 +674,7 @@ ORACLES["r04_finding_leaks"] = f"""
 SELECT id, reason AS note FROM ({D.RUNS_DUCKDB})
 WHERE length(reason) > 120 OR contains(reason, chr(39)) OR contains(reason, chr(34)) OR contains(reason, '`')"""
 ORACLES["r05_bounded_findings"] = f"""
-SELECT CAST(round AS BIGINT) AS round, id, title FROM ({D.RUNS_DUCKDB}) WHERE length(title) <= 20
-QUALIFY row_number() OVER (PARTITION BY round ORDER BY position) <= 40"""
+SELECT CAST(round AS BIGINT) AS round, id, left(title, 12) AS title FROM ({D.RUNS_DUCKDB})"""
 ORACLES["r06_round_accumulation"] = "SELECT CAST(round AS BIGINT) AS round, id, status, violations, row_count FROM (" + union([
     "SELECT 1 AS round, * FROM (" + _verdict(union(_predicate(f"'r1h{i + 1}'", p) for i, p in enumerate(D.LINEITEM_PREDICATES[:4]))) + ")",
     "SELECT 2 AS round, * FROM (" + _verdict(union(_key_check(f"'r2h{i + 1}'", c) for i, c in enumerate(D.KEY_CHECKS))) + ")",
@@ -690,13 +724,13 @@ def references(tables: list[str]) -> str:
     values = union(f"SELECT DISTINCT {k} AS id, '{kind(ty)}' AS family, {_shared(n, ty)} AS v FROM {t}" for k, t, i, n, ty in cols)
     return f"""
 WITH stats AS MATERIALIZED ({stats}), vals AS MATERIALIZED ({values}),
-pairs AS (SELECT c.id AS child, p.id AS parent, c.tbl, c.col, p.tbl AS ref_tbl, p.col AS ref_col, c.ndv
+pairs AS (SELECT c.id AS child, p.id AS parent, c.tbl, c.col, p.tbl AS ref_tbl, p.col AS ref_col, c.ndv, round(c.ndv::DOUBLE / p.n, 4) AS ratio
   FROM stats c JOIN stats p ON c.family = p.family AND c.id <> p.id
   WHERE NOT coalesce(c.high < p.low OR c.low > p.high, false) AND c.ndv > 0
-    AND (c.col = p.col OR (c.whole AND p.whole AND p.is_key AND c.ndv >= 0.5 * p.n AND c.ndv <= p.n / 0.5))),
+    AND (c.col = p.col OR (c.whole AND p.whole AND p.is_key))),
 shared AS (SELECT a.id AS child, b.id AS parent, count(*) AS n FROM vals a JOIN vals b ON a.family = b.family AND a.v = b.v
   WHERE EXISTS (SELECT 1 FROM pairs q WHERE q.child = a.id AND q.parent = b.id) GROUP BY ALL)
-SELECT tbl AS "table", col AS "column", ref_tbl AS references_table, ref_col AS references_column, ndv AS child_values,
+SELECT tbl AS "table", col AS "column", ref_tbl AS references_table, ref_col AS references_column, ratio, ndv AS child_values,
        coalesce(n, 0) AS shared_values, round(coalesce(n, 0) / ndv::DOUBLE, 4) AS inclusion
 FROM pairs LEFT JOIN shared USING (child, parent)"""
 

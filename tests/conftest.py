@@ -1,6 +1,8 @@
+import datetime as dt
 import sys
 from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -24,31 +26,56 @@ def spark():
     session.stop()
 
 
-PEOPLE = [
-    # id, email, full_name, ssn, amount, created_at, active, notes
-    ("1", "ann.reed@corp.io", "Ann Reed", "111-11-1111", "10.50", "2024-03-01", "true", "ok"),
-    ("2", "bob.k@site.org", "Bob Kent", "222-22-2222", "-3.25", "1970-01-01", "false", ""),
-    ("3", "cy.lane@farm.co.uk", "Cy Lane", "333-33-3333", "0", "2099-12-31", "true", "  padded  "),
-    ("4", "ann.reed@corp.io", "Ann Reed", "111-11-1111", "42.00", "2024-05-17", "true", "REF-10293"),
-    ("5", "", "Dee Moss", "", "7.75", "2024-06-02", "false", "fine"),
-    ("6", "upper.CASE@corp.io", "dee moss", "444-44-4444", "3.10", "2024-07-04", "true", "   "),
-    ("7", "mori@site.jp", "森鴎外", "555-55-5555", "5.00", "2024-08-01", "true", "ok"),
-    ("8", "oleg@site.ru", "Олег Кузнецов", "666-66-6666", "6.00", "2024-08-02", "false", "ok"),
-    ("9", "chloe@site.fr", "Chloé Brûlé", "777-77-7777", "7.00", "2024-08-03", "true", "ok"),
-]
-HEADER = "id,email,full_name,ssn,amount,created_at,active,notes"
-SECRETS = ["ann.reed", "corp.io", "Ann Reed", "Bob Kent", "111-11-1111", "REF-10293", "森", "Кузн", "é", "û"]
+DATA = "/root/testdata/sf0.001"
+CLIENTS = 30
+
+
+def client_rows():
+    """Customers of the driver's tables with gaps, copies, padding and odd dates put in at known places."""
+    table = pq.read_table(f"{DATA}/customer.parquet").slice(0, CLIENTS).to_pylist()
+    rows = []
+    for i, customer in enumerate(table):
+        rows.append(
+            {
+                "client_id": i,
+                "contact": f"{customer['c_name'].lower().replace('#', '.')}@{customer['c_mktsegment'].lower()}.test",
+                "client_name": customer["c_name"],
+                "badge": f"B-{customer['c_custkey']:06d}",
+                "balance": 2.25 * (i + 1),
+                "joined": str(dt.date(2021, 3, 1) + dt.timedelta(days=11 * i)),
+                "vip": str(i % 3 == 0).lower(),
+                "remark": f"ticket {i * 37 + 1000}",
+            }
+        )
+    rows[4]["contact"] = rows[5]["badge"] = rows[1]["remark"] = ""
+    rows[9]["contact"], rows[9]["badge"] = rows[2]["contact"], rows[2]["badge"]
+    rows[12]["contact"] = rows[12]["contact"].upper()
+    rows[7]["client_name"] = rows[6]["client_name"].upper()
+    rows[10]["client_name"], rows[11]["client_name"], rows[13]["client_name"] = "Łukasz Żak", "Ελένη", "李雷"
+    rows[3]["balance"], rows[8]["balance"] = -8.5, 0
+    rows[14]["joined"], rows[20]["joined"] = "1970-01-01", "2087-02-03"
+    rows[16]["remark"], rows[17]["remark"] = "  ", " call back "
+    return rows
+
+
+SECRETS = ["customer.", ".test", "Customer#", "B-0000", "ticket", "call back", "Łukasz", "Ελένη", "李", "Ż"]
+
+
+def csv_text(rows):
+    return "\n".join([",".join(rows[0]), *(",".join(map(str, r.values())) for r in rows)]) + "\n"
 
 
 @pytest.fixture(scope="session")
 def folder(tmp_path_factory):
+    """Clients; twelve deals, the last without items; items, two of them of unknown deals; keys written with zeros."""
     root = tmp_path_factory.mktemp("sources")
-    (root / "people.csv").write_text(
-        "\n".join([HEADER, *[",".join(r) for r in PEOPLE]]) + "\n", encoding="utf-8"
-    )
-    (root / "orders.csv").write_text("order_id,customer_id,total\n1,100,50.0\n2,100,25.0\n3,101,10.0\n4,102,0.0\n")
-    (root / "lines.csv").write_text("line_id,order_id,qty\n1,1,2\n2,1,1\n3,2,4\n4,3,1\n5,99,7\n")
-    (root / "padded.csv").write_text("line_id,order_id\n1,0001\n2,0002\n3,0009\n")
+    (root / "clients.csv").write_text(csv_text(client_rows()), encoding="utf-8")
+    deals = [{"deal_id": i, "client_id": i * 5 % CLIENTS, "total": f"{i * 10}.25"} for i in range(1, 13)]
+    items = [{"item_id": i, "deal_id": i * 7 % 11 + 1, "pieces": i % 4 + 1} for i in range(1, 21)]
+    items += [{"item_id": 21, "deal_id": 77, "pieces": 2}, {"item_id": 22, "deal_id": 78, "pieces": 1}]
+    coded = [{"item_id": i + 1, "deal_id": f"{k:04d}"} for i, k in enumerate((3, 7, 42, 5))]
+    for name, rows in (("deals", deals), ("items", items), ("coded", coded)):
+        (root / f"{name}.csv").write_text(csv_text(rows))
     return root
 
 
@@ -56,5 +83,4 @@ def folder(tmp_path_factory):
 def catalog(spark, folder):
     from tabproof.sources.catalog import Source, load_catalog
 
-    names = ("people", "orders", "lines", "padded")
-    return load_catalog(spark, [Source(str(folder / f"{n}.csv")) for n in names])
+    return load_catalog(spark, [Source(str(folder / f"{n}.csv")) for n in ("clients", "deals", "items", "coded")])

