@@ -112,13 +112,17 @@ def linked_components(
         return found
     members = join_by_key(labelled.drop("rank"), mixed, "bucket").drop("n").join(maps, "id")
     members = saved(members.withColumn("is_main", F.col("label") == F.col("main")).drop("main"))
+    # An id is in a bounded number of buckets; a pair that shares several is met in the first of them.
+    of = members.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+    members = members.join(of, "id")
     x, y = members.where("not is_main").alias("x"), members.alias("y")
     on = (
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.label") != F.col("y.label"))
         & (F.col("y.is_main") | (F.col("x.id") < F.col("y.id")))
         & may_link("x", "y", num, den)
+        & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
     )
-    rest = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    rest = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     rest, got = measured(confirm(rest), F.count("*").alias("links"))
     return connected_components(first.union(rest)) if got["links"] else found
