@@ -54,7 +54,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_signatures(lines: DataFrame) -> DataFrame:
-    """``(id, home, m0 … )`` per distinct line: smallest doc_id and MinHash coordinates.
+    """``(id, m0 … )`` per distinct line: its MinHash coordinates.
 
     Coordinate i is the smallest shingle digest after flipping the bits of a constant. All constants
     start with the same two bits, so in long lines only the digests that start with these
@@ -63,61 +63,64 @@ def line_signatures(lines: DataFrame) -> DataFrame:
     """
     rng = random.Random(7)
     flips = [rng.getrandbits(62) for _ in range(BANDS * BAND_ROWS)]
-    pointed = lines.select("id", "doc_id", _points(F.col("line")).alias("points"))
+    pointed = lines.select("id", _points(F.col("line")).alias("points"))
     pointed = pointed.withColumn("short", F.octet_length("points") < LONG_LINE * _POINT)
-    shingles = _shingles(pointed, "points", "id", "doc_id", "short")
+    shingles = _shingles(pointed, "points", "id", "short")
     shingles = shingles.where(F.col("short") | (F.shiftrightunsigned("token", 62) == 0))
     lows = [F.min(F.col("token").bitwiseXOR(F.lit(flip))).alias(f"m{i}") for i, flip in enumerate(flips)]
-    return shingles.groupBy("id").agg(F.min("doc_id").alias("home"), *lows)
+    return shingles.groupBy("id").agg(*lows)
 
 
 def band_buckets(signatures: DataFrame) -> DataFrame:
-    """``(bucket, id, home)`` for each line and band."""
+    """``(bucket, id)`` for each line and band."""
     bands = [
         F.xxhash64(F.lit(b), *[F.col(f"m{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(BANDS)
     ]
-    return signatures.select("id", "home", F.explode(F.array(*bands)).alias("bucket"))
+    return signatures.select("id", F.explode(F.array(*bands)).alias("bucket"))
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
     """The rows of ``buckets`` whose bucket has others, with their number ``n``.
 
-    The rows of a bucket are dealt to ``SALTS`` tasks.
+    The rows of a bucket are dealt to ``SALTS`` tasks. Both sides group the same signatures, whose
+    shuffle is made once and read twice.
     """
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = buckets.withColumn("_salt", F.pmod("id", F.lit(SALTS)).cast("int"))
-    return salted.join(shared, ["bucket", "_salt"]).select("bucket", "id", "home", "n")
+    return salted.join(shared, ["bucket", "_salt"]).select("bucket", "id", "n")
 
 
-def line_components(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
+def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
     """``(id, component)`` of the distinct lines linked to another line.
 
     Lines are linked when they share a band and their shingle sets have
-    ``den * intersection >= num * union``.
+    ``den * intersection >= num * union``. ``places`` are the ids and documents of all lines.
     """
     members = saved(shared_buckets(band_buckets(line_signatures(document_lines(docs)))))
-    ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank"), F.min("home").alias("home")))
-    named = rows_of(docs.select("doc_id", "text"), "doc_id", ranks.select(F.col("home").alias("doc_id")))
+    ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank")))
+    homes = rows_of(places, "id", ranks).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
+    named = rows_of(docs.select("doc_id", "text"), "doc_id", homes)
     unnamed = docs.select("doc_id", "text").where("doc_id is null")
     lines = document_lines(named.unionByName(unnamed)).select("id", "line")
     lines = saved(rows_of(lines, "id", ranks).dropDuplicates(["id"]))
-    pointed = lines.select("id", _points(F.col("line")).alias("points")).repartition("id")
-    tokens = _shingles(pointed, "points", "id").distinct()
-    maps = saved(tokens.groupBy("id").agg(F.count("*").alias("n"), *parity_map()))
+
+    def maps(ids: DataFrame) -> DataFrame:
+        pointed = rows_of(lines, "id", ids).repartition("id").select("id", _points(F.col("line")).alias("points"))
+        return _shingles(pointed, "points", "id").distinct().groupBy("id").agg(F.count("*").alias("n"), *parity_map())
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        a, b = (lines.select(F.col("id").alias(s), _points(F.col("line")).alias(f"points_{s}")) for s in "ab")
+        a, b = (lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
         met = pairs.join(a, "a").join(b, "b").repartition("a", "b")
         sides = met.select("a", "b", F.explode(F.array(
-            F.struct(F.lit(1).alias("side"), F.col("points_a").alias("points")),
-            F.struct(F.lit(2).alias("side"), F.col("points_b").alias("points")),
-        )).alias("_s")).select("a", "b", "_s.side", "_s.points")
+            F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")),
+            F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")),
+        )).alias("_s")).select("a", "b", "_s.side", _points(F.col("_s.line")).alias("points"))
         held = _shingles(sides, "points", "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
         sizes = held.groupBy("a", "b").agg(F.count("*").alias("either"), F.count_if(F.col("held") == 3).alias("both"))
         return sizes.where(F.col("both") * den >= F.col("either") * num).select("a", "b")
 
-    return linked_components(members.select("bucket", "id").join(ranks.select("id", "rank"), "id"), maps, num, den, confirm)
+    return linked_components(members.select("bucket", "id").join(ranks, "id"), maps, num, den, confirm)
 
 
 def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
@@ -129,7 +132,7 @@ def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame
     other lines, ``kept_in`` the documents that keep theirs.
     """
     places = saved(document_lines(docs).select("doc_id", "version", "pos", "id"))
-    found = line_components(docs, num=num, den=den)
+    found = line_components(docs, places, num=num, den=den)
     repeated = places.groupBy("id").agg(F.min("doc_id").alias("home"), F.count("*").alias("n"))
     known = repeated.join(found.select("id", "component"), "id", "left").where("n > 1 or component is not null")
     known = saved(known.select("id", "home", "n", F.coalesce("component", "id").alias("component")))

@@ -75,12 +75,16 @@ def with_equal_tokens(pairs: DataFrame, sets: DataFrame, num: int, den: int, als
 
 
 def linked_components(
-    buckets: DataFrame, maps: DataFrame, num: int, den: int, confirm: Callable[[DataFrame], DataFrame]
+    buckets: DataFrame,
+    maps: Callable[[DataFrame], DataFrame],
+    num: int,
+    den: int,
+    confirm: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """``(id, component)`` of all ids linked to another one.
 
-    ``buckets(bucket, id, rank)``: ids that share a bucket may be similar; ``maps(id, n, p0 …)``
-    their sizes and parity maps; ``confirm`` keeps the pairs ``(a, b)`` that are.
+    ``buckets(bucket, id, rank)``: ids that share a bucket may be similar; ``maps`` gives the sizes and
+    parity maps ``(id, n, p0 …)`` of some ids; ``confirm`` keeps the pairs ``(a, b)`` that are similar.
 
     First each member is compared with its bucket's member of highest ``rank``, the most central.
     Most buckets then lie within the centre's component. Members that do not are compared with
@@ -110,11 +114,11 @@ def linked_components(
     )
     if not mixed[1]:
         return found
-    members = join_by_key(labelled.drop("rank"), mixed, "bucket").drop("n").join(maps, "id")
+    members = join_by_key(labelled.drop("rank"), mixed, "bucket").drop("n")
     members = saved(members.withColumn("is_main", F.col("label") == F.col("main")).drop("main"))
     # An id is in a bounded number of buckets; a pair that shares several is met in the first of them.
     of = members.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
-    members = members.join(of, "id")
+    members = members.join(saved(of.join(maps(of.select("id")), "id")), "id")
     x, y = members.where("not is_main").alias("x"), members.alias("y")
     on = (
         (F.col("x.bucket") == F.col("y.bucket"))

@@ -133,7 +133,7 @@ def near_duplicates(
     def confirm(pairs: DataFrame) -> DataFrame:
         return with_equal_tokens(pairs, sets.drop(*words), num, den, collides)
 
-    found = linked_components(postings, sets.select("id", "n", *words), num, den, confirm)
+    found = linked_components(postings, lambda ids: sets.select("id", "n", *words), num, den, confirm)
     named = classes.join(found, "id", "left").select(
         "digest", "n", "doc_id", F.coalesce("component", "id").alias("component")
     )
