@@ -28,6 +28,32 @@ def full_profile(spark):
     return profile.profile_table(fresh(spark).frame("lineitem"), "lineitem").collect()
 
 
+def sketched_profile(spark):
+    return profile.profile_table(fresh(spark).frame("lineitem"), "lineitem", exact=False).collect()
+
+
+def many_predicates(spark):
+    listed = [dict(table="lineitem", expression=f"l_quantity > {i % 50} OR l_tax < 0.0{i % 9}") for i in range(600)]
+    wire = checks.checks_frame(spark, listed)
+    return evaluate.evaluate_checks(fresh(spark), checks.normalize_checks(wire)).collect()
+
+
+def duplicate_rows(spark):
+    return evaluate.duplicate_rows(fresh(spark).frame("lineitem"), ["l_orderkey", "l_linenumber"]).count()
+
+
+def composite_keys(spark):
+    return propose.composite_keys(fresh(spark).frame("orders"), "orders", max_columns=2).collect()
+
+
+def minority_rows(spark):
+    return propose.minority_rows(fresh(spark).frame("part"), "p_name").count()
+
+
+def conditional_rules(spark):
+    return propose.conditional_rules(fresh(spark).frame("lineitem"), ["l_quantity < 49"]).collect()
+
+
 def text_profile(spark):
     return profile.profile_table(fresh(spark).frame("documents"), "documents").collect()
 
@@ -75,7 +101,8 @@ def narrow_reference(spark):
 
 QUERIES = [
     full_profile, text_profile, fused_predicates, separate_predicates, check_batch, reference_check,
-    unique_check, reference_discovery, narrow_predicate, narrow_reference,
+    unique_check, reference_discovery, narrow_predicate, narrow_reference, sketched_profile, many_predicates,
+    duplicate_rows, composite_keys, minority_rows, conditional_rules,
 ]
 
 
