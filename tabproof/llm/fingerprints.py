@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabproof.llm.common import measured, whole_text
 
 #: Cells of a fingerprint, a third for each hash function. A failed comparison goes on with more.
-CELLS = 18
+CELLS = 36
 GROWTH, TRIES, ROUNDS = 4, 9, 40
 #: Lines that are cut, and where: short texts have few lines, and a changed end should not hide an equal start.
 CUT_LINES, CUTS = 2, (0, 40, 160, 640, 2560, 10_240)

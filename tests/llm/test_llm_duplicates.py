@@ -242,6 +242,6 @@ def test_peeling_recovers_the_difference(spark):
     rows = [([1, 2, 3, 4], [3, 4, 5]), (list(range(100, 160)), list(range(150, 200))), ([], []), ([7], [7])]
     df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>")
     df = df.select(*[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "ab"])
-    tables = [fingerprints.table_of(F.col(c), F.lit(18).cast("bigint")) for c in "ab"]
+    tables = [fingerprints.table_of(F.col(c), F.lit(fingerprints.CELLS).cast("bigint")) for c in "ab"]
     got = df.select(fingerprints.differing(F.col("a"), F.col("b"), *tables).alias("n")).collect()
     assert [r["n"] for r in got] == [len(set(a) ^ set(b)) for a, b in rows]
