@@ -19,6 +19,8 @@ BANDS, BAND_ROWS = 5, 3
 LONG_LINE = 72
 #: Tasks that share the rows of one bucket.
 SALTS = 16
+#: Times the usual number of tasks for lines that are spread into their shingles.
+WIDENED = 4
 _POINT = 4  # bytes of a code point in UTF-32
 
 
@@ -71,19 +73,18 @@ def line_signatures(lines: DataFrame) -> DataFrame:
     return shingles.groupBy("id").agg(*lows)
 
 
-def band_buckets(signatures: DataFrame) -> DataFrame:
-    """``(bucket, id)`` for each line and band."""
+def line_bands(signatures: DataFrame) -> DataFrame:
+    """``(id, bands)``: a digest for each line and band."""
     bands = [
         F.xxhash64(F.lit(b), *[F.col(f"m{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(BANDS)
     ]
-    return signatures.select("id", F.explode(F.array(*bands)).alias("bucket"))
+    return signatures.select("id", F.array(*bands).alias("bands"))
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
     """The rows of ``buckets`` whose bucket has others, with their number ``n``.
 
-    The rows of a bucket are dealt to ``SALTS`` tasks. Both sides group the same signatures, whose
-    shuffle is made once and read twice.
+    The rows of a bucket are dealt to ``SALTS`` tasks. ``buckets`` is read twice.
     """
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -97,7 +98,8 @@ def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: in
     Lines are linked when they share a band and their shingle sets have
     ``den * intersection >= num * union``. ``places`` are the ids and documents of all lines.
     """
-    members = saved(shared_buckets(band_buckets(line_signatures(document_lines(docs)))))
+    bands = saved(line_bands(line_signatures(document_lines(docs))))
+    members = saved(shared_buckets(bands.select("id", F.explode("bands").alias("bucket"))))
     ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank")))
     homes = rows_of(places, "id", ranks).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     named = rows_of(docs.select("doc_id", "text"), "doc_id", homes)
@@ -105,13 +107,16 @@ def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: in
     lines = document_lines(named.unionByName(unnamed)).select("id", "line")
     lines = saved(rows_of(lines, "id", ranks).dropDuplicates(["id"]))
 
+    # A line becomes a row for each of its characters, so its tasks take a fraction of the usual lines.
+    tasks = WIDENED * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def maps(ids: DataFrame) -> DataFrame:
-        pointed = rows_of(lines, "id", ids).repartition("id").select("id", _points(F.col("line")).alias("points"))
+        pointed = rows_of(lines, "id", ids).repartition(tasks, "id").select("id", _points(F.col("line")).alias("points"))
         return _shingles(pointed, "points", "id").distinct().groupBy("id").agg(F.count("*").alias("n"), *parity_map())
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
-        met = pairs.join(a, "a").join(b, "b").repartition("a", "b")
+        met = pairs.join(a, "a").join(b, "b").repartition(tasks, "a", "b")
         sides = met.select("a", "b", F.explode(F.array(
             F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")),
             F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")),
