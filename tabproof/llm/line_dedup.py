@@ -14,14 +14,12 @@ from tabproof.llm.links import linked_components, parity_map
 SHINGLE = 8
 #: Lines at similarity 0.8 share one of the bands with probability 0.97, at 0.9 with 0.998.
 BANDS, BAND_ROWS = 5, 3
-#: From so many code points on, a line's coordinates come from a quarter of its shingles, which has none of them
-#: with a probability below 1e-8.
-LONG_LINE = 72
 #: Tasks that share the rows of one bucket.
 SALTS = 16
 #: Times the usual number of tasks for lines that are spread into their shingles.
 WIDENED = 4
 _POINT = 4  # bytes of a code point in UTF-32
+_LOW_BITS = 31  # of a digest; products of two such numbers fit in a bigint
 
 
 def _normal(line: Column) -> Column:
@@ -58,19 +56,17 @@ def document_lines(docs: DataFrame) -> DataFrame:
 def line_signatures(lines: DataFrame) -> DataFrame:
     """``(id, m0 … )`` per distinct line: its MinHash coordinates.
 
-    Coordinate i is the smallest shingle digest after flipping the bits of a constant. All constants
-    start with the same two bits, so in long lines only the digests that start with these
-    can be smallest, and the others are not compared. One pass over the shingles, combined in the
-    task that reads them: a line is one short row in the shuffle, however long and frequent.
+    Coordinate i is the smallest product of a shingle digest's low bits and an odd constant, over all
+    shingles of the line, whatever its length. Lines are made distinct first, and then spread
+    into shingles and gathered again in the task that has them.
     """
     rng = random.Random(7)
-    flips = [rng.getrandbits(62) for _ in range(BANDS * BAND_ROWS)]
-    pointed = lines.select("id", _points(F.col("line")).alias("points"))
-    pointed = pointed.withColumn("short", F.octet_length("points") < LONG_LINE * _POINT)
-    shingles = _shingles(pointed, "points", "id", "short")
-    shingles = shingles.where(F.col("short") | (F.shiftrightunsigned("token", 62) == 0))
-    lows = [F.min(F.col("token").bitwiseXOR(F.lit(flip))).alias(f"m{i}") for i, flip in enumerate(flips)]
-    return shingles.groupBy("id").agg(*lows)
+    factors = [rng.getrandbits(_LOW_BITS - 1) * 2 + 1 for _ in range(BANDS * BAND_ROWS)]
+    pointed = lines.select("id", "line").dropDuplicates(["id"]).select("id", _points(F.col("line")).alias("points"))
+    low = (1 << _LOW_BITS) - 1
+    shingles = _shingles(pointed, "points", "id").select("id", F.col("token").bitwiseAND(F.lit(low)).alias("token"))
+    ordered = [(F.col("token") * F.lit(factor)).bitwiseAND(F.lit(low)) for factor in factors]
+    return shingles.groupBy("id").agg(*[F.min(place).alias(f"m{i}") for i, place in enumerate(ordered)])
 
 
 def line_bands(signatures: DataFrame) -> DataFrame:

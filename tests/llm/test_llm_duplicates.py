@@ -175,6 +175,34 @@ def test_lines_against_brute_force(spark, frame):
         assert clean.get(i) == ("\n".join(left) if left else None)
 
 
+def brute_dropped(rows):
+    """The positions that every document loses when all pairs of lines are compared."""
+    distinct = sorted({normal(line) for _, t in rows for line in t.split("\n")} - {""})
+    sets = [line_set(line) for line in distinct]
+    edges = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    component = dict(zip(distinct, roots(range(len(distinct)), edges).values()))
+    seen, dropped = set(), {}
+    for i, t in sorted(rows):
+        lines = [(pos, component[normal(line)]) for pos, line in enumerate(t.split("\n")) if normal(line)]
+        dropped[i] = [pos for pos, c in lines if c in seen or seen.add(c)]
+    return dropped
+
+
+def test_lines_of_60_to_90_characters_and_repetitive_lines(frame):
+    rng = random.Random(21)
+    lines = []
+    for size in range(60, 91):
+        for _ in range(4):
+            line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+            lines += [line, line[:-4]]
+    for pattern in ("-", "=", "*", "#", "_", "~", ".", "+", "ab", "-=", ". ."):
+        lines += [pattern * 80, pattern * 81]
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_report(frame(rows)).collect()}
+    assert got == brute_dropped(rows)
+
+
 def test_lines_of_odd_rows(frame, odd_rows):
     got = line_dedup.line_report(frame(odd_rows)).collect()
     assert len(got) == len(odd_rows)
