@@ -23,7 +23,7 @@ _LOW_BITS = 31  # of a digest; products of two such numbers fit in a bigint
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.lower(line))
+    return F.trim(F.lower(line), F.lit(" \t\r"))
 
 
 def _points(line: Column) -> Column:
@@ -127,7 +127,7 @@ def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: in
 def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
     """``(doc_id, version, dropped, kept_in)`` of documents that lose lines.
 
-    Lines are compared without case and outer spaces. Equal lines, and lines linked by
+    Lines are compared without case and outer blanks, tabs and carriage returns. Equal lines, and lines linked by
     :func:`line_components`, are one component. It is kept once: at its first place in the
     document of smallest id that holds it. ``dropped`` are the positions (from 0) of the
     other lines, ``kept_in`` the documents that keep theirs.

@@ -203,6 +203,15 @@ def test_lines_of_60_to_90_characters_and_repetitive_lines(frame):
     assert got == brute_dropped(rows)
 
 
+def test_lines_with_carriage_returns_and_tabs(frame):
+    rows = [
+        (1, "short\r\n\r\n\t\r\nbody of the first text\r"), (2, "\tshort\n\t\n\r\n \t\r\nbody of the second text\r\n"),
+        (3, "\r\n\t\n"), (4, "\r"), (5, "\t"), (6, "Short \r\nits own\t"),
+    ]
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_report(frame(rows)).collect()}
+    assert got == brute_dropped(rows) == {1: [], 2: [0], 3: [], 4: [], 5: [], 6: [0]}
+
+
 def test_lines_of_odd_rows(frame, odd_rows):
     got = line_dedup.line_report(frame(odd_rows)).collect()
     assert len(got) == len(odd_rows)
