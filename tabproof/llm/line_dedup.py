@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +13,9 @@ from tabproof.llm.links import linked_components, parity_map
 
 #: Code points of a shingle. Unrelated lines of 300 share about 0.05 % of shingles this long.
 SHINGLE = 8
-#: Lines at similarity 0.8 share one of the bands with probability 0.97, at 0.9 with 0.998.
-BANDS, BAND_ROWS = 5, 3
+BAND_ROWS = 3
+#: Probability that two lines at the threshold share no band.
+MISSED = 1e-5
 #: Tasks that share the rows of one bucket.
 SALTS = 16
 #: Times the usual number of tasks for lines that are spread into their shingles.
@@ -53,7 +55,13 @@ def document_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_signatures(lines: DataFrame) -> DataFrame:
+def band_count(similarity: float, rows: int = BAND_ROWS, missed: float = MISSED) -> int:
+    """Fewest bands of ``rows`` that a pair at ``similarity`` shares none of with probability ``missed`` at most."""
+    alike = similarity**rows
+    return 1 if alike >= 1 else math.ceil(math.log(missed) / math.log1p(-alike))
+
+
+def line_signatures(lines: DataFrame, n_bands: int) -> DataFrame:
     """``(id, m0 … )`` per distinct line: its MinHash coordinates.
 
     Coordinate i is the smallest product of a shingle digest's low bits and an odd constant, over all
@@ -61,7 +69,7 @@ def line_signatures(lines: DataFrame) -> DataFrame:
     into shingles and gathered again in the task that has them.
     """
     rng = random.Random(7)
-    factors = [rng.getrandbits(_LOW_BITS - 1) * 2 + 1 for _ in range(BANDS * BAND_ROWS)]
+    factors = [rng.getrandbits(_LOW_BITS - 1) * 2 + 1 for _ in range(n_bands * BAND_ROWS)]
     pointed = lines.select("id", "line").dropDuplicates(["id"]).select("id", _points(F.col("line")).alias("points"))
     low = (1 << _LOW_BITS) - 1
     shingles = _shingles(pointed, "points", "id").select("id", F.col("token").bitwiseAND(F.lit(low)).alias("token"))
@@ -69,10 +77,10 @@ def line_signatures(lines: DataFrame) -> DataFrame:
     return shingles.groupBy("id").agg(*[F.min(place).alias(f"m{i}") for i, place in enumerate(ordered)])
 
 
-def line_bands(signatures: DataFrame) -> DataFrame:
+def line_bands(signatures: DataFrame, n_bands: int) -> DataFrame:
     """``(id, bands)``: a digest for each line and band."""
     bands = [
-        F.xxhash64(F.lit(b), *[F.col(f"m{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(BANDS)
+        F.xxhash64(F.lit(b), *[F.col(f"m{b * BAND_ROWS + r}") for r in range(BAND_ROWS)]) for b in range(n_bands)
     ]
     return signatures.select("id", F.array(*bands).alias("bands"))
 
@@ -91,10 +99,11 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
 def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
     """``(id, component)`` of the distinct lines linked to another line.
 
-    Lines are linked when they share a band and their shingle sets have
-    ``den * intersection >= num * union``. ``places`` are the ids and documents of all lines.
+    Lines are linked when their shingle sets have ``den * intersection >= num * union`` and they share
+    a band, which pairs at the threshold miss with probability ``MISSED`` at most. ``places`` are the ids and documents of all lines.
     """
-    bands = saved(line_bands(line_signatures(document_lines(docs))))
+    n_bands = band_count(num / den)
+    bands = saved(line_bands(line_signatures(document_lines(docs), n_bands), n_bands))
     members = saved(shared_buckets(bands.select("id", F.explode("bands").alias("bucket"))))
     ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank")))
     homes = rows_of(places, "id", ranks).groupBy("id").agg(F.min("doc_id").alias("doc_id"))

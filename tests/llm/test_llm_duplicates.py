@@ -203,6 +203,19 @@ def test_lines_of_60_to_90_characters_and_repetitive_lines(frame):
     assert got == brute_dropped(rows)
 
 
+def test_no_pair_of_lines_at_the_threshold_is_missed(frame):
+    rng = random.Random(22)
+    rows = []
+    for i in range(300):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=107))
+        rows += [(2 * i, line), (2 * i + 1, line[:-20])]
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_report(frame(rows)).collect()}
+    assert got == brute_dropped(rows) and sum(map(len, got.values())) == 300
+    for similarity in (0.5, 0.8, 0.9):
+        n = line_dedup.band_count(similarity)
+        assert (1 - similarity**line_dedup.BAND_ROWS) ** n <= line_dedup.MISSED < (1 - similarity**line_dedup.BAND_ROWS) ** (n - 1)
+
+
 def test_lines_with_carriage_returns_and_tabs(frame):
     rows = [
         (1, "short\r\n\r\n\t\r\nbody of the first text\r"), (2, "\tshort\n\t\n\r\n \t\r\nbody of the second text\r\n"),
