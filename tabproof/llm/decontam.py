@@ -19,6 +19,10 @@ K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
 SCORE = 0.5
 QUESTION_OVERLAP, ANSWER_OVERLAP = 0.6, 0.5
+#: Share of the word pairs of a whole item that is enough without its answer.
+WHOLE_OVERLAP = 0.7
+#: A last sentence of fewer words is no answer but a part of the question.
+ANSWER_WORDS = 4
 #: Items and characters of one index; larger benchmarks are searched index by index.
 INDEX_ITEMS, INDEX_CHARS = 50_000, 16_000_000
 PASSAGE_WORDS = 128
@@ -73,9 +77,10 @@ class ItemIndex:
         self.parts = []
         for _, text in items:
             sentences = [s for s in map(words_of, re.split(r"[.!?\n]+", text)) if s]
-            answer = sentences[-1] if len(sentences) > 1 else []
-            question = [w for s in (sentences[:-1] if len(sentences) > 1 else sentences) for w in s]
-            self.parts.append((set(zip(question, question[1:])), set(answer)))
+            answered = len(sentences) > 1 and len(sentences[-1]) >= ANSWER_WORDS
+            question = [w for s in (sentences[:-1] if answered else sentences) for w in s]
+            every = [w for s in sentences for w in s]
+            self.parts.append((set(zip(question, question[1:])), set(sentences[-1] if answered else []), set(zip(every, every[1:]))))
 
     def word_ids(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
@@ -148,14 +153,15 @@ class ItemIndex:
         while at[i] < len(listed) and listed[at[i]][0] < item:
             at[i] += 1
 
-    def overlaps(self, item: int, words: list[str]) -> tuple[float, float]:
-        """Share of the question's word pairs and of the answer's words that are among ``words``."""
-        question, answer = self.parts[item]
+    def overlaps(self, item: int, words: list[str]) -> tuple[float, float, float]:
+        """Share of the question's word pairs, of the answer's words and of all word pairs that are among ``words``."""
+        question, answer, every = self.parts[item]
         pairs, single = set(zip(words, words[1:])), set(words)
         asked = len(question & pairs) / len(question) if question else 1.0
-        return asked, len(answer & single) / len(answer) if answer else 1.0
+        told = len(answer & single) / len(answer) if answer else 1.0
+        return asked, told, len(every & pairs) / len(every) if every else 0.0
 
-    def matches(self, text: str, score: float, question: float, answer: float) -> list[tuple[int, float, float, float, int]]:
+    def matches(self, text: str, score: float, question: float, answer: float, whole: float = WHOLE_OVERLAP) -> list[tuple[int, float, float, float, int]]:
         """``(item_id, score, question overlap, answer overlap, first word)`` of the best passage for each item."""
         words = words_of(text)
         places, terms = self.terms(words)
@@ -169,8 +175,8 @@ class ItemIndex:
         for window in np.flatnonzero(bounds >= score - 1e-12).tolist():
             low, high = np.searchsorted(step, [window, window + 2])
             for item, reached in self.search(sorted(set(terms[low:high].tolist())), score):
-                asked, told = self.overlaps(item, words[window * half : (window + 2) * half + 1])
-                if asked >= question and told >= answer and reached > best.get(item, (0.0,))[0]:
+                asked, told, held = self.overlaps(item, words[window * half : (window + 2) * half + 1])
+                if (held >= whole or asked >= question and told >= answer) and reached > best.get(item, (0.0,))[0]:
                     best[item] = (reached, asked, told, window * half)
         return [(self.items[item], *best[item]) for item in sorted(best)]
 
@@ -186,7 +192,8 @@ def _indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP
+    docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP,
+    whole: float = WHOLE_OVERLAP,
 ) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap, first_word)``, best passage of each pair.
 
@@ -194,7 +201,9 @@ def contaminated(
     half overlapping) is a query of word pairs to the index of ``benchmark(item_id, text, …)``.
     All items whose BM25 score reaches the share ``score`` of their own are retrieved. They count
     if the passage also holds the share ``question`` of the word pairs before the item's last
-    sentence and ``answer`` of the words in it; an item of one sentence has no answer to hold.
+    sentence and ``answer`` of the words in it, or the share ``whole`` of all its word pairs. A last
+    sentence of fewer than ``ANSWER_WORDS`` words belongs to the question, and an item of one sentence
+    has no answer to hold.
 
     Null and empty texts match nothing, nor do items of fewer than two words. A null
     doc_id or item_id is returned as it is. Repeated documents give repeated rows, repeated items
@@ -212,7 +221,7 @@ def contaminated(
                 rows = [
                     (doc_id, *match)
                     for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
-                    for match in shared.value.matches(text.as_py(), score, question, answer)
+                    for match in shared.value.matches(text.as_py(), score, question, answer, whole)
                 ]
                 columns = list(zip(*rows)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.int64()]
@@ -224,7 +233,8 @@ def contaminated(
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP
+    docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP,
+    whole: float = WHOLE_OVERLAP,
 ) -> DataFrame:
     """The rows of ``docs`` whose text matches no benchmark item as in :func:`contaminated`."""
     spark, at = docs.sparkSession, docs.columns.index("text")
@@ -233,7 +243,7 @@ def decontaminate(
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [not shared.value.matches(t.as_py() or "", score, question, answer) for t in batch.column(at)]
+                keep = [not shared.value.matches(t.as_py() or "", score, question, answer, whole) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = shipped(docs).mapInArrow(clean, docs.schema)

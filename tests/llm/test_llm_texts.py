@@ -342,6 +342,18 @@ def test_planted_items_are_found_and_clean_documents_stay(spark, frame, items):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in expected}
 
 
+def test_copies_without_their_last_sentence_are_found(spark, frame):
+    rng = random.Random(12)
+    asked = [words(rng, 40, 500) for _ in range(20)]
+    items = [(i, f"{q}. {'Er' if i % 2 else words(rng, 10, 500)}.") for i, q in enumerate(asked)]
+    rows = [(i, f"{words(rng, 50, 500)} {q} {words(rng, 50, 500)}") for i, q in enumerate(asked)]
+    rows += [(100 + i, f"{words(rng, 50, 500)} {q[: len(q) // 3]} {words(rng, 50, 500)}") for i, q in enumerate(asked)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(rows), benchmark).collect()}
+    assert got == {(i, i) for i in range(20)}
+    assert {r["doc_id"] for r in decontam.decontaminate(frame(rows), benchmark).collect()} == set(range(100, 120))
+
+
 def test_indexes_of_bounded_size_find_the_same(spark, frame, items, monkeypatch):
     docs, benchmark = frame(items[:40]), spark.createDataFrame(items, "item_id long, text string")
     whole = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark).collect()}
