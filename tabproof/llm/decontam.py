@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import shipped, whole_text
+from tabproof.llm.common import saved, shipped, whole_text
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
@@ -35,14 +35,24 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def passage_width(words: list[str]) -> int:
+    """Words of the passages in which an item is looked for: ``PASSAGE_WORDS``, doubled until the item fits in half."""
+    width = PASSAGE_WORDS
+    while width < 2 * len(words):
+        width *= 2
+    return width
+
+
 class ItemIndex:
     """BM25 postings of word pairs, in blocks that know their highest weight.
 
     A weight is divided by its item's own score, so a passage that holds a whole item
-    scores 1 for it and one threshold serves all items.
+    scores 1 for it and one threshold serves all items. ``totals`` are the number of all items,
+    the word pairs of one on average, and in how many a pair is when there is more than one; without
+    them, those of ``items``. Passages have ``width`` words, at least twice those of the longest item.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], totals: tuple[int, float, dict[str, int]] | None = None, width: int | None = None):
         self.items = [i for i, _ in items]
         texts = [words_of(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
@@ -52,8 +62,14 @@ class ItemIndex:
         self.base = len(self.vocabulary) + 1
         pairs = [Counter(self._codes(self.word_ids(words)).tolist()) for words in texts]
         frequency = Counter(code for found in pairs for code in found)
-        count = len(items)
-        mean = sum(sum(p.values()) for p in pairs) / count if count else 1.0
+        if totals is None:
+            count = len(items)
+            mean = sum(sum(p.values()) for p in pairs) / count if count else 1.0
+        else:
+            count, mean, shared = totals
+            names = ["", *self.vocabulary]
+            for code in frequency:
+                frequency[code] = shared.get(f"{names[code // self.base]} {names[code % self.base]}", 1)
         self.codes = np.array(sorted(frequency), np.int64)
         at = {code: i for i, code in enumerate(self.codes.tolist())}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -73,7 +89,7 @@ class ItemIndex:
             tops = [(b[-1][0], max(w for _, w in b)) for b in blocks]
             self.postings.append((listed, tops))
         self.highest = np.array([max(w for _, w in listed) for listed, _ in self.postings])
-        self.width = max([PASSAGE_WORDS, *(2 * len(words) for words in texts)])
+        self.width = width or max([PASSAGE_WORDS, *(passage_width(words) for words in texts)])
         self.parts = []
         for _, text in items:
             sentences = [s for s in map(words_of, re.split(r"[.!?\n]+", text)) if s]
@@ -161,9 +177,8 @@ class ItemIndex:
         told = len(answer & single) / len(answer) if answer else 1.0
         return asked, told, len(every & pairs) / len(every) if every else 0.0
 
-    def matches(self, text: str, score: float, question: float, answer: float, whole: float = WHOLE_OVERLAP) -> list[tuple[int, float, float, float, int]]:
+    def matches(self, words: list[str], score: float, question: float, answer: float, whole: float = WHOLE_OVERLAP) -> list[tuple[int, float, float, float, int]]:
         """``(item_id, score, question overlap, answer overlap, first word)`` of the best passage for each item."""
-        words = words_of(text)
         places, terms = self.terms(words)
         if not len(places) or self.highest[terms].sum() < score:
             return []
@@ -181,14 +196,54 @@ class ItemIndex:
         return [(self.items[item], *best[item]) for item in sorted(best)]
 
 
-def _indexes(benchmark: DataFrame) -> Iterator[ItemIndex]:
-    """Indexes of bounded size over all items; one at a time is held and broadcast."""
+class Block:
+    """Items of one block, in an index for each width of passages."""
+
+    def __init__(self, items: list[tuple[int, str]], totals: tuple[int, float, dict[str, int]]):
+        by_width = defaultdict(list)
+        for item in items:
+            by_width[passage_width(words_of(item[1]))].append(item)
+        self.indexes = [ItemIndex(listed, totals, width) for width, listed in sorted(by_width.items())]
+
+    def matches(self, text: str, *limits: float) -> list[tuple[int, float, float, float, int]]:
+        words = words_of(text)
+        return [found for index in self.indexes for found in index.matches(words, *limits)]
+
+
+def _pairs(items: DataFrame) -> DataFrame:
+    """``(pair, n)``: the distinct word pairs of every item, with how often it has them."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                found = Counter(f"{a} {b}" for a, b in zip(words, words[1:]))
+                columns = [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["pair", "n"])
+
+    return shipped(items).select("text").mapInArrow(counts, "pair string, n long")
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Block, bool]]:
+    """Blocks of bounded size over all items, and whether more follow; one at a time is made.
+
+    The number of items, their mean length and the frequencies of pairs are those of all items, counted once.
+    """
     items = benchmark.select("item_id", whole_text().alias("text")).where("text <> ''").distinct()
     size = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(math.ceil(size[0] / INDEX_ITEMS), math.ceil(size[1] / INDEX_CHARS))
+    if not blocks:
+        return
+    seen = saved(_pairs(items).groupBy("pair").agg(F.count("*").alias("df"), F.sum("n").alias("n")))
+    mean = (seen.agg(F.sum("n")).first()[0] or size[0]) / size[0]
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        yield ItemIndex([(r[0], r[1]) for r in mine.orderBy("item_id", "text").toLocalIterator()])
+        wanted = seen.where("df > 1").select("pair", "df")
+        if blocks > 1:
+            wanted = wanted.join(_pairs(mine).select("pair").distinct(), "pair")
+        shared = {r[0]: r[1] for r in wanted.toLocalIterator()}
+        listed = [(r[0], r[1]) for r in mine.orderBy("item_id", "text").toLocalIterator()]
+        yield Block(listed, (size[0], mean, shared)), block + 1 < blocks
 
 
 def contaminated(
@@ -197,8 +252,8 @@ def contaminated(
 ) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap, first_word)``, best passage of each pair.
 
-    Every passage of ``docs(doc_id, text, …)`` (windows of at least twice the longest item,
-    half overlapping) is a query of word pairs to the index of ``benchmark(item_id, text, …)``.
+    Every passage of ``docs(doc_id, text, …)`` (half overlapping windows, for each item the first of 128,
+    256, … words of at least twice its own) is a query of word pairs to the index of ``benchmark(item_id, text, …)``.
     All items whose BM25 score reaches the share ``score`` of their own are retrieved. They count
     if the passage also holds the share ``question`` of the word pairs before the item's last
     sentence and ``answer`` of the words in it, or the share ``whole`` of all its word pairs. A last
@@ -213,8 +268,8 @@ def contaminated(
     spark = docs.sparkSession
     found = spark.createDataFrame([], schema)
     texts = shipped(docs).select("doc_id", whole_text().alias("text"))
-    for index in _indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    for block, more in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -228,7 +283,11 @@ def contaminated(
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        found = found.unionByName(texts.mapInArrow(search, schema))
+        matched = texts.mapInArrow(search, schema)
+        if more:
+            matched = saved(matched)
+            shared.destroy()
+        found = found.unionByName(matched)
     return found
 
 
@@ -238,8 +297,8 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs`` whose text matches no benchmark item as in :func:`contaminated`."""
     spark, at = docs.sparkSession, docs.columns.index("text")
-    for index in _indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    for block, more in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -247,4 +306,7 @@ def decontaminate(
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = shipped(docs).mapInArrow(clean, docs.schema)
+        if more:
+            docs = saved(docs)
+            shared.destroy()
     return docs

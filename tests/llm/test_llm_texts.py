@@ -362,6 +362,29 @@ def test_indexes_of_bounded_size_find_the_same(spark, frame, items, monkeypatch)
     assert whole == parts == {(i, i) for i, _ in items[:40]}
 
 
+def test_results_depend_on_neither_blocks_nor_other_items(spark, frame, items, monkeypatch):
+    rng = random.Random(13)
+    cut = [(i, t.rsplit(" ", rng.randrange(1, 8))[0]) for i, t in items[:60]]
+    listed = items[:60]
+    benchmark = spark.createDataFrame(listed, "item_id long, text string")
+
+    def rows(items):
+        return sorted(map(tuple, decontam.contaminated(frame(cut), items).collect()))
+
+    whole, left = rows(benchmark), decontam.decontaminate(frame(cut), benchmark).count()
+    monkeypatch.setattr(decontam, "INDEX_ITEMS", 20)
+    parts = rows(benchmark)
+    assert [(r[0], r[1], r[5]) for r in parts] == [(r[0], r[1], r[5]) for r in whole]
+    assert [x for r in parts for x in r[2:5]] == pytest.approx([x for r in whole for x in r[2:5]])
+    assert decontam.decontaminate(frame(cut), benchmark).count() == left
+    short = decontam.words_of(items[0][1])
+    strewn = " ".join(f"{a} {b} {words(rng, 60, 500).replace('w', 'v')}" for a, b in zip(short, short[1:]))
+    long_item = [(5000, words(rng, 6000, 5000).replace("w", "u"))]
+    both = spark.createDataFrame([*listed, *long_item], "item_id long, text string")
+    assert decontam.contaminated(frame([(1, strewn)]), both).collect() == []
+    assert [r["item_id"] for r in decontam.contaminated(frame(long_item), both).collect()] == [5000]
+
+
 def test_decontamination_of_odd_rows(spark, frame, odd_rows, items):
     benchmark = spark.createDataFrame([*items, (900, "no name but text")], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(frame(odd_rows), benchmark).collect()] == [(None, 900)]
