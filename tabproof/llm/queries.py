@@ -9,15 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from tabproof.llm import licenses
+from tabproof.llm.alignment import align_tokens
 from tabproof.llm.chat import format_conversations, read_conversations
 from tabproof.llm.common import table
 from tabproof.llm.decontam import contaminated
+from tabproof.llm.exact_dedup import exact_duplicates
 from tabproof.llm.fingerprints import fingerprint_report
 from tabproof.llm.line_dedup import line_report
 from tabproof.llm.near_dedup import near_duplicates
 from tabproof.llm.packing import pack_documents
 from tabproof.llm.pii import personal_data
 from tabproof.llm.quality import quality_scores
+from tabproof.llm.repair import damaged, repair_report
 from tabproof.llm.toxicity import toxicity_scores
 from tabproof.session import local_frame
 
@@ -69,15 +72,35 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokens(table(spark, sf_dir, "documents"), left, right)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_fingerprints, op2_line_dedup, op3_toxicity, op4_personal_data, op5_chat_format, op6_near_dedup, op7_quality,
-        op8_license_scan, op9_decontamination, op10_best_fit_packing,
+        op8_license_scan, op9_decontamination, op10_best_fit_packing, op11_exact_dedup,
+        op12_conversation_repair, op13_token_alignment,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op11_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
     "op5_chat_format": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
