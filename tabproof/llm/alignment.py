@@ -170,6 +170,8 @@ def sorted_runs(docs: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> Itera
     records = (pairs.astype(np.uint64) << np.uint64(32)) | docs.astype(np.uint64)
     order = np.argsort(records)
     records, times = records[order], times[order]
+    if not len(records):
+        return
     first = np.flatnonzero(np.concatenate([[True], records[1:] != records[:-1]]))
     times = np.add.reduceat(times, first)
     records = records[first]

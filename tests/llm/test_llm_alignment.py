@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment against whole encodings and plain counters."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -66,13 +67,18 @@ class Whole:
                 mine.append((at, at + len(raw)))
                 at += len(raw)
             spans.append(mine)
-        pairs = [(x, y) for x, (s, e) in zip(a, spans[0]) for y, (t, f) in zip(b, spans[1]) if s < f and t < e]
+        ends_b, pairs = [e for _, e in spans[1]], []
+        for x, (start, end) in zip(a, spans[0]):
+            at = bisect.bisect_right(ends_b, start)
+            while at < len(b) and spans[1][at][0] < end:
+                pairs.append((x, b[at]))
+                at += 1
         cuts = sorted({e for _, e in spans[0]} & {e for _, e in spans[1]})
-        groups, low = [], 0
-        for high in cuts:
-            inside = [[t for t, (s, e) in zip(ids, mine) if low <= s and e <= high] for ids, mine in zip((a, b), spans)]
-            groups.append("|".join(",".join(map(str, ids)) for ids in inside))
-            low = high
+        inside = [[[] for _ in cuts], [[] for _ in cuts]]
+        for side, ids, mine in zip(inside, (a, b), spans):
+            for token, (start, _) in zip(ids, mine):
+                side[bisect.bisect_right(cuts, start)].append(token)
+        groups = ["|".join(",".join(map(str, ids)) for ids in pair) for pair in zip(*inside)]
         return len(a), len(b), groups, pairs
 
 
