@@ -137,3 +137,25 @@ def value_key(column: str, data_type: T.DataType) -> str:
         # Wall-clock text repeats when clocks go back; instants do not.
         return f"string(unix_micros({column}))"
     return f"string({column})"
+
+
+def digest_pair(value: str) -> tuple[str, str]:
+    """Two 64-bit digests of a value of any hashable type under different seeds; the first is NULL for NULL."""
+    return f"if({value} is null, null, xxhash64({value}))", f"xxhash64(1L, {value})"
+
+
+def value_digest(column: str, data_type: T.DataType) -> tuple[str, str]:
+    """Two numbers that are equal for two values of a column when the values are; the first is NULL for NULL.
+
+    Whole numbers, dates and booleans stand for themselves. All else has 128 bits of digests, so
+    groupings that only tell values apart carry no texts.
+    """
+    if isinstance(data_type, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return f"bigint({column})", "0L"
+    if isinstance(data_type, T.DateType):
+        return f"bigint(unix_date({column}))", "0L"
+    if column_class(data_type) == STRING or isinstance(data_type, (T.BinaryType, T.TimestampType, T.TimestampNTZType, T.DecimalType)):
+        return digest_pair(column)
+    if is_floating(data_type):
+        return digest_pair(f"({column} + 0.0d)")  # folds -0.0 into 0.0
+    return digest_pair(f"string({column})")

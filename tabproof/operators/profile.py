@@ -18,7 +18,7 @@ from tabproof.functions import text as X
 from tabproof.functions import types as K
 from tabproof.plans import sketches as S
 from tabproof.plans.distinct import exact_distinct, values_by_id
-from tabproof.plans.quantiles import exact_quantiles
+from tabproof.plans.quantiles import value_statistics
 from tabproof.session import local_frame
 
 # Fixed values.
@@ -241,7 +241,7 @@ def _with_settled_keys(df: DataFrame, found: DataFrame, specs: Sequence[ColumnSp
         for r in rows
         if r["row_count"] and r[filled] == r["row_count"] and (r["ndv"] or 0) >= KEY_SHARE * r["row_count"] * (1 - _SKETCH_SLACK)
     }
-    columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.ordinal in near]
+    columns = [(s.ordinal, X.value_digest(s.sql, s.data_type)) for s in specs if s.ordinal in near]
     counted = {r["id"]: r["ndv"] for r in exact_distinct(df, columns).collect()}
     settled = [r.asDict() | {"ndv": counted.get(r["ordinal"], r["ndv"])} for r in rows]
     return df.sparkSession.createDataFrame([tuple(r[c] for c in found.columns) for r in settled], found.schema)
@@ -249,26 +249,24 @@ def _with_settled_keys(df: DataFrame, found: DataFrame, specs: Sequence[ColumnSp
 
 def distinct_counts(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
     """Exact distinct counts ``(ordinal, ndv, ndv_ci)``, the second ignoring case."""
-    n = len(specs)
-    columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
-    columns += [
-        (s.ordinal + n, X.key_digest(f"lower({s.sql})")) for s in specs if s.kind == K.STRING
-    ]
-    return (
-        exact_distinct(df, columns)
-        .groupBy(F.expr(f"int(id % {n})").alias("ordinal"))
-        .agg(
-            F.expr(f"max(if(id < {n}, ndv, null))").alias("ndv"),
-            F.expr(f"max(if(id >= {n}, ndv, null))").alias("ndv_ci"),
-        )
-    )
+    return _counts_frame(df, specs, value_statistics(df, _distinct_keys(specs), {})[0])
+
+
+def _distinct_keys(specs: Sequence[ColumnSpec]) -> dict[int, tuple[str, str]]:
+    """What tells the values of each column apart; texts without case follow, by ordinal and number of columns."""
+    keys = {s.ordinal: X.value_digest(s.sql, s.data_type) for s in specs if s.kind != K.NESTED}
+    return keys | {s.ordinal + len(specs): X.digest_pair(f"lower({s.sql})") for s in specs if s.kind == K.STRING}
+
+
+def _counts_frame(df: DataFrame, specs: Sequence[ColumnSpec], counts: dict[int, int]) -> DataFrame:
+    rows = [(s.ordinal, counts.get(s.ordinal), counts.get(s.ordinal + len(specs))) for s in specs if s.ordinal in counts]
+    return local_frame(df.sparkSession, rows, "ordinal int, ndv bigint, ndv_ci bigint")
 
 
 def shape_counts(df: DataFrame, specs: Sequence[ColumnSpec]) -> DataFrame:
     """``(ordinal, shape, n)``: how often each masked format occurs in each column."""
-    masks = [(s.ordinal, X.format_mask(s.sql)) for s in specs]
     return (
-        values_by_id(df, masks, "ordinal", "shape")
+        values_by_id(df, [(s.ordinal, X.format_mask(s.sql)) for s in specs], "ordinal", "shape")
         .filter("shape is not null")
         .groupBy("ordinal", "shape")
         .agg(F.count("*").alias("n"))
@@ -330,19 +328,25 @@ def profile_table(
     options = dict(exact=exact, as_of=moment)
 
     known: dict[int, list[float | None]] = {}
+    counts: dict[int, int] = {}
     if exact:
-        numbers = {s.ordinal: s.sql for s in specs if s.kind == K.NUMERIC}
-        lengths = {s.ordinal: f"length({s.sql})" for s in specs if s.kind == K.STRING}
-        known = exact_quantiles(df, numbers, list(QUANTILES.values())) | exact_quantiles(df, lengths, [0.5])
+        # Numbers and lengths are bounded in one scan; a second one settles them and all distinct counts.
+        n = len(specs)
+        measured = {s.ordinal: (s.sql, list(QUANTILES.values())) for s in specs if s.kind == K.NUMERIC}
+        measured |= {s.ordinal + 2 * n: (f"length({s.sql})", [0.5]) for s in specs if s.kind == K.STRING}
+        counts, found = value_statistics(df, _distinct_keys(specs), measured)
+        known = {i % n: values for i, values in found.items()}
 
     costs = [len(column_aggregates(s, **options)) for s in specs]
     fmt = fmt or "parquet"
-    chunks = chunk_columns(specs, costs, EXPRESSION_BUDGET)
+    # Text columns apart: one aggregate of all would be too long to be compiled.
+    kinds = [[i for i, s in enumerate(specs) if (s.kind == K.STRING) == text] for text in (False, True)]
+    chunks = [c for mine in kinds for c in chunk_columns([specs[i] for i in mine], [costs[i] for i in mine], EXPRESSION_BUDGET)]
     profile = reduce(DataFrame.unionByName, [_profile_rows(df, chunk, known, **options) for chunk in chunks])
     if not exact:
         profile = _with_settled_keys(df, profile, specs, "nonnull")
     if exact:
-        counted = distinct_counts(df, specs)
+        counted = _counts_frame(df, specs, counts)
         # One row per column, so always small enough to broadcast.
         profile = profile.drop("ndv", "ndv_ci").join(F.broadcast(counted), "ordinal", "left")
     if shapes:
@@ -411,7 +415,7 @@ def column_stats(df: DataFrame, *, exact: bool = True) -> DataFrame:
     chunks = chunk_columns(specs, [_STATS_COST] * len(specs), EXPRESSION_BUDGET)
     stats = reduce(DataFrame.unionByName, [_stats_rows(df, chunk, exact) for chunk in chunks])
     if exact:
-        columns = [(s.ordinal, X.value_key(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
+        columns = [(s.ordinal, X.value_digest(s.sql, s.data_type)) for s in specs if s.kind != K.NESTED]
         counted = exact_distinct(df, columns).select(F.col("id").alias("ordinal"), "ndv")
         stats = stats.drop("ndv").join(F.broadcast(counted), "ordinal", "left")
     else:

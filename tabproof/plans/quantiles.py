@@ -1,181 +1,259 @@
-"""Exact interpolated quantiles of columns of any length.
+"""Exact distinct counts and interpolated quantiles of many columns: one scan to bound, one to settle.
 
-``percentile`` keeps every distinct value of a column in one aggregation buffer,
-which only short tables can afford. Here the sketch behind ``approx_percentile``
-gives a value range that must hold the wanted rank, each further pass narrows the
-range, and only the few values left inside it are sorted.
+``percentile`` keeps every distinct value of a column in one aggregation buffer, and several
+``count(DISTINCT …)`` copy each row once per column. Here rank sketches, merged in two steps, give each
+wanted rank a value range. Then one grouping of narrow ``(column, value)`` pairs has all that is
+left to know: how many values a column has, how many rows lie between the ranges, and which values in
+a range stand at the wanted ranks. Ranges with too many rows to sort in one task are first narrowed, one scan a step.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACCURACY = 10_000
+from tabproof.plans import sketches as S
+
+#: Size of the rank sketches.
+_ACCURACY = 2000
 _MAX_INSIDE = 100_000
-# Columns sketched in one aggregate.
-_COLUMNS_PER_PASS = 20
+#: Columns whose values meet in one grouping.
+_COLUMNS_PER_PASS = 40
+#: Ranks that a narrowing step asks a sketch for, evenly spread.
+_GRID = 64
 
 
 @dataclass
 class _Target:
-    """One wanted quantile: its ranks and the closed value range that holds them."""
+    """One wanted rank and the closed value range that should hold it."""
 
-    id: int
     column: int
-    value: str
-    position: float
+    rank: int
     low: float
     high: float
-    below: int = 0
-    inside: int = 0
+    about: float  # rows inside, as the sketch has it
 
     @property
-    def first(self) -> int:
-        return math.floor(self.position)
+    def wide(self) -> bool:
+        return self.low != self.high
 
-    @property
-    def last(self) -> int:
-        return math.ceil(self.position)
+
+@dataclass
+class _Column:
+    """A measured expression: its rows, value range and wanted ranks."""
+
+    id: int
+    value: str
+    probabilities: Sequence[float]
+    rows: int = 0
+    low: float | None = None
+    high: float | None = None
+    targets: list[_Target] = field(default_factory=list)
 
     @property
-    def within(self) -> str:
-        return f"({self.value} >= {_double(self.low)} and {self.value} <= {_double(self.high)})"
+    def positions(self) -> list[float]:
+        return [q * (self.rows - 1) for q in self.probabilities]
+
+    def ranges(self) -> list[tuple[float, float]]:
+        """The targets' ranges, overlapping ones merged, in order."""
+        merged: list[tuple[float, float]] = []
+        for low, high in sorted(((t.low, t.high) for t in self.targets), key=lambda r: (_order(r[0]), _order(r[1]))):
+            if merged and _order(low) <= _order(merged[-1][1]):
+                low, high = merged[-1][0], max(merged[-1][1], high, key=_order)
+                merged.pop()
+            merged.append((low, high))
+        return merged
+
 
-    def holds(self) -> bool:
-        return self.below <= self.first and self.last < self.below + self.inside
+def _order(value: float) -> tuple[bool, float]:
+    """NaN counts as the largest value."""
+    return (True, 0.0) if math.isnan(value) else (False, value)
 
 
 def _double(value: float) -> str:
     return f"double('{value!r}')"
 
 
-def _sketch(value: str, probabilities: Sequence[float], accuracy: int) -> str:
-    wanted = ", ".join(f"{p!r}d" for p in probabilities)
-    return f"approx_percentile({value}, array({wanted}), {accuracy})"
+def _top(value: float) -> float:
+    """A sketched upper end. Sketches hold NaN as infinity."""
+    return math.nan if value == math.inf else value
 
 
-def _measure(df: DataFrame, targets: Sequence[_Target]) -> None:
-    """Count, in one pass, the rows below and inside each target's range."""
-    if not targets:
-        return
-    row = df.selectExpr(
-        *[f"count_if({t.value} < {_double(t.low)}) as b{t.id}" for t in targets],
-        *[f"count_if({t.within}) as i{t.id}" for t in targets],
-    ).first()
-    for t in targets:
-        t.below, t.inside = row[f"b{t.id}"], row[f"i{t.id}"]
+def _slack(accuracy: int) -> float:
+    """Twice the rank error of a sketch, as a share of its rows."""
+    return min(0.5, 2 * 2.3 / accuracy**0.9)
 
 
-def exact_quantiles(
+def _bounded(df: DataFrame, columns: Sequence[_Column], accuracy: int) -> None:
+    """One scan: rows, ends and a range for every wanted rank."""
+    slack, stats = _slack(accuracy), {}
+    for c in columns:
+        ends = [p for q in c.probabilities for p in (max(0.0, q - slack), min(1.0, q + slack))]
+        stats |= {
+            f"n{c.id}": S.plain(f"count({c.value})"),
+            f"min{c.id}": S.plain(f"min({c.value})"),
+            f"max{c.id}": S.plain(f"max({c.value})"),
+            f"ends{c.id}": S.quantiles(c.value, ends, accuracy),
+        }
+    row = S.aggregate(df, stats).first()
+    for c in columns:
+        c.rows, c.low, c.high = row[f"n{c.id}"], row[f"min{c.id}"], row[f"max{c.id}"]
+        ends = row[f"ends{c.id}"]
+        for k, position in enumerate(c.positions if c.rows else []):
+            low, high = ends[2 * k], _top(ends[2 * k + 1])
+            for rank in {math.floor(position), math.ceil(position)}:
+                c.targets.append(_Target(c.id, rank, low, high, 2 * slack * c.rows))
+
+
+def _narrowed(df: DataFrame, columns: Sequence[_Column], accuracy: int, max_inside: int) -> None:
+    """Shrink the ranges that hold more than ``max_inside`` rows, one scan for all of them, until none shrinks any more."""
+    values = {c.id: c for c in columns}
+    slack = _slack(accuracy)
+    grid = [i / _GRID for i in range(_GRID + 1)]
+    wide = [t for c in columns for t in c.targets if t.wide and t.about > max_inside]
+    while wide:
+        stats = {}
+        for i, t in enumerate(wide):
+            v = values[t.column].value
+            within = f"({v} >= {_double(t.low)} and {v} <= {_double(t.high)})"
+            stats |= {
+                f"b{i}": S.plain(f"count_if({v} < {_double(t.low)})"),
+                f"i{i}": S.plain(f"count_if({within})"),
+                f"g{i}": S.quantiles(f"if({within}, {v}, null)", grid, accuracy),
+            }
+        row, left = S.aggregate(df, stats).first(), []
+        for i, t in enumerate(wide):
+            below, inside, cuts = row[f"b{i}"], row[f"i{i}"], row[f"g{i}"]
+            column = values[t.column]
+            if not below <= t.rank < below + inside:  # the sketch was off: all values again
+                if t.low != column.low or _order(t.high) != _order(column.high):
+                    t.low, t.high, t.about = column.low, column.high, column.rows
+                    left.append(t)
+                continue
+            share = (t.rank - below) / max(1, inside - 1)
+            at, to = math.floor(max(0.0, share - slack) * _GRID), math.ceil(min(1.0, share + slack) * _GRID)
+            low, high, about = cuts[at], _top(cuts[to]), inside * (to - at) / _GRID
+            shrunk = (low, high) != (t.low, t.high) and about < 0.9 * t.about
+            # The outermost cuts are the range's own ends.
+            t.low, t.high, t.about = (low if at else t.low), (high if to < _GRID else t.high), min(about, inside)
+            if shrunk and t.wide and t.about > max_inside:
+                left.append(t)
+        wide = left
+
+
+def _cases(columns: Mapping[int, str], otherwise: str) -> str:
+    if not columns:
+        return otherwise
+    return "case id " + " ".join(f"when {i} then {sql}" for i, sql in columns.items()) + f" else {otherwise} end"
+
+
+def _settled(
+    df: DataFrame, keys: Mapping[int, tuple[str, str]], columns: Sequence[_Column]
+) -> tuple[dict[int, int], dict[tuple[int, int], float]]:
+    """One scan: distinct values of every column, and the values at the wanted ranks as far as the ranges hold them."""
+    measured = {c.id: c for c in columns}
+    entries = []
+    for i in {**keys, **measured}:
+        a, b = keys.get(i, ("0L", "0L"))
+        value = measured[i].value if i in measured else "cast(null as double)"
+        present = a if i in keys else value
+        entry = f"named_struct('id', {i}, 'a', {a}, 'b', {b}, 'v', {value})"
+        entries.append(f"if({present} is null, null, {entry})")
+    values = (
+        df.selectExpr(f"inline(array({', '.join(entries)}))")
+        .where("id is not null")
+        .groupBy("id", "a", "b", "v")
+        .agg(F.count("*").alias("n"))
+    )
+    # Part 0 lies before the first range, 1 in it, 2 between it and the second, and so on.
+    parts = {
+        i: " + ".join(f"int(v >= {_double(low)}) + int(v > {_double(high)})" for low, high in c.ranges())
+        for i, c in measured.items()
+        if c.targets
+    }
+    # Part depends on a count, so that no filter on it is pushed below the grouping and both uses share one shuffle.
+    tagged = values.withColumn("part", F.expr(f"if(n > 0, {_cases(parts, '0')}, 0)"))
+    totals = tagged.groupBy("id", "part").agg(F.sum("n").alias("n"), F.count("*").alias("values"))
+    listed = totals.select("id", "values", F.lit(None).cast("long").alias("rank"), F.lit(None).cast("double").alias("v"))
+    if parts:
+        before = Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        below = totals.select("id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+        upto = Window.partitionBy("id", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        inside = tagged.where("part % 2 = 1").withColumn("seen", F.sum("n").over(upto)).join(F.broadcast(below), ["id", "part"])
+        wanted = {i: f"array({', '.join(f'{r}L' for r in sorted({t.rank for t in c.targets}))})" for i, c in measured.items() if c.targets}
+        ranks = f"filter({_cases(wanted, 'array()')}, r -> r >= below + seen - n and r < below + seen)"
+        found = inside.selectExpr("id", "0L as values", f"explode({ranks}) as rank", "v")
+        listed = listed.unionByName(found)
+    distinct: dict[int, int] = dict.fromkeys(keys, 0)
+    at_rank: dict[tuple[int, int], float] = {}
+    for r in listed.collect():
+        if r["rank"] is not None:
+            at_rank[r["id"], r["rank"]] = r["v"]
+        elif r["id"] in keys:
+            distinct[r["id"]] += r["values"]
+    return distinct, at_rank
+
+
+def value_statistics(
     df: DataFrame,
-    columns: Mapping[int, str],
-    probabilities: Sequence[float],
+    keys: Mapping[int, tuple[str, str]],
+    measured: Mapping[int, tuple[str, Sequence[float]]],
     *,
     accuracy: int = _ACCURACY,
     max_inside: int = _MAX_INSIDE,
-) -> dict[int, list[float | None]]:
-    """Exact, linearly interpolated quantiles of each numbered numeric SQL expression.
+) -> tuple[dict[int, int], dict[int, list[float | None]]]:
+    """Distinct counts of the columns of ``keys``, and quantiles of those of ``measured``, by their ids.
 
-    NaN counts as the largest value. Only counts, range ends and final answers reach
-    the driver. Wide tables are measured some columns at a time.
+    ``keys`` gives two numbers that tell values apart (the first NULL for no value), see
+    :func:`tabproof.functions.text.value_digest`; ``measured`` a numeric SQL expression and the wanted probabilities.
+    Quantiles are interpolated linearly; NaN counts as the largest value. Only counts, range ends and
+    answers reach the driver. Wide tables are settled some columns at a time.
     """
-    listed, out = list(columns.items()), {}
-    for at in range(0, len(listed), _COLUMNS_PER_PASS):
-        chunk = dict(listed[at : at + _COLUMNS_PER_PASS])
-        out |= _exact_quantiles(df, chunk, probabilities, accuracy, max_inside)
-    return out
+    columns = {i: _Column(i, f"double({sql})", list(wanted)) for i, (sql, wanted) in measured.items()}
+    for some in _chunks(list(columns)):
+        _bounded(df, [columns[i] for i in some], accuracy)
+    _narrowed(df, list(columns.values()), accuracy, max_inside)
+    distinct, at_rank = {}, {}
+    for some in _chunks(list({**keys, **columns})):
+        mine = [columns[i] for i in some if i in columns]
+        counted, found = _settled(df, {i: keys[i] for i in some if i in keys}, mine)
+        missed = [t for c in mine for t in c.targets if (t.column, t.rank) not in found]
+        while missed:  # a sketch was off by more than its slack: all values of such columns are its range
+            for t in missed:
+                t.low, t.high = columns[t.column].low, columns[t.column].high
+            again = [columns[i] for i in {t.column for t in missed}]
+            found |= _settled(df, {}, again)[1]
+            missed = [t for t in missed if (t.column, t.rank) not in found]
+        distinct |= counted
+        at_rank |= found
+    quantiles: dict[int, list[float | None]] = {}
+    for c in columns.values():
+        quantiles[c.id] = []
+        for position in c.positions if c.rows else []:
+            low, high = (at_rank[c.id, r] for r in (math.floor(position), math.ceil(position)))
+            share = position - math.floor(position)
+            quantiles[c.id].append(low if share == 0 else low + (high - low) * share)
+        if not c.rows:
+            quantiles[c.id] = [None] * len(c.probabilities)
+    return distinct, quantiles
 
 
-def _exact_quantiles(
-    df: DataFrame, columns: Mapping[int, str], probabilities: Sequence[float], accuracy: int, max_inside: int
+def _chunks(ids: Sequence[int]) -> list[Sequence[int]]:
+    return [ids[at : at + _COLUMNS_PER_PASS] for at in range(0, len(ids), _COLUMNS_PER_PASS)]
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Mapping[int, str],
+    probabilities: Sequence[float],
+    *,
+    accuracy: int = _ACCURACY,
+    max_inside: int = _MAX_INSIDE,
 ) -> dict[int, list[float | None]]:
-    values = {i: f"double({sql})" for i, sql in columns.items()}
-    slack = 2.0 / accuracy
-    ends = [p for q in probabilities for p in (max(0.0, q - slack), min(1.0, q + slack))]
-    first = df.selectExpr(
-        *[
-            f"{sql} as {stat}{i}"
-            for i, v in values.items()
-            for stat, sql in (
-                ("n", f"count({v})"),
-                ("min", f"min({v})"),
-                ("max", f"max({v})"),
-                ("ends", _sketch(v, ends, accuracy)),
-            )
-        ]
-    ).first()
-
-    targets: list[_Target] = []
-    for i, value in values.items():
-        if first[f"n{i}"] == 0:
-            continue
-        for k, q in enumerate(probabilities):
-            low, high = first[f"ends{i}"][2 * k : 2 * k + 2]
-            position = q * (first[f"n{i}"] - 1)
-            targets.append(_Target(len(targets), i, value, position, low, high))
-    _measure(df, targets)
-    missed = [t for t in targets if not t.holds()]
-    for t in missed:
-        t.low, t.high = first[f"min{t.column}"], first[f"max{t.column}"]
-    _measure(df, missed)
-
-    # Narrow every range that still holds many rows, until none shrinks any more.
-    wide = [t for t in targets if t.low != t.high and t.inside > max_inside]
-    while wide:
-        cuts = []
-        for t in wide:
-            at = [(r - t.below) / (t.inside - 1) for r in (t.first, t.last)]
-            ends = [max(0.0, at[0] - slack), min(1.0, at[1] + slack)]
-            cuts.append(_sketch(f"if({t.within}, {t.value}, null)", ends, accuracy))
-        row = df.selectExpr(*[f"{sql} as t{t.id}" for t, sql in zip(wide, cuts)]).first()
-        tried = [
-            _Target(t.id, t.column, t.value, t.position, *row[f"t{t.id}"]) for t in wide
-        ]
-        _measure(df, tried)
-        shrunk = [n for t, n in zip(wide, tried) if n.holds() and n.inside < t.inside]
-        for n in shrunk:
-            targets[n.id] = n
-        wide = [n for n in shrunk if n.low != n.high and n.inside > max_inside]
-
-    found = _values_at(df, [t for t in targets if t.low != t.high])
-    out: dict[int, list[float | None]] = {
-        i: [] if first[f"n{i}"] else [None] * len(probabilities) for i in values
-    }
-    for t in targets:
-        low, high = (t.low, t.low) if t.low == t.high else found[t.id]
-        share = t.position - t.first
-        out[t.column].append(low if share == 0 else low + (high - low) * share)
-    return out
-
-
-def _values_at(df: DataFrame, targets: Sequence[_Target]) -> dict[int, tuple[float, float]]:
-    """The values at both ranks of each target, from the rows inside its range."""
-    if not targets:
-        return {}
-    pairs = ", ".join(
-        f"named_struct('id', {t.id}, 'value', if({t.within}, {t.value}, null))" for t in targets
-    )
-    counted = (
-        df.selectExpr(f"inline(filter(array({pairs}), p -> p.value is not null))")
-        .groupBy("id", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    first = "map(" + ", ".join(f"{t.id}, {t.first - t.below}L" for t in targets) + ")"
-    last = "map(" + ", ".join(f"{t.id}, {t.last - t.below}L" for t in targets) + ")"
-    # By now a range holds at most max_inside rows, or few distinct values.
-    rows = (
-        counted.withColumn("seen", F.sum("n").over(upto))
-        .groupBy("id")
-        .agg(
-            F.expr(f"min(if(seen > {first}[id], value, null))").alias("low"),
-            F.expr(f"min(if(seen > {last}[id], value, null))").alias("high"),
-        )
-        .collect()
-    )
-    return {r["id"]: (r["low"], r["high"]) for r in rows}
+    """Exact, linearly interpolated quantiles of each numbered numeric SQL expression; see :func:`value_statistics`."""
+    measured = {i: (sql, probabilities) for i, sql in columns.items()}
+    return value_statistics(df, {}, measured, accuracy=accuracy, max_inside=max_inside)[1]

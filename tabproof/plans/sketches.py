@@ -74,7 +74,7 @@ def distinct(columns: Sequence[str], size: int = DISTINCT_SIZE) -> tuple[str, st
     )
 
 
-def quantiles(value: str, probabilities: Sequence[float]) -> tuple[str, str]:
+def quantiles(value: str, probabilities: Sequence[float], size: int = QUANTILE_SIZE) -> tuple[str, str]:
     """Estimated quantiles of a numeric expression as an array; NULL without values.
 
     NaN is the largest value, as in exact quantiles; it comes out as infinity.
@@ -84,7 +84,7 @@ def quantiles(value: str, probabilities: Sequence[float]) -> tuple[str, str]:
     wanted = f"array({', '.join(f'{p}d' for p in probabilities)})"
     merged = "kll_merge_agg_double({0})"
     return (
-        f"kll_sketch_agg_double({value}, {QUANTILE_SIZE})",
+        f"kll_sketch_agg_double({value}, {max(8, min(size, 65535))})",
         f"if(coalesce(kll_sketch_get_n_double({merged}), 0L) = 0, null, "
         f"kll_sketch_get_quantile_double({merged}, {wanted}))",
     )

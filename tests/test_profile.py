@@ -11,6 +11,7 @@ from tabproof.functions import text as X
 from tabproof.functions.types import column_class, common_key_type, type_family
 from tabproof.operators import profile as P
 from tabproof.operators.propose import composite_keys
+from tabproof.operators.profile import profile_table
 from tabproof.plans.quantiles import exact_quantiles
 
 AS_OF = dt.datetime(2025, 1, 15)
@@ -262,3 +263,44 @@ def test_sketches_agree_with_exact_statistics(spark):
                 else:
                     assert row["numeric"][stat] == pytest.approx(want[stat], rel=1e-9)
     assert P.profile_table(df.limit(0), "t", exact=False).select(F.sum("row_count")).first()[0] == 0
+
+
+def test_a_profile_scans_its_table_a_bounded_number_of_times(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    rows = [(i, i % 7 * 1.5, f"t{i % 40}", None if i % 9 else i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i long, x double, s string, y int")
+    plans = []
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+
+    collect, first = Classic.collect, Classic.first
+    monkeypatch.setattr(Classic, "collect", lambda self: (seen(self), collect(self))[1])
+    monkeypatch.setattr(Classic, "first", lambda self: (seen(self), first(self))[1])
+    profile_table(df, "t").collect()
+    # Bounds, then values (both uses of one shuffle), then statistics of numbers, of texts, and shapes.
+    assert len([p for p in plans if "kll_sketch_agg" in p]) == 1
+    assert len(plans) <= 4
+
+
+def test_value_statistics_with_ranges_off_the_mark(spark, monkeypatch):
+    from tabproof.plans import quantiles
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(-50, 50, 4000) * 0.5
+    df = spark.createDataFrame([(float(v), None if v > 20 else f"s{v}") for v in values], "v double, s string").repartition(4)
+    bounded = quantiles._bounded
+
+    def off(df, columns, accuracy):
+        bounded(df, columns, accuracy)
+        for c in columns:
+            for t in c.targets:
+                t.low = t.high = 999.0
+
+    monkeypatch.setattr(quantiles, "_bounded", off)
+    keys = {0: ("xxhash64(v)", "0L"), 5: ("if(s is null, null, xxhash64(s))", "xxhash64(1L, s)")}
+    counts, found = quantiles.value_statistics(df, keys, {0: ("v", [0.1, 0.5]), 9: ("length(s)", [0.5])})
+    assert counts == {0: len(set(values)), 5: len({v for v in values if v <= 20})}
+    assert found[0] == pytest.approx(list(np.quantile(values, [0.1, 0.5])))
+    assert found[9] == [np.median([len(f"s{float(v)}") for v in values if v <= 20])]
