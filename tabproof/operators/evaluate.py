@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -23,9 +25,12 @@ from tabproof.session import local_frame
 # Fixed value: rows shown of a falsified check.
 PREVIEW_ROWS = 200
 
-# Predicates counted in one aggregate, and key checks run in one job.
+# Predicates analysed in one plan, and key checks run in one job.
 EXPRESSION_BUDGET = 180
 KEY_CHECKS_PER_JOB = 40
+# Predicates counted in one aggregate. Spark compiles no aggregate of many more, and evaluating
+# them uncompiled takes longer than the scans that this many more aggregates need.
+COMPILED_TOGETHER = 45
 
 RESULT_SCHEMA = (
     "id string, status string, violations bigint, row_count bigint, pct double, "
@@ -300,23 +305,30 @@ def inspect_predicate(spark: SparkSession, df: DataFrame) -> _Inspected:
     return found
 
 
-def foreign_function(spark: SparkSession, expression: str) -> str | None:
+def foreign_function(spark: SparkSession, expression: str, known: dict[str, bool] | None = None) -> str | None:
     """A function the predicate calls that is neither Spark's own nor ours, or None.
 
     Functions registered in the session or the catalog run whatever their owner wrote; SQL ones
-    are inlined before the plan can show them.
+    are inlined before the plan can show them. ``known`` keeps what is found out about names for a batch.
     """
-    catalog = spark._jsparkSession.sessionState().catalog()
-    builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    known = {} if known is None else known
     for name in sorted(called_names(expression) - _GRAMMAR - set(_OWN_FUNCTIONS)):
-        known = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
-        if catalog.isTemporaryFunction(known) or catalog.isPersistentFunction(known) or name == "0q":
-            return name
-        if not builtin.functionExists(known) and "." in name:
+        if name not in known:
+            known[name] = _is_foreign(spark, name)
+        if known[name]:
             return name
     return None
 
 
+def _is_foreign(spark: SparkSession, name: str) -> bool:
+    catalog = spark._jsparkSession.sessionState().catalog()
+    builtin = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    called = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name)
+    if catalog.isTemporaryFunction(called) or catalog.isPersistentFunction(called) or name == "0q":
+        return True
+    return not builtin.functionExists(called) and "." in name
+
+
 def _inspected(df: DataFrame, expression: str) -> tuple[str | None, bool]:
     """Why Spark cannot or may not evaluate a predicate on a table, or None; whether a row can make it fail."""
     if not hasattr(df, "_jdf"):
@@ -336,6 +348,93 @@ def _inspected(df: DataFrame, expression: str) -> tuple[str | None, bool]:
     return None, seen.can_fail
 
 
+class _UpCasts:
+    """Which casts between types never fail; each pair is asked for once."""
+
+    def __init__(self, spark: SparkSession):
+        self._types = spark._jvm.org.apache.spark.sql.types.DataType
+        self._cast = spark._jvm.org.apache.spark.sql.catalyst.expressions.Cast
+        self._known: dict[tuple[str, str], bool] = {}
+
+    def allows(self, source, target) -> bool:
+        pair = json.dumps(source), json.dumps(target)
+        if pair not in self._known:
+            self._known[pair] = self._cast.canUpCast(*map(self._types.fromJson, pair))
+        return self._known[pair]
+
+
+#: Expressions that yield true, false or NULL.
+_TRUTHS = frozenset(
+    (
+        "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual",
+        "IsNull", "IsNotNull", "IsNaN", "In", "InSet", "Between", "StartsWith", "EndsWith", "Contains", "Like", "RLike",
+    )
+)
+
+
+def _read_tree(tree: list[dict], casts: _UpCasts) -> bool | None:
+    """Whether a row can make a predicate fail, from its analysed tree in prefix order.
+
+    None where the tree does not tell enough, or holds something that may be forbidden: such
+    a predicate is looked through node by node. That goes for casts from or to text, since
+    only the nodes themselves know whether a cast was asked for.
+    """
+    can_fail = False
+    for node, child in zip(tree, [*tree[1:], {"class": ""}]):
+        name, below = (n["class"].rpartition(".")[2] for n in (node, child))
+        if name == "Cast":
+            if below == "Literal" or (below in _TRUTHS and node["dataType"] == "boolean"):
+                continue
+            source, target = child.get("dataType"), node["dataType"]
+            if below != "AttributeReference" or (source == "string") != (target == "string"):
+                return None
+            can_fail = can_fail or (target != "string" and not casts.allows(source, target))
+        elif name in _FORBIDDEN or name == "SQLScalarFunction":
+            return None
+        elif name not in _NEVER_FAIL:
+            can_fail = True
+    return can_fail
+
+
+def inspected_together(df: DataFrame, expressions: Sequence[str]) -> list[tuple[str | None, bool]]:
+    """:func:`_inspected` of many predicates of a table, analysed as one plan of which each tree is read once.
+
+    Where the plan as a whole cannot be analysed, or some predicate turns it into more than a
+    projection of the table, halves are tried, down to single predicates.
+    """
+    if not expressions:
+        return []
+    if len(expressions) == 1 or not hasattr(df, "_jdf"):
+        return [_inspected(df, e) for e in expressions]
+    spark, known = df.sparkSession, {}
+    foreign = [foreign_function(spark, e, known) for e in expressions]
+    own = [e for e, name in zip(expressions, foreign) if name is None]
+    seen = iter(_inspected_as_one(df, own, _UpCasts(spark)))
+    return [next(seen) if name is None else (f'Function "{name}" is not allowed.', False) for name in foreign]
+
+
+def _inspected_as_one(df: DataFrame, expressions: Sequence[str], casts: _UpCasts) -> list[tuple[str | None, bool]]:
+    if len(expressions) <= 1:
+        return [_inspected(df, e) for e in expressions]
+    if len(expressions) <= EXPRESSION_BUDGET:
+        mark = f"_{uuid.uuid4().hex}_"  # names that no predicate can mean
+        try:
+            listed = [F.expr(spark_expression(e)).cast("boolean").alias(f"{mark}{i}") for i, e in enumerate(expressions)]
+            plan = df.select(*listed)._jdf.queryExecution().analyzed()
+        except PySparkException:
+            plan = None
+        whole = plan is not None and plan.getClass().getSimpleName() == "Project"
+        if whole and plan.child().equals(df._jdf.queryExecution().analyzed()):
+            out = []
+            for i, expression in enumerate(expressions):
+                node = plan.projectList().apply(i)
+                can_fail = _read_tree(json.loads(node.toJSON()), casts) if node.deterministic() else None
+                out.append((None, can_fail) if can_fail is not None else _inspected(df, expression))
+            return out
+    half = len(expressions) // 2
+    return _inspected_as_one(df, expressions[:half], casts) + _inspected_as_one(df, expressions[half:], casts)
+
+
 def predicate_reason(df: DataFrame, expression: str) -> str | None:
     """Why Spark cannot or may not evaluate a predicate on a table, or None. Starts no job."""
     return _inspected(df, expression)[0]
@@ -377,14 +476,18 @@ def _suspects(error: PySparkException, batch: Sequence[_Asked]) -> set[int]:
 
 
 def _predicate_counts(catalog, batch: Sequence[_Asked]) -> list[DataFrame]:
-    """Frames ``(place, n)``: one aggregate per table and ``EXPRESSION_BUDGET`` predicates."""
+    """Frames ``(place, n)``: one aggregate per table and ``COMPILED_TOGETHER`` different predicates."""
     parts = []
     for table in dict.fromkeys(a.check.table for a in batch):
-        mine = [a for a in batch if a.check.table == table]
-        for at in range(0, len(mine), EXPRESSION_BUDGET):
-            chunk = mine[at : at + EXPRESSION_BUDGET]
-            counts = [f"count_if({violates_sql(a.check.expression)}) as n{a.place}" for a in chunk]
-            pairs = ", ".join(f"named_struct('place', {a.place}, 'n', n{a.place})" for a in chunk)
+        asked: dict[str, list[int]] = {}
+        for a in batch:
+            if a.check.table == table:
+                asked.setdefault(violates_sql(a.check.expression), []).append(a.place)
+        mine = list(asked.items())
+        for at in range(0, len(mine), COMPILED_TOGETHER):
+            chunk = mine[at : at + COMPILED_TOGETHER]
+            counts = [f"count_if({violated}) as n{i}" for i, (violated, _) in enumerate(chunk)]
+            pairs = ", ".join(f"named_struct('place', {p}, 'n', n{i})" for i, (_, places) in enumerate(chunk) for p in places)
             parts.append(catalog.frame(table).selectExpr(*counts).selectExpr(f"inline(array({pairs}))"))
     return parts
 
@@ -484,15 +587,17 @@ def evaluate_checks(catalog, checks: DataFrame) -> DataFrame:
     admitted = [Check.from_row(r) for r in rows]
     refused = {i for i, r in enumerate(rows) if r["reason"] is not None}
     out = {i: _Outcome(reason=rows[i]["reason"]) for i in refused}
-    todo = []
+    can_fail: dict[int, bool] = {}
+    predicates: dict[str, list[int]] = {}
     for i, check in enumerate(admitted):
-        can_fail = False
         if i not in out and check.kind == "row_predicate":
-            reason, can_fail = _inspected(catalog.frame(check.table), check.expression)
+            predicates.setdefault(check.table, []).append(i)
+    for table, places in predicates.items():
+        seen = inspected_together(catalog.frame(table), [admitted[i].expression for i in places])
+        for i, (reason, can_fail[i]) in zip(places, seen):
             if reason is not None:
                 out[i] = _Outcome(reason=reason)
-        if i not in out:
-            todo.append(_Asked(i, check, can_fail))
+    todo = [_Asked(i, check, can_fail.get(i, False)) for i, check in enumerate(admitted) if i not in out]
     _count_predicates(catalog, [a for a in todo if a.check.kind == "row_predicate"], out)
     _count_keys(catalog, [a for a in todo if a.check.kind != "row_predicate"], out)
 

@@ -418,3 +418,44 @@ def test_inventory(catalog):
     rows = {r["table"]: r for r in summary.data_inventory(catalog).collect()}
     assert rows["items"]["column_list"] == "item_id (int), deal_id (int), pieces (int)"
     assert (rows["clients"]["rows"], rows["clients"]["columns"]) == (30, 8)
+
+
+TOGETHER = [
+    "l_quantity > 5 OR l_tax < 0.05", "l_quantity > 0", "l_returnflag > 0", "try_cast(l_returnflag AS INT) > 0", "cast(l_returnflag AS INT) > 0",
+    "no_such_column > 1", "sum(l_tax) > 1", "explode(array(1)) > 0", "row_number() OVER (ORDER BY l_tax) > 0", "rand() > 0.5", "l_tax / l_quantity > 0",
+    "l_linenumber", "regexp_matches(l_returnflag, '^[A-Z]$')", "(SELECT max(l_tax) FROM lineitem) > 0", "exists(array(l_tax), x -> x > 0)",
+    "l_linestatus IN ('O', 'F')", "cast(l_quantity AS INT) > 3", "n0 > 1", "l_shipdate > '1995-01-01'", "length(l_linestatus) = 1", "l_returnflag",
+]
+
+
+def test_predicates_inspected_together_as_alone(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    together = evaluate.inspected_together(df, TOGETHER)
+    alone = [evaluate._inspected(df, e) for e in TOGETHER]
+    for expression, got, want in zip(TOGETHER, together, alone):
+        assert got == want, expression
+
+
+def test_many_predicates_need_few_analyses(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    alone = []
+    slow = evaluate._inspected
+    monkeypatch.setattr(evaluate, "_inspected", lambda df, e: (alone.append(e), slow(df, e))[1])
+    listed = [f"l_quantity > {i} OR l_tax < 0.0{i % 9}" for i in range(400)] + ["no_column > 0"]
+    got = evaluate.inspected_together(df, listed)
+    assert got[:400] == [(None, False)] * 400 and "no_column" in got[400][0]
+    assert len(alone) <= 2
+
+
+def test_equal_predicates_are_counted_once_and_reported_each(spark):
+    from tabproof.sources.catalog import Catalog
+
+    catalog = Catalog.from_parquet(spark, "/root/testdata/sf0.001", ("lineitem",))
+    listed = [dict(table="lineitem", expression=f"l_quantity > {i % 60}") for i in range(130)]
+    batch = [evaluate._Asked(i, checks.Check(f"h{i}", "row_predicate", "lineitem", (), d["expression"], "", ())) for i, d in enumerate(listed)]
+    assert len(evaluate._predicate_counts(catalog, batch)) == 2
+    got = evaluate.evaluate_checks(catalog, checks.normalize_checks(checks.checks_frame(spark, listed))).collect()
+    quantities = [r["l_quantity"] for r in catalog.frame("lineitem").select("l_quantity").collect()]
+    assert len(got) == 130
+    by = {r["id"]: r["violations"] for r in got}
+    assert all(by[f"h{i + 1}"] == sum(q <= i % 60 for q in quantities) for i in range(130))
