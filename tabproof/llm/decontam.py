@@ -295,7 +295,11 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, score: float = SCORE, question: float = QUESTION_OVERLAP, answer: float = ANSWER_OVERLAP,
     whole: float = WHOLE_OVERLAP,
 ) -> DataFrame:
-    """The rows of ``docs`` whose text matches no benchmark item as in :func:`contaminated`."""
+    """The rows of ``docs`` whose text matches no benchmark item as in :func:`contaminated`.
+
+    Each row is judged by its text alone, so repeated rows and null doc_ids make no difference; null and empty texts stay. Other
+    columns come back as they are, whatever their names. An empty table stays empty, and without items all rows stay.
+    """
     spark, at = docs.sparkSession, docs.columns.index("text")
     for block, more in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)

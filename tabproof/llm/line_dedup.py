@@ -8,7 +8,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import counted, join_by_key, rows_of, saved, whole_text
+from tabproof.llm.common import counted, join_by_key, rows_of, saved, unused, whole_text
 from tabproof.llm.links import linked_components, parity_map
 
 #: Code points of a shingle. Unrelated lines of 300 share about 0.05 % of shingles this long.
@@ -194,19 +194,21 @@ def without_duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> D
     """``docs`` with the dropped lines taken out of ``text``; the other columns stay as they are.
 
     Documents that lose lines and have nothing but blank ones left are repetitions of others
-    and go. Documents that had no line from the start stay.
+    and go. Documents that had no line from the start, null texts among them, stay as they are. Repeated rows lose the
+    same lines, and a null doc_id is a home like in :func:`line_report`. Other columns come back as they are, whatever their
+    names. An empty table stays empty.
     """
+    doc, version, dropped = unused(docs.columns, "lost_in", "version", "dropped")
     lost = duplicate_lines(docs, num=num, den=den).select(
-        F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "dropped"
+        F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("dropped").alias(dropped)
     )
-    marked = docs.withColumn("_version", F.xxhash64(whole_text()))
-    met = marked.join(lost, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_version") == F.col("_v")), "left")
+    met = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(whole_text()) == F.col(version)), "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
     text = F.array_join(F.transform(kept, lambda at: F.get(lines, at)), "\n")
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(text)
+    text = F.when(F.col(dropped).isNull(), F.col("text")).otherwise(text)
     return (
         met.withColumn("text", text)
-        .where(F.col("dropped").isNull() | F.col("text").rlike(r"[^\n \t\r]"))
-        .select(*docs.columns)
+        .where(F.col(dropped).isNull() | F.col("text").rlike(r"[^\n \t\r]"))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

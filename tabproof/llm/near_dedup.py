@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import counted, join_by_key, rows_of, saved, shipped, whole_text
+from tabproof.llm.common import counted, join_by_key, rows_of, saved, shipped, unused, whole_text
 from tabproof.llm.links import MAP_WORDS, linked_components, with_equal_tokens
 from tabproof.llm.shingles import WordHashes, multipliers, parity_words, shingle_set, signature
 
@@ -47,6 +47,7 @@ def _describe(batches: Iterator[pa.RecordBatch], whole: bool, k: int) -> Iterato
         values = np.concatenate(lists) if lists else np.empty(0, np.int64)
         columns = {
             "doc_id": batch.column(0),
+            "version": batch.column(2),
             "n": pa.array(sizes, pa.int64()),
             "digest": pa.array(digests, pa.binary()),
             "list": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
@@ -57,13 +58,13 @@ def _describe(batches: Iterator[pa.RecordBatch], whole: bool, k: int) -> Iterato
 
 
 def _described(docs: DataFrame, whole: bool, k: int = COORDINATES) -> DataFrame:
-    """``(doc_id, n, digest, list)`` per row: set size, 128-bit digest of the set, its coordinates.
+    """``(doc_id, version, n, digest, list)`` per row: digest of the text, set size, 128-bit digest of the set, its coordinates.
 
     With ``whole`` the list holds its tokens, and the parity words follow.
     """
     more = "".join(f", p{w} long" for w in range(MAP_WORDS)) if whole else ""
-    return shipped(docs).select("doc_id", whole_text().alias("text")).mapInArrow(
-        lambda batches: _describe(batches, whole, k), f"doc_id long, n long, digest binary, list array<long>{more}"
+    return shipped(docs).select("doc_id", whole_text().alias("text"), F.xxhash64(whole_text()).alias("version")).mapInArrow(
+        lambda batches: _describe(batches, whole, k), f"doc_id long, version long, n long, digest binary, list array<long>{more}"
     )
 
 
@@ -88,10 +89,15 @@ def rare_postings(classes: DataFrame, k: int, threshold: int) -> DataFrame:
     )
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """:func:`versions_and_components` without the digests of the texts: ``(doc_id, n_shingles, component_id, kept)``."""
+    return versions_and_components(docs, **options).drop("version")
+
+
+def versions_and_components(
     docs: DataFrame, *, num: int = 4, den: int = 5, k: int = COORDINATES, missed: float = MISSED
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text, …)``.
+    """``(doc_id, version, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text, …)``.
 
     Documents are linked when their sets of five-word shingles have
     ``den * intersection >= num * union``; a component's id is the smallest doc_id in it and
@@ -122,7 +128,7 @@ def near_duplicates(
     postings = saved(rare_postings(classes.select("id", "sig"), k, threshold))
     wanted = saved(classes.join(postings.select("id").distinct(), "id").select("id", "sig", "doc_id"))
     tokens = _described(rows_of(docs.select("doc_id", "text"), "doc_id", wanted), True)
-    tokens = tokens.withColumn("id", F.xxhash64("digest")).withColumnRenamed("list", "tokens").drop("doc_id", "digest")
+    tokens = tokens.withColumn("id", F.xxhash64("digest")).withColumnRenamed("list", "tokens").drop("doc_id", "version", "digest")
     sets = saved(tokens.dropDuplicates(["id"]).join(wanted.select("id", "sig"), "id"))
     words = [f"p{w}" for w in range(MAP_WORDS)]
 
@@ -140,18 +146,25 @@ def near_duplicates(
     named = saved(named)
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = counted(named.join(smallest, "component").select("digest", "n", "component_id"))
-    joined = join_by_key(some.select("doc_id", F.col("n").alias("n_shingles"), "digest"), named, "digest")
+    joined = join_by_key(some.select("doc_id", "version", F.col("n").alias("n_shingles"), "digest"), named, "digest")
     alone = every.where("n = 0 or doc_id is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
+        "doc_id", "version", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")
     )
     return (
-        joined.select("doc_id", "n_shingles", "component_id")
+        joined.select("doc_id", "version", "n_shingles", "component_id")
         .unionByName(alone)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def keep_one_of_each(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group of near duplicates."""
-    dropped = near_duplicates(docs, num=num, den=den).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` whose document stands for its group of near duplicates.
+
+    Rows are told apart by doc_id and text: of a doc_id with two texts, only the one that is near another
+    document's goes. Repeated rows stay or go together. Null and blank texts and rows with a null doc_id stay. Other
+    columns come back as they are, whatever their names. An empty table stays empty.
+    """
+    doc, version = unused(docs.columns, "dropped", "version")
+    found = versions_and_components(docs, num=num, den=den).where("not kept")
+    dropped = found.select(F.col("doc_id").alias(doc), F.col("version").alias(version)).distinct()
+    return docs.join(dropped, (F.col("doc_id") == F.col(doc)) & (F.xxhash64(whole_text()) == F.col(version)), "left_anti")

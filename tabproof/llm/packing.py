@@ -28,13 +28,21 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+#: Texts that show how a tokenizer treats case, blanks, marks, digits and contractions.
+_PROBES = (
+    "Hello World  again", " it's 2026, isn't IT?\n\tYES!", "a,b;c... (d) [e] x=1 12345 3.14", "Ünïcödé ÀÉ ß÷× naïve",
+    "they'll we've I'M you'd THEY'RE", "#tag @who http://a.b/c?d=e&f", "_snake_case CamelCase UPPER--lower", "1st 2nd 100% $5 <b> \\",
+)
+
+
 class TokenBytes(dict):
     """Ids of a text between two ASCII blanks, as little-endian 32-bit numbers.
 
-    The tokenizer drops blanks and none of its steps looks across them, so the ids of a text
-    are the ids of its parts, one after the other. Parts of plain characters that no special
-    token can match are normalised and split here and go to the tokenizer's BPE
-    model alone, which is several times as fast. When full, new parts are not kept.
+    Where the tokenizer drops blanks and none of its steps looks across them (``parted``), the ids of a text
+    are the ids of its parts, one after the other; else texts are encoded whole. Where it lower-cases and splits as is done
+    here (``plain``), parts of plain characters that no special token can match go to its BPE
+    model alone, which is several times as fast. Both are found out on probes when a file is
+    loaded. When full, new parts are not kept.
     """
 
     def __init__(self, path: str):
@@ -44,13 +52,28 @@ class TokenBytes(dict):
         spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         latin = [chr(i) for i in (*range(33, 127), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
         self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in latin}
+        self.parted = all(self.whole(t) == [i for part in t.split() for i in self.whole(part)] for t in _PROBES)
+        self.plain = self.parted and all(self.short(part) == self.whole(part) for t in _PROBES for part in t.split() if self.is_plain(part))
 
-    def ids(self, text: str) -> list[int]:
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def short(self, text: str) -> list[int]:
         words = (w.translate(self.spelling) for w in _SPLIT.findall(text.lower()))
         return [token.id for word in words for token in self.tokenizer.model.tokenize(word)]
 
+    @staticmethod
+    def is_plain(text: str) -> bool:
+        return "<|" not in text and _PLAIN.fullmatch(text) is not None
+
+    def ids(self, text: str) -> list[int]:
+        return self.short(text) if self.plain and self.is_plain(text) else self.whole(text)
+
+    def of_text(self, text: bytes) -> bytes:
+        if self.parted:
+            return b"".join(map(self.__getitem__, text.split()))
+        return np.array(self.whole(text.decode("utf-8", "replace")), "<u4").tobytes()
+
     def __missing__(self, part: bytes) -> bytes:
         value = np.array(self.ids(part.decode("utf-8", "replace")), "<u4").tobytes()
         if len(self) < _CACHE_CHUNKS:
@@ -68,7 +91,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iter
     for batch in batches:
         out: list[tuple] = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            ids = b"".join(map(tokens.__getitem__, text.as_py().split())) + end
+            ids = tokens.of_text(text.as_py()) + end
             for piece, at in enumerate(range(0, len(ids), width)):
                 part = ids[at : at + width]
                 out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))

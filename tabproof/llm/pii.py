@@ -60,7 +60,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     spans = [("email", *found) for found in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        numbers = [part.lstrip("0") or "0" for part in m[0].split(".")]  # any number of zeros may lead
+        if all(len(number) <= 3 and int(number) <= 255 for number in numbers):
             spans.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = re.sub("[ -]", "", m[0])

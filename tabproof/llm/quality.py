@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import saved, shipped, whole_text
+from tabproof.llm.common import saved, shipped, unused, whole_text
 
 SHRINKAGE = 0.1
 KEEP_SCORE = 0.3
@@ -191,9 +191,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, shrinkage: float = SHR
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is predicted to be of quality 1.
 
-    Rows with one doc_id stay or go together: they stay if any of them is good. Rows with a
-    null doc_id, which cannot be told apart, stay.
+    Rows with one doc_id, repeated ones too, stay or go together: they stay if any of them is good. Rows with a
+    null doc_id, which cannot be told apart, stay. Null and empty texts are scored as in :func:`quality_scores`. Without
+    any label all stay. Other columns come back as they are, whatever their names. An empty table stays empty.
     """
+    name = unused(docs.columns, "bad")[0]
     scored = quality_scores(docs, labels).where("doc_id is not null")
-    bad = scored.groupBy(F.col("doc_id").alias("_bad")).agg(F.max("predicted").alias("_p")).where("_p = 0").select("_bad")
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = scored.groupBy(F.col("doc_id").alias(name)).agg(F.max("predicted").alias("_p")).where("_p = 0").select(name)
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")

@@ -295,3 +295,39 @@ def test_peeling_recovers_the_difference(spark):
     tables = [fingerprints.table_of(F.col(c), F.lit(fingerprints.CELLS).cast("bigint")) for c in "ab"]
     got = df.select(fingerprints.differing(F.col("a"), F.col("b"), *tables).alias("n")).collect()
     assert [r["n"] for r in got] == [len(set(a) ^ set(b)) for a, b in rows]
+
+
+CLASHING = "doc_id long, text string, dropped int, version string, bad long, lost_in int, _version int, _dropped long, _bad int, _v int, _d int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "v", 2, 3, 4, 5, 6, 7, 8) for i, t in rows], CLASHING)
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    from tabproof.llm.decontam import decontaminate
+    from tabproof.llm.line_dedup import without_duplicate_lines
+    from tabproof.llm.near_dedup import keep_one_of_each
+    from tabproof.llm.quality import keep_good
+
+    long_line = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, long_line), (2, f"{long_line}\nand more of its own here"), (3, None), (None, "no name"), (4, ""), (4, "")]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    stages = [without_duplicate_lines, keep_one_of_each, lambda d: keep_good(d, labels), lambda d: decontaminate(d, items)]
+    for stage in stages:
+        out = stage(clashing(spark, rows))
+        assert out.columns == clashing(spark, []).columns
+        got = out.collect()
+        assert {tuple(r)[2:] for r in got} == {(1, "v", 2, 3, 4, 5, 6, 7, 8)}
+        assert stage(clashing(spark, [])).collect() == []
+    texts = {r["doc_id"]: r["text"] for r in without_duplicate_lines(clashing(spark, rows)).collect()}
+    assert texts[1] == long_line and texts[2] == "and more of its own here" and texts[3] is None
+
+
+def test_one_of_two_texts_of_a_document_goes(spark):
+    from tabproof.llm.near_dedup import keep_one_of_each
+
+    x, y = (" ".join(f"{c}{i}" for i in range(30)) for c in "xy")
+    left = keep_one_of_each(clashing(spark, [(1, x), (2, x), (2, y), (3, None), (None, x)])).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted([(1, x), (2, y), (3, None), (None, x)], key=str)

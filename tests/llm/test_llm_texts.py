@@ -496,3 +496,21 @@ def test_queries_agree_with_their_sql(spark, name):
     ours = QUERIES[name](spark, small)
     assert sorted(ours.columns) == sorted(columns)
     assert sorted(map(tuple, ours.select(*[F.col(c) for c in columns]).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_an_address_with_very_many_zeros_is_no_trouble():
+    text = "0" * 6000 + "1.2.3.4 and " + "9" * 6000 + ".1.1.1"
+    assert [s for s in pii.base_spans(text) if s[0] == "ip"] == [("ip", 0, 6007)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_uses_the_ids_of_its_tokenizer(frame, name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = ["Hello World", " two  blanks\n", "It's 12, Ünïcödé!", None, "", "tail  "]
+    whole = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids_crc32"] for r in packing.token_pieces(frame(list(enumerate(texts))), path).collect()}
+    for i, text in enumerate(texts):
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+        assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
