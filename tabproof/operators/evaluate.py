@@ -143,12 +143,12 @@ def orderable(df: DataFrame) -> list[Column]:
 
 
 def _rows_of(
-    df: DataFrame, keys: Sequence[Column], found: DataFrame, total_rows: int, limit: int | None
+    df: DataFrame, keys: Sequence[Column], found: DataFrame, limit: int | None
 ) -> DataFrame:
     names = _key_names(len(keys))
     keyed = df.select("*", *keys)
     if limit is None:
-        rows = rows_with_keys(keyed, found, names, total_rows)
+        rows = rows_with_keys(keyed, found, names)
     else:
         rows = first_rows_with_keys(keyed, found, names, orderable(df), limit)
     return rows.drop(*names)
@@ -157,10 +157,12 @@ def _rows_of(
 def duplicate_rows(
     df: DataFrame, columns: Sequence[str], *, total_rows: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """All rows whose key occurs more than once, or the first ``limit`` by key."""
+    """All rows whose key occurs more than once, or the first ``limit`` by key.
+
+    The table is read once for its keys and once for the rows. ``total_rows`` is not needed any more.
+    """
     keys = _keys(df, columns, [None] * len(columns))
-    total = df.count() if total_rows is None and limit is None else total_rows or 0
-    return _rows_of(df, keys, repeated_keys(df, columns), total, limit)
+    return _rows_of(df, keys, repeated_keys(df, columns), limit)
 
 
 def orphan_rows(
@@ -172,11 +174,13 @@ def orphan_rows(
     total_rows: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """All child rows whose key no parent row has, or the first ``limit`` by key."""
+    """All child rows whose key no parent row has, or the first ``limit`` by key.
+
+    The child is read once for its keys and once for the rows. ``total_rows`` is not needed any more.
+    """
     keys = _keys(child, columns, _casts(child, columns, parent, parent_columns))
     found = orphan_keys(child, columns, parent, parent_columns)
-    total = child.count() if total_rows is None and limit is None else total_rows or 0
-    return _rows_of(child, keys, found, total, limit)
+    return _rows_of(child, keys, found, limit)
 
 
 def violating_rows(catalog, check: Check, limit: int | None = PREVIEW_ROWS) -> DataFrame:
@@ -186,13 +190,10 @@ def violating_rows(catalog, check: Check, limit: int | None = PREVIEW_ROWS) -> D
         rows = predicate_rows(df, check.expression)
         # The same rows every time; each task keeps its first ones.
         return rows if limit is None else rows.orderBy(*orderable(df)).limit(limit)
-    total = catalog.row_counts([check.table])[check.table] if limit is None else 0
     if check.kind == "unique":
-        return duplicate_rows(df, check.columns, total_rows=total, limit=limit)
+        return duplicate_rows(df, check.columns, limit=limit)
     parent = catalog.frame(check.references_table)
-    return orphan_rows(
-        df, check.columns, parent, check.references_columns, total_rows=total, limit=limit
-    )
+    return orphan_rows(df, check.columns, parent, check.references_columns, limit=limit)
 
 
 # --------------------------------------------------------------------- verdicts

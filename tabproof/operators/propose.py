@@ -636,4 +636,4 @@ def not_yet_run(proposed: DataFrame, runs: DataFrame) -> DataFrame:
     keyed = proposed.withColumn("_key", check_key())
     asked = runs.select(check_key().alias("_key")).distinct()
     fresh = keyed.groupBy("_key").agg(F.count("*").alias("n")).join(asked, "_key", "left_anti")
-    return rows_with_keys(keyed, fresh, ["_key"], proposed.count()).drop("_key")
+    return rows_with_keys(keyed, fresh, ["_key"]).drop("_key")

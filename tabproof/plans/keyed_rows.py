@@ -7,13 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key holding more than 1/1000 of all rows is hot; there are under 1000 such keys.
+from tabproof.session import saved
+
+# A key with more than 1/1000 of all wanted rows is hot; there are under 1000 such keys.
 _HOT_SHARE = 1000
+#: Wanted keys that are broadcast at most; more are met by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Tasks that share the rows of a hot key.
+_SALTS = 64
 
 
-def _renamed(keys: DataFrame, names: Sequence[str]) -> DataFrame:
+def _renamed(keys: DataFrame, names: Sequence[str], *more: str) -> DataFrame:
     """The key columns under names of their own, so a self-join is unambiguous."""
-    return keys.select(*[F.col(n).alias(f"_key{i}") for i, n in enumerate(names)])
+    return keys.select(*[F.col(n).alias(f"_key{i}") for i, n in enumerate(names)], *more)
 
 
 def _same_keys(names: Sequence[str]) -> Column:
@@ -24,21 +30,30 @@ def _same_keys(names: Sequence[str]) -> Column:
 
 
 def rows_with_keys(
-    rows: DataFrame, keys: DataFrame, names: Sequence[str], total_rows: int, count: str = "n"
+    rows: DataFrame, keys: DataFrame, names: Sequence[str], count: str = "n", broadcast_keys: int | None = None
 ) -> DataFrame:
     """Rows of ``rows`` whose ``names`` columns, NULLs included, appear in ``keys``.
 
-    ``keys`` holds each key once with the number of its rows in column ``count``. Keys
-    with many rows are few by arithmetic, so they are broadcast and their rows stay
-    where they are; the others are shuffled, at most ``total_rows / 1000`` rows each.
+    ``keys`` holds each key once with the number of its rows in column ``count``; it is computed once, into the shared
+    folder. Up to ``BROADCAST_KEYS`` of them are broadcast, and the rows, read once, stay where they are. More
+    are shuffled with the rows, read once too: hot keys, few by arithmetic, are broadcast to tag their rows with a
+    salt, so that many tasks share them.
     """
-    limit = max(total_rows // _HOT_SHARE, 1)
-    hot = F.broadcast(_renamed(keys.filter(F.col(count) > limit), names))
-    cold = _renamed(keys.filter(F.col(count) <= limit), names)
-    on = _same_keys(names)
-    return rows.join(hot, on, "left_semi").unionByName(
-        rows.join(hot, on, "left_anti").join(cold, on, "left_semi")
-    )
+    most = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
+    keys = saved(keys.select(*names, count))
+    found = keys.agg(F.count("*").alias("keys"), F.sum(count).alias("rows")).first()
+    if found["keys"] <= most:
+        return rows.join(F.broadcast(_renamed(keys, names)), _same_keys(names), "left_semi")
+    limit = max(found["rows"] // _HOT_SHARE, 1)
+    every = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+    salts = F.when(F.col(count) > limit, every).otherwise(F.array(F.lit(0)))
+    wanted = _renamed(keys.withColumn("_salt", F.explode(salts)), names, F.col("_salt").alias("_key_salt"))
+    hot = _renamed(keys.where(F.col(count) > limit), names, F.lit(True).alias("_hot"))
+    at = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS))).otherwise(0).cast("int")
+    tagged = rows.join(F.broadcast(hot), _same_keys(names), "left").withColumn("_salt", at)
+    tagged = tagged.select(*[F.col(f"`{c}`") for c in rows.columns], "_salt")
+    on = _same_keys(names) & (F.col("_salt") == F.col("_key_salt"))
+    return tagged.join(wanted, on, "left_semi").drop("_salt")
 
 
 def first_rows_with_keys(

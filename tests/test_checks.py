@@ -8,11 +8,14 @@ from tabproof.operators import checks, console, evaluate, findings, summary
 from tabproof.operators.admission import admit_checks
 from tabproof.sources.catalog import Catalog
 
+#: One line each of what a predicate may be made of: lambdas, collections, intervals, nested calls, and quoting.
 GOOD = [
-    "l_discount BETWEEN 0 AND 0.1 AND l_tax < 0.09", "o_orderdate <= l_shipdate", "c_acctbal IS NULL OR c_acctbal > -1000",
-    "o_orderpriority IN ('1-URGENT', '5-LOW')", "char_length(rtrim(p_name)) BETWEEN 3 AND 60",
-    "nullif(l_linenumber, 0) < 8", "regexp_matches(p_brand, '^Brand#[1-5][1-5]$')", 'CAST("p size" AS INT) < 51',
-    "p_type <> 'drop it from the union list'", '"join" >= 0', "`group` = 1", "c_name <> 'O''Hara, set'",
+    "forall(transform(sequence(1, 3), i -> i * p_size), s -> s > 0)", "aggregate(array(l_tax, l_discount), 0D, (a, x) -> a + x) < 1",
+    "element_at(map('a', 1, 'b', 2), 'b') = 2", "named_struct('x', l_tax).x >= 0", "split(p_type, ' ')[2] <> ''",
+    "l_shipdate - INTERVAL '3' MONTH < DATE '2030-01-01'", "make_interval(0, 1) IS NOT NULL",
+    "try_divide(l_extendedprice, l_quantity) < 1e6", "try_element_at(array(1, 2), 9) IS NULL", "coalesce(try_cast(p_name AS INT), 0) = 0",
+    "(((p_size % 7) + 7) % 7) <> -1", "l_tax <=> NULL OR NOT l_tax <=> NULL", "l_quantity NOT BETWEEN -5 AND -1",
+    "p_name NOT LIKE '%(%'", "concat('a;b', p_name) <> '-- no comment'", "`order` % 2 = 0 AND \"select\" > 1", "length('/* in quotes */') = 15",
 ]
 #: A literal that seems to open inside a quoted name, and one that seems to close there.
 HIDDEN = """exists(array(1), "q'" -> true) AND (SELECT count(*) FROM nation) > 5 AND exists(array(1), "q'" -> true)"""
@@ -459,3 +462,29 @@ def test_equal_predicates_are_counted_once_and_reported_each(spark):
     assert len(got) == 130
     by = {r["id"]: r["violations"] for r in got}
     assert all(by[f"h{i + 1}"] == sum(q <= i % 60 for q in quantities) for i in range(130))
+
+
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_bad_keys_are_found_in_one_scan_and_their_rows_in_another(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    rows = evaluate.duplicate_rows(df, ["l_orderkey", "l_linenumber"])
+    assert _scans(rows) == 1  # the keys are in the shared folder by now
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert _scans(evaluate.orphan_rows(orders, ["o_orderkey"], df, ["l_orderkey"])) == 1
+
+
+def test_more_keys_than_are_broadcast_give_the_same_rows(spark, skewed):
+    from tabproof.plans.keyed_rows import rows_with_keys
+
+    child, _ = skewed
+    rows = child.selectExpr("id", "if(k = 2, null, k) as k", "'s' as _salt_", "1 as _hot_")
+    keys = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1 or k % 5 = 0")
+    want = sorted(tuple(r) for r in rows_with_keys(rows, keys, ["k"]).select("id").collect())
+    salted = rows_with_keys(rows, keys, ["k"], broadcast_keys=0)
+    assert salted.columns == rows.columns
+    assert sorted(tuple(r) for r in salted.select("id").collect()) == want and len(want) > 20_000
+    text = salted._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "CartesianProduct" not in text
