@@ -2,7 +2,6 @@ import datetime as dt
 import sys
 from pathlib import Path
 
-import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -26,39 +25,33 @@ def spark():
     session.stop()
 
 
-DATA = "/root/testdata/sf0.001"
 CLIENTS = 30
 
 
 def client_rows():
-    """Customers of the driver's tables with gaps, copies, padding and odd dates put in at known places."""
-    table = pq.read_table(f"{DATA}/customer.parquet").slice(0, CLIENTS).to_pylist()
-    rows = []
-    for i, customer in enumerate(table):
-        rows.append(
-            {
-                "client_id": i,
-                "contact": f"{customer['c_name'].lower().replace('#', '.')}@{customer['c_mktsegment'].lower()}.test",
-                "client_name": customer["c_name"],
-                "badge": f"B-{customer['c_custkey']:06d}",
-                "balance": 2.25 * (i + 1),
-                "joined": str(dt.date(2021, 3, 1) + dt.timedelta(days=11 * i)),
-                "vip": str(i % 3 == 0).lower(),
-                "remark": f"ticket {i * 37 + 1000}",
-            }
-        )
-    rows[4]["contact"] = rows[5]["badge"] = rows[1]["remark"] = ""
-    rows[9]["contact"], rows[9]["badge"] = rows[2]["contact"], rows[2]["badge"]
-    rows[12]["contact"] = rows[12]["contact"].upper()
-    rows[7]["client_name"] = rows[6]["client_name"].upper()
-    rows[10]["client_name"], rows[11]["client_name"], rows[13]["client_name"] = "Łukasz Żak", "Ελένη", "李雷"
-    rows[3]["balance"], rows[8]["balance"] = -8.5, 0
-    rows[14]["joined"], rows[20]["joined"] = "1970-01-01", "2087-02-03"
-    rows[16]["remark"], rows[17]["remark"] = "  ", " call back "
+    """What clients did: kinds with odd spelling, two losses and a zero, tokens with gaps and a copy, two unset days."""
+    rows = [
+        {
+            "kind": ("view", "click", "cart", "buy")[i % 4],
+            "value": 3.75 * (i % 10) + 1.5,
+            "client_id": i,
+            "token": f"{i * 7919 % 10007:05d}x",
+            "seen": str(dt.date(2021, 1, 5) + dt.timedelta(days=3 * i)),
+            "repeat": str(i % 5 == 0).lower(),
+        }
+        for i in range(CLIENTS)
+    ]
+    rows[22]["kind"], rows[7]["kind"], rows[21]["kind"] = "VIEW", "  ", " cart"
+    rows[6]["value"] = rows[19]["value"] = -4.25
+    rows[13]["value"] = 0
+    rows[11]["token"] = rows[12]["token"] = ""
+    rows[24]["token"], rows[18]["token"] = rows[3]["token"], "ζήτα18"
+    rows[2]["seen"] = rows[9]["seen"] = "1970-01-01"
+    rows[28]["seen"] = "2093-05-06"
     return rows
 
 
-SECRETS = ["customer.", ".test", "Customer#", "B-0000", "ticket", "call back", "Łukasz", "Ελένη", "李", "Ż"]
+SECRETS = ["07919", "05831", "view", "VIEW", "click", "ζήτα", "η"]
 
 
 def csv_text(rows):

@@ -84,15 +84,15 @@ def test_predicates(catalog):
     found = run(
         catalog,
         dict(table="clients", expression="client_id >= 0"),
-        dict(table="clients", expression="balance >= 0"),
-        dict(table="clients", expression="length(badge) = 8"),
+        dict(table="clients", expression="value >= 0"),
+        dict(table="clients", expression="length(token) = 6"),
         dict(table="clients", expression="no_such_column > 0"),
-        dict(table="clients", expression="read_csv(contact) IS NOT NULL"),
+        dict(table="clients", expression="read_csv(token) IS NOT NULL"),
         dict(table="strangers", expression="1 = 1"),
     )
     assert [r["status"] for r in found] == ["holds", "falsified", "holds", "skipped", "skipped", "skipped"]
-    assert (found[1]["violations"], found[1]["row_count"]) == (1, 30)
-    assert found[1]["pct"] == pytest.approx(100 / 30) and "FROM clients" in found[1]["sql"]
+    assert (found[1]["violations"], found[1]["row_count"]) == (2, 30)
+    assert found[1]["pct"] == pytest.approx(200 / 30) and "FROM clients" in found[1]["sql"]
     assert "no_such_column" in found[3]["reason"]
     assert "external data" in found[4]["reason"] and "Unknown table" in found[5]["reason"]
 
@@ -105,9 +105,9 @@ def test_plans_are_inspected_before_they_run(spark, catalog):
         dict(table="clients", expression="twice(client_id) >= 0"),
         dict(table="clients", expression="thrice(client_id) >= 0"),
         dict(table="clients", expression=HIDDEN),
-        dict(table="clients", expression="strftime(joined, 'year %Y') <> 'year 1999'"),
-        dict(table="clients", expression="regexp_matches(badge, '^B-')"),
-        dict(table="clients", expression="strftime(joined, '%Q') <> ''"),
+        dict(table="clients", expression="strftime(seen, 'year %Y') <> 'year 1999'"),
+        dict(table="clients", expression="regexp_matches(token, '^[0-9ζ]')"),
+        dict(table="clients", expression="strftime(seen, '%Q') <> ''"),
     )
     assert [r["status"] for r in found] == ["skipped", "skipped", "skipped", "holds", "holds", "skipped"]
     assert all("not allowed" in r["reason"] for r in found[:3])
@@ -148,13 +148,13 @@ def test_more_predicates_than_one_aggregate_takes(spark):
 def test_uniqueness(catalog):
     found = run(
         catalog,
-        dict(kind="unique", table="clients", columns=["contact", "badge"]),
+        dict(kind="unique", table="clients", columns=["token", "repeat"]),
         dict(kind="unique", table="clients", columns=["client_id"]),
         dict(kind="unique", table="clients", columns=["nope"]),
-        dict(kind="unique", table="clients", columns=["badge", "contact"]),
+        dict(kind="unique", table="clients", columns=["repeat", "token"]),
     )
     assert [(r["status"], r["violations"]) for r in found] == [
-        ("falsified", 2), ("holds", 0), ("skipped", None), ("falsified", 2)]
+        ("falsified", 4), ("holds", 0), ("skipped", None), ("falsified", 4)]
 
 
 def test_null_keys_repeat(spark):
@@ -191,7 +191,7 @@ def test_text_compared_with_a_number_is_refused(catalog):
         dict(table="coded", expression="deal_id > 0"),
         dict(table="coded", expression="try_cast(deal_id AS BIGINT) > 0"),
         dict(table="coded", expression="deal_id > '0'"),
-        dict(table="clients", expression="joined >= '1970-01-01'"),
+        dict(table="clients", expression="seen >= '1970-01-01'"),
     )
     assert "Cannot compare" in found[0]["reason"] and "0042" not in found[0]["reason"]
     assert [r["status"] for r in found] == ["skipped", "holds", "holds", "holds"]
@@ -289,13 +289,13 @@ def test_hot_rows_stay_where_they_are(skewed):
 def test_previews(catalog):
     check = checks.Check("x", "references", "items", ("deal_id",), "", "deals", ("deal_id",))
     assert [r["item_id"] for r in evaluate.violating_rows(catalog, check).collect()] == [21, 22]
-    check = checks.Check("x", "row_predicate", "clients", expression="balance >= 0")
+    check = checks.Check("x", "row_predicate", "clients", expression="value >= 0")
     assert evaluate.violating_rows(catalog, check).columns == catalog.frame("clients").columns
     check = checks.Check("x", "row_predicate", "clients", expression="client_id < 0")
     first = evaluate.violating_rows(catalog, check, limit=3)
-    assert [r["client_id"] for r in first.collect()] == [0, 1, 2]
-    check = checks.Check("x", "unique", "clients", ("contact", "badge"))
-    assert sorted(r["client_id"] for r in evaluate.violating_rows(catalog, check, None).collect()) == [2, 9]
+    assert [r["client_id"] for r in first.collect()] == [7, 21, 22]  # by the columns in order, kind first
+    check = checks.Check("x", "unique", "clients", ("token", "repeat"))
+    assert sorted(r["client_id"] for r in evaluate.violating_rows(catalog, check, None).collect()) == [3, 11, 12, 24]
 
 
 def test_previews_of_columns_without_an_order(spark):
@@ -327,12 +327,12 @@ def notes(spark, known, *texts):
     return [r[0] for r in df.orderBy("i").select(findings.sanitize_note(F.col("r"), known)).collect()]
 
 
-KNOWN = ["badge", "balance", "clients", "deal_id", "items"]
+KNOWN = ["clients", "deal_id", "items", "token", "value"]
 
 
 def test_notes_carry_no_values(spark):
     leaky = [
-        f"[CAST_INVALID_INPUT] The value '{secret}' of the type \"STRING\" cannot be cast to \"INT\" in balance"
+        f"[CAST_INVALID_INPUT] The value '{secret}' of the type \"STRING\" cannot be cast to \"INT\" in value"
         for secret in SECRETS
     ]
     leaky += [f"[DIVIDE_BY_ZERO] Division by zero near `{SECRETS[0]}`", "[UNRESOLVED_COLUMN] " + "y" * 4000]
@@ -361,7 +361,7 @@ def test_note_categories(spark):
         'Identifier "orders_scan" can read external data.': "file or URL access",
         "Statement separator (;) is not allowed.": "separator",
         "Unbalanced parentheses.": "unbalanced",
-        "Cannot compare items.pieces (int) with clients.badge (string): types differ.": "types differ",
+        "Cannot compare items.pieces (int) with clients.token (string): types differ.": "types differ",
         "Referencing and referenced column counts differ.": "column counts differ",
         "the moon was in the way": "could not be evaluated",
     }
@@ -374,9 +374,9 @@ def test_note_categories(spark):
 def test_rounds_and_summary(catalog):
     spark = catalog.spark
     first = checks.checks_frame(spark, [
-        dict(title="balances", table="clients", expression="balance >= 0", severity="high"),
+        dict(title="values", table="clients", expression="value >= 0", severity="high"),
         dict(title="ids", table="clients", expression="client_id >= 0"),
-        dict(title="cast", table="clients", expression="CAST(remark AS INT) > 0"),
+        dict(title="cast", table="clients", expression="CAST(kind AS INT) > 0"),
     ])
     second = checks.checks_frame(spark, [dict(title="items", severity="high", **ref("items", ["deal_id"], "deals", ["deal_id"]))])
     runs = summary.run_round(catalog, second, 2, summary.run_round(catalog, first, 1))
@@ -389,7 +389,7 @@ def test_rounds_and_summary(catalog):
     known = findings.known_identifiers(catalog.columns())
     found = findings.to_findings(runs, known)
     lines = {r[0]: r[1] for r in found.select("id", findings.verdict_line()).collect()}
-    assert lines["r1h1"] == "FALSIFIED   balances  : 1 rows (3.33%)"
+    assert lines["r1h1"] == "FALSIFIED   values  : 2 rows (6.67%)"
     assert lines["r1h2"] == "HELD        ids  [row_predicate]"
     assert lines["r1h3"].startswith("NOT RUN     cast  : type mismatch")
     assert {"sql", "reason"}.isdisjoint(found.columns)
@@ -399,7 +399,7 @@ def test_rounds_and_summary(catalog):
     with pytest.raises(ValueError, match="maximum of 3 rounds"):
         summary.run_round(catalog, first, 4)
     starters = console.starter_checks(runs).collect()
-    assert len(starters) == 4 and all(spark.sql(r["sql"].replace("coalesce((CAST(remark AS INT) > 0), true)", "true")).count() == 1 for r in starters)
+    assert len(starters) == 4 and all(spark.sql(r["sql"].replace("coalesce((CAST(kind AS INT) > 0), true)", "true")).count() == 1 for r in starters)
 
 
 def test_findings_are_shortened_and_none_is_lost(spark):
@@ -420,7 +420,7 @@ def test_console(catalog):
 def test_inventory(catalog):
     rows = {r["table"]: r for r in summary.data_inventory(catalog).collect()}
     assert rows["items"]["column_list"] == "item_id (int), deal_id (int), pieces (int)"
-    assert (rows["clients"]["rows"], rows["clients"]["columns"]) == (30, 8)
+    assert (rows["clients"]["rows"], rows["clients"]["columns"]) == (30, 6)
 
 
 TOGETHER = [

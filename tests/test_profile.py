@@ -39,20 +39,19 @@ def test_classes_and_families():
 
 
 def test_clients(clients):
-    balance = clients["balance"]["numeric"]
-    assert (balance["min"], balance["max"]) == (-8.5, 67.5)
-    assert (balance["negative_count"], balance["zero_count"], balance["non_finite_count"]) == (1, 1, 0)
-    joined = clients["joined"]["temporal"]
-    assert (joined["epoch_zero_count"], joined["future_count"]) == (1, 1)
-    assert joined["min_iso"] == "1970-01-01" and joined["span_days"] == (dt.date(2087, 2, 3) - dt.date(1970, 1, 1)).days
-    assert tuple(clients["vip"]["boolean"]) == (10, 20)
-    assert clients["badge"]["null_count"] == 1 and clients["contact"]["null_count"] == 1
-    remark = clients["remark"]["string"]
-    assert (remark["whitespace_only_count"], remark["untrimmed_count"]) == (1, 2)
-    name = clients["client_name"]
-    assert (name["distinct_count"], name["string"]["distinct_case_insensitive"]) == (30, 29)
+    value = clients["value"]["numeric"]
+    assert (value["min"], value["max"]) == (-4.25, 35.25)
+    assert (value["negative_count"], value["zero_count"], value["non_finite_count"]) == (2, 1, 0)
+    seen = clients["seen"]["temporal"]
+    assert (seen["epoch_zero_count"], seen["future_count"]) == (2, 1)
+    assert seen["min_iso"] == "1970-01-01" and seen["span_days"] == (dt.date(2093, 5, 6) - dt.date(1970, 1, 1)).days
+    assert tuple(clients["repeat"]["boolean"]) == (6, 24)
+    assert clients["token"]["null_count"] == 2 and clients["kind"]["null_count"] == 0
+    kind = clients["kind"]["string"]
+    assert (kind["whitespace_only_count"], kind["untrimmed_count"]) == (1, 2)
+    assert (clients["kind"]["distinct_count"], kind["distinct_case_insensitive"]) == (7, 6)
     assert clients["client_id"]["is_candidate_key"] and clients["client_id"]["is_exact_key"]
-    assert not clients["vip"]["is_candidate_key"]
+    assert not clients["repeat"]["is_candidate_key"]
     for r in clients.values():
         if r["string"]:
             assert sum(r["string"]["char_class_pct"]) == pytest.approx(100)
@@ -62,8 +61,7 @@ def test_no_value_survives(clients):
     text = json.dumps([r.asDict(recursive=True) for r in clients.values()], ensure_ascii=False)
     for secret in SECRETS:
         assert secret not in text
-    shapes = [s["shape"] for s in clients["contact"]["string"]["shapes"]]
-    assert all("@" in s for s in shapes) and shapes[0].startswith("a{8}.9")
+    assert [s["shape"] for s in clients["token"]["string"]["shapes"]] == ["9{5}a", "a{4}99"]
 
 
 def test_edge_tables(spark):
@@ -235,11 +233,11 @@ def test_exact_quantiles_of_nothing(spark):
 def test_summary_and_rollup(catalog):
     described = P.profile_table(catalog.frame("clients"), "clients", fmt="csv", as_of=AS_OF)
     lines = {r[0]: r[1] for r in described.select("name", P.column_summary()).collect()}
-    assert lines["vip"] == "10 true · 20 false"
-    assert lines["balance"] == "-8.50 … 67.50 · 1 negative · 1 zero"
-    assert lines["joined"] == "1970-01-01 … 2087-02-03 · 1 future · 1 at epoch"
+    assert lines["repeat"] == "6 true · 24 false"
+    assert lines["value"] == "-4.25 … 35.25 · 2 negative · 1 zero"
+    assert lines["seen"] == "1970-01-01 … 2093-05-06 · 1 future · 2 at epoch"
     roll = P.profile_rollup(described).first()
-    assert (roll["row_count"], roll["column_count"], roll["sparse"]) == (30, 8, False)
+    assert (roll["row_count"], roll["column_count"], roll["sparse"]) == (30, 6, False)
 
 
 def test_sketches_agree_with_exact_statistics(spark):
