@@ -6,6 +6,7 @@ A profile holds no cell value apart from date bounds. One row describes one colu
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -286,6 +287,30 @@ def top_shapes(counts: DataFrame, k: int = TOP_SHAPES) -> DataFrame:
     )
 
 
+def sample_rows(df: DataFrame, n: int, by: Sequence[str] | None = None) -> DataFrame:
+    """``n`` rows of a table, or all if it has fewer: those of smallest MD5 of their ``by`` columns, all columns unless given.
+
+    The same rows come out whatever the partitions. Rows are counted first; a bound on the digest then leaves little
+    more than ``n`` rows, so the tasks' candidates fit in the one that merges them. Rows of equal ``by`` columns are
+    taken in the order of the other columns' digests. NULL counts as an empty text.
+    """
+    names = list(by or df.columns)
+
+    def digest(columns: Sequence[str]) -> str:
+        texts = [f"coalesce(string({X.quote_name(c)}), '')" for c in columns]
+        return f"md5(concat_ws('\x1f', {', '.join(texts)}))"
+
+    rows = df.count()
+    wide = n + 8 * math.isqrt(max(n, 1)) + 64
+    place = F.expr(digest(names))
+    order = [place, F.expr(digest(df.columns))]
+    if wide < rows:
+        few = df.where(F.substring(place, 1, 15) <= f"{int(wide / rows * 16**15):015x}")
+        if few.count() >= n:
+            df = few
+    return df.orderBy(*order).limit(n)
+
+
 def shape_histogram(
     df: DataFrame,
     specs: Sequence[ColumnSpec] | None = None,
@@ -294,15 +319,19 @@ def shape_histogram(
     max_columns: int | None = None,
     sample_fraction: float | None = None,
     seed: int = 42,
+    sample: int | None = None,
+    sample_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Top shapes ``(ordinal, shape, n, rank)`` of all text columns in one pass.
 
-    The whole table is read unless a ``sample_fraction`` is asked for.
+    The whole table is read unless a ``sample_fraction``, or a ``sample`` of so many rows, see
+    :func:`sample_rows`, is asked for.
     """
     texts = [s for s in (specs or column_specs(df)) if s.kind == K.STRING][:max_columns]
     if not texts:
         return local_frame(df.sparkSession, [], "ordinal int, shape string, n bigint, rank int")
     rows = df if sample_fraction is None else df.sample(sample_fraction, seed=seed)
+    rows = rows if sample is None else sample_rows(rows, sample, sample_by)
     return top_shapes(shape_counts(rows, texts), k)
 
 

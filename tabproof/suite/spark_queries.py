@@ -579,6 +579,11 @@ def _(spark, sf_dir):
     return _shapes(tables(spark, sf_dir, "documents", "customer"), sample_fraction=1.0)
 
 
+@query("p22_fixed_sample")
+def _(spark, sf_dir):
+    return _shapes(tables(spark, sf_dir, "documents"), sample=300, sample_by=["doc_id"])
+
+
 @query("p23_first_shape_columns")
 def _(spark, sf_dir):
     return _shapes(tables(spark, sf_dir, "documents", "customer", "part"), max_columns=20)

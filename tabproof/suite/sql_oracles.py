@@ -463,6 +463,8 @@ def _shapes(cols, k: int = 8) -> str:
 
 ORACLES["p21_shape_histogram"] = _shapes(columns("documents", "customer", "part", "events", of="string"))
 ORACLES["p22_sampled_shapes"] = _shapes(columns("documents", "customer", of="string"))
+ORACLES["p22_fixed_sample"] = "WITH sampled AS (SELECT * FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 300) " + _shapes(
+    columns("documents", of="string")).replace("FROM documents", "FROM sampled")
 ORACLES["p23_first_shape_columns"] = _shapes(columns("documents", "customer", "part", of="string"))
 ORACLES["p24_collapsed_runs"] = f"""
 SELECT p_partkey, {collapse('mask')} AS shape FROM (

@@ -301,3 +301,12 @@ def test_value_statistics_with_ranges_off_the_mark(spark, monkeypatch):
     assert counts == {0: len(set(values)), 5: len({v for v in values if v <= 20})}
     assert found[0] == pytest.approx(list(np.quantile(values, [0.1, 0.5])))
     assert found[9] == [np.median([len(f"s{float(v)}") for v in values if v <= 20])]
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 2999, 3000, 9999])
+def test_a_sample_has_so_many_rows_whatever_the_partitions(spark, n):
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, null, concat('t', id % 100)) as s")
+    some = sorted(tuple(r) for r in P.sample_rows(df.repartition(7), n).collect())
+    assert len(some) == min(n, 3000)
+    assert some == sorted(tuple(r) for r in P.sample_rows(df.coalesce(1), n).collect())
+    assert len(P.sample_rows(df, n, ["s"]).collect()) == min(n, 3000)
