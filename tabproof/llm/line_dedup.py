@@ -4,11 +4,22 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabproof.llm.common import counted, join_by_key, rows_of, saved, unused, whole_text
+from tabproof.llm.common import (
+    BROADCAST_KEYS,
+    counted,
+    join_by_key,
+    measured,
+    rows_of,
+    saved,
+    unused,
+    whole_text,
+    written,
+)
 from tabproof.llm.links import linked_components, parity_map
 
 #: Code points of a shingle. Unrelated lines of 300 share about 0.05 % of shingles this long.
@@ -16,16 +27,25 @@ SHINGLE = 8
 BAND_ROWS = 3
 #: Probability that two lines at the threshold share no band.
 MISSED = 1e-5
-#: Tasks that share the rows of one bucket.
-SALTS = 16
+#: Places of a line that are hashed in one row, so that coordinates are updated once for all of them.
+PLACES = 4
+#: Members of a bucket that an aggregate of fixed size tells: the smallest, the largest and what is left of their XOR.
+TOLD = 3
 #: Times the usual number of tasks for lines that are spread into their shingles.
 WIDENED = 4
+#: Orderings of shingles: three digests, each turned by so many bits.
+_TURNS = (0, 21, 42)
+_DIGESTS = 3
+_WORD = 64
 _POINT = 4  # bytes of a code point in UTF-32
-_LOW_BITS = 31  # of a digest; products of two such numbers fit in a bigint
+_BLANK = (" ", "\t", "\r")
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.lower(line), F.lit(" \t\r"))
+    """Lower case without outer blanks; the scan for these is spared where none is at an end."""
+    lower = F.lower(line)
+    outer = [test for blank in _BLANK for test in (F.startswith(line, F.lit(blank)), F.endswith(line, F.lit(blank)))]
+    return F.when(reduce(Column.__or__, outer), F.trim(lower, F.lit("".join(_BLANK)))).otherwise(lower)
 
 
 def _points(line: Column) -> Column:
@@ -33,12 +53,20 @@ def _points(line: Column) -> Column:
     return F.encode(line, "UTF-32")
 
 
-def _shingles(lines: DataFrame, points: str, *kept: str) -> DataFrame:
-    """``lines[kept]`` with ``token``: one row per place, the digest of the shingle that starts there."""
-    last = F.floor(F.octet_length(points) / _POINT) - SHINGLE
-    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)).cast("int"))
-    shingle = F.substring(F.col(points), F.col("_at") * _POINT + 1, F.lit(SHINGLE * _POINT))
-    return lines.select(*kept, points, F.explode(starts).alias("_at")).select(*kept, F.xxhash64(shingle).alias("token"))
+def _last_place(points: Column, shingle: int) -> Column:
+    """Where the last shingle starts; lines shorter than one have their whole as the only one, at 0."""
+    return F.greatest(F.floor(F.octet_length(points) / _POINT) - shingle, F.lit(0)).cast("int")
+
+
+def _digest(points: Column, at: Column, shingle: int) -> Column:
+    return F.xxhash64(F.substring(points, at * _POINT + 1, F.lit(shingle * _POINT)))
+
+
+def _shingles(lines: DataFrame, shingle: int, *kept: str) -> DataFrame:
+    """``lines[kept]`` with ``token``: one row per place of ``points``, the digest of the shingle that starts there."""
+    starts = F.sequence(F.lit(0), _last_place(F.col("points"), shingle))
+    placed = lines.select(*kept, "points", F.explode(starts).alias("_at"))
+    return placed.select(*kept, _digest(F.col("points"), F.col("_at"), shingle).alias("token"))
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -49,8 +77,8 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return (
         docs.select("doc_id", whole_text().alias("_t"))
         .select("doc_id", F.xxhash64("_t").alias("version"), F.posexplode(F.split("_t", "\n")).alias("pos", "_l"))
+        .where(F.col("_l").rlike(f"[^{''.join(_BLANK)}]"))
         .select("doc_id", "version", "pos", _normal(F.col("_l")).alias("line"))
-        .where("line <> ''")
         .withColumn("id", F.xxhash64("line"))
     )
 
@@ -61,20 +89,37 @@ def band_count(similarity: float, rows: int = BAND_ROWS, missed: float = MISSED)
     return 1 if alike >= 1 else math.ceil(math.log(missed) / math.log1p(-alike))
 
 
-def line_signatures(lines: DataFrame, n_bands: int) -> DataFrame:
+def line_signatures(lines: DataFrame, n_bands: int, shingle: int = SHINGLE) -> DataFrame:
     """``(id, m0 … )`` per distinct line: its MinHash coordinates.
 
-    Coordinate i is the smallest product of a shingle digest's low bits and an odd constant, over all
-    shingles of the line, whatever its length. Lines are made distinct first, and then spread
-    into shingles and gathered again in the task that has them.
+    Coordinate i is the smallest digest of all shingles of the line in its own order: one of
+    ``_DIGESTS`` digests of the shingle, turned by one of ``_TURNS``, XORed with a mask. The masks of one digest and turn
+    differ in their first bits, so they look for their smallest in different parts of the digests. The rows of a band
+    come from different digests. Lines are made distinct first, and then spread into rows of ``PLACES`` shingles and
+    gathered again in the task that has them.
     """
     rng = random.Random(7)
-    factors = [rng.getrandbits(_LOW_BITS - 1) * 2 + 1 for _ in range(n_bands * BAND_ROWS)]
+    orders = _DIGESTS * len(_TURNS)
+    n = n_bands * BAND_ROWS
+    lead = max(1, (-(-n // orders) - 1).bit_length())  # first bits that tell the masks of one order apart
+    masks = [(i // orders << _WORD - lead) | rng.getrandbits(_WORD - lead) for i in range(n)]
+    masks = [m - (1 << _WORD) if m >> _WORD - 1 else m for m in masks]
     pointed = lines.select("id", "line").dropDuplicates(["id"]).select("id", _points(F.col("line")).alias("points"))
-    low = (1 << _LOW_BITS) - 1
-    shingles = _shingles(pointed, "points", "id").select("id", F.col("token").bitwiseAND(F.lit(low)).alias("token"))
-    ordered = [(F.col("token") * F.lit(factor)).bitwiseAND(F.lit(low)) for factor in factors]
-    return shingles.groupBy("id").agg(*[F.min(place).alias(f"m{i}") for i, place in enumerate(ordered)])
+    last = pointed.withColumn("last", _last_place(F.col("points"), shingle))
+    spread = last.select("id", "points", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(PLACES))).alias("at"))
+    places = [F.least(F.col("at") + j, F.col("last")) for j in range(PLACES)]
+    rows = spread.select("id", *[_digest(F.col("points"), at, shingle).alias(f"d0_{j}") for j, at in enumerate(places)])
+    for d in range(1, _DIGESTS):
+        rows = rows.select("*", *[F.xxhash64(f"d{d - 1}_{j}").alias(f"d{d}_{j}") for j in range(PLACES)])
+
+    def turned(digest: str, bits: int) -> Column:
+        return F.shiftleft(digest, bits).bitwiseOR(F.shiftrightunsigned(digest, _WORD - bits)) if bits else F.col(digest)
+
+    rows = rows.select("id", *[
+        turned(f"d{o % _DIGESTS}_{j}", _TURNS[o // _DIGESTS]).alias(f"o{o}_{j}") for o in range(orders) for j in range(PLACES)
+    ])
+    least = [F.least(*[F.col(f"o{i % orders}_{j}").bitwiseXOR(F.lit(mask)) for j in range(PLACES)]) for i, mask in enumerate(masks)]
+    return rows.groupBy("id").agg(*[F.min(place).alias(f"m{i}") for i, place in enumerate(least)])
 
 
 def line_bands(signatures: DataFrame, n_bands: int) -> DataFrame:
@@ -86,25 +131,42 @@ def line_bands(signatures: DataFrame, n_bands: int) -> DataFrame:
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
-    """The rows of ``buckets`` whose bucket has others, with their number ``n``.
+    """``(bucket, id, n)``: the distinct rows of ``buckets`` whose bucket has others, with their number ``n``.
 
-    The rows of a bucket are dealt to ``SALTS`` tasks. ``buckets`` is read twice.
+    One aggregate of fixed size tells the members of buckets of up to ``TOLD``, which most shared ones are, so no row of a lone
+    bucket is looked at again. Larger buckets are joined by their keys, hot ones by broadcast. ``buckets`` is read twice.
     """
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = buckets.withColumn("_salt", F.pmod("id", F.lit(SALTS)).cast("int"))
-    return salted.join(shared, ["bucket", "_salt"]).select("bucket", "id", "n")
-
-
-def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
+    groups = buckets.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor("id").alias("all")
+    )
+    groups = saved(groups.where("n > 1"))
+    third = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    told = F.when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", "hi", third))
+    few = groups.where(F.col("n") <= TOLD).select("bucket", F.explode(told).alias("id"), "n")
+    large, got = measured(
+        groups.where(F.col("n") > TOLD).select("bucket", "n"),
+        F.count("*").alias("keys"), F.sum("n").alias("total"), F.max("n").alias("most"),
+    )
+    if not got["keys"]:
+        return few
+    if got["keys"] <= BROADCAST_KEYS:
+        many = buckets.join(F.broadcast(large), "bucket")
+    else:
+        many = join_by_key(buckets, (large, got["total"], got["most"]), "bucket")
+    return few.unionByName(many.select("bucket", "id", "n"))
+
+
+def line_components(
+    docs: DataFrame, places: DataFrame, *, num: int = 4, den: int = 5, shingle: int = SHINGLE
+) -> DataFrame:
     """``(id, component)`` of the distinct lines linked to another line.
 
-    Lines are linked when their shingle sets have ``den * intersection >= num * union`` and they share
+    Lines are linked when their sets of ``shingle``-character shingles have ``den * intersection >= num * union`` and they share
     a band, which pairs at the threshold miss with probability ``MISSED`` at most. ``places`` are the ids and documents of all lines.
     """
     n_bands = band_count(num / den)
-    bands = saved(line_bands(line_signatures(document_lines(docs), n_bands), n_bands))
-    members = saved(shared_buckets(bands.select("id", F.explode("bands").alias("bucket"))))
+    with written(line_bands(line_signatures(document_lines(docs), n_bands, shingle), n_bands)) as bands:
+        members = saved(shared_buckets(bands.select("id", F.explode("bands").alias("bucket"))))
     ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank")))
     homes = rows_of(places, "id", ranks).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
     named = rows_of(docs.select("doc_id", "text"), "doc_id", homes)
@@ -117,7 +179,7 @@ def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: in
 
     def maps(ids: DataFrame) -> DataFrame:
         pointed = rows_of(lines, "id", ids).repartition(tasks, "id").select("id", _points(F.col("line")).alias("points"))
-        return _shingles(pointed, "points", "id").distinct().groupBy("id").agg(F.count("*").alias("n"), *parity_map())
+        return _shingles(pointed, shingle, "id").distinct().groupBy("id").agg(F.count("*").alias("n"), *parity_map())
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
@@ -126,14 +188,14 @@ def line_components(docs: DataFrame, places: DataFrame, *, num: int = 4, den: in
             F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")),
             F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")),
         )).alias("_s")).select("a", "b", "_s.side", _points(F.col("_s.line")).alias("points"))
-        held = _shingles(sides, "points", "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
+        held = _shingles(sides, shingle, "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
         sizes = held.groupBy("a", "b").agg(F.count("*").alias("either"), F.count_if(F.col("held") == 3).alias("both"))
         return sizes.where(F.col("both") * den >= F.col("either") * num).select("a", "b")
 
     return linked_components(members.select("bucket", "id").join(ranks, "id"), maps, num, den, confirm)
 
 
-def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, version, dropped, kept_in)`` of documents that lose lines.
 
     Lines are compared without case and outer blanks, tabs and carriage returns. Equal lines, and lines linked by
@@ -142,7 +204,7 @@ def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame
     other lines, ``kept_in`` the documents that keep theirs.
     """
     places = saved(document_lines(docs).select("doc_id", "version", "pos", "id"))
-    found = line_components(docs, places, num=num, den=den)
+    found = line_components(docs, places, num=num, den=den, shingle=shingle)
     repeated = places.groupBy("id").agg(F.min("doc_id").alias("home"), F.count("*").alias("n"))
     known = repeated.join(found.select("id", "component"), "id", "left").where("n > 1 or component is not null")
     known = saved(known.select("id", "home", "n", F.coalesce("component", "id").alias("component")))
@@ -169,7 +231,7 @@ def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame
     )
 
 
-def line_report(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
+def line_report(docs: DataFrame, *, num: int = 4, den: int = 5, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, n_lines, n_kept, dropped, kept_in)`` for every row of ``docs(doc_id, text, …)``.
 
     ``n_lines`` counts all lines, blank ones included; blank lines are structure and always kept.
@@ -177,7 +239,7 @@ def line_report(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
     doc_id is never a line's home unless only such rows hold it, and then each keeps its own.
     Other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    lost = duplicate_lines(docs, num=num, den=den).select(
+    lost = duplicate_lines(docs, num=num, den=den, shingle=shingle).select(
         F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "dropped", "kept_in"
     )
     sized = docs.select("doc_id", whole_text().alias("_t")).select(
@@ -190,7 +252,7 @@ def line_report(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
     )
 
 
-def without_duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> DataFrame:
+def without_duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; the other columns stay as they are.
 
     Documents that lose lines and have nothing but blank ones left are repetitions of others
@@ -199,7 +261,7 @@ def without_duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5) -> D
     names. An empty table stays empty.
     """
     doc, version, dropped = unused(docs.columns, "lost_in", "version", "dropped")
-    lost = duplicate_lines(docs, num=num, den=den).select(
+    lost = duplicate_lines(docs, num=num, den=den, shingle=shingle).select(
         F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("dropped").alias(dropped)
     )
     met = docs.join(lost, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(whole_text()) == F.col(version)), "left")
