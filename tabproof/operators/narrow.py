@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabproof.functions import types as K
@@ -12,6 +12,7 @@ from tabproof.functions.text import quote_name, quote_text
 from tabproof.operators.checks import Check
 from tabproof.operators.evaluate import violates, violating_rows
 from tabproof.plans import sketches
+from tabproof.session import local_frame, saved
 
 MAX_VALUES = 50
 TIME_BUCKET = "month"
@@ -38,7 +39,8 @@ def dimension_sizes(df: DataFrame) -> dict[str, int]:
 def dimensions(df: DataFrame, *, max_values: int | None = MAX_VALUES) -> list[str]:
     """Columns with at most ``max_values`` values (None: any number), and date columns.
 
-    What a violation may be confined to; :func:`dimension_sizes` tells what was left out.
+    What a violation may be confined to; :func:`dimension_sizes` tells what was left out, and
+    :func:`worst_values` narrows to the values of those.
     """
     few = {c for c, n in dimension_sizes(df).items() if max_values is None or n <= max_values}
     dates = {f.name for f in df.schema.fields if K.column_class(f.dataType) == K.TEMPORAL}
@@ -109,3 +111,48 @@ def narrow_check(
         return narrow_predicate(df, check.expression, dims, bucket=bucket)
     bad = violating_rows(catalog, check, limit=None)
     return narrow_rows(df, bad, dims, bucket=bucket)
+
+
+def worst_values(
+    catalog, check: Check, columns: Sequence[str] | None = None, *, keep: int = MAX_VALUES, bucket: str = TIME_BUCKET
+) -> DataFrame:
+    """``(dim, value, rest, rows, violations, rate, lift)`` for columns of any number of values.
+
+    Each column has its ``keep`` values with most violations (ties: the least as text, NULL first), and one row with ``rest``
+    and no value for all its other rows. By default these are the columns that :func:`dimensions` leaves out.
+    Only the values of violating rows are grouped. The kept ones are ``keep`` a column at most, so they are
+    broadcast, and the whole table is then counted without shuffling a value.
+    """
+    df = catalog.frame(check.table)
+    if columns is None:
+        few = set(dimensions(df))
+        columns = [c for c in dimension_sizes(df) if c not in few]
+    if not columns:
+        return local_frame(
+            df.sparkSession,
+            [], "dim string, value string, rest boolean, `rows` bigint, violations bigint, rate double, lift double"
+        )
+    if check.kind == "row_predicate":
+        flagged = df.withColumn("_bad", F.when(violates(check.expression), 1).otherwise(0))
+        pairs = _by_dimension(flagged, columns, bucket, ["_bad"]).withColumn("_row", F.lit(1))
+        bad = pairs.where("_bad = 1")
+    else:
+        # Violating rows come from the check once; they are counted beside the table's own rows.
+        bad = _by_dimension(violating_rows(catalog, check, limit=None), columns, bucket)
+        bad = bad.withColumn("_bad", F.lit(1)).withColumn("_row", F.lit(0))
+        whole = _by_dimension(df, columns, bucket).withColumn("_bad", F.lit(0)).withColumn("_row", F.lit(1))
+        pairs = whole.unionByName(bad)
+    best = Window.partitionBy("dim").orderBy(F.desc("n"), F.asc_nulls_first("value"))
+    worst = (
+        bad.groupBy("dim", "value").agg(F.count("*").alias("n"))
+        .withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= keep)
+        .select(F.col("dim").alias("_dim"), F.col("value").alias("_value"))
+    )
+    worst = F.broadcast(saved(worst)).withColumn("_kept", F.lit(True))
+    met = pairs.join(worst, (F.col("dim") == F.col("_dim")) & F.col("value").eqNullSafe(F.col("_value")), "left")
+    rest = F.col("_kept").isNull()
+    counts = (
+        met.withColumn("rest", rest).withColumn("value", F.when(rest, None).otherwise(F.col("value")))
+        .groupBy("dim", "value", "rest").agg(F.sum("_row").alias("rows"), F.sum("_bad").alias("violations"))
+    )
+    return _with_lift(counts)

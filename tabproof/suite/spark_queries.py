@@ -904,6 +904,9 @@ RULE_PREDICATES = ["l_extendedprice > 910", "l_quantity > 1", "l_discount < 0.1
 RULE_DIMENSIONS = ["l_suppkey", "l_linenumber", "l_returnflag", "l_partkey"]
 
 
+WIDE_DIMENSIONS = ["o_custkey", "o_orderkey"]
+
+
 @query("m06_conditional_rules")
 def _(spark, sf_dir):
     return propose.conditional_rules(_lineitem(spark, sf_dir), RULE_PREDICATES, RULE_DIMENSIONS, min_rows=5)
@@ -949,6 +952,21 @@ def _(spark, sf_dir):
     return found.withColumn("rate", rounded("rate")).withColumn("lift", rounded("lift"))
 
 
+@query("m09_worst_values")
+def _(spark, sf_dir):
+    check = checks.Check("h1", "row_predicate", "orders", expression="o_totalprice < 400000 OR o_orderstatus = 'F'")
+    found = narrow.worst_values(tables(spark, sf_dir, "orders"), check, WIDE_DIMENSIONS, keep=20)
+    return found.withColumn("rate", rounded("rate")).withColumn("lift", rounded("lift"))
+
+
+@query("m09_worst_orphans")
+def _(spark, sf_dir):
+    c = tables(spark, sf_dir, "orders", "lineitem")
+    check = checks.Check("h1", "references", "orders", ("o_orderkey",), "", "lineitem", ("l_orderkey",))
+    found = narrow.worst_values(c, check, WIDE_DIMENSIONS, keep=20)
+    return found.withColumn("rate", rounded("rate")).withColumn("lift", rounded("lift"))
+
+
 @query("m10_not_yet_run")
 def _(spark, sf_dir):
     asked = checks.normalize_checks(wire(spark, sf_dir))

@@ -825,6 +825,27 @@ ORACLES["m09_narrow_unique"] = narrowed(
     "SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS bad FROM lineitem",
     {"l_returnflag": "l_returnflag", "l_linenumber": "CAST(l_linenumber AS VARCHAR)",
      "l_shipdate": "strftime(date_trunc('year', l_shipdate), '%Y-%m-%d')"})
+
+
+def worst(rows: str, columns: list[str], keep: int) -> str:
+    """rows has a boolean column bad; of each column the values with most bad rows, and the rest."""
+    parts = union(
+        f"SELECT '{c}' AS dim, CAST({c} AS VARCHAR) AS value, count(*) AS n, count(*) FILTER (WHERE bad) AS v FROM flagged GROUP BY ALL"
+        for c in columns)
+    return f"""
+WITH flagged AS MATERIALIZED ({rows}), total AS (SELECT count(*) FILTER (WHERE bad) / count(*)::DOUBLE AS overall FROM flagged),
+ranked AS (SELECT *, v = 0 OR row_number() OVER (PARTITION BY dim ORDER BY v DESC, value NULLS FIRST) > {keep} AS rest FROM ({parts})),
+summed AS (SELECT dim, CASE WHEN rest THEN NULL ELSE value END AS value, rest, CAST(sum(n) AS BIGINT) AS rows,
+                  CAST(sum(v) AS BIGINT) AS violations FROM ranked GROUP BY ALL)
+SELECT dim, value, rest, rows, violations, round(violations / rows::DOUBLE, 4) AS rate,
+       round(CASE WHEN overall > 0 THEN violations / rows::DOUBLE / overall ELSE 0 END, 4) AS lift FROM summed, total"""
+
+
+_WIDE = ["o_custkey", "o_orderkey"]
+ORACLES["m09_worst_values"] = worst(
+    "SELECT *, NOT coalesce((o_totalprice < 400000 OR o_orderstatus = 'F'), true) AS bad FROM orders", _WIDE, 20)
+ORACLES["m09_worst_orphans"] = worst(
+    "SELECT *, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS bad FROM orders", _WIDE, 20)
 _KEYED = f"""
 SELECT *, concat_ws('|', kind, tbl, CASE kind WHEN 'unique' THEN array_to_string(list_sort(cols), ',')
           WHEN 'references' THEN array_to_string(list_sort(list_transform(range(1, len(cols) + 1), lambda i: cols[i] || '=' || ref_cols[i])), ',')

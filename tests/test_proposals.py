@@ -97,6 +97,19 @@ def test_narrowing(shop):
     assert {r["value"]: r["violations"] for r in rows if r["violations"]} == {"0.0": 86}
 
 
+def test_worst_values_of_ten_thousand(spark):
+    rows = spark.range(20_000).selectExpr(
+        "id", "if(id % 10000 = 77, null, 'k' || id % 10000) as k", "if(id % 10000 in (5, 77) or id = 9, -1, 1) as amount"
+    )
+    catalog = Catalog.from_frames(spark, {"big": rows})
+    check = checks.Check("h", "row_predicate", "big", expression="amount > 0")
+    found = narrow.worst_values(catalog, check, ["k"], keep=2).collect()
+    by = {(r["value"], r["rest"]): (r["rows"], r["violations"]) for r in found}
+    assert by == {(None, False): (2, 2), ("k5", False): (2, 2), (None, True): (19_996, 1)}
+    default = {r["dim"] for r in narrow.worst_values(catalog, check, keep=1).collect()}
+    assert default == {"id", "k"}
+
+
 def test_proposals_run_and_are_not_repeated(shop):
     proposed = propose.propose_checks(shop)
     rows = proposed.collect()
