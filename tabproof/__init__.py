@@ -4,7 +4,7 @@ from tabproof.operators.checks import Check, checks_frame, normalize_checks, num
 from tabproof.operators.console import page, run_sql, starter_checks
 from tabproof.operators.evaluate import evaluate_checks, violating_rows
 from tabproof.operators.findings import bound_findings, known_identifiers, to_findings
-from tabproof.operators.narrow import narrow_check
+from tabproof.operators.narrow import narrow_check, worst_values
 from tabproof.operators.profile import (
     column_summary,
     profile_catalog,
@@ -42,6 +42,7 @@ __all__ = [
     "known_identifiers",
     "load_catalog",
     "narrow_check",
+    "worst_values",
     "normalize_checks",
     "not_yet_run",
     "number_round",
