@@ -275,6 +275,14 @@ def test_fingerprints_against_brute_force(frame):
     assert len(set(prints.values())) == len(prints)
 
 
+def test_texts_of_many_lines_take_linear_time(spark):
+    one = [f"line {i} of the first" for i in range(6000)]
+    other = one[:4500] + [f"line {i} of the second" for i in range(1500)]
+    df = spark.createDataFrame([(1, "\n".join(one)), (2, "\n".join(other))], "doc_id long, text string")
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprint_report(df).collect()}
+    assert got[1] == got[2] == pytest.approx(alike("\n".join(one), "\n".join(other)))
+
+
 def test_fingerprints_of_odd_rows(frame, odd_rows):
     got = fingerprints.fingerprint_report(frame(odd_rows)).collect()
     assert len(got) == len(odd_rows)
