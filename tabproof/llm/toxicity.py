@@ -91,7 +91,10 @@ def fit_nnpu(
 
 
 def _sample(docs: DataFrame, toxic: DataFrame, positives: int, unlabelled: int) -> DataFrame:
-    """``(text, positive)`` of the rows to learn from: those of smallest digest of their ids, on each side."""
+    """``(text, positive)`` of the rows to learn from: those of smallest digest of their ids, on each side.
+
+    An id with several rows teaches its least text, so there are no more rows than ids.
+    """
     order = F.xxhash64("doc_id")
     confirmed = toxic.where("toxic = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
     others = docs.where(~held_out("doc_id", 3, 1)).select("doc_id").where("doc_id is not null")
@@ -99,7 +102,8 @@ def _sample(docs: DataFrame, toxic: DataFrame, positives: int, unlabelled: int)
     wanted = confirmed.select("doc_id", F.lit(True).alias("positive")).unionByName(
         others.select("doc_id", F.lit(False).alias("positive"))
     )
-    return shipped(docs).select("doc_id", whole_text().alias("text")).join(F.broadcast(wanted), "doc_id").select("text", "positive")
+    rows = shipped(docs).select("doc_id", whole_text().alias("text")).join(F.broadcast(wanted), "doc_id")
+    return rows.groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("text", "positive")
 
 
 def fit_toxicity(
@@ -159,7 +163,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The model of :func:`fit_toxicity` reads the words of the whole text. Null and empty texts score what a
     text without any telling word scores. Labels that are null, neither 0 nor 1, or of unknown
-    documents teach nothing; without a toxic label all scores are 0. Repeated rows give
+    documents teach nothing, and an id with several rows teaches one text; without a toxic label all scores are 0. Repeated rows give
     repeated rows. A null doc_id is scored and not held out. Other columns of ``docs`` are never
     read. An empty table gives no rows.
     """

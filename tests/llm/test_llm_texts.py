@@ -235,6 +235,15 @@ def test_toxicity_of_odd_rows(spark, frame, odd_rows):
     assert toxicity.toxicity_scores(frame([]), odd).collect() == [] == quality.quality_scores(frame([]), odd).collect()
 
 
+def test_an_id_of_many_rows_teaches_one_text(spark, frame):
+    rows = [(1, f"text {i}") for i in range(500)] + [(3, "other"), (4, "fourth")]
+    toxic = spark.createDataFrame([(1, 1, 0), (4, 0, 0)], LABELS)
+    ids = [i for i in (1, 3, 4) if zlib.crc32(str(i).encode()) % 3 != 1]
+    got = toxicity._sample(frame(rows), toxic, 10, 10).collect()
+    assert sorted(r["text"] for r in got if r["positive"]) == ["text 0"]
+    assert len([r for r in got if not r["positive"]]) == len(ids)
+
+
 def test_the_risk_stays_non_negative():
     rng = np.random.default_rng(1)
     positive = (rng.random((60, 80)) < 0.1).astype(np.float32)
