@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
-from math import prod
+from math import log, prod
 
 from pyspark.sql import DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ from tabproof.operators.profile import (
 from tabproof.plans import sketches
 from tabproof.plans.distinct import values_by_id
 from tabproof.plans.keyed_rows import rows_with_keys
-from tabproof.session import local_frame
+from tabproof.session import local_frame, saved
 
 # Placeholders that hide in otherwise valid columns.
 NUMERIC_SENTINELS = (0, -1, 9999)
@@ -51,6 +51,12 @@ _SKETCHES_PER_PASS = 60
 # Columns per 64-bit word of a set of columns; the sign bit stays unused.
 _BITS = 63
 
+# Sketches of 2 ** 12 smallest digests, 32 KB a column. Their thresholds and sketched counts are within
+# a tenth (six standard errors); a pair is ruled out wrongly with probability 1e-12 at most.
+_CONTAINMENT_SIZE = 12
+_CONTAINMENT_SLACK = 0.9
+_CONTAINMENT_MISS = 1e-12
+
 
 # --------------------------------------------------- references between columns
 
@@ -82,11 +88,11 @@ class _Candidate:
         return self.whole and parent.whole and parent.is_key
 
 
-def catalog_stats(catalog) -> dict[str, list[Row]]:
-    """``column_stats`` of every table, computed in one job: one row per column."""
+def catalog_stats(catalog, *, exact: bool = True) -> dict[str, list[Row]]:
+    """``column_stats`` of every table, collected together: one row per column."""
     rows = reduce(
         DataFrame.unionByName,
-        [column_stats(t.df).withColumn("table", F.lit(t.table)) for t in catalog.tables],
+        [column_stats(t.df, exact=exact).withColumn("table", F.lit(t.table)) for t in catalog.tables],
     ).collect()
     return {t.table: [r for r in rows if r["table"] == t.table] for t in catalog.tables}
 
@@ -175,17 +181,65 @@ def _value_sets(catalog, columns: Mapping[int, _Candidate], all_integral: bool)
     return sets.select(ids.alias("ids"), "n").select(F.explode("ids").alias("child"), "ids", "n")
 
 
+def _value_sketches(catalog, columns: Sequence[_Candidate]) -> DataFrame:
+    """``(id, sketch)``: the smallest digests of each column's values, one scan a table, texts hashed and not moved."""
+    parts = []
+    for table in dict.fromkeys(c.table for c in columns):
+        df, mine, stats = catalog.frame(table), [c for c in columns if c.table == table], {}
+        for c in mine:
+            value = X.quote_name(c.name)
+            if c.domain != "text":
+                value = _shared_value(value, df.schema[c.name].dataType, c.domain, False)
+            stats[f"s{c.id}"] = sketches.smallest_digests(value, _CONTAINMENT_SIZE)
+        rows = ", ".join(f"named_struct('id', {c.id}, 'sketch', s{c.id})" for c in mine)
+        parts.append(sketches.aggregate(df, stats).selectExpr(f"inline(array({rows}))"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _least_shared(child: _Candidate, parent: _Candidate, min_inclusion: float) -> float:
+    """Estimates of shared values below this rule a pair out; 0 where a sketch can say nothing.
+
+    A digest is among the smallest of both with the lower of two thresholds, independently of others, so
+    the shared digests of a pair that holds are binomial: Chernoff's bound says how low they may come out.
+    """
+    needed = min_inclusion * child.distinct * _CONTAINMENT_SLACK
+    size, most = 2**_CONTAINMENT_SIZE, max(child.distinct, parent.distinct)
+    if most <= size * _CONTAINMENT_SLACK / 2:  # both sketches hold all values
+        return needed
+    expected = needed * _CONTAINMENT_SLACK * min(1.0, size / most)
+    return needed * max(0.0, 1 - (2 * log(1 / _CONTAINMENT_MISS) / expected) ** 0.5)
+
+
+def _may_hold(catalog, pairs: Sequence[tuple[_Candidate, _Candidate]], min_inclusion: float):
+    """The pairs that may include ``min_inclusion`` of the child's values, told from sketches.
+
+    The sketches are a row per column in the shared folder; only numbers of shared values come back.
+    """
+    pairs = [(c, p) for c, p in pairs if p.distinct >= min_inclusion * c.distinct * _CONTAINMENT_SLACK**2]
+    told = {(c.id, p.id): _least_shared(c, p, min_inclusion) for c, p in pairs}
+    open_ids = {i for pair, least in told.items() if least > 0 for i in pair}
+    if not open_ids:
+        return pairs
+    kept = saved(_value_sketches(catalog, list({c.id: c for pair in pairs for c in pair if c.id in open_ids}.values())))
+    asked = local_frame(catalog.spark, [pair for pair, least in told.items() if least > 0], "child int, parent int")
+    one, other = (kept.select(F.col("id").alias(side), F.col("sketch").alias(f"{side}_sketch")) for side in ("child", "parent"))
+    shared = F.expr("theta_sketch_estimate(theta_intersection(child_sketch, parent_sketch))")
+    counted = asked.join(one, "child").join(other, "parent").select("child", "parent", shared.alias("n")).collect()
+    out = {(r["child"], r["parent"]) for r in counted if r["n"] + 1 < told[r["child"], r["parent"]]}
+    return [(c, p) for c, p in pairs if (c.id, p.id) not in out]
+
+
 def _listed(catalog, pairs) -> DataFrame:
     """Candidate pairs as rows: one per pair of columns, so small enough to broadcast."""
     return local_frame(
         catalog.spark,
-        [(c.id, p.id, c.table, c.name, p.table, p.name, c.distinct / max(p.rows, 1)) for c, p in pairs],
-        "child int, parent int, table string, column string, references_table string, references_column string, ratio double",
+        [(c.id, p.id, c.table, c.name, p.table, p.name, max(p.rows, 1)) for c, p in pairs],
+        "child int, parent int, table string, column string, references_table string, references_column string, parent_rows bigint",
     )
 
 
 def reference_candidates(
-    catalog, stats: Mapping[str, Sequence[Row]] | None = None
+    catalog, stats: Mapping[str, Sequence[Row]] | None = None, *, min_inclusion: float = 0.0
 ) -> DataFrame:
     """Measure every column pair that may be a reference, in both directions.
 
@@ -195,10 +249,18 @@ def reference_candidates(
     fills a column is one row per task there. Output: ``inclusion`` is the share of the
     child's distinct values the parent has, ``ratio`` that of the child's distinct values
     to the parent's rows, to rank by.
+
+    With ``min_inclusion`` above 0 only pairs that reach it come out, with the same figures. Sketches of
+    the smallest digests then rule out most other pairs first, and columns in no pair left are never grouped;
+    the distinct counts that this takes may be sketches too, so the statistics are cheaper.
     """
     spark = catalog.spark
-    columns = _candidates(catalog, catalog_stats(catalog) if stats is None else stats)
+    if stats is None:
+        stats = catalog_stats(catalog, exact=min_inclusion <= 0)
+    columns = _candidates(catalog, stats)
     pairs = [(c, p) for c in columns for p in columns if c.may_reference(p)]
+    if min_inclusion > 0:
+        pairs = _may_hold(catalog, pairs, min_inclusion)
     schema = (
         "table string, column string, references_table string, references_column string, ratio double, "
         "child_values bigint, shared_values bigint, inclusion double"
@@ -216,12 +278,16 @@ def reference_candidates(
         for (_, fractional), members in sorted(kinds.items())
     ]
     shared = F.when(F.array_contains("ids", F.col("parent")), F.col("n")).otherwise(0)
-    return (
+    names = ["table", "column", "references_table", "references_column"]
+    found = (
         reduce(DataFrame.unionByName, grouped)
-        .groupBy("table", "column", "references_table", "references_column", "ratio")
+        .groupBy(*names, "parent_rows")
         .agg(F.sum("n").alias("child_values"), F.sum(shared).alias("shared_values"))
+        .withColumn("ratio", F.col("child_values") / F.col("parent_rows"))
         .withColumn("inclusion", F.col("shared_values") / F.col("child_values"))
+        .select(*names, "ratio", "child_values", "shared_values", "inclusion")
     )
+    return found.filter(F.col("inclusion") >= min_inclusion) if min_inclusion > 0 else found
 
 
 # ------------------------------------------------------------- composite keys
@@ -546,7 +612,7 @@ def propose_checks(
     """
     spark = catalog.spark
     stats = catalog_stats(catalog)
-    references = reference_candidates(catalog, stats).filter(F.col("inclusion") >= min_inclusion)
+    references = saved(reference_candidates(catalog, stats, min_inclusion=min_inclusion))
     to_parent = _wire(
         references,
         title="concat('every ', table, '.', column, ' exists in ', references_table)",

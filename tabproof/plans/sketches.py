@@ -74,6 +74,17 @@ def distinct(columns: Sequence[str], size: int = DISTINCT_SIZE) -> tuple[str, st
     )
 
 
+def smallest_digests(value: str, size: int) -> tuple[str, str]:
+    """Sketch of an expression's distinct values: its ``2 ** size`` smallest digests. NULL is no value.
+
+    Two sketches tell how many values two columns share, whatever the columns' types of text.
+    """
+    return (
+        f"theta_sketch_agg(if(({value}) is null, null, xxhash64({value})), {size})",
+        f"theta_union_agg({{0}}, {size})",
+    )
+
+
 def quantiles(value: str, probabilities: Sequence[float], size: int = QUANTILE_SIZE) -> tuple[str, str]:
     """Estimated quantiles of a numeric expression as an array; NULL without values.
 

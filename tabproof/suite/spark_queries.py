@@ -980,12 +980,16 @@ def runs_of_wire(spark, sf_dir) -> DataFrame:
     return checks.normalize_checks(urgent).withColumn("columns", flipped)
 
 
+@query("m01_held_references")
+def _(spark, sf_dir):
+    found = propose.reference_candidates(tables(spark, sf_dir), min_inclusion=0.9)
+    return found.withColumn("inclusion", rounded("inclusion")).withColumn("ratio", rounded("ratio"))
+
+
 @query("m00_proposed_checks")
 def _(spark, sf_dir):
-    catalog = tables(spark, sf_dir, "orders", "customer", "nation", "region")
-    proposed = propose.propose_checks(catalog).filter("kind = 'references'")
-    return proposed.select(
-        "table", F.array_join("columns", ",").alias("columns"), "references_table",
+    return propose.propose_checks(tables(spark, sf_dir)).select(
+        "kind", "table", F.array_join("columns", ",").alias("columns"), "expression", "references_table",
         F.array_join("references_columns", ",").alias("references_columns"), "severity")
 
 

@@ -738,19 +738,14 @@ FROM pairs LEFT JOIN shared USING (child, parent)"""
 
 
 ORACLES["m01_reference_candidates"] = references(TABLES)
-_PROPOSED = f"({references(['orders', 'customer', 'nation', 'region'])})"
-ORACLES["m00_proposed_checks"] = f"""
-SELECT DISTINCT * FROM (
-  SELECT "table", "column" AS columns, references_table, references_column AS references_columns, 'high' AS severity FROM {_PROPOSED} WHERE inclusion >= 0.9
-  UNION ALL
-  SELECT references_table, references_column, "table", "column", 'medium' FROM {_PROPOSED} WHERE inclusion >= 0.9)"""
+ORACLES["m01_held_references"] = f"SELECT * FROM ({references(TABLES)}) WHERE shared_values >= 0.9::DOUBLE * child_values"
 
 
-def _composite() -> str:
-    names = [n for n, _ in D.SCHEMA["lineitem"]]
+def _composite(table: str) -> str:
+    names = [n for n, ty in D.SCHEMA[table] if kind(ty) != "nested"]
     counted = union(
         f"SELECT {lit(','.join(c))} AS columns, {size} AS size, [{', '.join(lit(x) for x in c)}] AS parts, "
-        f"count(DISTINCT ({', '.join(c)})) = count(*) AND count(*) > 0 AS is_unique, count(*) AS row_count FROM lineitem"
+        f"count(DISTINCT ({', '.join(c)})) = count(*) AND count(*) > 0 AS is_unique, count(*) AS row_count FROM {table}"
         for size in (1, 2, 3) for c in ([(n, n) for n in names] if size == 1 else combinations(names, size)))
     return f"""
 WITH counted AS MATERIALIZED ({counted})
@@ -758,7 +753,7 @@ SELECT columns, row_count FROM counted a WHERE is_unique AND size > 1
   AND NOT EXISTS (SELECT 1 FROM counted b WHERE b.is_unique AND b.size < a.size AND list_has_all(a.parts, b.parts))"""
 
 
-ORACLES["m02_composite_keys"] = _composite()
+ORACLES["m02_composite_keys"] = _composite("lineitem")
 ORACLES["m03_minority_shapes"] = f"""
 SELECT p_partkey, p_name, {collapse('mask')} AS shape FROM (SELECT p_partkey, p_name, {mask('p_name')} AS mask FROM part)
 QUALIFY count(*) OVER (PARTITION BY mask) < 0.05 * count(*) OVER ()"""
@@ -802,6 +797,50 @@ ORACLES["m08_near_bounds"] = per_column(
     "lineitem", of="numeric")
 
 
+def _proposed(table: str) -> list[str]:
+    """(tbl, columns, expression, severity) of the checks of one table."""
+    out = [f"SELECT '{table}' AS tbl, columns, '' AS expression, 'medium' AS severity FROM ({_composite(table)})"]
+
+    def predicate(expression: str, rows: str, severity: str = "medium") -> None:
+        out.append(f"SELECT '{table}', '', {expression}, '{severity}' FROM ({rows})")
+
+    cols = D.SCHEMA[table]
+    for a, ta in cols:
+        for b, tb in cols:
+            if a != b and kind(ta) == kind(tb) and kind(ta) in ("numeric", "temporal"):
+                predicate(lit(f'"{a}" <= "{b}"'), f"""
+SELECT count(*) FILTER (WHERE {a} > {b}) AS bad, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM {table}
+HAVING n > 0 AND bad / n::DOUBLE <= 0.05::DOUBLE AND NOT (max({a}) <= min({b}) OR min({a}) > max({b}))""")
+    for n, ty in cols:
+        if kind(ty) != "numeric":
+            continue
+        for v in (-1, 9999):
+            predicate(lit(f'"{n}" <> {v}'), f"""
+SELECT count(*) FILTER (WHERE {n} = {v}) AS hits FROM {table} HAVING hits > 0 AND hits * 100.0::DOUBLE / count({n}) < 5""")
+        for d, td in cols:
+            if kind(td) in ("string", "boolean") or kind(td) == "numeric" and td != "double":
+                value = f"""'string("{d}") <> ''' || replace(value, '''', '''''') || ''' OR "{n}" ' || sign"""
+                predicate(value, f"""
+SELECT CAST({d} AS VARCHAR) AS value, CASE WHEN lo = 0 THEN '> 0' ELSE '>= 0' END AS sign
+FROM {table}, (SELECT min({n}) AS lo, count(DISTINCT {d}) AS ndv, count(*) AS total FROM {table})
+WHERE lo <= 0 AND ndv <= 50 AND {d} IS NOT NULL GROUP BY {d}, lo, total
+HAVING count(*) FILTER (WHERE CASE WHEN lo = 0 THEN {n} <= 0 ELSE {n} < 0 END) = 0
+   AND count(*) >= greatest(1, floor(total * 0.05::DOUBLE))""", "low")
+    return out
+
+
+_HELD = f"({ORACLES['m01_held_references']})"
+ORACLES["m00_proposed_checks"] = f"""
+WITH held AS MATERIALIZED {_HELD}
+SELECT 'references' AS kind, "table", columns, '' AS expression, references_table, references_columns, severity FROM (SELECT DISTINCT * FROM (
+  SELECT "table", "column" AS columns, references_table, references_column AS references_columns, 'high' AS severity FROM held
+  UNION ALL
+  SELECT references_table, references_column, "table", "column", 'medium' FROM held))
+UNION ALL
+SELECT CASE WHEN expression = '' THEN 'unique' ELSE 'row_predicate' END, tbl, columns, expression, '', '', severity
+FROM ({union(s for t in TABLES for s in _proposed(t))})"""
+
+
 def narrowed(rows: str, dims: dict[str, str]) -> str:
     """rows has a boolean column bad; dims maps each dimension to its value's SQL."""
     parts = union(

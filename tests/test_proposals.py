@@ -146,3 +146,45 @@ def test_many_measures_and_none(spark, monkeypatch, shop):
     bare = Catalog.from_frames(spark, {"flags": flags, "empty": df.limit(0)})
     assert propose.propose_checks(bare).count() == 0
     bare.close()
+
+
+@pytest.fixture(scope="module")
+def overlapping(spark):
+    """Codes of one large list and of lists that share all, most, half or none of their values with it."""
+    def codes(n, start, stray, table):
+        sql = f"concat('c', id + {start} + if(id % 100 < {stray}, 1000000, 0)) as code"
+        return spark.range(n).selectExpr(sql, f"id * 2 + {start} as number", "cast(null as string) as nothing")
+
+    sizes = {"all": (30_000, 0, 0), "most": (9000, 500, 8), "half": (9000, 0, 50), "none": (9000, 0, 100), "few": (40, 0, 5)}
+    frames = {t: codes(*size, t) for t, size in sizes.items()} | {"empty": codes(0, 0, 0, "empty")}
+    catalog = Catalog.from_frames(spark, frames)
+    yield catalog
+    catalog.close()
+
+
+def test_references_told_from_sketches_are_those_of_all_values(overlapping, shop):
+    for catalog in (overlapping, shop):
+        every = sorted(map(tuple, propose.reference_candidates(catalog).collect()))
+        for share in (0.3, 0.9, 1.0):
+            held = sorted(map(tuple, propose.reference_candidates(catalog, min_inclusion=share).collect()))
+            assert held == [r for r in every if r[-1] >= share] and held
+
+
+def test_sketches_rule_out_pairs_before_values_are_grouped(overlapping):
+    columns = propose._candidates(overlapping, propose.catalog_stats(overlapping, exact=False))
+    pairs = [(c, p) for c in columns for p in columns if c.may_reference(p)]
+    left = {(c.table, p.table) for c, p in propose._may_hold(overlapping, pairs, 0.9) if c.name == "code"}
+    assert {("most", "all"), ("few", "all")} <= left
+    for child, parent in (("half", "all"), ("none", "all"), ("all", "half"), ("most", "few"), ("none", "most")):
+        assert (child, parent) not in left
+
+
+def test_bounds_of_sketches_widen_with_less_overlap():
+    def column(i, n):
+        return propose._Candidate(i, "t", f"c{i}", "text", "text", n, n, True, None, None, True)
+
+    small, large, huge = column(0, 1000), column(1, 10**6), column(2, 10**12)
+    assert propose._least_shared(small, column(3, 1500), 0.9) == pytest.approx(810)
+    assert propose._least_shared(small, huge, 0.9) == 0  # a sketch of a million times more values says nothing
+    assert 0 < propose._least_shared(large, large, 0.9) < 0.81 * 10**6
+    assert 0 < propose._least_shared(huge, large, 0.9) < 0.81 * 10**12  # the child's own sample is whole
