@@ -599,7 +599,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     df = _lineitem(spark, sf_dir)
     wide = df.select(*[F.col(c).alias(f"{c}_{i}") for i in range(4) for c in df.columns])
-    return _profile(wide, "wide", exact=False, fmt="csv").select("name", "class", "row_count", "null_count")
+    return _profile(wide, "wide", exact=False, fmt="csv").select(
+        "name", "class", "row_count", "null_count", "is_candidate_key", F.col("numeric.min").alias("low"),
+        F.col("numeric.max").alias("high"), "numeric.zero_count", "string.empty_count")
 
 
 @query("p26_table_profile")

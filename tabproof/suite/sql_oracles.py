@@ -469,9 +469,17 @@ ORACLES["p23_first_shape_columns"] = _shapes(columns("documents", "customer", "p
 ORACLES["p24_collapsed_runs"] = f"""
 SELECT p_partkey, {collapse('mask')} AS shape FROM (
   SELECT p_partkey, {mask("(p_name || '---' || p_brand)")} AS mask FROM part)"""
-ORACLES["p25_wide_table"] = union(
-    f"SELECT '{n}_{k}' AS name, '{kind(ty)}' AS class, count(*) AS row_count, count(*) - count({n}) AS null_count FROM lineitem"
-    for k in range(4) for _, _, n, ty in columns("lineitem"))
+def _wide(k, n, ty):
+    ends = f"min({n})::DOUBLE AS low, max({n})::DOUBLE AS high" if kind(ty) == "numeric" else "NULL::DOUBLE AS low, NULL::DOUBLE AS high"
+    zero = f"count(*) FILTER (WHERE {n} = 0)" if kind(ty) == "numeric" else "CAST(NULL AS BIGINT)"
+    empty = f"count(*) FILTER (WHERE {n} = '')" if kind(ty) == "string" else "CAST(NULL AS BIGINT)"
+    return (
+        f"SELECT '{n}_{k}' AS name, '{kind(ty)}' AS class, count(*) AS row_count, count(*) - count({n}) AS null_count, "
+        f"count(DISTINCT {n}) >= count(*) * 0.99::DOUBLE AS is_candidate_key, {ends}, {zero} AS zero_count, {empty} AS empty_count FROM lineitem"
+    )
+
+
+ORACLES["p25_wide_table"] = union(_wide(k, n, ty) for k in range(4) for _, _, n, ty in columns("lineitem"))
 
 
 def _table_profile(t, i, n, ty):
