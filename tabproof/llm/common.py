@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tabproof.session import own_folder, shared_folder
+from tabproof.session import own_folder, shared_folder, shuffles_removed
 
 #: A key is hot when it has more than one of this many parts of all rows, so there are fewer hot keys than this.
 HOT_SHARE = 1000
@@ -18,30 +18,18 @@ HOT_SHARE = 1000
 FEW_ROWS = 200
 #: Keys of a filter that are broadcast at most; some tens of megabytes.
 BROADCAST_KEYS = 1_000_000
-_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what runs inside go when it is done: its result is written, so nothing reads them again."""
-    before = spark.conf.get(_REMOVE_SHUFFLES, "false")
-    spark.conf.set(_REMOVE_SHUFFLES, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_REMOVE_SHUFFLES, before)
-
-
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder, which cuts its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    with _shuffles_removed(df.sparkSession):
+    with shuffles_removed(df.sparkSession):
         return df.select("*").checkpoint()
 
 
@@ -50,7 +38,7 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` written to the shared folder and read from there, until the block ends."""
     spark = df.sparkSession
     folder = shared_folder(spark)
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.select("*").write.parquet(folder)
     try:
         yield spark.read.schema(df.schema).parquet(folder)

@@ -8,7 +8,7 @@ checks in their flat form.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -36,17 +36,25 @@ from tabproof.operators.profile import (
 from tabproof.plans import sketches
 from tabproof.plans.distinct import values_by_id
 from tabproof.plans.keyed_rows import rows_with_keys
-from tabproof.session import local_frame, saved
+from tabproof.session import local_frame, saved, shuffles_removed
 
 # Placeholders that hide in otherwise valid columns.
 NUMERIC_SENTINELS = (0, -1, 9999)
 DATE_SENTINEL = dt.date(1970, 1, 1)
 TEXT_SENTINEL = ""
 
-# Combinations are sketched with 0.8 % standard error and kept within six of those.
-_SKETCH_SIZE = 14
-_SKETCH_SLACK = 1 + 6 * 1.04 / 2 ** (_SKETCH_SIZE / 2)
-_SKETCHES_PER_PASS = 60
+# Statistics that are no keys may be sketches; six of their standard errors.
+_SKETCH_SLACK = 1 + 6 * 1.04 / 2 ** (sketches.DISTINCT_SIZE / 2)
+
+# Rows that a look for repeated combinations takes, and combinations that one pass looks at.
+_LOOKED_AT = 1 << 16
+_LOOKS_PER_PASS = 40
+# Combinations whose digests are made in one scan: few enough for a scan that is compiled.
+_LOOKS_PER_SCAN = 5
+# Combinations counted in one job, on so many parts of their keys one after another, each of so many rows at least.
+_COUNTED_AT_ONCE = 8
+_COUNTED_PARTS = 8
+_PART_ROWS = 1_000_000
 
 # Columns per 64-bit word of a set of columns; the sign bit stays unused.
 _BITS = 63
@@ -298,9 +306,9 @@ def composite_keys(
 ) -> DataFrame:
     """Smallest column combinations that are unique although no part of them is.
 
-    A combination is dropped when its parts cannot have enough distinct values, then
-    when a sketch of its distinct count is clearly too low; the others are counted
-    exactly. Output: ``(table, columns, row_count)``.
+    A combination is dropped when its parts cannot have enough distinct values, then when it repeats
+    among some rows, or among the keys of a slice of its digests. One repetition disproves a key, so
+    nothing else is left out; the others are counted exactly, on all rows. Output: ``(table, columns, row_count)``.
     """
     spark = df.sparkSession
     if stats is None:
@@ -312,37 +320,27 @@ def composite_keys(
         for r in stats
         if r["class"] != K.NESTED and r["distinct_count"] > 1
     }
-    distinct = {c: n for c, n in distinct.items() if n < rows}
-    # Widened, as statistics that are no keys may be sketches.
-    estimates: dict[tuple[str, ...], float] = {(c,): n * _SKETCH_SLACK for c, n in distinct.items()}
+    distinct = {c: n * _SKETCH_SLACK for c, n in distinct.items() if n < rows}
     found: list[tuple[str, ...]] = []
-    for size in range(2, max_columns + 1):
-        todo = []
-        for combo in combinations(distinct, size):
-            if any(set(key) <= set(combo) for key in found):
-                continue
-            splits = [
-                prod(estimates[part] for part in parts)
-                for parts in _splits(combo)
-                if all(part in estimates for part in parts)
+    looked = None
+    with shuffles_removed(spark):
+        for size in range(2, max_columns + 1):
+            left = [
+                c
+                for c in combinations(distinct, size)
+                if not any(set(key) <= set(c) for key in found) and prod(distinct[x] for x in c) >= rows
             ]
-            if min(splits, default=float("inf")) >= rows:
-                todo.append(combo)
-        for at in range(0, len(todo), _SKETCHES_PER_PASS):
-            batch = todo[at : at + _SKETCHES_PER_PASS]
-            stats = {
-                f"n{i}": sketches.distinct([X.quote_name(x) for x in c], _SKETCH_SIZE)
-                for i, c in enumerate(batch)
-            }
-            row = sketches.aggregate(df, stats).first()
-            estimates |= {c: row[f"n{i}"] * _SKETCH_SLACK for i, c in enumerate(batch)}
-        likely = [c for c in todo if estimates[c] >= rows]
-        if likely:
-            counted = reduce(
-                DataFrame.unionByName,
-                [unique_violations(df, c).withColumn("i", F.lit(i)) for i, c in enumerate(likely)],
-            )
-            found += [likely[r["i"]] for r in counted.filter("violations = 0").collect()]
+            if not left:
+                continue
+            share = -(-rows // _LOOKED_AT)
+            if looked is None:
+                looked = df.select(*[X.quote_name(c) for c in distinct])
+                looked = saved(looked.where(f"pmod({_digest(df, distinct, 0)}, {share}) = 0"))
+            left = _not_repeated(looked, left)
+            if share > 1:
+                left = _not_repeated(df, left, share)
+            for at in range(0, len(left), _COUNTED_AT_ONCE):
+                found += _unique(df, left[at : at + _COUNTED_AT_ONCE], min(_COUNTED_PARTS, -(-rows // _PART_ROWS)))
     return local_frame(
         spark,
         [(table, list(c), rows) for c in found],
@@ -350,12 +348,42 @@ def composite_keys(
     )
 
 
-def _splits(combo: tuple[str, ...]) -> list[list[tuple[str, ...]]]:
-    """Ways to bound a combination's distinct count: all parts, or one part and the rest."""
-    single = [[(c,) for c in combo]]
-    if len(combo) == 2:
-        return single
-    return single + [[(c,), tuple(x for x in combo if x != c)] for c in combo]
+def _digest(df: DataFrame, columns: Iterable[str], seed: int) -> str:
+    """A number that is equal for rows with equal values in the columns; NULL is a value, zeros are equal."""
+    values = [f"{seed}L"]
+    for c in columns:
+        name = X.quote_name(c)
+        values += [f"({name} + 0.0d)" if K.is_floating(df.schema[c].dataType) else name, f"{name} is null"]
+    return f"xxhash64({', '.join(values)})"
+
+
+def _not_repeated(df: DataFrame, combos: Sequence[tuple[str, ...]], share: int = 1) -> list[tuple[str, ...]]:
+    """The combinations that repeat in none of the rows, looking at the keys of one digest in ``share``."""
+    repeated: set[int] = set()
+    numbered = list(enumerate(combos))
+    for at in range(0, len(combos), _LOOKS_PER_PASS):
+        scans = []
+        for first in range(at, min(at + _LOOKS_PER_PASS, len(combos)), _LOOKS_PER_SCAN):
+            keys = []
+            for i, c in numbered[first : min(first + _LOOKS_PER_SCAN, at + _LOOKS_PER_PASS)]:
+                key = f"named_struct('i', {i}, 'a', {_digest(df, c, 0)}, 'b', {_digest(df, c, 1)})"
+                keys.append(f"if(pmod({_digest(df, c, 0)}, {share}) = 0, {key}, null)")
+            scans.append(df.selectExpr(f"inline(array({', '.join(keys)}))").where("i is not null"))
+        seen = reduce(DataFrame.unionByName, scans).groupBy("i", "a", "b").agg(F.count("*").alias("n"))
+        repeated |= {r["i"] for r in seen.where("n > 1").select("i").distinct().collect()}
+    return [c for i, c in numbered if i not in repeated]
+
+
+def _unique(df: DataFrame, combos: Sequence[tuple[str, ...]], parts: int) -> list[tuple[str, ...]]:
+    """The combinations that no two rows share, counted exactly: part by part of their keys, so that few are shuffled at once."""
+    left = list(combos)
+    for part in range(parts):
+        counted = [
+            unique_violations(df.where(f"pmod({_digest(df, c, 2)}, {parts}) = {part}") if parts > 1 else df, c).withColumn("i", F.lit(i))
+            for i, c in enumerate(left)
+        ]
+        left = [left[r["i"]] for r in reduce(DataFrame.unionByName, counted).where("violations = 0").orderBy("i").collect()] if left else []
+    return left
 
 
 # ------------------------------------------------------------ within one table
@@ -611,7 +639,8 @@ def propose_checks(
     most ``max_values`` values, or in all with None.
     """
     spark = catalog.spark
-    stats = catalog_stats(catalog)
+    with shuffles_removed(spark):
+        stats = catalog_stats(catalog)
     references = saved(reference_candidates(catalog, stats, min_inclusion=min_inclusion))
     to_parent = _wire(
         references,
@@ -687,7 +716,8 @@ def propose_checks(
                     "replace(value, chr(39), concat(chr(39), chr(39))), chr(39), ' OR ', predicate)",
                 )
             )
-    proposed = reduce(DataFrame.unionByName, parts).collect()
+    with shuffles_removed(spark):
+        proposed = reduce(DataFrame.unionByName, parts).collect()
     rank = {"high": 0, "medium": 1, "low": 2}
     proposed.sort(key=lambda r: (rank[r["severity"]], r["kind"], r["table"], r["title"]))
     names = [f.split()[0] for f in CHECK_SCHEMA.split(", ")]

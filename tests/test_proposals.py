@@ -34,6 +34,25 @@ def test_reference_candidates(shop):
     assert not any("price" in k for k in rows)
 
 
+def test_only_composite_keys_are_counted_in_full(spark, monkeypatch):
+    # (a, b) is unique; the pairs with near ones repeat in 1 of 100 rows or fewer, which sketches do not tell
+    near = [f"if(id % 100 < 98, id div 2, id div 4) + {i} as n{i}" for i in range(6)]
+    df = spark.range(200_000).selectExpr("id div 400 as a", "id % 400 as b", "id % 2 as few", *near)
+    counted, count = [], propose.unique_violations
+    monkeypatch.setattr(propose, "unique_violations", lambda df, c: counted.append(tuple(c)) or count(df, c))
+    found = {tuple(r["columns"]) for r in propose.composite_keys(df, "t", max_columns=2).collect()}
+    pandas = df.toPandas()
+    assert found == {c for c in combinations(df.columns, 2) if not pandas.duplicated(list(c)).any()}
+    assert ("a", "b") in found and set(counted) == found
+
+
+def test_nulls_and_zeros_in_composite_keys(spark):
+    rows = [(1.0, None, 1), (None, 1, 2), (0.0, 5, 3), (-0.0, 6, 4), (0.0, 6, 1), (1.0, 5, 2)]
+    df = spark.createDataFrame(rows, "x double, y long, z long")
+    found = {tuple(r["columns"]) for r in propose.composite_keys(df, "t").collect()}
+    assert found == {("x", "z"), ("y", "z")}  # -0.0 and 0.0 are one value, (1, NULL) and (NULL, 1) are two
+
+
 def test_composite_keys_against_brute_force(shop):
     df = shop.frame("orders").drop("order_id", "price")
     found = {tuple(sorted(r["columns"])) for r in propose.composite_keys(df, "orders").collect()}
