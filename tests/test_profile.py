@@ -310,3 +310,25 @@ def test_a_sample_has_so_many_rows_whatever_the_partitions(spark, n):
     assert len(some) == min(n, 3000)
     assert some == sorted(tuple(r) for r in P.sample_rows(df.coalesce(1), n).collect())
     assert len(P.sample_rows(df, n, ["s"]).collect()) == min(n, 3000)
+
+
+def test_groups_of_values_are_read_once(spark, monkeypatch):
+    from tabproof.plans import quantiles as Q
+
+    seen, keep = [], Q.saved
+    monkeypatch.setattr(Q, "saved", lambda df: seen.append(keep(df)) or seen[-1])
+    df = spark.range(50_000).selectExpr("double(id) as v")
+    found = Q.exact_quantiles(df, {0: "v"}, [0.25, 0.5])
+    assert found == {0: [12499.75, 24999.5]}
+    assert len(seen) == 1 and seen[0].count() < 10_000  # values in the ranges and one row for each part, not all 50,000
+
+
+def test_ranks_beside_each_other_are_narrowed_once(spark, monkeypatch):
+    from tabproof.plans import quantiles as Q
+    from tabproof.plans import sketches as S
+
+    asked, aggregate = [], S.aggregate
+    monkeypatch.setattr(S, "aggregate", lambda df, stats: asked.append(list(stats)) or aggregate(df, stats))
+    df = spark.range(20_000).selectExpr("double(id) as v")
+    assert Q.exact_quantiles(df, {0: "v"}, [0.5], accuracy=50, max_inside=100) == {0: [9999.5]}
+    assert len(asked) > 1 and sum(name.startswith("g") for name in asked[1]) == 1
