@@ -332,3 +332,14 @@ def test_ranks_beside_each_other_are_narrowed_once(spark, monkeypatch):
     df = spark.range(20_000).selectExpr("double(id) as v")
     assert Q.exact_quantiles(df, {0: "v"}, [0.5], accuracy=50, max_inside=100) == {0: [9999.5]}
     assert len(asked) > 1 and sum(name.startswith("g") for name in asked[1]) == 1
+
+
+def test_sketches_and_plain_aggregates_have_scans_of_their_own(spark):
+    from tabproof.plans import sketches as S
+
+    df = spark.range(1000).selectExpr("id % 40 as v")
+    stats = {"ndv": S.distinct(["v"]), "n": S.plain("count(v)"), "mid": S.quantiles("v", [0.5]), "avg": S.mean("v")}
+    found = S.aggregate(df, stats)
+    assert found.columns == list(stats) and found.first().asDict() == {"ndv": 40, "n": 1000, "mid": [19.0], "avg": 19.5}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("_sketch_agg" in line and "avg(" in line for line in plan.splitlines())
