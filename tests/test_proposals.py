@@ -46,6 +46,13 @@ def test_only_composite_keys_are_counted_in_full(spark, monkeypatch):
     assert ("a", "b") in found and set(counted) == found
 
 
+def test_shuffles_go_while_checks_are_proposed(shop, monkeypatch):
+    flag, seen, stats = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], propose.catalog_stats
+    monkeypatch.setattr(propose, "catalog_stats", lambda *a, **o: seen.append(shop.spark.conf.get(flag, "false")) or stats(*a, **o))
+    assert propose.propose_checks(shop).count() > 0
+    assert seen == ["true"] and shop.spark.conf.get(flag, "false") == "false"
+
+
 def test_nulls_and_zeros_in_composite_keys(spark):
     rows = [(1.0, None, 1), (None, 1, 2), (0.0, 5, 3), (-0.0, 6, 4), (0.0, 6, 1), (1.0, 5, 2)]
     df = spark.createDataFrame(rows, "x double, y long, z long")
