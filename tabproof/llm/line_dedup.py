@@ -20,7 +20,7 @@ from tabproof.llm.common import (
     whole_text,
     written,
 )
-from tabproof.llm.links import linked_components, parity_map
+from tabproof.llm.links import linked_components, may_link, parity_map
 
 #: Code points of a shingle. Unrelated lines of 300 share about 0.05 % of shingles this long.
 SHINGLE = 8
@@ -29,6 +29,12 @@ BAND_ROWS = 3
 MISSED = 1e-5
 #: Places of a line that are hashed in one row, so that coordinates are updated once for all of them.
 PLACES = 4
+#: Places whose digests one row of a line's set gathers.
+GATHERED = 16
+#: Code points up to which a line's shingles are held in one array; those of longer lines stay rows.
+LONG_LINE = 1_000_000
+#: Words of a line's parity map; with 1024 bits few pairs below the threshold are left for the exact check.
+LINE_MAP_WORDS = 16
 #: Members of a bucket that an aggregate of fixed size tells: the smallest, the largest and what is left of their XOR.
 TOLD = 3
 #: Times the usual number of tasks for lines that are spread into their shingles.
@@ -69,6 +75,24 @@ def _shingles(lines: DataFrame, shingle: int, *kept: str) -> DataFrame:
     return placed.select(*kept, _digest(F.col("points"), F.col("_at"), shingle).alias("token"))
 
 
+def _shingle_rows(lines: DataFrame, shingle: int, *kept: str) -> DataFrame:
+    """``lines[kept]`` with ``tokens``: a row for every ``GATHERED`` places of ``points``, with the digests of their shingles."""
+    last = lines.withColumn("_last", _last_place(F.col("points"), shingle))
+    starts = F.sequence(F.lit(0), F.col("_last"), F.lit(GATHERED))
+    spread = last.select(*kept, "points", "_last", F.explode(starts).alias("_at"))
+    places = [F.least(F.col("_at") + j, F.col("_last")) for j in range(GATHERED)]
+    return spread.select(*kept, F.array(*[_digest(F.col("points"), at, shingle) for at in places]).alias("tokens"))
+
+
+def _gathered(tokens: Column) -> Column:
+    """Aggregate: the distinct digests in arrays, which is quicker than sorting out a row for each of them."""
+    return F.array_distinct(F.flatten(F.collect_list(tokens)))
+
+
+def _long(points: str) -> Column:
+    return F.octet_length(points) > LONG_LINE * _POINT
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, pos, line, id)``: every line that is not blank, in normal form, with its digest.
 
@@ -174,25 +198,39 @@ def line_components(
     lines = document_lines(named.unionByName(unnamed)).select("id", "line")
     lines = saved(rows_of(lines, "id", ranks).dropDuplicates(["id"]))
 
-    # A line becomes a row for each of its characters, so its tasks take a fraction of the usual lines.
+    # A line becomes a row for each few of its characters, so its tasks take a fraction of the usual lines.
     tasks = WIDENED * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pointed = lines.repartition(tasks, "id").select("id", _points(F.col("line")).alias("points"))
+    sized = [F.count("*").alias("n"), *parity_map(words=LINE_MAP_WORDS)]
+    short = _shingle_rows(pointed.where(~_long("points")), shingle, "id").groupBy("id").agg(_gathered(F.col("tokens")).alias("tokens"))
+    short = short.select("id", F.explode("tokens").alias("token"))
+    long = _shingles(pointed.where(_long("points")), shingle, "id").distinct()
+    sets = saved(short.unionByName(long).groupBy("id").agg(*sized))
 
     def maps(ids: DataFrame) -> DataFrame:
-        pointed = rows_of(lines, "id", ids).repartition(tasks, "id").select("id", _points(F.col("line")).alias("points"))
-        return _shingles(pointed, shingle, "id").distinct().groupBy("id").agg(F.count("*").alias("n"), *parity_map())
+        return rows_of(sets, "id", ids)
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), F.col("b") == F.col("y.id"))
+        met = met.where(may_link("x", "y", num, den, LINE_MAP_WORDS)).select("a", "b")
         a, b = (lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
-        met = pairs.join(a, "a").join(b, "b").repartition(tasks, "a", "b")
-        sides = met.select("a", "b", F.explode(F.array(
-            F.struct(F.lit(1).alias("side"), F.col("line_a").alias("line")),
-            F.struct(F.lit(2).alias("side"), F.col("line_b").alias("line")),
-        )).alias("_s")).select("a", "b", "_s.side", _points(F.col("_s.line")).alias("points"))
-        held = _shingles(sides, shingle, "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
-        sizes = held.groupBy("a", "b").agg(F.count("*").alias("either"), F.count_if(F.col("held") == 3).alias("both"))
-        return sizes.where(F.col("both") * den >= F.col("either") * num).select("a", "b")
-
-    return linked_components(members.select("bucket", "id").join(ranks, "id"), maps, num, den, confirm)
+        met = met.join(a, "a").join(b, "b").repartition(tasks, "a", "b")
+        met = met.select("a", "b", *[_points(F.col(f"line_{s}")).alias(f"points_{s}") for s in "ab"])
+        long = _long("points_a") | _long("points_b")
+        sides = met.select("a", "b", long.alias("long"), F.explode(F.array(
+            F.struct(F.lit(1).alias("side"), F.col("points_a").alias("points")),
+            F.struct(F.lit(2).alias("side"), F.col("points_b").alias("points")),
+        )).alias("_s")).select("a", "b", "long", "_s.*")
+        whole = _shingle_rows(sides.where("not long"), shingle, "a", "b", "side").groupBy("a", "b").agg(
+            *[_gathered(F.when(F.col("side") == k, F.col("tokens"))).alias(f"tokens_{k}") for k in (1, 2)]
+        )
+        both = F.size(F.array_intersect("tokens_1", "tokens_2"))
+        whole = whole.select("a", "b", both.alias("both"), (F.size("tokens_1") + F.size("tokens_2") - both).alias("either"))
+        held = _shingles(sides.where("long"), shingle, "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
+        parts = held.groupBy("a", "b").agg(F.count_if(F.col("held") == 3).alias("both"), F.count("*").alias("either"))
+        return whole.unionByName(parts).where(F.col("both") * den >= F.col("either") * num).select("a", "b")
+
+    return linked_components(members.select("bucket", "id").join(ranks, "id"), maps, num, den, confirm, LINE_MAP_WORDS)
 
 
 def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5, shingle: int = SHINGLE) -> DataFrame:

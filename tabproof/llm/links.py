@@ -41,21 +41,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 MAP_WORDS = 4
 
 
-def parity_map(token: str = "token") -> list[Column]:
+def parity_map(token: str = "token", words: int = MAP_WORDS) -> list[Column]:
     """Aggregates over distinct tokens: their 64-bit parity words ``p0 …``."""
-    word = f"pmod({token}, {MAP_WORDS})"
+    word = f"pmod({token}, {words})"
     bit = f"shiftleft(1L, int(shiftrightunsigned({token}, 8) & 63))"
-    return [F.expr(f"bit_xor(if({word} = {w}, {bit}, 0L))").alias(f"p{w}") for w in range(MAP_WORDS)]
+    return [F.expr(f"bit_xor(if({word} = {w}, {bit}, 0L))").alias(f"p{w}") for w in range(words)]
 
 
-def may_link(x: str, y: str, num: int, den: int) -> Column:
+def may_link(x: str, y: str, num: int, den: int, words: int = MAP_WORDS) -> Column:
     """Whether two sets can reach the threshold, from their sizes and parity maps.
 
     Sets that differ in d tokens have maps that differ in d bits at most, and sets that reach
     it differ in a bounded share of their tokens. So this refuses no pair that does.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    bits = sum(F.bit_count(F.col(f"{x}.p{w}").bitwiseXOR(F.col(f"{y}.p{w}"))) for w in range(MAP_WORDS))
+    bits = sum(F.bit_count(F.col(f"{x}.p{w}").bitwiseXOR(F.col(f"{y}.p{w}"))) for w in range(words))
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (bits * (den + num) <= (n + m) * (den - num))
 
 
@@ -80,6 +80,7 @@ def linked_components(
     num: int,
     den: int,
     confirm: Callable[[DataFrame], DataFrame],
+    words: int = MAP_WORDS,
 ) -> DataFrame:
     """``(id, component)`` of all ids linked to another one.
 
@@ -124,7 +125,7 @@ def linked_components(
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.label") != F.col("y.label"))
         & (F.col("y.is_main") | (F.col("x.id") < F.col("y.id")))
-        & may_link("x", "y", num, den)
+        & may_link("x", "y", num, den, words)
         & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
     )
     rest = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))

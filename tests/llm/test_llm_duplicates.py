@@ -216,6 +216,45 @@ def test_no_pair_of_lines_at_the_threshold_is_missed(frame):
         assert (1 - similarity**line_dedup.BAND_ROWS) ** n <= line_dedup.MISSED < (1 - similarity**line_dedup.BAND_ROWS) ** (n - 1)
 
 
+def test_few_pairs_of_long_lines_below_the_threshold_are_checked_in_full(frame, monkeypatch):
+    rng = random.Random(23)
+    base = words(rng, 250, 3000).split(" ")
+    rows = []
+    for i in range(60):  # each with 18 of 250 words changed: pairs are at about 0.65, too long for maps of 256 bits
+        line = list(base)
+        for at in rng.sample(range(250), 18):
+            line[at] = f"w{rng.randrange(3000)}y"
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(line[:-4]))]
+    sets = {i: line_set(line) for i, line in rows}
+    far = sum(5 * len(sets[a] & sets[b]) < 4 * len(sets[a] | sets[b]) for a in sets for b in range(a))
+    checked = []
+
+    def counting(buckets, maps, num, den, confirm, *more):
+        def counted(pairs):
+            checked.append(pairs.distinct().count())
+            return confirm(pairs)
+
+        return links.linked_components(buckets, maps, num, den, counted, *more)
+
+    monkeypatch.setattr(line_dedup, "linked_components", counting)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_report(frame(rows)).collect()}
+    assert got == brute_dropped(rows) and sum(map(len, got.values())) >= 60
+    assert far > 5000 and checked[1] < far / 20
+
+
+@pytest.mark.parametrize("limit", [0, 100, 1_000_000])
+def test_lines_too_long_for_an_array_are_linked_by_rows(frame, monkeypatch, limit):
+    rng = random.Random(24)
+    rows = []
+    for size in (3, 8, 9, 23, 24, 25, 60, 99, 100, 101, 130, 200):
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz é漢😀", k=size))
+        rows += [line, line + "z", line[: -(-size * 19 // 20)], line[: size // 2], line[:5] * size, line + line[:30]]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(line_dedup, "LONG_LINE", limit)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_report(frame(rows)).collect()}
+    assert got == brute_dropped(rows) and sum(map(len, got.values())) > 10
+
+
 def test_lines_with_carriage_returns_and_tabs(frame):
     rows = [
         (1, "short\r\n\r\n\t\r\nbody of the first text\r"), (2, "\tshort\n\t\n\r\n \t\r\nbody of the second text\r\n"),
