@@ -20,7 +20,7 @@ from tabproof.llm.common import (
     whole_text,
     written,
 )
-from tabproof.llm.links import linked_components, may_link, parity_map
+from tabproof.llm.links import linked_components, may_link
 
 #: Code points of a shingle. Unrelated lines of 300 share about 0.05 % of shingles this long.
 SHINGLE = 8
@@ -39,6 +39,8 @@ LINE_MAP_WORDS = 16
 TOLD = 3
 #: Times the usual number of tasks for lines that are spread into their shingles.
 WIDENED = 4
+#: Parts of a line's map that are summed in rows of their own, so that a shingle changes few of its words.
+MAP_PARTS = 4
 #: Orderings of shingles: three digests, each turned by so many bits.
 _TURNS = (0, 21, 42)
 _DIGESTS = 3
@@ -75,6 +77,16 @@ def _shingles(lines: DataFrame, shingle: int, *kept: str) -> DataFrame:
     return placed.select(*kept, _digest(F.col("points"), F.col("_at"), shingle).alias("token"))
 
 
+def _tokens(line: Column, shingle: int) -> Column:
+    """Digests of the shingles at all places of a line that fits an array, equal ones too."""
+
+    def at_all_places(points: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), _last_place(points, shingle)), lambda at: _digest(points, at, shingle))
+
+    # The points are an element of an array, so a place reads them where they are instead of copying them.
+    return F.get(F.transform(F.array(_points(line)), at_all_places), F.lit(0))
+
+
 def _shingle_rows(lines: DataFrame, shingle: int, *kept: str) -> DataFrame:
     """``lines[kept]`` with ``tokens``: a row for every ``GATHERED`` places of ``points``, with the digests of their shingles."""
     last = lines.withColumn("_last", _last_place(F.col("points"), shingle))
@@ -89,8 +101,8 @@ def _gathered(tokens: Column) -> Column:
     return F.array_distinct(F.flatten(F.collect_list(tokens)))
 
 
-def _long(points: str) -> Column:
-    return F.octet_length(points) > LONG_LINE * _POINT
+def _long(line: str) -> Column:
+    return F.length(line) > LONG_LINE
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
@@ -101,7 +113,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return (
         docs.select("doc_id", whole_text().alias("_t"))
         .select("doc_id", F.xxhash64("_t").alias("version"), F.posexplode(F.split("_t", "\n")).alias("pos", "_l"))
-        .where(F.col("_l").rlike(f"[^{''.join(_BLANK)}]"))
+        .where(F.ltrim("_l", F.lit("".join(_BLANK))) != "")
         .select("doc_id", "version", "pos", _normal(F.col("_l")).alias("line"))
         .withColumn("id", F.xxhash64("line"))
     )
@@ -180,32 +192,46 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
     return few.unionByName(many.select("bucket", "id", "n"))
 
 
+def line_maps(tokens: DataFrame) -> DataFrame:
+    """``(id, n, p0 …)`` of distinct ``(id, token)``: sizes and parity maps of 64-bit words, first part by part of the map.
+
+    Bit i of a map is whether an odd number of tokens fall on it.
+    """
+    share = LINE_MAP_WORDS // MAP_PARTS
+    bit = F.expr("shiftleft(1L, int(shiftrightunsigned(token, 8) & 63))")
+    placed = tokens.select("id", F.pmod("token", F.lit(LINE_MAP_WORDS)).alias("word"), bit.alias("bit"))
+    placed = placed.select("id", F.expr(f"word div {share}").alias("part"), F.expr(f"word % {share}").alias("word"), "bit")
+    words = [F.expr(f"bit_xor(if(word = {w}, bit, 0L))").alias(f"w{w}") for w in range(share)]
+    parts = placed.groupBy("id", "part").agg(F.count("*").alias("n"), *words)
+    whole = [F.expr(f"bit_xor(if(part = {w // share}, w{w % share}, 0L))").alias(f"p{w}") for w in range(LINE_MAP_WORDS)]
+    return parts.groupBy("id").agg(F.sum("n").alias("n"), *whole)
+
+
 def line_components(
-    docs: DataFrame, places: DataFrame, *, num: int = 4, den: int = 5, shingle: int = SHINGLE
+    lines: DataFrame, *, num: int = 4, den: int = 5, shingle: int = SHINGLE, long_lines: bool = True
 ) -> DataFrame:
     """``(id, component)`` of the distinct lines linked to another line.
 
     Lines are linked when their sets of ``shingle``-character shingles have ``den * intersection >= num * union`` and they share
-    a band, which pairs at the threshold miss with probability ``MISSED`` at most. ``places`` are the ids and documents of all lines.
+    a band, which pairs at the threshold miss with probability ``MISSED`` at most. ``lines(id, line)`` are all lines;
+    ``long_lines`` says whether any is longer than ``LONG_LINE``.
     """
     n_bands = band_count(num / den)
-    with written(line_bands(line_signatures(document_lines(docs), n_bands, shingle), n_bands)) as bands:
+    with written(line_bands(line_signatures(lines, n_bands, shingle), n_bands)) as bands:
         members = saved(shared_buckets(bands.select("id", F.explode("bands").alias("bucket"))))
     ranks = saved(members.groupBy("id").agg(F.sum("n").alias("rank")))
-    homes = rows_of(places, "id", ranks).groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    named = rows_of(docs.select("doc_id", "text"), "doc_id", homes)
-    unnamed = docs.select("doc_id", "text").where("doc_id is null")
-    lines = document_lines(named.unionByName(unnamed)).select("id", "line")
-    lines = saved(rows_of(lines, "id", ranks).dropDuplicates(["id"]))
+    lines = saved(rows_of(lines.select("id", "line"), "id", ranks).dropDuplicates(["id"]))
 
     # A line becomes a row for each few of its characters, so its tasks take a fraction of the usual lines.
-    tasks = WIDENED * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pointed = lines.repartition(tasks, "id").select("id", _points(F.col("line")).alias("points"))
-    sized = [F.count("*").alias("n"), *parity_map(words=LINE_MAP_WORDS)]
-    short = _shingle_rows(pointed.where(~_long("points")), shingle, "id").groupBy("id").agg(_gathered(F.col("tokens")).alias("tokens"))
-    short = short.select("id", F.explode("tokens").alias("token"))
-    long = _shingles(pointed.where(_long("points")), shingle, "id").distinct()
-    sets = saved(short.unionByName(long).groupBy("id").agg(*sized))
+    tasks = WIDENED * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lines.repartition(tasks, "id")
+    pointed = spread.select("id", "line", _points(F.col("line")).alias("points"))
+    short = pointed.where(~_long("line")) if long_lines else pointed
+    tokens = _shingle_rows(short, shingle, "id").groupBy("id").agg(_gathered(F.col("tokens")).alias("tokens"))
+    tokens = tokens.select("id", F.explode("tokens").alias("token"))
+    if long_lines:
+        tokens = tokens.unionByName(_shingles(pointed.where(_long("line")), shingle, "id").distinct())
+    sets = saved(line_maps(tokens))
 
     def maps(ids: DataFrame) -> DataFrame:
         return rows_of(sets, "id", ids)
@@ -214,21 +240,23 @@ def line_components(
         met = pairs.join(sets.alias("x"), F.col("a") == F.col("x.id")).join(sets.alias("y"), F.col("b") == F.col("y.id"))
         met = met.where(may_link("x", "y", num, den, LINE_MAP_WORDS)).select("a", "b")
         a, b = (lines.select(F.col("id").alias(s), F.col("line").alias(f"line_{s}")) for s in "ab")
-        met = met.join(a, "a").join(b, "b").repartition(tasks, "a", "b")
-        met = met.select("a", "b", *[_points(F.col(f"line_{s}")).alias(f"points_{s}") for s in "ab"])
-        long = _long("points_a") | _long("points_b")
-        sides = met.select("a", "b", long.alias("long"), F.explode(F.array(
-            F.struct(F.lit(1).alias("side"), F.col("points_a").alias("points")),
-            F.struct(F.lit(2).alias("side"), F.col("points_b").alias("points")),
-        )).alias("_s")).select("a", "b", "long", "_s.*")
-        whole = _shingle_rows(sides.where("not long"), shingle, "a", "b", "side").groupBy("a", "b").agg(
-            *[_gathered(F.when(F.col("side") == k, F.col("tokens"))).alias(f"tokens_{k}") for k in (1, 2)]
+        met = met.join(a, "a").join(b, "b").repartition("a", "b")
+        long = _long("line_a") | _long("line_b")
+        whole = (met.where(~long) if long_lines else met).select(
+            "a", "b", *[F.array_distinct(_tokens(F.col(f"line_{s}"), shingle)).alias(f"tokens_{s}") for s in "ab"]
         )
-        both = F.size(F.array_intersect("tokens_1", "tokens_2"))
-        whole = whole.select("a", "b", both.alias("both"), (F.size("tokens_1") + F.size("tokens_2") - both).alias("either"))
-        held = _shingles(sides.where("long"), shingle, "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
-        parts = held.groupBy("a", "b").agg(F.count_if(F.col("held") == 3).alias("both"), F.count("*").alias("either"))
-        return whole.unionByName(parts).where(F.col("both") * den >= F.col("either") * num).select("a", "b")
+        whole = whole.select("a", "b", (F.size("tokens_a") + F.size("tokens_b")).alias("total"),
+                             F.size(F.array_intersect("tokens_a", "tokens_b")).alias("both"))
+        whole = whole.select("a", "b", "both", (F.col("total") - F.col("both")).alias("either"))
+        if long_lines:
+            sides = met.where(long).select("a", "b", F.explode(F.array(
+                F.struct(F.lit(1).alias("side"), _points(F.col("line_a")).alias("points")),
+                F.struct(F.lit(2).alias("side"), _points(F.col("line_b")).alias("points")),
+            )).alias("_s")).select("a", "b", "_s.*")
+            held = _shingles(sides, shingle, "a", "b", "side").groupBy("a", "b", "token").agg(F.bit_or("side").alias("held"))
+            parts = held.groupBy("a", "b").agg(F.count_if(F.col("held") == 3).alias("both"), F.count("*").alias("either"))
+            whole = whole.unionByName(parts)
+        return whole.where(F.col("both") * den >= F.col("either") * num).select("a", "b")
 
     return linked_components(members.select("bucket", "id").join(ranks, "id"), maps, num, den, confirm, LINE_MAP_WORDS)
 
@@ -241,8 +269,10 @@ def duplicate_lines(docs: DataFrame, *, num: int = 4, den: int = 5, shingle: int
     document of smallest id that holds it. ``dropped`` are the positions (from 0) of the
     other lines, ``kept_in`` the documents that keep theirs.
     """
-    places = saved(document_lines(docs).select("doc_id", "version", "pos", "id"))
-    found = line_components(docs, places, num=num, den=den, shingle=shingle)
+    with written(document_lines(docs).withColumn("size", F.length("line"))) as lines:
+        long_lines = (lines.agg(F.max("size")).first()[0] or 0) > LONG_LINE
+        places = saved(lines.select("doc_id", "version", "pos", "id"))
+        found = line_components(lines, num=num, den=den, shingle=shingle, long_lines=long_lines)
     repeated = places.groupBy("id").agg(F.min("doc_id").alias("home"), F.count("*").alias("n"))
     known = repeated.join(found.select("id", "component"), "id", "left").where("n > 1 or component is not null")
     known = saved(known.select("id", "home", "n", F.coalesce("component", "id").alias("component")))

@@ -41,13 +41,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
 MAP_WORDS = 4
 
 
-def parity_map(token: str = "token", words: int = MAP_WORDS) -> list[Column]:
-    """Aggregates over distinct tokens: their 64-bit parity words ``p0 …``."""
-    word = f"pmod({token}, {words})"
-    bit = f"shiftleft(1L, int(shiftrightunsigned({token}, 8) & 63))"
-    return [F.expr(f"bit_xor(if({word} = {w}, {bit}, 0L))").alias(f"p{w}") for w in range(words)]
-
-
 def may_link(x: str, y: str, num: int, den: int, words: int = MAP_WORDS) -> Column:
     """Whether two sets can reach the threshold, from their sizes and parity maps.
 

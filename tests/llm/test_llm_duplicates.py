@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabproof.llm import fingerprints, line_dedup, links, near_dedup
-from tabproof.llm.shingles import WordHashes, multipliers, shingle_set, signature
+from tabproof.llm.shingles import WordHashes, multipliers, parity_words, shingle_set, signature
 
 from .conftest import words
 
@@ -255,6 +255,30 @@ def test_lines_too_long_for_an_array_are_linked_by_rows(frame, monkeypatch, limi
     assert got == brute_dropped(rows) and sum(map(len, got.values())) > 10
 
 
+def test_texts_are_cut_into_lines_once(frame, monkeypatch):
+    rng = random.Random(25)
+    lines = [words(rng, 20, 300) for _ in range(30)]
+    rows = [(i, "\n".join([rng.choice(lines), words(rng, 20, 300), rng.choice(lines) + " end", " \t"])) for i in range(20)]
+    cut, plain = [], line_dedup.document_lines
+
+    def counted(docs):
+        cut.append(docs)
+        return plain(docs)
+
+    monkeypatch.setattr(line_dedup, "document_lines", counted)
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup.line_report(frame(rows)).collect()}
+    assert got == brute_dropped(rows) and any(got.values()) and len(cut) == 1
+
+
+def test_maps_of_lines_summed_part_by_part(spark):
+    rng = random.Random(26)
+    sets = {i: [rng.randrange(-(2**63), 2**63) for _ in range(size)] for i, size in enumerate((1, 2, 40, 500))}
+    tokens = spark.createDataFrame([(i, t) for i, ts in sets.items() for t in ts], "id long, token long")
+    got = {r["id"]: (r["n"], [r[f"p{w}"] for w in range(line_dedup.LINE_MAP_WORDS)]) for r in line_dedup.line_maps(tokens).collect()}
+    for i, ts in sets.items():
+        assert got[i] == (len(ts), parity_words(np.array(ts, np.int64).view(np.uint64), line_dedup.LINE_MAP_WORDS))
+
+
 def test_lines_with_carriage_returns_and_tabs(frame):
     rows = [
         (1, "short\r\n\r\n\t\r\nbody of the first text\r"), (2, "\tshort\n\t\n\r\n \t\r\nbody of the second text\r\n"),
